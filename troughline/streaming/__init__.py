@@ -1,0 +1 @@
+"""Intentionally empty: every computation in scope is batch over stored tables."""
