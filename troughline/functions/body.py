@@ -1,33 +1,21 @@
-"""Renal function and body-size formulas."""
+"""Renal function and body-size formulas, as Spark SQL text."""
 
-from pyspark.sql import functions as F
 
-from .model import _col
-
-
-def ckd_epi(secr, age, sex, black, mgdl=False):
+def ckd_epi(secr, age, sex, black, mgdl="false"):
     """CKD-EPI eGFR; serum creatinine in umol/L unless ``mgdl``. Sex 1 is male, black is 0/1."""
-    mgdl = F.lit(mgdl) if isinstance(mgdl, bool) else _col(mgdl)
-    male = _col(sex) == 1
-    alpha = F.when(male, F.lit(-0.411)).otherwise(F.lit(-0.329))
-    kappa = F.when(male, F.lit(0.9)).otherwise(F.lit(0.7))
-    ratio = F.when(mgdl, _col(secr)).otherwise(_col(secr) / 88.4) / kappa
-    return (
-        141.0
-        * F.pow(F.least(ratio, F.lit(1.0)), alpha)
-        * F.pow(F.greatest(ratio, F.lit(1.0)), F.lit(-1.209))
-        * F.pow(F.lit(0.993), _col(age))
-        * F.pow(F.lit(1.018), 1 - _col(sex))
-        * F.pow(F.lit(1.159), _col(black))
-    )
+    kappa = f"(case when {sex} = 1 then 0.9D else 0.7D end)"
+    alpha = f"(case when {sex} = 1 then -0.411D else -0.329D end)"
+    ratio = f"(case when {mgdl} then {secr} else {secr} / 88.4D end / {kappa})"
+    return (f"(141.0D * pow(least({ratio}, 1.0D), {alpha}) * pow(greatest({ratio}, 1.0D), -1.209D) "
+            f"* pow(0.993D, {age}) * pow(1.018D, 1 - {sex}) * pow(1.159D, {black}))")
 
 
 def bmi(wt, ht, cm=True):
     """Weight in kg over squared height; height in cm, or in m with ``cm=False``."""
-    metres = _col(ht) / (100.0 if cm else 1.0)
-    return _col(wt) / (metres * metres)
+    unit = "100.0D" if cm else "1.0D"
+    return f"({wt} / pow({ht} / {unit}, 2.0D))"
 
 
 def bsa(wt, ht):
     """Body surface area from kg and cm."""
-    return 0.007184 * F.pow(_col(ht), F.lit(0.725)) * F.pow(_col(wt), F.lit(0.425))
+    return f"(0.007184D * pow({ht}, 0.725D) * pow({wt}, 0.425D))"

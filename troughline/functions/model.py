@@ -1,4 +1,8 @@
-"""Column expressions of the pharmacokinetic model."""
+"""Expressions of the pharmacokinetic model, as Spark SQL text.
+
+Arguments are SQL text as well: a column name, a literal or any expression. Text nests freely
+inside array lambdas and is handed to Spark in one piece (``selectExpr`` or ``F.expr``).
+"""
 
 import math
 
@@ -7,13 +11,28 @@ from pyspark.sql import functions as F
 from .. import constants as C
 
 
-def _col(value):
-    return F.col(value) if isinstance(value, str) else value
+def num(value):
+    """A Python number as a DOUBLE literal."""
+    return f"{float(value)!r}D"
+
+
+def let(name, value, body):
+    """Evaluate ``value`` once and use it as ``name`` inside ``body``."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
 
+def settled(df):
+    """Evaluate all columns here, once per row.
+
+    The optimizer merges neighbouring projections and would otherwise repeat a column's
+    expression for every element of a later array function that refers to it.
+    """
+    return df.selectExpr(f"inline(array(struct({', '.join(df.columns)})))")
 
-def let(value, body):
-    """Evaluate ``value`` once and use it several times inside ``body``."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+
+def add(df, **columns):
+    """Add columns given as SQL text."""
+    return df.withColumns({name: F.expr(text) for name, text in columns.items()})
 
 
 def infusion_hours(amt, intended=False):
@@ -21,29 +40,25 @@ def infusion_hours(amt, intended=False):
 
     ``intended=True`` gives doses over 1000 and up to 1500 mg 1.5 h.
     """
-    amt = _col(amt)
-    middle = F.lit(1.5 if intended else 1.0)
-    return (
-        F.when(amt <= 1000.0, F.lit(1.0))
-        .when(amt <= 1500.0, middle)
-        .when(amt <= 2000.0, F.lit(2.0))
-        .otherwise(amt / 1000.0)
-    )
+    middle = 1.5 if intended else 1.0
+    return (f"(case when {amt} <= 1000 then 1.0D when {amt} <= 1500 then {num(middle)} "
+            f"when {amt} <= 2000 then 2.0D else {amt} / 1000.0D end)")
 
 
 def with_parameters(df, etas=("ETA1", "ETA2", "ETA3")):
     """Add covariate-adjusted (COVCL, COVVC) and individual (CL, VC, VP, Q) parameters."""
-    eta1, eta2, eta3 = (_col(e) for e in etas)
-    return df.withColumns({
-        "COVCL": C.TVCL * F.pow(F.col("CRCL") / C.REF_CRCL, F.lit(C.CL_CRCL))
-        * F.pow(F.lit(C.CL_DIAL), F.col("DIAL")),
-        "COVVC": C.TVVC * (F.col("WT") / C.REF_WT) * F.pow(F.lit(C.VC_DIAL), F.col("DIAL")),
-    }).withColumns({
-        "CL": F.col("COVCL") * F.exp(eta1),
-        "VC": F.col("COVVC") * F.exp(eta2),
-        "VP": C.TVVP * F.exp(eta3),
-        "Q": F.lit(C.TVQ),
-    })
+    eta1, eta2, eta3 = etas
+    covariate = add(
+        df,
+        COVCL=f"{num(C.TVCL)} * pow(CRCL / {num(C.REF_CRCL)}, {num(C.CL_CRCL)}) "
+              f"* pow({num(C.CL_DIAL)}, DIAL)",
+        COVVC=f"{num(C.TVVC)} * (WT / {num(C.REF_WT)}) * pow({num(C.VC_DIAL)}, DIAL)",
+    )
+    return add(covariate, CL=f"COVCL * exp({eta1})", VC=f"COVVC * exp({eta2})",
+               VP=f"{num(C.TVVP)} * exp({eta3})", Q=num(C.TVQ))
+
+
+KINETICS = ("ka", "kb", "wa", "wb", "wp")
 
 
 def with_rate_constants(df):
@@ -52,57 +67,46 @@ def with_rate_constants(df):
     ``wa`` and ``wb`` turn an infusion rate into the steady concentration of each exponent;
     ``wp`` scales the peripheral amount.
     """
-    return df.withColumns({
-        "k10": F.col("CL") / F.col("VC"),
-        "k12": F.col("Q") / F.col("VC"),
-        "k21": F.col("Q") / F.col("VP"),
-    }).withColumn(
-        "ksum", F.col("k10") + F.col("k12") + F.col("k21")
-    ).withColumn(
-        "ka",
-        (F.col("ksum") + F.sqrt(F.col("ksum") * F.col("ksum") - 4 * F.col("k10") * F.col("k21")))
-        / 2,
-    ).withColumn(
-        "kb", F.col("k10") * F.col("k21") / F.col("ka")
-    ).withColumns({
-        "wa": (F.col("ka") - F.col("k21")) / ((F.col("ka") - F.col("kb")) * F.col("ka") * F.col("VC")),
-        "wb": (F.col("k21") - F.col("kb")) / ((F.col("ka") - F.col("kb")) * F.col("kb") * F.col("VC")),
-        "wp": F.col("k12") / (F.col("ka") - F.col("kb")),
-    }).drop("k10", "k12", "k21", "ksum")
-
-
-KINETICS = ("ka", "kb", "wa", "wb", "wp")
+    rates = add(df, k10="CL / VC", k12="Q / VC", k21="Q / VP")
+    rates = add(rates, ksum="k10 + k12 + k21")
+    rates = add(rates, ka="(ksum + sqrt(ksum * ksum - 4 * k10 * k21)) / 2")
+    rates = add(rates, kb="k10 * k21 / ka")
+    return add(
+        rates,
+        wa="(ka - k21) / ((ka - kb) * ka * VC)",
+        wb="(k21 - kb) / ((ka - kb) * kb * VC)",
+        wp="k12 / (ka - kb)",
+    ).drop("k10", "k12", "k21", "ksum")
 
 
 def observed(ipre, eps1, eps2):
     """Concentration with residual error; it may be negative."""
-    return _col(ipre) * (1 + _col(eps1) * C.ERR_PRO) + _col(eps2) * C.ERR_ADD
+    return f"({ipre} * (1 + {eps1} * {num(C.ERR_PRO)}) + {eps2} * {num(C.ERR_ADD)})"
 
 
 def error_sd(prediction, kind="combined"):
     """Standard deviation of an observation around its prediction."""
-    prediction = _col(prediction)
     if kind == "additive":
-        return F.lit(C.ERR_ADD)
+        return num(C.ERR_ADD)
     if kind == "proportional":
-        return prediction * C.ERR_PRO
+        return f"({prediction} * {num(C.ERR_PRO)})"
     if kind == "combined":
-        return F.sqrt(F.pow(prediction * C.ERR_PRO, F.lit(2.0)) + C.ERR_ADD ** 2)
+        return f"sqrt(pow({prediction} * {num(C.ERR_PRO)}, 2.0D) + {num(C.ERR_ADD ** 2)})"
     raise ValueError(f"unknown error model: {kind}")
 
 
 def normal_logpdf(x, mean, sd):
-    x, mean, sd = _col(x), _col(mean), _col(sd)
-    return -0.5 * math.log(2 * math.pi) - F.ln(sd) - F.pow(x - mean, F.lit(2.0)) / (2 * sd * sd)
+    constant = num(-0.5 * math.log(2 * math.pi))
+    return f"({constant} - ln({sd}) - pow({x} - {mean}, 2.0D) / (2 * {sd} * {sd}))"
 
 
 def clamp_prediction(value):
     """Replace a missing, non-finite or tiny prediction by the smallest usable one."""
-    value = _col(value)
-    bad = value.isNull() | F.isnan(value) | (F.abs(value) == float("inf"))
-    return F.when(bad | (value < C.PREDICTION_FLOOR), F.lit(C.PREDICTION_FLOOR)).otherwise(value)
+    return (f"(case when {value} is null or isnan({value}) or abs({value}) = double('inf') "
+            f"or {value} < {num(C.PREDICTION_FLOOR)} then {num(C.PREDICTION_FLOOR)} "
+            f"else {value} end)")
 
 
 def round_up(value, step=C.DOSE_STEP):
     """Next multiple of ``step``, as a double."""
-    return F.ceil(_col(value) / step).cast("double") * step
+    return f"(cast(ceil({value} / {num(step)}) as double) * {num(step)})"

@@ -3,57 +3,51 @@
 from pyspark.sql import functions as F
 
 from .. import constants as C
+from ..functions.model import add, num
 
 
 def time_grid(start, stop, step):
-    """Array of regular times; the integer sequence is scaled so that times stay exact."""
-    count = F.floor((stop - start) / step).cast("int")
-    return F.transform(F.sequence(F.lit(0), count), lambda k: start + k * step)
+    """SQL text for regular times; an integer sequence is scaled so that times stay exact."""
+    count = f"cast(floor(({stop} - {start}) / {step}) as int)"
+    return f"transform(sequence(0, {count}), k -> {start} + k * {step})"
 
 
 def event_grid(cohort, step=C.GRID_STEP, horizon=C.HORIZON):
     """One observation row per patient and grid time."""
-    times = time_grid(F.lit(0.0), F.lit(float(horizon)), F.lit(float(step)))
-    return cohort.withColumn("time", F.explode(times)).withColumns({
-        "amt": F.lit(0.0), "cmt": F.lit(1), "evid": F.lit(0), "rate": F.lit(0),
-    })
+    return add(
+        add(cohort, time=f"explode({time_grid('0.0D', num(horizon), num(step))})"),
+        amt="0.0D", cmt="1", evid="0", rate="0")
 
 
 def _by_group(values):
-    chain = F
-    for crcl, value in values.items():
-        chain = chain.when(F.col("CRCL") == float(crcl), F.lit(value))
-    return chain
+    cases = " ".join(f"when CRCL = {num(crcl)} then {num(x)}" for crcl, x in values.items())
+    return f"(case {cases} end)"
 
 
 def loading_dose(loading="standard"):
-    """Loading dose of the patient's group: one dose for all, or individual by group."""
+    """SQL text for the loading dose: one for all, or individual by group."""
     if loading == "standard":
-        return F.lit(C.STANDARD_LOADING)
+        return num(C.STANDARD_LOADING)
     if loading == "by_group":
         return _by_group(C.LOADING_BY_GROUP)
     raise ValueError(f"unknown loading rule: {loading}")
 
 
 def schedule(loading="standard", horizon=C.HORIZON):
-    """Dose array ``[(time, amt)]`` of the patient's group.
+    """SQL text for the dose array ``[(time, amt)]`` of the patient's group.
 
     Twice-daily groups are dosed every 12 h; daily groups at 0, 12 and then every 24 h.
     """
-    halves = F.sequence(F.lit(0), F.lit(int(horizon // 12)))
-    days = F.concat(F.array(F.lit(0)), F.sequence(F.lit(1), F.lit(int(horizon // 12)), F.lit(2)))
-    slots = F.when(F.col("CRCL").isin([float(g) for g in C.DAILY_GROUPS]), days).otherwise(halves)
-    maintenance = _by_group(C.MAINTENANCE_BY_GROUP)
-    first = loading if not isinstance(loading, str) else loading_dose(loading)
-    return F.transform(slots, lambda k: F.struct(
-        (k * 12.0).alias("time"), F.when(k == 0, first).otherwise(maintenance).alias("amt")))
+    slots = int(horizon // 12)
+    daily = " or ".join(f"CRCL = {num(group)}" for group in C.DAILY_GROUPS)
+    numbers = f"if({daily}, concat(array(0), sequence(1, {slots}, 2)), sequence(0, {slots}))"
+    amount = f"if(k = 0, {loading_dose(loading)}, {_by_group(C.MAINTENANCE_BY_GROUP)})"
+    return f"transform({numbers}, k -> named_struct('time', k * 12.0D, 'amt', {amount}))"
 
 
 def dose_rows(courses, *keep, doses="doses"):
     """Dose events of one-row-per-patient regimens; a held dose stays an event without rate."""
-    return courses.select(*keep, F.inline(doses)).withColumns({
-        "cmt": F.lit(1), "evid": F.lit(1), "rate": F.when(F.col("amt") != 0, -2).otherwise(0),
-    })
+    return add(courses.select(*keep, F.inline(doses)), cmt="1", evid="1", rate="if(amt != 0, -2, 0)")
 
 
 def upsert_doses(grid, doses):

@@ -10,80 +10,43 @@ Two layouts are served:
   used while regimens are being planned; a regimen is bounded by the study horizon;
 * long tables of doses and observations (``exposure_sweep``), used for histories of any size:
   it never pairs observations with doses and splits every patient into time blocks.
+
+Functions on one row return Spark SQL text.
 """
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import constants as C
-from ..functions.model import KINETICS, infusion_hours, let
+from ..functions.model import KINETICS, add, infusion_hours, let, num
 
-NO_DOSE_YET = -1.0  # start of the empty state in front of the first dose
+PARAMETERS = KINETICS + ("CL",)
+NO_DOSE_YET = "named_struct('s', -1.0D, 'rate', 0.0D, 'given', 0.0D, 'pa', 0.0D, 'pb', 0.0D)"
 
 
-def _decay(pressure, weight, rate, exponent, hours):
+def _decay(before, weight, rate, exponent, hours):
     """One exponent's concentration after ``hours`` at a constant infusion rate."""
-    return let(
-        F.exp(-exponent * hours),
-        lambda kept: pressure * kept + weight * rate * (1 - kept),
-    )
-
+    return let("kept", f"exp(-{exponent} * ({hours}))",
+               f"{before} * kept + {weight} * {rate} * (1 - kept)")
 
-def _kinetics(prefix):
-    return {name: F.col(prefix + name) for name in KINETICS + ("CL",)}
 
-
-def dose_segments(doses, prefix="", intended=False):
+def dose_segments(doses="doses", prefix="", intended=False):
     """States at every rate change of a regimen array ``[(time, amt)]``, in time order.
 
     The rate constants are read from the row's columns ``prefix + ka`` and so on.
     """
-    kin = _kinetics(prefix)
-
-    def on_off(dose):
-        return let(infusion_hours(dose["amt"], intended), lambda hours: F.array(
-            F.struct(dose["time"].alias("s"), (dose["amt"] / hours).alias("dr")),
-            F.struct((dose["time"] + hours).alias("s"), (-dose["amt"] / hours).alias("dr")),
-        ))
-
-    def advance(last, change):
-        hours = change["s"] - last["s"]
-        return F.struct(
-            change["s"].alias("s"),
-            (last["rate"] + change["dr"]).alias("rate"),
-            (last["given"] + last["rate"] * hours).alias("given"),
-            _decay(last["pa"], kin["wa"], last["rate"], kin["ka"], hours).alias("pa"),
-            _decay(last["pb"], kin["wb"], last["rate"], kin["kb"], hours).alias("pb"),
-        )
-
-    doses = F.col(doses) if isinstance(doses, str) else doses
-    changes = F.array_sort(F.flatten(F.transform(
-        F.filter(doses, lambda d: d["amt"] > 0), on_off)))
-    empty = F.struct(
-        F.lit(NO_DOSE_YET).alias("s"),
-        *[F.lit(0.0).alias(name) for name in ("rate", "given", "pa", "pb")],
-    )
-    return F.aggregate(
-        changes, F.array(empty),
-        lambda states, change: F.concat(states, F.array(
-            let(F.element_at(states, -1), lambda last: advance(last, change)))),
-    )
-
-
-def _outputs(state, hours, kin):
-    """IPRE, AUC and PERI ``hours`` after ``state``, as a struct."""
-    pa = _decay(state["pa"], kin["wa"], state["rate"], kin["ka"], hours)
-    pb = _decay(state["pb"], kin["wb"], state["rate"], kin["kb"], hours)
-    given = state["given"] + state["rate"] * hours
-    return let(
-        F.struct(pa.alias("pa"), pb.alias("pb"), given.alias("given")),
-        lambda now: F.struct(
-            (now["pa"] + now["pb"]).alias("IPRE"),
-            (now["given"] / kin["CL"] - now["pa"] / kin["ka"] - now["pb"] / kin["kb"]).alias("AUC"),
-            (kin["wp"] * (now["pb"] / (kin["wb"] * kin["kb"])
-                          - now["pa"] / (kin["wa"] * kin["ka"]))).alias("PERI"),
-        ),
-    )
+    on_off = let("h", infusion_hours("d.amt", intended), (
+        "array(named_struct('s', d.time, 'dr', d.amt / h),"
+        " named_struct('s', d.time + h, 'dr', -d.amt / h))"))
+    changes = f"array_sort(flatten(transform(filter({doses}, d -> d.amt > 0), d -> {on_off})))"
+    hours = "change.s - last.s"
+    advanced = f"""named_struct(
+        's', change.s, 'rate', last.rate + change.dr,
+        'given', last.given + last.rate * ({hours}),
+        'pa', {_decay('last.pa', prefix + 'wa', 'last.rate', prefix + 'ka', hours)},
+        'pb', {_decay('last.pb', prefix + 'wb', 'last.rate', prefix + 'kb', hours)})"""
+    return (f"aggregate({changes}, array({NO_DOSE_YET}), (states, change) -> "
+            f"concat(states, array({let('last', 'element_at(states, -1)', advanced)})))")
 
 
 def predict_at(segments, time, prefix=""):
@@ -91,12 +54,25 @@ def predict_at(segments, time, prefix=""):
 
     A dose given exactly at ``time`` does not count yet, so a dose time yields the trough.
     """
-    segments = F.col(segments) if isinstance(segments, str) else segments
-    kin = _kinetics(prefix)
-    return let(
-        F.try_element_at(F.filter(segments, lambda x: x["s"] < time), F.lit(-1)),
-        lambda state: _outputs(state, time - state["s"], kin),
-    )
+    p = prefix
+    hours = f"{time} - st.s"
+    now = f"""named_struct(
+        'pa', {_decay('st.pa', p + 'wa', 'st.rate', p + 'ka', hours)},
+        'pb', {_decay('st.pb', p + 'wb', 'st.rate', p + 'kb', hours)},
+        'given', st.given + st.rate * ({hours}))"""
+    outputs = f"""named_struct(
+        'IPRE', o.pa + o.pb,
+        'AUC', o.given / {p}CL - o.pa / {p}ka - o.pb / {p}kb,
+        'PERI', {p}wp * (o.pb / ({p}wb * {p}kb) - o.pa / ({p}wa * {p}ka)))"""
+    found = f"try_element_at(filter({segments}, x -> x.s < {time}), -1)"
+    return let("st", found, let("o", now, outputs))
+
+
+PROFILE = {
+    "IPRE": "_pa + _pb",
+    "AUC": "_given / CL - _pa / ka - _pb / kb",
+    "PERI": "wp * (_pb / (wb * kb) - _pa / (wa * ka))",
+}
 
 
 def regimen_profile(df, keep, doses="doses", step=C.GRID_STEP, horizon=C.HORIZON):
@@ -105,42 +81,22 @@ def regimen_profile(df, keep, doses="doses", step=C.GRID_STEP, horizon=C.HORIZON
     Narrow: every state is expanded to the grid times it covers, so there is no join, sort or
     shuffle, and the per-row arithmetic is plain generated code.
     """
-    last = int(round(horizon / step))
-    params = list(_kinetics(""))
-
-    def cover(state, index, states):
-        after = F.get(states, index + 1)["s"]
-        return F.struct(
-            *[state[name].alias(name) for name in ("s", "rate", "given", "pa", "pb")],
-            F.greatest(F.lit(0), (F.floor(state["s"] / step) + 1).cast("int")).alias("_lo"),
-            F.least(F.lit(last), F.coalesce(F.floor(after / step).cast("int"), F.lit(last)))
-            .alias("_hi"),
-        )
-
-    spans = df.select(*keep, *params, F.inline(let(
-        dose_segments(doses),
-        lambda states: F.transform(states, lambda x, i: cover(x, i, states)),
-    ))).where("_lo <= _hi")
-    rows = spans.withColumn("_k", F.explode(F.sequence("_lo", "_hi")))
-    rows = rows.withColumn("time", F.col("_k") * F.lit(float(step)))
-    rows = rows.withColumn("_h", F.col("time") - F.col("s"))
-    rows = rows.withColumns({
-        "_ea": F.exp(-F.col("ka") * F.col("_h")), "_eb": F.exp(-F.col("kb") * F.col("_h")),
-    }).withColumns({
-        "_pa": F.col("pa") * F.col("_ea") + F.col("wa") * F.col("rate") * (1 - F.col("_ea")),
-        "_pb": F.col("pb") * F.col("_eb") + F.col("wb") * F.col("rate") * (1 - F.col("_eb")),
-    })
-    return rows.select(*keep, "time", *_profile_columns(
-        F.col("_pa"), F.col("_pb"), F.col("given") + F.col("rate") * F.col("_h")))
-
-
-def _profile_columns(pa, pb, given):
-    return [
-        (pa + pb).alias("IPRE"),
-        (given / F.col("CL") - pa / F.col("ka") - pb / F.col("kb")).alias("AUC"),
-        (F.col("wp") * (pb / (F.col("wb") * F.col("kb"))
-                        - pa / (F.col("wa") * F.col("ka")))).alias("PERI"),
-    ]
+    last, width = int(round(horizon / step)), num(step)
+    cover = f"""named_struct(
+        's', x.s, 'rate', x.rate, 'given', x.given, 'pa', x.pa, 'pb', x.pb,
+        '_lo', greatest(0, cast(floor(x.s / {width}) as int) + 1),
+        '_hi', least({last}, coalesce(cast(floor(get(states, i + 1).s / {width}) as int), {last})))"""
+    spans = df.selectExpr(
+        *keep, *PARAMETERS,
+        f"inline({let('states', dose_segments(doses), f'transform(states, (x, i) -> {cover})')})",
+    ).where("_lo <= _hi")
+    rows = add(spans, _k="explode(sequence(_lo, _hi))")
+    rows = add(rows, time=f"_k * {width}")
+    rows = add(rows, _h="time - s")
+    rows = add(rows, _ea="exp(-ka * _h)", _eb="exp(-kb * _h)")
+    rows = add(rows, _pa="pa * _ea + wa * rate * (1 - _ea)", _pb="pb * _eb + wb * rate * (1 - _eb)",
+               _given="given + rate * _h")
+    return rows.selectExpr(*keep, "time", *[f"{text} as {name}" for name, text in PROFILE.items()])
 
 
 def exposure_sweep(obs, doses, patients, block_hours=168.0, intended=False):
@@ -153,37 +109,29 @@ def exposure_sweep(obs, doses, patients, block_hours=168.0, intended=False):
     totals of the doses alone. A patient with many rows spreads over its blocks; a block holds
     no more rows than the time resolution allows.
     """
-    names = KINETICS + ("CL",)
     # A narrower block for fast exponents keeps exp(ka * width) finite.
-    patients = patients.select(
-        "ID", *names, F.least(F.lit(float(block_hours)), F.lit(600.0) / F.col("ka")).alias("_w"))
+    patients = patients.selectExpr(
+        "ID", *PARAMETERS, f"least({num(block_hours)}, 600.0D / ka) as _w")
 
     def blocked(df):
-        return df.withColumn("_blk", F.floor(F.col("time") / F.col("_w"))).withColumn(
-            "_rel", F.col("time") - F.col("_blk") * F.col("_w"))
-
-    changes = doses.where("amt > 0").select(
-        "ID", "time", "amt", infusion_hours("amt", intended).alias("_h")
-    ).select("ID", F.explode(F.array(
-        F.struct(F.col("time"), (F.col("amt") / F.col("_h")).alias("dr")),
-        F.struct((F.col("time") + F.col("_h")).alias("time"),
-                 (-F.col("amt") / F.col("_h")).alias("dr")),
-    )).alias("c")).select("ID", "c.time", "c.dr")
-    changes = blocked(changes.join(patients, "ID")).withColumns({
-        "_n1": F.col("dr") * F.col("_rel"),
-        "_xa": F.col("dr") * F.exp(F.col("ka") * F.col("_rel")),
-        "_xb": F.col("dr") * F.exp(F.col("kb") * F.col("_rel")),
-    })
+        return add(add(df, _blk="floor(time / _w)"), _rel="time - _blk * _w")
+
+    changes = doses.where("amt > 0").selectExpr(
+        "ID", "time", "amt", f"{infusion_hours('amt', intended)} as _h"
+    ).selectExpr("ID", "inline(array(named_struct('time', time, 'dr', amt / _h),"
+                       " named_struct('time', time + _h, 'dr', -amt / _h)))")
+    changes = add(blocked(changes.join(patients, "ID")), _n1="dr * _rel",
+                  _xa="dr * exp(ka * _rel)", _xb="dr * exp(kb * _rel)")
     sums = {"_n0": "dr", "_n1": "_n1", "_xa": "_xa", "_xb": "_xb"}
 
     span = obs.groupBy("ID").agg(F.max("time").alias("_end"))
     carry = _block_starts(changes, patients.join(span, "ID"), sums)
 
     payload = [c for c in obs.columns if c not in ("ID", "time")]
-    seen = blocked(obs.join(patients, "ID")).withColumn("_obs", F.lit(True))
+    seen = add(blocked(obs.join(patients, "ID")), _obs="true")
     both = seen.unionByName(
-        changes.withColumn("_obs", F.lit(False)).select(
-            "ID", "time", *names, "_w", "_blk", "_rel", "_obs", "dr", "_n1", "_xa", "_xb"),
+        add(changes, _obs="false").select(
+            "ID", "time", *PARAMETERS, "_w", "_blk", "_rel", "_obs", "dr", "_n1", "_xa", "_xb"),
         allowMissingColumns=True,
     )
     running = Window.partitionBy("ID", "_blk").orderBy("time").rowsBetween(
@@ -191,17 +139,14 @@ def exposure_sweep(obs, doses, patients, block_hours=168.0, intended=False):
     local = both.withColumns({
         "s" + out: F.coalesce(F.sum(src).over(running), F.lit(0.0)) for out, src in sums.items()
     }).where("_obs")
-    rows = local.join(carry, ["ID", "_blk"]).withColumns({
-        "_ea": F.exp(-F.col("ka") * F.col("_rel")), "_eb": F.exp(-F.col("kb") * F.col("_rel")),
-    })
-    pa = F.col("pa") * F.col("_ea") + F.col("wa") * (
-        F.col("rate") * (1 - F.col("_ea")) + F.col("s_n0") - F.col("_ea") * F.col("s_xa"))
-    pb = F.col("pb") * F.col("_eb") + F.col("wb") * (
-        F.col("rate") * (1 - F.col("_eb")) + F.col("s_n0") - F.col("_eb") * F.col("s_xb"))
-    given = F.col("given") + (F.col("rate") + F.col("s_n0")) * F.col("_rel") - F.col("s_n1")
-    return rows.withColumns({"_pa": pa, "_pb": pb, "_given": given}).select(
-        "ID", "time", *payload,
-        *_profile_columns(F.col("_pa"), F.col("_pb"), F.col("_given")))
+    rows = add(local.join(carry, ["ID", "_blk"]), _ea="exp(-ka * _rel)", _eb="exp(-kb * _rel)")
+    rows = add(
+        rows,
+        _pa="pa * _ea + wa * (rate * (1 - _ea) + s_n0 - _ea * s_xa)",
+        _pb="pb * _eb + wb * (rate * (1 - _eb) + s_n0 - _eb * s_xb)",
+        _given="given + (rate + s_n0) * _rel - s_n1")
+    return rows.selectExpr(
+        "ID", "time", *payload, *[f"{text} as {name}" for name, text in PROFILE.items()])
 
 
 def _block_starts(changes, patients, sums):
@@ -212,32 +157,18 @@ def _block_starts(changes, patients, sums):
     """
     totals = changes.groupBy("ID", "_blk").agg(
         *[F.sum(src).alias(out) for out, src in sums.items()])
-    per_patient = totals.groupBy("ID").agg(F.map_from_entries(F.collect_list(F.struct(
-        F.col("_blk").alias("key"), F.struct(*sums).alias("value")))).alias("_totals"))
-    rows = patients.join(per_patient, "ID", "left").withColumns({
-        "_ea": F.exp(-F.col("ka") * F.col("_w")), "_eb": F.exp(-F.col("kb") * F.col("_w")),
-    })
-
-    def next_block(states, blk):
-        def advance(last, total):
-            def of(name):
-                return F.coalesce(total[name], F.lit(0.0))
-            return F.struct(
-                (blk + 1).alias("_blk"),
-                (last["rate"] + of("_n0")).alias("rate"),
-                (last["given"] + (last["rate"] + of("_n0")) * F.col("_w") - of("_n1")).alias("given"),
-                (last["pa"] * F.col("_ea") + F.col("wa") * (
-                    last["rate"] * (1 - F.col("_ea")) + of("_n0") - F.col("_ea") * of("_xa"))).alias("pa"),
-                (last["pb"] * F.col("_eb") + F.col("wb") * (
-                    last["rate"] * (1 - F.col("_eb")) + of("_n0") - F.col("_eb") * of("_xb"))).alias("pb"),
-            )
-        return F.concat(states, F.array(let(
-            F.element_at(states, -1),
-            lambda last: let(F.try_element_at("_totals", blk), lambda total: advance(last, total)))))
-
-    empty = F.struct(F.lit(0).cast("bigint").alias("_blk"),
-                     *[F.lit(0.0).alias(n) for n in ("rate", "given", "pa", "pb")])
-    starts = F.aggregate(
-        F.sequence(F.lit(0).cast("bigint"), F.floor(F.col("_end") / F.col("_w"))),
-        F.array(empty), next_block)
-    return rows.select("ID", F.explode(starts).alias("_st")).select("ID", "_st.*")
+    per_patient = totals.groupBy("ID").agg(F.expr(
+        "map_from_entries(collect_list(struct(_blk, struct(_n0, _n1, _xa, _xb)))) as _totals"))
+    rows = add(patients.join(per_patient, "ID", "left"), _ea="exp(-ka * _w)", _eb="exp(-kb * _w)")
+    advanced = """named_struct(
+        '_blk', b + 1, 'rate', last.rate + t._n0,
+        'given', last.given + (last.rate + t._n0) * _w - t._n1,
+        'pa', last.pa * _ea + wa * (last.rate * (1 - _ea) + t._n0 - _ea * t._xa),
+        'pb', last.pb * _eb + wb * (last.rate * (1 - _eb) + t._n0 - _eb * t._xb))"""
+    nothing = "named_struct('_n0', 0.0D, '_n1', 0.0D, '_xa', 0.0D, '_xb', 0.0D)"
+    following = let("last", "element_at(states, -1)", let(
+        "t", f"coalesce(try_element_at(_totals, b), {nothing})", advanced))
+    empty = "named_struct('_blk', 0L, 'rate', 0.0D, 'given', 0.0D, 'pa', 0.0D, 'pb', 0.0D)"
+    starts = (f"aggregate(sequence(0L, floor(_end / _w)), array({empty}), "
+              f"(states, b) -> concat(states, array({following})))")
+    return rows.selectExpr("ID", f"inline({starts})")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from .. import schema
-from ..functions.model import observed, with_parameters, with_rate_constants
+from ..functions.model import add, num, observed, with_parameters, with_rate_constants
 from ..operators.events import schedule
 from .storage import read_table
 
@@ -17,21 +17,19 @@ EPS_KEYS = ((15485863, 31), (32452843, 37))
 
 def _unit(key, factor, offset):
     """Reproducible noise in [-2, 2]."""
-    return ((key * factor + offset) % 2001 - 1000) / 500.0
+    return f"((({key}) * {factor}L + {offset}) % 2001 - 1000) / 500.0D"
 
 
 def cohort(spark, folder):
     """One patient per customer: four renal groups, fixed weight, reproducible random effects."""
-    key = F.col("c_custkey")
-    group = key % 4
-    crcl = F.when(group == 0, 100.0).when(group == 1, 75.0).when(group == 2, 50.0).otherwise(25.0)
     etas = [
-        (math.sqrt(omega) * _unit(key, *pq)).alias(f"ETA{i}")
+        f"{num(math.sqrt(omega))} * ({_unit('c_custkey', *pq)}) as ETA{i}"
         for i, (omega, pq) in enumerate(zip(C.OMEGA, ETA_KEYS), start=1)
     ]
-    return read_table(spark, f"{folder}/customer.parquet", schema.CUSTOMER).select(
-        (key + 1).alias("ID"), F.lit(75.0).alias("WT"), crcl.alias("CRCL"),
-        F.lit(0).alias("DIAL"), *etas)
+    return read_table(spark, f"{folder}/customer.parquet", schema.CUSTOMER).selectExpr(
+        "c_custkey + 1 as ID", "75.0D as WT",
+        "get(array(100.0D, 75.0D, 50.0D, 25.0D), cast(c_custkey % 4 as int)) as CRCL",
+        "0 as DIAL", *etas)
 
 
 def spread(patients, key="ID"):
@@ -41,20 +39,20 @@ def spread(patients, key="ID"):
 
 
 def noise(patient, time):
-    """Residual draws of a patient at a grid time, as two expressions."""
-    key = patient * 1009 + (time * 4).cast("bigint")
-    return tuple(_unit(key, *pq) for pq in EPS_KEYS)
+    """SQL text for the two residual draws of a patient at a grid time."""
+    key = f"{patient} * 1009 + cast({time} * 4 as bigint)"
+    return tuple(f"({_unit(key, *pq)})" for pq in EPS_KEYS)
 
 
-def measured(ipre, time, patient=None):
-    """Concentration that a sample at ``time`` would show."""
-    return observed(ipre, *noise(F.col("ID") if patient is None else patient, time))
+def measured(ipre, time, patient="ID"):
+    """SQL text for the concentration that a sample at ``time`` would show."""
+    return observed(ipre, *noise(patient, time))
 
 
 def courses(spark, folder, loading="standard"):
     """One row per patient with parameters and the induction regimen."""
-    patients = with_rate_constants(with_parameters(spread(cohort(spark, folder))))
-    return patients.withColumn("doses", schedule(loading))
+    patients = with_rate_constants(with_parameters(cohort(spark, folder)))
+    return spread(add(patients, doses=schedule(loading)))
 
 
 def user_samples(spark, folder):
