@@ -21,13 +21,15 @@ def let(name, value, body):
     return f"transform(array({value}), {name} -> {body})[0]"
 
 
-def settled(df):
-    """Evaluate all columns here, once per row.
+def settled(df, **columns):
+    """Add columns given as SQL text and evaluate every column here, once per row.
 
     The optimizer merges neighbouring projections and would otherwise repeat a column's
     expression for every element of a later array function that refers to it.
     """
-    return df.selectExpr(f"inline(array(struct({', '.join(df.columns)})))")
+    fields = {name: name for name in df.columns} | columns
+    pairs = ", ".join(f"'{name}', {text}" for name, text in fields.items())
+    return df.selectExpr(f"inline(array(named_struct({pairs})))")
 
 
 def add(df, **columns):

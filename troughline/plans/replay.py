@@ -32,13 +32,13 @@ def start(courses, early=False):
 
 def situation(state):
     """Sample time, last dose and interval, and the true exposure states of the regimen."""
-    now = settled(add(
+    now = settled(
         state,
         sample_time=sampling.dose_time("doses", "dose_num"),
         last_amt=sampling.dose_amount("doses", "dose_num"),
         last_frq=sampling.dose_gap("doses", "dose_num"),
-    ))
-    return settled(add(now, segs=f"if(active, {exposure.dose_segments('doses')}, null)"))
+    )
+    return settled(now, segs=f"if(active, {exposure.dose_segments('doses')}, null)")
 
 
 def _predicted(time):
@@ -47,10 +47,10 @@ def _predicted(time):
 
 def guideline_step(state, measure=measured):
     """Decide from the trough concentration."""
-    now = settled(add(situation(state), conc=measure(_predicted("sample_time"), "sample_time")))
+    now = settled(situation(state), conc=measure(_predicted("sample_time"), "sample_time"))
     decision = policies.guideline_decision("CRCL", "conc", "last_amt", "last_frq")
-    return add(add(now, d=f"if(active, {decision}, null)"),
-               wait=sampling.next_wait("d.dose_amt = 0"))
+    return settled(settled(now, d=f"if(active, {decision}, null)"),
+                   wait=sampling.next_wait("d.dose_amt = 0"))
 
 
 def sampled_auc24(measure=measured, step=C.GRID_STEP):
@@ -65,10 +65,10 @@ def sampled_auc24(measure=measured, step=C.GRID_STEP):
 
 def proportional_step(state, measure=measured, target=C.PROPORTIONAL_TARGET):
     """Decide from the trapezoid AUC of the last day."""
-    now = settled(add(situation(state), auc24=f"if(active, {sampled_auc24(measure)}, null)"))
+    now = settled(situation(state), auc24=f"if(active, {sampled_auc24(measure)}, null)")
     decision = policies.proportional_decision("auc24", "last_amt", "last_frq", target)
-    return add(now, d=f"if(active, {decision}, null)",
-               wait=sampling.next_wait(f"auc24 >= {num(C.AUC_RESAMPLE)}"))
+    return settled(now, d=f"if(active, {decision}, null)",
+                   wait=sampling.next_wait(f"auc24 >= {num(C.AUC_RESAMPLE)}"))
 
 
 def with_samples(now, measure=measured, peak_trough=False):
@@ -77,7 +77,7 @@ def with_samples(now, measure=measured, peak_trough=False):
     fresh = f"filter({times}, t -> t >= 0 and not exists(samples, x -> x.time = t))"
     value = measure(_predicted("t"), "t")
     taken = f"transform({fresh}, t -> named_struct('time', t, 'DV', {value}))"
-    return add(now, samples=f"if(active, concat(samples, {taken}), samples)")
+    return settled(now, samples=f"if(active, concat(samples, {taken}), samples)")
 
 
 def under_estimate(df, etas=("est.eta1", "est.eta2", "est.eta3")):
@@ -95,40 +95,38 @@ def estimated_auc24(now):
         return exposure.predict_at("states", time, "e_") + ".AUC"
 
     last_day = f"{auc('sample_time')} - {auc('(sample_time - 24)')}"
-    return add(now, auc24=let("states", exposure.dose_segments("doses", "e_"), (
+    return settled(now, auc24=let("states", exposure.dose_segments("doses", "e_"), (
         f"if(sample_time < 24, 2 * {auc('sample_time')}, {last_day})")))
 
 
 def bayes_step(state, measure=measured, early=False, peak_trough=False, gate=True, rounded=True):
     """Estimate, predict the last day, and aim the day before the next sample at target."""
-    now = settled(with_samples(situation(state), measure, peak_trough))
-    now = settled(under_estimate(estimation.with_map_estimate(now)))
-    now = settled(estimated_auc24(now))
+    now = with_samples(situation(state), measure, peak_trough)
+    now = estimated_auc24(settled(under_estimate(estimation.with_map_estimate(now))))
     first = "rounds = 0" if early else "false"
     now = add(now, wait=sampling.next_wait(f"{first} or auc24 >= {num(C.AUC_RESAMPLE)}"))
-    now = settled(add(
+    now = settled(
         now,
         next_time=f"least(sample_time + wait, {num(C.HORIZON)})",
         frq=f"case when {first} then if(CRCL <= {num(C.EARLY_CRCL)}, 24.0D, 12.0D) "
             "when last_amt = 0 then 12.0D else last_frq end",
-    ))
+    )
     search = policies.outside_target("auc24", "last_amt") if gate else "true"
     dose = dosing.target_dose("doses", "sample_time", "next_time", "frq", "e_", rounded)
-    return add(now, d=f"""case when not active then null
+    return settled(now, d=f"""case when not active then null
         when {search} then named_struct('dose_amt', {dose}, 'dose_frq', frq)
         else named_struct('dose_amt', last_amt, 'dose_frq', last_frq) end""")
 
 
 def conclude(now, early=False):
     """Rewrite the regimen, move to the next sample and stop at the last dose."""
-    now = settled(now)
     changed = "active and (d.dose_amt != last_amt or d.dose_frq != last_frq)"
     rewrite = regimen.rewritten("doses", "sample_time", "d.dose_amt", "d.dose_frq")
     number = "dose_num + cast(wait / d.dose_frq as int)"
     if early:
         number = f"if(rounds = 0, {sampling.first_dose_number()}, {number})"
-    moved = settled(add(now, doses=f"if({changed}, {rewrite}, doses)",
-                        dose_num=f"if(active, {number}, dose_num)"))
+    moved = settled(now, doses=f"if({changed}, {rewrite}, doses)",
+                    dose_num=f"if(active, {number}, dose_num)")
     return add(moved, rounds="rounds + cast(active as int)",
                active="coalesce(active and dose_num < size(doses), false)").select(*STATE)
 

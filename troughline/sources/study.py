@@ -14,6 +14,8 @@ from .storage import read_table
 ETA_KEYS = ((7919, 13), (104729, 17), (1299709, 29))
 EPS_KEYS = ((15485863, 31), (32452843, 37))
 
+ORDERS_START = "timestamp_ntz '1995-01-01'"
+
 
 def _unit(key, factor, offset):
     """Reproducible noise in [-2, 2]."""
@@ -55,21 +57,23 @@ def courses(spark, folder, loading="standard"):
     return spread(add(patients, doses=schedule(loading)))
 
 
+def _hours(later, earlier):
+    """SQL text for the hours between two timestamps, whatever the session's time zone."""
+    return f"cast(cast({later} - {earlier} as interval second) as decimal(20, 6)) / 3600.0D"
+
+
 def user_samples(spark, folder):
     """Observation series per user: hours since the user's first event and the value."""
-    events = read_table(spark, f"{folder}/events.parquet").select(
-        F.col("user_id").alias("ID"), "event_id", "ts", "event_type", "value")
-    start = events.groupBy("ID").agg(F.min("ts").alias("_first"))
-    return events.join(start, "ID").select(
-        "ID", "event_id", "event_type",
-        ((F.unix_micros("ts") - F.unix_micros("_first")) / 3.6e9).alias("time"),
-        F.col("value").alias("DV"))
+    table = read_table(spark, f"{folder}/events.parquet").selectExpr(
+        "user_id as ID", "event_id", "ts", "event_type", "value")
+    start = table.groupBy("ID").agg(F.min("ts").alias("_first"))
+    return table.join(start, "ID").selectExpr(
+        "ID", "event_id", "event_type", f"{_hours('ts', '_first')} as time", "value as DV")
 
 
 def order_doses(spark, folder):
     """Dose-like events per customer: hours since 1995 and an amount in steps of 250 mg."""
-    return read_table(spark, f"{folder}/orders.parquet").select(
-        F.col("o_custkey").alias("ID"), F.col("o_orderkey").alias("dose_id"),
-        ((F.unix_micros("o_orderdate") - F.unix_micros(F.lit("1995-01-01").cast("timestamp")))
-         / 3.6e9).alias("time"),
-        ((F.col("o_orderkey") % 8 + 1) * 250.0).alias("amt"))
+    return read_table(spark, f"{folder}/orders.parquet").selectExpr(
+        "o_custkey as ID", "o_orderkey as dose_id",
+        f"{_hours('o_orderdate', ORDERS_START)} as time",
+        "(o_orderkey % 8 + 1) * 250.0D as amt")
