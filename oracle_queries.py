@@ -321,9 +321,9 @@ TARGET = (
     SELECT ID, max(AUC) - min(AUC) AS history FROM {exposure('window_obs', 'past', 'est')} GROUP BY ID) x
   ON x.ID = l.ID)""",
     f"""added AS MATERIALIZED (
-  SELECT ID, amt, sum({single_auc('(next_time - t)')} - {single_auc('(next_time - 24 - t)')}) AS auc FROM (
+  SELECT ID, amt, sum({single_auc('(next_time - begun)')} - {single_auc('(next_time - 24 - begun)')}) AS auc FROM (
     SELECT n.ID, n.next_time, {d('c * 250')} AS amt, {hours(d('c * 250'))} AS T,
-      n.sample_time + j * n.last_frq AS t, e.VC, e.a, e.b, e.k21
+      n.sample_time + j * n.last_frq AS begun, e.VC, e.a, e.b, e.k21
     FROM need n JOIN est e ON e.ID = n.ID, range(1, 21) r(c), range(0, 29) f(j)
     WHERE n.sample_time + j * n.last_frq < n.next_time)
   GROUP BY ID, amt)""",
@@ -485,8 +485,8 @@ ORACLES["individual_parameters"] = with_(COHORT, PAR) + """
 SELECT ID, round(COVCL, 9) AS COVCL, round(COVVC, 9) AS COVVC, round(CL, 9) AS CL, round(VC, 9) AS VC,
   round(VP, 9) AS VP, Q FROM par"""
 ORACLES["infusion_duration"] = f"""
-SELECT ID, round({hours('amt')}, 6) AS effective,
-  round(CASE WHEN amt > 1000 AND amt <= 1500 THEN {d(1.5)} ELSE {hours('amt')} END, 6) AS intended
+SELECT ID, round({hours('amt')}, 9) AS effective,
+  round(CASE WHEN amt > 1000 AND amt <= 1500 THEN {d(1.5)} ELSE {hours('amt')} END, 9) AS intended
 FROM (SELECT o_orderkey AS ID, o_totalprice / 100 AS amt FROM orders)"""
 ORACLES["observed_concentration"] = with_(*BASE, MEASURED) + """
 SELECT ID, time, round(IPRE, 6) AS IPRE, round(DV, 6) AS DV FROM measured"""

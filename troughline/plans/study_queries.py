@@ -463,7 +463,7 @@ def individual_parameters(spark, folder):
 def infusion_duration(spark, folder):
     table = add(_orders(spark, folder), effective=model.infusion_hours("amt"),
                 intended=model.infusion_hours("amt", intended=True))
-    return rounded(table.drop("amt"), effective=6, intended=6)
+    return rounded(table.drop("amt"), effective=9, intended=9)
 
 
 @query
