@@ -529,8 +529,8 @@ SELECT ID, time, amt, 1 AS evid, CASE WHEN amt <> 0 THEN -2 ELSE 0 END AS rate F
 ORACLES["dose_update"] = with_(COHORT, DOSES) + """
 SELECT ID, time, CASE WHEN time >= 72 THEN 1250 ELSE amt END AS amt, 1 AS evid FROM doses"""
 ORACLES["first_sample"] = f"""
-SELECT ID, CRCL, CASE WHEN CRCL < 20 THEN NULL WHEN CRCL <= 39 THEN 3 ELSE 4 END AS dose_num,
-  CASE WHEN CRCL < 20 THEN NULL ELSE 2 END AS early_num, CASE WHEN CRCL < 20 THEN 1 ELSE 0 END AS rejected
+SELECT ID, CRCL, {d('CASE WHEN CRCL < 20 THEN NULL WHEN CRCL <= 39 THEN 3 ELSE 4 END')} AS dose_num,
+  {d('CASE WHEN CRCL < 20 THEN NULL ELSE 2 END')} AS early_num, CASE WHEN CRCL < 20 THEN 1 ELSE 0 END AS rejected
 FROM (SELECT c_custkey + 1 AS ID, 10 + (c_custkey * 37 % 1200) / {d(10)} AS CRCL FROM customer)"""
 ORACLES["next_sample"] = with_(*BASE, *replay("guideline", "g_", rounds=1)) + """
 SELECT x.ID, x.wait, CAST(s.dose_num AS INTEGER) AS dose_num, CAST(c.n AS INTEGER) AS n_doses,

@@ -25,6 +25,7 @@ from ..operators import (
     sampling,
 )
 from ..sources import storage, study
+from ..operators.quantiles import largest_group
 from . import replay, report
 
 QUERIES = {}
@@ -95,7 +96,9 @@ def policy_finals(spark, folder, *names):
         "bayes": lambda: replay.replay_bayes(study.courses(spark, folder)),
         "baynl": lambda: replay.replay_bayes(study.courses(spark, folder, "by_group")),
     }
-    return events.stack_methods(**{n: runs[n]() for n in names})
+    return events.stack_methods(**{
+        n: storage.stage(runs[n]().select("ID", "CRCL", *exposure.PARAMETERS, "rounds", "doses"), n)
+        for n in names})
 
 
 def regimen_rows(final):
@@ -271,16 +274,16 @@ def guideline_dose(spark, folder):
 
 @query
 def median_profile(spark, folder):
-    profile = induction_profile(spark, folder)
     return rounded(quantiles.exact_quantiles(
-        profile, ["time", "CRCL"], "IPRE", [("median", 0.5)]), median=6)
+        induction_profile(spark, folder), ["time", "CRCL"], "IPRE", [("median", 0.5)],
+        largest=largest_group(study.cohort(spark, folder), "CRCL")), median=6)
 
 
 @query
 def ci90_band(spark, folder):
-    profile = induction_profile(spark, folder)
     return rounded(quantiles.exact_quantiles(
-        profile, ["time", "CRCL"], "IPRE", quantiles.interval_bounds([0.9])), ci90lo=6, ci90hi=6)
+        induction_profile(spark, folder), ["time", "CRCL"], "IPRE", quantiles.interval_bounds([0.9]),
+        largest=largest_group(study.cohort(spark, folder), "CRCL")), ci90lo=6, ci90hi=6)
 
 
 @query
@@ -571,8 +574,8 @@ def dose_update(spark, folder):
 def first_sample(spark, folder):
     patients = storage.read_table(spark, f"{folder}/customer.parquet").selectExpr(
         "c_custkey + 1 as ID", "10 + (c_custkey * 37 % 1200) / 10.0D as CRCL")
-    numbered = add(patients, dose_num=sampling.first_dose_number(),
-                   early_num=sampling.first_dose_number(early=True))
+    numbered = add(patients, dose_num=f"cast({sampling.first_dose_number()} as double)",
+                   early_num=f"cast({sampling.first_dose_number(early=True)} as double)")
     return add(numbered, rejected="cast(dose_num is null as int)")
 
 
@@ -648,7 +651,7 @@ def patient_slice(spark, folder):
 def policy_report(spark, folder):
     finals = policy_finals(spark, folder, "sagov", "auc24")
     stacked = storage.stage(report.profiles(finals), "stacked")
-    return rounded(report.policy_report(stacked), value=6)
+    return rounded(report.policy_report(stacked, largest_group(finals, "CRCL", "method")), value=6)
 
 
 @query
@@ -656,4 +659,4 @@ def policy_report_bayes(spark, folder):
     """All four policies, the model-based ones included."""
     finals = policy_finals(spark, folder, "sagov", "auc24", "bayes", "baynl")
     stacked = storage.stage(report.profiles(finals), "stacked")
-    return rounded(report.policy_report(stacked), value=6)
+    return rounded(report.policy_report(stacked, largest_group(finals, "CRCL", "method")), value=6)

@@ -4,6 +4,7 @@ import tempfile
 import uuid
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+_local_folders = {}
 
 
 def shared_dir(spark):
@@ -17,9 +18,10 @@ def shared_dir(spark):
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"{CHECKPOINT_CONF} must name a shared folder")
-    folder = tempfile.mkdtemp(prefix="troughline-")
-    spark.conf.set(CHECKPOINT_CONF, folder)
-    return folder
+    application = spark.sparkContext.applicationId
+    if application not in _local_folders:
+        _local_folders[application] = tempfile.mkdtemp(prefix="troughline-")
+    return _local_folders[application]
 
 
 def staged_path(spark, name):
