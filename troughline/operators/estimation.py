@@ -31,45 +31,66 @@ def candidate_etas(number, side=GRID_SIDE):
     digits = (f"floor({number} / {side * side})", f"floor({number} / {side}) % {side}",
               f"{number} % {side}")
     return [
-        f"(cast({digit} as double) - {half}) * {num(3.0 / half * math.sqrt(omega))} as eta{i}"
-        for i, (digit, omega) in enumerate(zip(digits, C.OMEGA), start=1)
+        f"(cast({digit} as double) - {half}) * {num(3.0 / half * math.sqrt(omega))}"
+        for digit, omega in zip(digits, C.OMEGA)
     ]
 
 
-def superposed(doses, time):
-    """SQL text for the concentration at ``time`` as a sum over earlier doses of a short array."""
-    def part(weight, exponent):
-        return f"{weight} * (1 - exp(-{exponent} * w.up)) * exp(-{exponent} * w.down)"
-
-    spans = (f"named_struct('up', least({time} - d.time, h), "
-             f"'down', greatest({time} - d.time - h, 0.0D))")
-    term = let("h", infusion_hours("d.amt"), let(
-        "w", spans, f"d.amt / h * ({part('wa', 'ka')} + {part('wb', 'kb')})"))
-    return (f"aggregate(filter({doses}, d -> d.time < {time} and d.amt > 0), 0.0D, "
-            f"(total, d) -> total + {term})")
-
-
-def with_objective(df, doses="doses", samples="samples"):
-    """Add ``ofv``, the negative log posterior of eta1..eta3 given ``samples [(time, DV)]``."""
-    rows = settled(with_rate_constants(with_parameters(df, ("eta1", "eta2", "eta3"))))
-    fit = let("yhat", clamp_prediction("ipre"), normal_logpdf("x.DV", "yhat", error_sd("yhat")))
-    fit = let("ipre", superposed(doses, "x.time"), fit)
-    prior = " - ".join(normal_logpdf(f"eta{i}", "0", num(math.sqrt(omega)))
-                       for i, omega in enumerate(C.OMEGA, start=1))
-    return add(rows, ofv=f"aggregate({samples}, 0.0D, (misfit, x) -> misfit - {fit}) - {prior}")
+def with_fit_terms(df, doses="doses", samples="samples"):
+    """Add what the objective needs of a patient, computed once and not per candidate.
 
+    ``fits`` lists the samples with, for every earlier dose, its rate and the hours since the
+    infusion began (``up``, at most its duration) and ended (``down``).
+    """
+    term = let("h", infusion_hours("d.amt"), (
+        "named_struct('rate', d.amt / h, 'up', least(x.time - d.time, h), "
+        "'down', greatest(x.time - d.time - h, 0.0D))"))
+    terms = f"transform(filter({doses}, d -> d.time < x.time and d.amt > 0), d -> {term})"
+    covariates = with_parameters(df, ("0", "0", "0")).select(*df.columns, "COVCL", "COVVC")
+    return settled(
+        covariates, fits=f"transform({samples}, x -> named_struct('DV', x.DV, 'terms', {terms}))")
 
-def grid_estimate(patients, side=GRID_SIDE):
-    """Best grid point per patient.
 
-    The candidates of a patient exist only inside one task: the aggregate keeps a single best
-    row per patient before anything is shuffled. Equal values go to the smallest grid number.
+def objective(eta1, eta2, eta3):
+    """SQL text for the negative log posterior of three etas on a row with ``fits``."""
+    def part(weight, exponent):
+        return f"m.{weight} * (1 - exp(-m.{exponent} * d.up)) * exp(-m.{exponent} * d.down)"
+
+    yhat = (f"aggregate(x.terms, 0.0D, (total, d) -> "
+            f"total + d.rate * ({part('wa', 'ka')} + {part('wb', 'kb')}))")
+    density = let("yhat", clamp_prediction("ipre"), let(
+        "w", error_sd("yhat"), normal_logpdf("x.DV", "yhat", "w")))
+    misfit = f"aggregate(fits, 0.0D, (misfit, x) -> misfit - {let('ipre', yhat, density)})"
+    weights = """named_struct('ka', k.a, 'kb', r.k10 * r.k21 / k.a,
+        'wa', (k.a - r.k21) / ((k.a - r.k10 * r.k21 / k.a) * k.a * p.vc),
+        'wb', (r.k21 - r.k10 * r.k21 / k.a) / ((k.a - r.k10 * r.k21 / k.a) * (r.k10 * r.k21 / k.a) * p.vc))"""
+    total = "(r.k10 + r.k12 + r.k21)"
+    fast = f"named_struct('a', ({total} + sqrt({total} * {total} - 4 * r.k10 * r.k21)) / 2)"
+    rates = f"named_struct('k10', p.cl / p.vc, 'k12', {num(C.TVQ)} / p.vc, 'k21', p.k21)"
+    own = (f"named_struct('cl', COVCL * exp({eta1}), 'vc', COVVC * exp({eta2}), "
+           f"'k21', {num(C.TVQ / C.TVVP)} * exp(-({eta3})))")
+    fit = let("p", own, let("r", rates, let("k", fast, let("m", weights, misfit))))
+    prior = " + ".join(
+        f"{num(0.5 * math.log(2 * math.pi * omega))} + ({eta}) * ({eta}) / {num(2 * omega)}"
+        for eta, omega in zip((eta1, eta2, eta3), C.OMEGA))
+    return f"{fit} + {prior}"
+
+
+def with_grid_estimate(df, side=GRID_SIDE):
+    """Add ``est``, the grid point (eta1..eta3) with the lowest objective, and its ``ofv``.
+
+    All candidates of a patient are scored inside the patient's row, so nothing is exploded,
+    joined or shuffled. Equal values go to the smallest grid number.
     """
-    base = patients.select("ID", "WT", "CRCL", "DIAL", "doses", "samples")
-    points = add(base, cand=f"explode(sequence(0, {side ** 3 - 1}))")
-    scored = with_objective(points.selectExpr("*", *candidate_etas("cand", side)))
-    best = scored.groupBy("ID").agg(F.min(F.struct("ofv", "cand")).alias("b"))
-    return best.selectExpr("ID", *candidate_etas("b.cand", side), "b.ofv as ofv")
+    etas = candidate_etas("cand", side)
+    point = ", ".join(f"'eta{i}', {eta}" for i, eta in enumerate(etas, start=1))
+    score = let("e", f"named_struct({point})", objective("e.eta1", "e.eta2", "e.eta3"))
+    best = (f"array_min(transform(sequence(0, {side ** 3 - 1}), "
+            f"cand -> named_struct('ofv', {score}, 'cand', cand)))")
+    scored = settled(with_fit_terms(df), _best=best)
+    found = ", ".join(
+        f"'eta{i}', {eta}" for i, eta in enumerate(candidate_etas("_best.cand", side), start=1))
+    return add(scored, est=f"named_struct({found}, 'ofv', _best.ofv)").select(*df.columns, "est")
 
 
 def _estimate_batch(crcl: pd.Series, wt: pd.Series, dial: pd.Series, dose_t: pd.Series,

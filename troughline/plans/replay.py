@@ -99,10 +99,14 @@ def estimated_auc24(now):
         f"if(sample_time < 24, 2 * {auc('sample_time')}, {last_day})")))
 
 
-def bayes_step(state, measure=measured, early=False, peak_trough=False, gate=True, rounded=True):
+ESTIMATES = {"map": estimation.with_map_estimate, "grid": estimation.with_grid_estimate}
+
+
+def bayes_step(state, measure=measured, early=False, peak_trough=False, gate=True, rounded=True,
+               estimate="map"):
     """Estimate, predict the last day, and aim the day before the next sample at target."""
     now = with_samples(situation(state), measure, peak_trough)
-    now = estimated_auc24(settled(under_estimate(estimation.with_map_estimate(now))))
+    now = estimated_auc24(settled(under_estimate(ESTIMATES[estimate](now))))
     first = "rounds = 0" if early else "false"
     now = add(now, wait=sampling.next_wait(f"{first} or auc24 >= {num(C.AUC_RESAMPLE)}"))
     now = settled(

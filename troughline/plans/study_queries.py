@@ -83,9 +83,7 @@ def with_one_sample(spark, folder):
 
 def grid_estimated(spark, folder):
     """Patients at the first sample with the parameters of the grid estimate."""
-    now = with_one_sample(spark, folder)
-    etas = estimation.grid_estimate(now).select("ID", F.struct("eta1", "eta2", "eta3").alias("est"))
-    return settled(replay.under_estimate(now.join(etas, "ID")))
+    return settled(replay.under_estimate(estimation.with_grid_estimate(with_one_sample(spark, folder))))
 
 
 def policy_finals(spark, folder, *names):
@@ -348,7 +346,8 @@ def map_objective(spark, folder):
         for i, (a, b, c) in enumerate(points))
     now = with_one_sample(spark, folder).selectExpr(
         "ID", "WT", "CRCL", "DIAL", "doses", "samples", f"inline(array({rows}))")
-    return rounded(estimation.with_objective(now).select("ID", "cand", "ofv"), ofv=6)
+    scored = add(estimation.with_fit_terms(now), ofv=estimation.objective("eta1", "eta2", "eta3"))
+    return rounded(scored.select("ID", "cand", "ofv"), ofv=6)
 
 
 @query
@@ -506,7 +505,7 @@ def bsa(spark, folder):
 
 @query
 def map_grid_estimate(spark, folder):
-    found = estimation.grid_estimate(with_one_sample(spark, folder))
+    found = estimation.with_grid_estimate(with_one_sample(spark, folder)).select("ID", "est.*")
     return rounded(found, eta1=9, eta2=9, eta3=9, ofv=6)
 
 
@@ -603,6 +602,12 @@ def replay_bayes(spark, folder):
     return regimen_rows(replay.replay_bayes(study.courses(spark, folder)))
 
 
+@query
+def replay_bayes_grid(spark, folder):
+    """The model-based loop with the coarse grid estimate in every round."""
+    return regimen_rows(replay.replay_bayes(study.courses(spark, folder), estimate="grid"))
+
+
 @query
 def replay_bayes_newload(spark, folder):
     return regimen_rows(replay.replay_bayes(study.courses(spark, folder, "by_group")))
