@@ -100,18 +100,36 @@ def _scoring(batch, eta, rounds=40, tol=1e-10):
     return eta, value
 
 
-def fit(crcl, wt, dial, dose_t, dose_amt, samp_t, samp_y):
-    grid = np.stack(np.meshgrid(*[np.linspace(-3, 3, GRID_SIDE) * math.sqrt(o) for o in C.OMEGA],
+def grid_points():
+    """All points of the coarse grid, the last effect running fastest."""
+    return np.stack(np.meshgrid(*[np.linspace(-3, 3, GRID_SIDE) * math.sqrt(o) for o in C.OMEGA],
                                 indexing="ij"), -1).reshape(-1, 3)
-    batch = _Batch(crcl, wt, dial, dose_t, dose_amt, samp_t, samp_y)
-    start = grid[batch.ofv(np.broadcast_to(grid, (len(crcl),) + grid.shape)).argmin(1)]
-    fits = [_scoring(batch, s) for s in (start.copy(), np.zeros((len(crcl), 3)))]
+
+
+def _grid_best(batch, size):
+    """Best grid point of every patient; equal values go to the first point."""
+    grid = grid_points()
+    scores = batch.ofv(np.broadcast_to(grid, (size,) + grid.shape))
+    best = scores.argmin(1)
+    return grid[best], scores[np.arange(size), best]
+
+
+def fit(refine, *columns):
+    size = len(columns[0])
+    batch = _Batch(*columns)
+    eta, ofv = _grid_best(batch, size)
+    if not refine:
+        return eta, ofv
+    fits = [_scoring(batch, s) for s in (eta.copy(), np.zeros((size, 3)))]
     first = (fits[0][1] <= fits[1][1])[:, None]
     return np.where(first, fits[0][0], fits[1][0]), np.minimum(fits[0][1], fits[1][1])
 
 
-def fit_all(crcl, wt, dial, dose_t, dose_amt, samp_t, samp_y):
-    """Estimates and objective of any number of patients, in slices of bounded size."""
+def fit_all(crcl, wt, dial, dose_t, dose_amt, samp_t, samp_y, refine=True):
+    """Estimates and objective of any number of patients, in slices of bounded size.
+
+    ``refine=False`` stops at the best point of the coarse grid.
+    """
     columns = (crcl, wt, dial, dose_t, dose_amt, samp_t, samp_y)
     if not len(crcl):
         return np.empty((0, 4))
@@ -119,6 +137,6 @@ def fit_all(crcl, wt, dial, dose_t, dose_amt, samp_t, samp_y):
     size = max(1, CELLS // (GRID_SIDE ** 3 * max(widest, 1)))
     parts = []
     for i in range(0, len(crcl), size):
-        eta, ofv = fit(*[c[i: i + size] for c in columns])
+        eta, ofv = fit(refine, *[c[i: i + size] for c in columns])
         parts.append(np.column_stack([eta, ofv]))
     return np.concatenate(parts)

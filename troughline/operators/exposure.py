@@ -26,8 +26,8 @@ NO_DOSE_YET = "named_struct('s', -1.0D, 'rate', 0.0D, 'given', 0.0D, 'pa', 0.0D,
 
 def _decay(before, weight, rate, exponent, hours):
     """One exponent's concentration after ``hours`` at a constant infusion rate."""
-    return let("kept", f"exp(-{exponent} * ({hours}))",
-               f"{before} * kept + {weight} * {rate} * (1 - kept)")
+    return (f"({weight} * {rate} + ({before} - {weight} * {rate}) "
+            f"* exp(-{exponent} * ({hours})))")
 
 
 def dose_segments(doses="doses", prefix="", intended=False):
@@ -68,6 +68,15 @@ def predict_at(segments, time, prefix=""):
     return let("st", found, let("o", now, outputs))
 
 
+def concentration_at(segments, time, prefix=""):
+    """IPRE alone at one time, where the other outputs are not needed."""
+    p = prefix
+    hours = f"{time} - st.s"
+    total = (f"{_decay('st.pa', p + 'wa', 'st.rate', p + 'ka', hours)} "
+             f"+ {_decay('st.pb', p + 'wb', 'st.rate', p + 'kb', hours)}")
+    return let("st", f"try_element_at(filter({segments}, x -> x.s < {time}), -1)", f"({total})")
+
+
 PROFILE = {
     "IPRE": "_pa + _pb",
     "AUC": "_given / CL - _pa / ka - _pb / kb",

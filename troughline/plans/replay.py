@@ -41,8 +41,8 @@ def situation(state):
     return settled(now, segs=f"if(active, {exposure.dose_segments('doses')}, null)")
 
 
-def _predicted(time):
-    return exposure.predict_at("segs", time) + ".IPRE"
+def _predicted(time, segs="segs"):
+    return exposure.concentration_at(segs, time)
 
 
 def guideline_step(state, measure=measured):
@@ -54,13 +54,18 @@ def guideline_step(state, measure=measured):
 
 
 def sampled_auc24(measure=measured, step=C.GRID_STEP):
-    """Trapezoid AUC of the measured concentrations in the 24 h before the sample."""
+    """Trapezoid AUC of the measured concentrations in the 24 h before the sample.
+
+    Only the few exposure states that reach into the window are searched for each point.
+    """
     count = int(C.SHORT_WAIT / step)
-    point = let("t", f"sample_time - {num(C.SHORT_WAIT)} + k * {num(step)}",
-                measure(_predicted("t"), "t"))
-    inner = "aggregate(dv, 0.0D, (total, x) -> total + x)"
-    return let("dv", f"transform(sequence(0, {count}), k -> {point})",
-               f"({inner} - (dv[0] + dv[{count}]) / 2) * {num(step)}")
+    begin = f"(sample_time - {num(C.SHORT_WAIT)})"
+    near = (f"filter(segs, (x, i) -> x.s < sample_time "
+            f"and coalesce(get(segs, i + 1).s >= {begin}, true))")
+    point = let("t", f"{begin} + k * {num(step)}", measure(_predicted("t", "near"), "t"))
+    inner = "aggregate(dv, 0.0D, (total, v) -> total + v)"
+    points = let("near", near, f"transform(sequence(0, {count}), k -> {point})")
+    return let("dv", points, f"({inner} - (dv[0] + dv[{count}]) / 2) * {num(step)}")
 
 
 def proportional_step(state, measure=measured, target=C.PROPORTIONAL_TARGET):
