@@ -187,6 +187,84 @@ def trapezoid(name, obs, doses, par="par"):
   GROUP BY ID)"""
 
 
+SINGLE = {  # AUC of one dose of amt, duration T, at tau after its start
+    "u": "greatest(least({tau}, T), 0)", "v": "greatest({tau} - T, 0)"}
+
+
+def single_auc(tau):
+    u, v = SINGLE["u"].format(tau=tau), SINGLE["v"].format(tau=tau)
+
+    def part(exponent, share_):
+        return (f"amt / T / VC * ({share_}) / (a - b) / {exponent} * ({u} - "
+                f"(1 - exp(-{exponent} * {u})) * exp(-{exponent} * {v}) / {exponent})")
+    return f"({part('a', 'a - k21')} + {part('b', 'k21 - b')})"
+
+
+ALL_CANDIDATES = f"""all_candidates AS MATERIALIZED (
+  SELECT ID, CRCL, WT, DIAL, c AS cand,
+    {", ".join(f"({d(digit)} - 3) * {sd(k)} AS eta{k + 1}" for k, digit in enumerate(
+        ("c // 49", "(c // 7) % 7", "c % 7")))}
+  FROM cohort, range(0, 343) r(c))"""
+
+
+def bayes_round(prefix, k, D, Q, X):
+    """One round of the model-based policy with the grid estimate: decisions for active patients."""
+    take, samp, obs, score, best, est, auc, need, added = (
+        f"{prefix}{name}{k}" for name in
+        ("take", "samp", "obs", "score", "best", "est", "auc", "need", "added"))
+    before = f"UNION ALL SELECT ID, time, DV FROM {prefix}samp{k - 1}" if k else ""
+    prior = " + ".join(
+        f"(0.5 * ln(2 * pi()) + ln({sd(i)}) + eta{i + 1} * eta{i + 1} / (2 * {d(OMEGA[i])}))"
+        for i in range(3))
+    wait = "CASE WHEN auc24 >= 800 THEN 24 ELSE 72 END"
+    keep = "n.auc24 >= 400 AND n.auc24 < 550 AND n.last_amt <> 0"
+    dose = (f"CASE WHEN {keep} THEN n.last_amt WHEN n.next_time - 24 < n.sample_time THEN 1000 "
+            "WHEN n.need <= 0 THEN 0 ELSE coalesce(h.amt, 5000) END")
+    return [
+        f"{take} AS (SELECT ID, sample_time AS time FROM {Q})",
+        f"""{samp} AS MATERIALIZED (
+  SELECT ID, time, {dv()} AS DV FROM {exposure(take, D, 'par')} {before})""",
+        f"""{obs} AS (
+  SELECT c.ID, c.cand, m.time FROM all_candidates c JOIN {samp} m ON m.ID = c.ID
+  WHERE c.ID IN (SELECT ID FROM {Q}))""",
+        f"""{score} AS MATERIALIZED (
+  SELECT c.ID, c.cand, {prior} + f.misfit AS ofv FROM all_candidates c JOIN (
+    SELECT ID, cand, sum(0.5 * ln(2 * pi()) + ln(w) + pow(DV - yhat, 2) / (2 * w * w)) AS misfit FROM (
+      SELECT z.ID, z.cand, m.DV, z.yhat, sqrt(pow(z.yhat * {d(0.227)}, 2) + {d(3.4)} * {d(3.4)}) AS w
+      FROM (SELECT ID, cand, time, greatest(IPRE, {d('2.220446049250313e-16')}) AS yhat
+        FROM {exposure(obs, D, 'all_par', ('ID', 'cand'))}) z
+      JOIN {samp} m ON m.ID = z.ID AND m.time = z.time)
+    GROUP BY ID, cand) f ON f.ID = c.ID AND f.cand = c.cand)""",
+        f"""{best} AS (SELECT ID, cand FROM (
+  SELECT ID, cand, row_number() OVER (PARTITION BY ID ORDER BY ofv, cand) AS place FROM {score}) WHERE place = 1)""",
+        f"""{est} AS MATERIALIZED (
+  SELECT p.* EXCLUDE (cand) FROM all_par p JOIN {best} b ON b.ID = p.ID AND b.cand = p.cand)""",
+        f"""{auc}o AS (SELECT ID, sample_time AS time FROM {Q} UNION ALL SELECT ID, sample_time - 24 FROM {Q})""",
+        f"""{auc} AS MATERIALIZED (
+  SELECT q.*, x.auc24, CASE WHEN q.last_amt = 0 THEN {d(12)} ELSE q.last_frq END AS frq,
+    {d(wait)} AS wait, least(q.sample_time + {wait}, {d(168)}) AS next_time
+  FROM {Q} q JOIN (SELECT ID, max(AUC) - min(AUC) AS auc24
+    FROM {exposure(auc + 'o', D, est)} GROUP BY ID) x ON x.ID = q.ID)""",
+        f"{need}d AS (SELECT e.* FROM {D} e JOIN {Q} q ON q.ID = e.ID WHERE e.time < q.sample_time)",
+        f"""{need}o AS (SELECT ID, next_time AS time FROM {auc}
+  UNION ALL SELECT ID, next_time - 24 FROM {auc})""",
+        f"""{need} AS MATERIALIZED (
+  SELECT l.*, 500 - x.history AS need FROM {auc} l JOIN (SELECT ID, max(AUC) - min(AUC) AS history
+    FROM {exposure(need + 'o', need + 'd', est)} GROUP BY ID) x ON x.ID = l.ID)""",
+        f"""{added} AS MATERIALIZED (
+  SELECT ID, amt, sum({single_auc('(next_time - begun)')} - {single_auc('(next_time - 24 - begun)')}) AS auc FROM (
+    SELECT n.ID, n.next_time, {d('c * 250')} AS amt, {hours(d('c * 250'))} AS T,
+      n.sample_time + j * n.frq AS begun, e.VC, e.a, e.b, e.k21
+    FROM {need} n JOIN {est} e ON e.ID = n.ID, range(1, 21) r(c), range(0, 29) f(j)
+    WHERE n.sample_time + j * n.frq < n.next_time)
+  GROUP BY ID, amt)""",
+        f"""{X} AS MATERIALIZED (
+  SELECT *, dose_amt <> last_amt OR dose_frq <> last_frq AS changed FROM (
+    SELECT n.*, CASE WHEN {keep} THEN n.last_frq ELSE n.frq END AS dose_frq, {d(dose)} AS dose_amt
+    FROM {need} n LEFT JOIN (SELECT n2.ID, min(a.amt) AS amt FROM {need} n2
+      JOIN {added} a ON a.ID = n2.ID AND a.auc >= n2.need GROUP BY n2.ID) h ON h.ID = n.ID))"""]
+
+
 def replay(policy, prefix, doses="doses", rounds=7):
     """CTEs for all rounds; the result is {prefix}d{rounds} and {prefix}s{rounds}."""
     out = [f"{prefix}d0 AS MATERIALIZED (SELECT ID, CRCL, time, amt FROM {doses})",
@@ -202,7 +280,9 @@ def replay(policy, prefix, doses="doses", rounds=7):
             f"""{Q} AS MATERIALIZED (
   SELECT n.ID, n.CRCL, n.time AS sample_time, n.amt AS last_amt, n.gap AS last_frq, s.dose_num
   FROM {S} s JOIN {N} n ON n.ID = s.ID AND n.n = s.dose_num WHERE s.active)"""]
-        if policy == "guideline":
+        if policy == "bayes":
+            out += bayes_round(prefix, k, D, Q, X)
+        elif policy == "guideline":
             out += [
                 f"{O} AS (SELECT ID, sample_time AS time FROM {Q})",
                 f"""{E} AS MATERIALIZED (
@@ -291,19 +371,6 @@ BEST = (*AT_FIRST, CANDIDATES, *objective(), """best AS MATERIALIZED (
   FROM best b JOIN situation s ON s.ID = b.ID)""",
         params("est", "fitted", ("eta1", "eta2", "eta3")))
 
-SINGLE = {  # AUC of one dose of amt, duration T, at tau after its start
-    "u": "greatest(least({tau}, T), 0)", "v": "greatest({tau} - T, 0)"}
-
-
-def single_auc(tau):
-    u, v = SINGLE["u"].format(tau=tau), SINGLE["v"].format(tau=tau)
-
-    def part(exponent, share_):
-        return (f"amt / T / VC * ({share_}) / (a - b) / {exponent} * ({u} - "
-                f"(1 - exp(-{exponent} * {u})) * exp(-{exponent} * {v}) / {exponent})")
-    return f"({part('a', 'a - k21')} + {part('b', 'k21 - b')})"
-
-
 TARGET = (
     *BEST,
     "est_obs AS (SELECT ID, 36.0::DOUBLE AS time FROM situation UNION ALL SELECT ID, 12.0::DOUBLE FROM situation)",
@@ -541,6 +608,10 @@ ORACLES["replay_guideline"] = with_(*BASE, *replay("guideline", "g_")) + """
 SELECT d.ID, s.rounds, d.time, d.amt FROM g_d7 d JOIN g_s7 s ON s.ID = d.ID"""
 ORACLES["replay_proportional"] = with_(*BASE, *replay("proportional", "p_")) + """
 SELECT d.ID, s.rounds, d.time, d.amt FROM p_d7 d JOIN p_s7 s ON s.ID = d.ID"""
+ORACLES["replay_bayes_grid"] = with_(
+    *BASE, ALL_CANDIDATES, params("all_par", "all_candidates", ("eta1", "eta2", "eta3"), "ID, cand"),
+    *replay("bayes", "b_")) + """
+SELECT d.ID, s.rounds, d.time, d.amt FROM b_d7 d JOIN b_s7 s ON s.ID = d.ID"""
 ORACLES["peak_trough_samples"] = with_(
     *BASE, NUMBERED, SITUATION,
     """both_times AS (SELECT ID, sample_time AS time FROM situation
