@@ -122,15 +122,17 @@ def test_layouts_agree_with_integration(spark):
 def test_sweep_hot_patient_and_fast_exponent(spark):
     """One patient holds most rows over years; another has a very fast exponent; a third no doses."""
     rng = np.random.default_rng(3)
-    people = [(1, 75.0, 90.0, 0, 0.0, 0.0, 0.0), (2, 75.0, 90.0, 0, 0.0, -6.0, 0.0), (3, 75.0, 90.0, 0, 0.0, 0.0, 0.0)]
+    people = [(1, 75.0, 90.0, 0, 0.0, 0.0, 0.0), (2, 75.0, 90.0, 0, 0.0, -6.0, 0.0), (3, 75.0, 90.0, 0, 0.0, 0.0, 0.0),
+              (4, 75.0, 90.0, 0, 0.0, 0.0, 0.0)]
     doses = [(1, float(t), 750.0) for t in np.arange(0, 8000, 8.0)] + [(2, float(t), 1000.0) for t in (0, 12, 24)]
+    doses += [(4, -350.0, 1000.0), (4, -10.0, 500.0)]  # times may lie before the origin
     obs = [(1, float(t)) for t in np.round(rng.uniform(0, 9000, 3000), 3)]
-    obs += [(2, float(t)) for t in (0.5, 1.0, 6.0, 12.5, 30.0)] + [(3, 10.0)]
+    obs += [(2, float(t)) for t in (0.5, 1.0, 6.0, 12.5, 30.0)] + [(3, 10.0), (1, -5.0), (4, -300.0), (4, 2.0)]
     out = exposure.exposure_sweep(
         spark.createDataFrame(obs, "ID bigint, time double"),
         spark.createDataFrame(doses, "ID bigint, time double, amt double"), patients(spark, people)).toPandas()
     assert len(out) == len(obs)
-    by_id = {i: [(t, a) for p, t, a in doses if p == i] for i in (1, 2, 3)}
+    by_id = {i: [(t, a) for p, t, a in doses if p == i] for i in (1, 2, 3, 4)}
     params = {p[0]: plain.parameters(p[2], p[1], p[3], p[4:]) for p in people}
     for row in pd.concat([out[out.ID == 1].sample(40, random_state=1), out[out.ID != 1]]).itertuples():
         ipre, auc = plain.exposure(by_id[row.ID], params[row.ID], row.time)

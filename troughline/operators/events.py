@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from .. import constants as C
-from ..functions.model import add, num
+from ..functions.model import add, num, shuffled_join
 
 
 def time_grid(start, stop, step):
@@ -54,7 +54,7 @@ def upsert_doses(grid, doses):
     """Overwrite amt, evid and rate of the grid rows that have a dose; keep the others."""
     new = doses.select("ID", "time", F.col("amt").alias("_amt"))
     hit = F.col("_amt").isNotNull()
-    return grid.join(new, ["ID", "time"], "left").withColumns({
+    return shuffled_join(grid, new, "ID", "time", how="left").withColumns({
         "evid": F.when(hit, F.lit(1)).otherwise(F.col("evid")),
         "rate": F.when(hit & (F.col("_amt") != 0), F.lit(-2)).when(hit, F.lit(0))
         .otherwise(F.col("rate")),
@@ -64,12 +64,12 @@ def upsert_doses(grid, doses):
 
 def bind_by_key(left, right, keys=("ID", "time")):
     """Put the columns of two tables side by side, matched by key and not by position."""
-    return left.join(right, list(keys))
+    return left.join(right.hint("merge"), list(keys))
 
 
 def attach_covariates(events, cohort):
     """Patient columns on every event; events of unknown patients are left out."""
-    return events.join(cohort, "ID")
+    return shuffled_join(events, cohort, "ID")
 
 
 def nest_events(events, *fields, key="ID", block_hours=24.0):

@@ -18,7 +18,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import constants as C
-from ..functions.model import KINETICS, add, infusion_hours, let, num
+from ..functions.model import KINETICS, add, infusion_hours, let, num, shuffled_join
 
 PARAMETERS = KINETICS + ("CL",)
 NO_DOSE_YET = "named_struct('s', -1.0D, 'rate', 0.0D, 'given', 0.0D, 'pa', 0.0D, 'pb', 0.0D)"
@@ -112,72 +112,80 @@ def exposure_sweep(obs, doses, patients, block_hours=168.0, intended=False):
     """Add IPRE, AUC and PERI to every row of ``obs (ID, time, ...)``.
 
     ``doses`` is ``(ID, time, amt)`` and ``patients`` has one row per ID with CL and the rate
-    constants. Within a block of at most ``block_hours`` the state is a running sum of
-    exponentially weighted rate changes, so one sort per (ID, block) replaces the
-    observation-by-dose join. The state at the start of each block is carried from per-block
-    totals of the doses alone. A patient with many rows spreads over its blocks; a block holds
-    no more rows than the time resolution allows.
+    constants. Within a block of ``block_hours`` the state is a running sum of exponentially
+    weighted rate changes, so one sort per (ID, block) replaces the observation-by-dose join.
+    What earlier blocks left behind is carried from per-block totals of the doses alone.
+
+    Observations and rate changes are shuffled once, by (ID, block): the join with the block
+    starts and the running sums use the same partitioning. A patient with many rows spreads over
+    its blocks, and a block holds no more rows than the time resolution allows. Patients with
+    fast exponents get several sections per block, which keeps ``exp(ka * width)`` finite.
     """
-    # A narrower block for fast exponents keeps exp(ka * width) finite.
-    patients = patients.selectExpr(
-        "ID", *PARAMETERS, f"least({num(block_hours)}, 600.0D / ka) as _w")
-
-    def blocked(df):
-        return add(add(df, _blk="floor(time / _w)"), _rel="time - _blk * _w")
-
+    width = num(block_hours)
+    payload = [c for c in obs.columns if c not in ("ID", "time")]
     changes = doses.where("amt > 0").selectExpr(
         "ID", "time", "amt", f"{infusion_hours('amt', intended)} as _h"
-    ).selectExpr("ID", "inline(array(named_struct('time', time, 'dr', amt / _h),"
-                       " named_struct('time', time + _h, 'dr', -amt / _h)))")
-    changes = add(blocked(changes.join(patients, "ID")), _n1="dr * _rel",
-                  _xa="dr * exp(ka * _rel)", _xb="dr * exp(kb * _rel)")
-    sums = {"_n0": "dr", "_n1": "_n1", "_xa": "_xa", "_xb": "_xb"}
-
-    span = obs.groupBy("ID").agg(F.max("time").alias("_end"))
-    carry = _block_starts(changes, patients.join(span, "ID"), sums)
-
-    payload = [c for c in obs.columns if c not in ("ID", "time")]
-    seen = add(blocked(obs.join(patients, "ID")), _obs="true")
-    both = seen.unionByName(
-        add(changes, _obs="false").select(
-            "ID", "time", *PARAMETERS, "_w", "_blk", "_rel", "_obs", "dr", "_n1", "_xa", "_xb"),
-        allowMissingColumns=True,
-    )
-    running = Window.partitionBy("ID", "_blk").orderBy("time").rowsBetween(
+    ).selectExpr("ID", "inline(array(named_struct('time', time, '_dr', amt / _h),"
+                 " named_struct('time', time + _h, '_dr', -amt / _h)))")
+    sections = patients.selectExpr(
+        "ID", *PARAMETERS, f"cast(greatest(1, ceil({width} * ka / 600)) as int) as _k")
+    sections = add(sections, _w=f"{width} / _k")
+
+    def placed(df):
+        """Section of a row in its block and the hours since the section began."""
+        inside = f"(time - _blk * {width})"
+        return add(add(df, _sec=f"least(_k - 1, cast(floor({inside} / _w) as int))"),
+                   _rel=f"{inside} - _sec * _w")
+
+    weighted = {"_n0": "_dr", "_n1": "_dr * _rel", "_xa": "_dr * exp(ka * _rel)",
+                "_xb": "_dr * exp(kb * _rel)"}
+    block = f"floor(time / {width})"
+    totals = placed(add(shuffled_join(changes, sections, "ID"), _blk=block)).groupBy("ID", "_blk", "_sec").agg(
+        *[F.expr(f"sum({text}) as {name}") for name, text in weighted.items()])
+    both = add(add(obs, _seen="true", _dr="cast(null as double)").unionByName(
+        add(changes, _seen="false"), allowMissingColumns=True), _blk=block)
+    span = both.groupBy("ID").agg(F.min("_blk").alias("_first"), F.max("_blk").alias("_last"))
+    starts = _block_starts(totals, sections.join(span.hint("merge"), "ID"))
+
+    rows = placed(shuffled_join(both, starts, "ID", "_blk"))
+    running = Window.partitionBy("ID", "_blk", "_sec").orderBy("time").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
-    local = both.withColumns({
-        "s" + out: F.coalesce(F.sum(src).over(running), F.lit(0.0)) for out, src in sums.items()
-    }).where("_obs")
-    rows = add(local.join(carry, ["ID", "_blk"]), _ea="exp(-ka * _rel)", _eb="exp(-kb * _rel)")
-    rows = add(
-        rows,
-        _pa="pa * _ea + wa * (rate * (1 - _ea) + s_n0 - _ea * s_xa)",
-        _pb="pb * _eb + wb * (rate * (1 - _eb) + s_n0 - _eb * s_xb)",
-        _given="given + (rate + s_n0) * _rel - s_n1")
-    return rows.selectExpr(
+    local = rows.withColumns({
+        name: F.coalesce(F.sum(F.expr(text)).over(running), F.lit(0.0))
+        for name, text in weighted.items()}).where("_seen")
+    state = add(add(local, st="get(_starts, _sec)"), _ea="exp(-ka * _rel)", _eb="exp(-kb * _rel)")
+    state = add(
+        state,
+        _pa="st.pa * _ea + wa * (st.rate * (1 - _ea) + _n0 - _ea * _xa)",
+        _pb="st.pb * _eb + wb * (st.rate * (1 - _eb) + _n0 - _eb * _xb)",
+        _given="st.given + (st.rate + _n0) * _rel - _n1")
+    return state.selectExpr(
         "ID", "time", *payload, *[f"{text} as {name}" for name, text in PROFILE.items()])
 
 
-def _block_starts(changes, patients, sums):
-    """State at the start of every block of every patient, carried over its block totals.
+def _block_starts(totals, patients):
+    """One row per patient and block: parameters and the states at the starts of its sections.
 
-    The arrays hold one entry per block, so they grow with a patient's time span and not with
+    The arrays hold one entry per section, so they grow with a patient's time span and not with
     its number of rows.
     """
-    totals = changes.groupBy("ID", "_blk").agg(
-        *[F.sum(src).alias(out) for out, src in sums.items()])
     per_patient = totals.groupBy("ID").agg(F.expr(
-        "map_from_entries(collect_list(struct(_blk, struct(_n0, _n1, _xa, _xb)))) as _totals"))
-    rows = add(patients.join(per_patient, "ID", "left"), _ea="exp(-ka * _w)", _eb="exp(-kb * _w)")
+        "map_from_entries(collect_list(struct(struct(_blk, _sec), struct(_n0, _n1, _xa, _xb)))) as _totals"))
+    rows = add(patients.join(per_patient.hint("merge"), "ID", "left"), _ea="exp(-ka * _w)", _eb="exp(-kb * _w)")
     advanced = """named_struct(
-        '_blk', b + 1, 'rate', last.rate + t._n0,
+        'rate', last.rate + t._n0,
         'given', last.given + (last.rate + t._n0) * _w - t._n1,
         'pa', last.pa * _ea + wa * (last.rate * (1 - _ea) + t._n0 - _ea * t._xa),
         'pb', last.pb * _eb + wb * (last.rate * (1 - _eb) + t._n0 - _eb * t._xb))"""
     nothing = "named_struct('_n0', 0.0D, '_n1', 0.0D, '_xa', 0.0D, '_xb', 0.0D)"
+    at = "named_struct('_blk', _first + cast(floor(b / _k) as bigint), '_sec', cast(b % _k as int))"
     following = let("last", "element_at(states, -1)", let(
-        "t", f"coalesce(try_element_at(_totals, b), {nothing})", advanced))
-    empty = "named_struct('_blk', 0L, 'rate', 0.0D, 'given', 0.0D, 'pa', 0.0D, 'pb', 0.0D)"
-    starts = (f"aggregate(sequence(0L, floor(_end / _w)), array({empty}), "
+        "t", f"coalesce(try_element_at(_totals, {at}), {nothing})", advanced))
+    empty = "named_struct('rate', 0.0D, 'given', 0.0D, 'pa', 0.0D, 'pb', 0.0D)"
+    states = (f"aggregate(sequence(0L, (_last - _first + 1) * _k - 1), array({empty}), "
               f"(states, b) -> concat(states, array({following})))")
-    return rows.selectExpr("ID", f"inline({starts})")
+    carried = add(rows, _states=states).selectExpr(
+        "ID", *PARAMETERS, "_k", "_w", "inline(transform("
+        "sequence(0L, _last - _first), g -> named_struct('_blk', _first + g, "
+        "'_starts', slice(_states, cast(g * _k + 1 as int), _k))))")
+    return carried

@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import constants as C
-from ..functions.model import num
+from ..functions.model import num, shuffled_join
 
 
 def first_dose_number(crcl="CRCL", early=False):
@@ -42,13 +42,13 @@ def peak_and_trough(sample_time, interval):
 
 def sampled(events, sample_times):
     """Keep the events at a patient's sample times."""
-    return events.join(sample_times, ["ID", "time"], "left_semi")
+    return shuffled_join(events, sample_times, "ID", "time", how="left_semi")
 
 
 def mask_unsampled(events, sample_times, value="DV"):
     """Hide the observations that no sample was taken for."""
     marks = sample_times.select("ID", "time").distinct().withColumn("_seen", F.lit(True))
-    return events.join(marks, ["ID", "time"], "left").withColumn(
+    return shuffled_join(events, marks, "ID", "time", how="left").withColumn(
         value, F.when(F.col("_seen"), F.col(value))).drop("_seen")
 
 
@@ -83,7 +83,7 @@ def with_next_time(events, key="ID", tie=None, block_hours=24.0):
         key, "_blk",
         F.lead("_first").over(Window.partitionBy(key).orderBy("_blk")).alias("_after"))
     inside = Window.partitionBy(key, "_blk").orderBy(*order)
-    return blocked.join(following, [key, "_blk"]).withColumn(
+    return shuffled_join(blocked, following, key, "_blk").withColumn(
         "next_time", F.coalesce(F.lead("time").over(inside), F.col("_after"))
     ).drop("_blk", "_after")
 
