@@ -144,7 +144,10 @@ def exposure_sweep(obs, doses, patients, block_hours=168.0, intended=False):
         *[F.expr(f"sum({text}) as {name}") for name, text in weighted.items()])
     both = add(add(obs, _seen="true", _dr="cast(null as double)").unionByName(
         add(changes, _seen="false"), allowMissingColumns=True), _blk=block)
-    span = both.groupBy("ID").agg(F.min("_blk").alias("_first"), F.max("_blk").alias("_last"))
+    # From the first row of any kind to the last observation; patients without one need no state.
+    span = both.groupBy("ID").agg(
+        F.min("_blk").alias("_first"), F.expr("max(if(_seen, _blk, null)) as _last")
+    ).where("_last is not null")
     starts = _block_starts(totals, sections.join(span.hint("merge"), "ID"))
 
     rows = placed(shuffled_join(both, starts, "ID", "_blk"))
