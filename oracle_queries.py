@@ -207,7 +207,7 @@ ALL_CANDIDATES = f"""all_candidates AS MATERIALIZED (
   FROM cohort, range(0, 343) r(c))"""
 
 
-def bayes_round(prefix, k, D, Q, X):
+def bayes_round(prefix, k, D, Q, X, first_early=False):
     """One round of the model-based policy with the grid estimate: decisions for active patients."""
     take, samp, obs, score, best, est, auc, need, added = (
         f"{prefix}{name}{k}" for name in
@@ -216,7 +216,10 @@ def bayes_round(prefix, k, D, Q, X):
     prior = " + ".join(
         f"(0.5 * ln(2 * pi()) + ln({sd(i)}) + eta{i + 1} * eta{i + 1} / (2 * {d(OMEGA[i])}))"
         for i in range(3))
-    wait = "CASE WHEN auc24 >= 800 THEN 24 ELSE 72 END"
+    wait = "24" if first_early else "CASE WHEN auc24 >= 800 THEN 24 ELSE 72 END"
+    half_day = "2 * " if first_early else ""
+    frq = "CASE WHEN q.CRCL <= 39 THEN 24 ELSE 12 END" if first_early else (
+        "CASE WHEN q.last_amt = 0 THEN 12 ELSE q.last_frq END")
     keep = "n.auc24 >= 400 AND n.auc24 < 550 AND n.last_amt <> 0"
     dose = (f"CASE WHEN {keep} THEN n.last_amt WHEN n.next_time - 24 < n.sample_time THEN 1000 "
             "WHEN n.need <= 0 THEN 0 ELSE coalesce(h.amt, 5000) END")
@@ -241,9 +244,9 @@ def bayes_round(prefix, k, D, Q, X):
   SELECT p.* EXCLUDE (cand) FROM all_par p JOIN {best} b ON b.ID = p.ID AND b.cand = p.cand)""",
         f"""{auc}o AS (SELECT ID, sample_time AS time FROM {Q} UNION ALL SELECT ID, sample_time - 24 FROM {Q})""",
         f"""{auc} AS MATERIALIZED (
-  SELECT q.*, x.auc24, CASE WHEN q.last_amt = 0 THEN {d(12)} ELSE q.last_frq END AS frq,
+  SELECT q.*, x.auc24, {d(frq)} AS frq,
     {d(wait)} AS wait, least(q.sample_time + {wait}, {d(168)}) AS next_time
-  FROM {Q} q JOIN (SELECT ID, max(AUC) - min(AUC) AS auc24
+  FROM {Q} q JOIN (SELECT ID, {half_day}(max(AUC) - min(AUC)) AS auc24
     FROM {exposure(auc + 'o', D, est)} GROUP BY ID) x ON x.ID = q.ID)""",
         f"{need}d AS (SELECT e.* FROM {D} e JOIN {Q} q ON q.ID = e.ID WHERE e.time < q.sample_time)",
         f"""{need}o AS (SELECT ID, next_time AS time FROM {auc}
@@ -265,11 +268,14 @@ def bayes_round(prefix, k, D, Q, X):
       JOIN {added} a ON a.ID = n2.ID AND a.auc >= n2.need GROUP BY n2.ID) h ON h.ID = n.ID))"""]
 
 
-def replay(policy, prefix, doses="doses", rounds=7):
+USUAL = "CASE WHEN CRCL <= 39 THEN 3 ELSE 4 END"
+
+
+def replay(policy, prefix, doses="doses", rounds=7, early=False):
     """CTEs for all rounds; the result is {prefix}d{rounds} and {prefix}s{rounds}."""
     out = [f"{prefix}d0 AS MATERIALIZED (SELECT ID, CRCL, time, amt FROM {doses})",
            f"""{prefix}s0 AS MATERIALIZED (
-  SELECT ID, CASE WHEN CRCL <= 39 THEN 3 ELSE 4 END AS dose_num, TRUE AS active, 0 AS rounds FROM cohort)"""]
+  SELECT ID, {"2" if early else USUAL} AS dose_num, TRUE AS active, 0 AS rounds FROM cohort)"""]
     for k in range(rounds):
         p, q = f"{prefix}{{}}{k}", f"{prefix}{{}}{k + 1}"
         D, S, N, Q, O, E, X = (p.format(x) for x in "dsnqoex")
@@ -281,7 +287,7 @@ def replay(policy, prefix, doses="doses", rounds=7):
   SELECT n.ID, n.CRCL, n.time AS sample_time, n.amt AS last_amt, n.gap AS last_frq, s.dose_num
   FROM {S} s JOIN {N} n ON n.ID = s.ID AND n.n = s.dose_num WHERE s.active)"""]
         if policy == "bayes":
-            out += bayes_round(prefix, k, D, Q, X)
+            out += bayes_round(prefix, k, D, Q, X, early and k == 0)
         elif policy == "guideline":
             out += [
                 f"{O} AS (SELECT ID, sample_time AS time FROM {Q})",
@@ -293,6 +299,8 @@ def replay(policy, prefix, doses="doses", rounds=7):
             out += [day_before(O, Q), trapezoid(E + "t", O, D),
                     f"{E} AS MATERIALIZED (SELECT q.*, t.auc24 FROM {Q} q JOIN {E}t t ON t.ID = q.ID)",
                     proportional(X, E)]
+        number = "(CASE WHEN x.CRCL <= 39 THEN 3 ELSE 4 END)" if early and k == 0 else (
+            "(s.dose_num + coalesce(CAST(x.wait / x.dose_frq AS INTEGER), 0))")
         out += [
             f"""{q.format('d')} AS MATERIALIZED (
   SELECT e.* FROM {D} e LEFT JOIN {X} x ON x.ID = e.ID
@@ -301,8 +309,7 @@ def replay(policy, prefix, doses="doses", rounds=7):
   SELECT ID, CRCL, sample_time + j * dose_frq, dose_amt FROM {X}, range(0, 29) r(j)
   WHERE changed AND sample_time + j * dose_frq <= 168)""",
             f"""{q.format('s')} AS MATERIALIZED (
-  SELECT s.ID, s.dose_num + coalesce(CAST(x.wait / x.dose_frq AS INTEGER), 0) AS dose_num,
-    s.active AND s.dose_num + coalesce(CAST(x.wait / x.dose_frq AS INTEGER), 0) < c.n AS active,
+  SELECT s.ID, {number} AS dose_num, s.active AND {number} < c.n AS active,
     s.rounds + CASE WHEN s.active THEN 1 ELSE 0 END AS rounds
   FROM {S} s LEFT JOIN {X} x ON x.ID = s.ID
   JOIN (SELECT ID, count(*) AS n FROM {q.format('d')} GROUP BY ID) c ON c.ID = s.ID)"""]
@@ -612,6 +619,15 @@ ORACLES["replay_bayes_grid"] = with_(
     *BASE, ALL_CANDIDATES, params("all_par", "all_candidates", ("eta1", "eta2", "eta3"), "ID, cand"),
     *replay("bayes", "b_")) + """
 SELECT d.ID, s.rounds, d.time, d.amt FROM b_d7 d JOIN b_s7 s ON s.ID = d.ID"""
+ORACLES["replay_bayes_grid_early"] = with_(
+    *BASE, ALL_CANDIDATES, params("all_par", "all_candidates", ("eta1", "eta2", "eta3"), "ID, cand"),
+    *replay("bayes", "b_", rounds=8, early=True)) + """
+SELECT d.ID, s.rounds, d.time, d.amt FROM b_d8 d JOIN b_s8 s ON s.ID = d.ID"""
+ORACLES["replay_bayes_grid_newload"] = with_(
+    *BASE, dose_table("doses2", "by_group"), ALL_CANDIDATES,
+    params("all_par", "all_candidates", ("eta1", "eta2", "eta3"), "ID, cand"),
+    *replay("bayes", "b_", "doses2")) + """
+SELECT d.ID, s.rounds, d.time, d.amt FROM b_d7 d JOIN b_s7 s ON s.ID = d.ID"""
 ORACLES["peak_trough_samples"] = with_(
     *BASE, NUMBERED, SITUATION,
     """both_times AS (SELECT ID, sample_time AS time FROM situation

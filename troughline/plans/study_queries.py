@@ -608,6 +608,17 @@ def replay_bayes_grid(spark, folder):
     return regimen_rows(replay.replay_bayes(study.courses(spark, folder), estimate="grid"))
 
 
+@query
+def replay_bayes_grid_early(spark, folder):
+    return regimen_rows(replay.replay_bayes(study.courses(spark, folder), early=True, estimate="grid"))
+
+
+@query
+def replay_bayes_grid_newload(spark, folder):
+    return regimen_rows(replay.replay_bayes(
+        study.courses(spark, folder, "by_group"), estimate="grid"))
+
+
 @query
 def replay_bayes_newload(spark, folder):
     return regimen_rows(replay.replay_bayes(study.courses(spark, folder, "by_group")))
