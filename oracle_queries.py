@@ -207,7 +207,7 @@ ALL_CANDIDATES = f"""all_candidates AS MATERIALIZED (
   FROM cohort, range(0, 343) r(c))"""
 
 
-def bayes_round(prefix, k, D, Q, X, first_early=False):
+def bayes_round(prefix, k, D, Q, X, first_early=False, gate=True, exact=False, pairs=False):
     """One round of the model-based policy with the grid estimate: decisions for active patients."""
     take, samp, obs, score, best, est, auc, need, added = (
         f"{prefix}{name}{k}" for name in
@@ -220,11 +220,21 @@ def bayes_round(prefix, k, D, Q, X, first_early=False):
     half_day = "2 * " if first_early else ""
     frq = "CASE WHEN q.CRCL <= 39 THEN 24 ELSE 12 END" if first_early else (
         "CASE WHEN q.last_amt = 0 THEN 12 ELSE q.last_frq END")
-    keep = "n.auc24 >= 400 AND n.auc24 < 550 AND n.last_amt <> 0"
+    keep = "n.auc24 >= 400 AND n.auc24 < 550 AND n.last_amt <> 0" if gate else "FALSE"
+    solved = "greatest(h.amt - 250, CASE WHEN h.amt <= 2000 THEN h.amt * n.need / a.auc " \
+        "ELSE l.amt + 250 * (n.need - l.auc) / (a.auc - l.auc) END)"
+    found = f"CASE WHEN h.amt IS NULL THEN 5000 WHEN {solved} < 1 THEN 0 ELSE {solved} END" if exact else (
+        "coalesce(h.amt, 5000)")
     dose = (f"CASE WHEN {keep} THEN n.last_amt WHEN n.next_time - 24 < n.sample_time THEN 1000 "
-            "WHEN n.need <= 0 THEN 0 ELSE coalesce(h.amt, 5000) END")
+            f"WHEN n.need <= 0 THEN 0 ELSE {found} END")
+    times = f"SELECT ID, sample_time AS time FROM {Q}"
+    if pairs:
+        times = f"""SELECT ID, time FROM ({times} UNION
+    SELECT ID, sample_time - ceil(3 * last_frq / 4) FROM {Q}) WHERE time >= 0"""
+        if k:
+            times += f" AND (ID, time) NOT IN (SELECT ID, time FROM {prefix}samp{k - 1})"
     return [
-        f"{take} AS (SELECT ID, sample_time AS time FROM {Q})",
+        f"{take} AS ({times})",
         f"""{samp} AS MATERIALIZED (
   SELECT ID, time, {dv()} AS DV FROM {exposure(take, D, 'par')} {before})""",
         f"""{obs} AS (
@@ -265,13 +275,15 @@ def bayes_round(prefix, k, D, Q, X, first_early=False):
   SELECT *, dose_amt <> last_amt OR dose_frq <> last_frq AS changed FROM (
     SELECT n.*, CASE WHEN {keep} THEN n.last_frq ELSE n.frq END AS dose_frq, {d(dose)} AS dose_amt
     FROM {need} n LEFT JOIN (SELECT n2.ID, min(a.amt) AS amt FROM {need} n2
-      JOIN {added} a ON a.ID = n2.ID AND a.auc >= n2.need GROUP BY n2.ID) h ON h.ID = n.ID))"""]
+      JOIN {added} a ON a.ID = n2.ID AND a.auc >= n2.need GROUP BY n2.ID) h ON h.ID = n.ID
+    LEFT JOIN {added} a ON a.ID = n.ID AND a.amt = h.amt
+    LEFT JOIN {added} l ON l.ID = n.ID AND l.amt = h.amt - 250))"""]
 
 
 USUAL = "CASE WHEN CRCL <= 39 THEN 3 ELSE 4 END"
 
 
-def replay(policy, prefix, doses="doses", rounds=7, early=False):
+def replay(policy, prefix, doses="doses", rounds=7, early=False, **variant):
     """CTEs for all rounds; the result is {prefix}d{rounds} and {prefix}s{rounds}."""
     out = [f"{prefix}d0 AS MATERIALIZED (SELECT ID, CRCL, time, amt FROM {doses})",
            f"""{prefix}s0 AS MATERIALIZED (
@@ -287,7 +299,7 @@ def replay(policy, prefix, doses="doses", rounds=7, early=False):
   SELECT n.ID, n.CRCL, n.time AS sample_time, n.amt AS last_amt, n.gap AS last_frq, s.dose_num
   FROM {S} s JOIN {N} n ON n.ID = s.ID AND n.n = s.dose_num WHERE s.active)"""]
         if policy == "bayes":
-            out += bayes_round(prefix, k, D, Q, X, early and k == 0)
+            out += bayes_round(prefix, k, D, Q, X, early and k == 0, **variant)
         elif policy == "guideline":
             out += [
                 f"{O} AS (SELECT ID, sample_time AS time FROM {Q})",
@@ -623,6 +635,13 @@ ORACLES["replay_bayes_grid_early"] = with_(
     *BASE, ALL_CANDIDATES, params("all_par", "all_candidates", ("eta1", "eta2", "eta3"), "ID, cand"),
     *replay("bayes", "b_", rounds=8, early=True)) + """
 SELECT d.ID, s.rounds, d.time, d.amt FROM b_d8 d JOIN b_s8 s ON s.ID = d.ID"""
+for _name, _variant in (
+        ("noround", {"exact": True}), ("alwaysopt", {"exact": True, "gate": False}),
+        ("peak_trough", {"exact": True, "gate": False, "pairs": True})):
+    ORACLES[f"replay_bayes_grid_{_name}"] = with_(
+        *BASE, ALL_CANDIDATES, params("all_par", "all_candidates", ("eta1", "eta2", "eta3"), "ID, cand"),
+        *replay("bayes", "b_", rounds=8, early=True, **_variant)) + """
+SELECT d.ID, s.rounds, d.time, round(d.amt, 3) AS amt FROM b_d8 d JOIN b_s8 s ON s.ID = d.ID"""
 ORACLES["replay_bayes_grid_newload"] = with_(
     *BASE, dose_table("doses2", "by_group"), ALL_CANDIDATES,
     params("all_par", "all_candidates", ("eta1", "eta2", "eta3"), "ID, cand"),

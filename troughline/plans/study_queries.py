@@ -613,6 +613,24 @@ def replay_bayes_grid_early(spark, folder):
     return regimen_rows(replay.replay_bayes(study.courses(spark, folder), early=True, estimate="grid"))
 
 
+@query
+def replay_bayes_grid_noround(spark, folder):
+    return _exact_rows(replay.replay_bayes(
+        study.courses(spark, folder), early=True, rounded=False, estimate="grid"))
+
+
+@query
+def replay_bayes_grid_alwaysopt(spark, folder):
+    return _exact_rows(replay.replay_bayes(
+        study.courses(spark, folder), early=True, gate=False, rounded=False, estimate="grid"))
+
+
+@query
+def replay_bayes_grid_peak_trough(spark, folder):
+    return _exact_rows(replay.replay_bayes(
+        study.courses(spark, folder), peak_trough=True, gate=False, rounded=False, estimate="grid"))
+
+
 @query
 def replay_bayes_grid_newload(spark, folder):
     return regimen_rows(replay.replay_bayes(
