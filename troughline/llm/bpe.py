@@ -23,15 +23,18 @@ import unicodedata
 from array import array
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from troughline.llm import wordscan
 from troughline.llm.base import python_ready, read_file
+from troughline.llm.piecetable import PieceTable, gather
 
 #: Symbols up to which a word's smallest rank is found by scanning.
 SHORT_WORD = 64
-#: Words that a worker remembers; beyond it the table starts anew.
-REMEMBERED = 400_000
+#: Parts of texts, and words, that a worker remembers; a full table starts anew.
+REMEMBERED = 2_000_000
+REMEMBERED_WORDS = 400_000
 REMEMBERED_CHARS = 48
 
 _ID_BITS = 24
@@ -78,7 +81,7 @@ class WordBpe:
         self.pattern = regex.compile(split["pattern"]["Regex"])
         self.inner = [self.vocab[s] for s in byte_symbols()]
         self.last = [self.vocab[s + self.end] for s in byte_symbols()]
-        self.pieces, self.words = {}, {}
+        self.pieces, self.words = PieceTable([np.dtype("<u4"), np.uint8], REMEMBERED), {}
 
     # --- words -----------------------------------------------------------------------------
 
@@ -164,7 +167,7 @@ class WordBpe:
             ids = self.encode_word(word)
             got = array("I", ids).tobytes(), self.decode(ids) + " "
             if len(word) <= REMEMBERED_CHARS:
-                if len(self.words) >= REMEMBERED:
+                if len(self.words) >= REMEMBERED_WORDS:
                     self.words.clear()
                 self.words[word] = got
         return got
@@ -182,23 +185,35 @@ class WordBpe:
         return b"".join([f[0] for f in found]), "".join([f[1] for f in found])
 
     def encode(self, text):
-        """Ids of a whole text (little-endian unsigned 32-bit) and the text they decode to.
+        """Ids of a whole text (little-endian unsigned 32-bit bytes) and the text they decode to."""
+        found = [self._piece(piece) for piece in text.split()]
+        return b"".join([f[0] for f in found]), "".join([f[1] for f in found])[:-1]
+
+    def encode_column(self, texts):
+        """For an Arrow array of texts: per chunk of rows ids, id bounds, decoded bytes and their bounds.
 
-        Blanks and line ends divide words under every rule, so a text is encoded part by part.
+        White space divides words under every rule, so the parts between it are encoded one by one,
+        and a part that was met before is looked up. Decoded rows keep the blank after the last symbol.
         """
-        pieces = text.replace("\n", " ").split(" ")
-        known = self.pieces
-        found = [known.get(piece) for piece in pieces]
-        if None in found:
-            for k, got in enumerate(found):
-                if got is None:
-                    piece = pieces[k]
-                    found[k] = got = known.get(piece) or self._piece(piece)
-                    if len(piece) <= REMEMBERED_CHARS:
-                        if len(known) >= REMEMBERED:
-                            known.clear()
-                        known[piece] = got
-        return b"".join([f[0] for f in found]), "".join([f[1] for f in found])[:-1]
+        for _, _, data, offsets in wordscan.chunks(texts, 2 * wordscan.CHUNK_BYTES):
+            starts, ends, rows, keys = wordscan.words(data, offsets, wordscan.SPACED, fold=wordscan.AS_IS)
+
+            def encode(at):
+                raw = data.tobytes()
+                got = [self._piece(raw[s:e].decode("utf-8")) for s, e in zip(starts[at].tolist(), ends[at].tolist())]
+                ids, texts = [g[0] for g in got], [g[1].encode("utf-8") for g in got]
+                return (
+                    (np.frombuffer(b"".join(ids), dtype="<u4"), [len(i) // 4 for i in ids]),
+                    (np.frombuffer(b"".join(texts), dtype=np.uint8), [len(t) for t in texts]),
+                )
+
+            begins, lengths = self.pieces.look(keys, encode)
+            bounds = wordscan.row_bounds(rows, len(offsets) - 1)
+            out = []
+            for k in range(2):
+                total = np.concatenate([[0], np.cumsum(lengths[k])])
+                out += [gather(self.pieces.values[k], begins[k], lengths[k]), total[bounds]]
+            yield out
 
     def decode(self, ids):
         """Text of ids; ids that the vocabulary does not have are left out."""
@@ -230,20 +245,27 @@ def encode_documents(df, path, id_col="doc_id", text_col="text", tokens=True):
         schema += ", ids array<int>, decoded string"
 
     def encode(batches):
-        import pyarrow as pa
-
         bpe = _loader(shared, key)
         for batch in batches:
             counts, ids_sha, text_sha, all_ids, texts = [], [], [], [], []
-            for text in batch.column("text").to_pylist():
-                ids, decoded = bpe.encode(text)
-                counts.append(len(ids) // 4)
-                ids_sha.append(hashlib.sha256(ids).hexdigest())
-                text_sha.append(hashlib.sha256(decoded.encode("utf-8")).hexdigest())
-                if tokens:
-                    all_ids.append(np.frombuffer(ids, dtype="<u4").astype(np.int32))
-                    texts.append(decoded)
-            arrays = [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
+            for ids, id_bounds, decoded, text_bounds in bpe.encode_column(batch.column("text")):
+                raw_ids, raw_text = memoryview(ids).cast("B"), memoryview(decoded)
+                for lo, hi in zip(id_bounds[:-1].tolist(), id_bounds[1:].tolist()):
+                    counts.append(hi - lo)
+                    ids_sha.append(hashlib.sha256(raw_ids[4 * lo : 4 * hi]).hexdigest())
+                    if tokens:
+                        all_ids.append(ids[lo:hi].astype(np.int32))
+                for lo, hi in zip(text_bounds[:-1].tolist(), text_bounds[1:].tolist()):
+                    hi = max(lo, hi - 1)  # without the blank after the last symbol
+                    text_sha.append(hashlib.sha256(raw_text[lo:hi]).hexdigest())
+                    if tokens:
+                        texts.append(raw_text[lo:hi].tobytes().decode("utf-8"))
+            arrays = [
+                batch.column("doc_id"),
+                pa.array(counts, pa.int64()),
+                pa.array(ids_sha, pa.string()),
+                pa.array(text_sha, pa.string()),
+            ]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if tokens:
                 arrays += [pa.array(all_ids, pa.list_(pa.int32())), pa.array(texts, pa.string())]

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from troughline.llm import bpe, exact_dedup, sharding
+from troughline.llm import bpe, decontamination, exact_dedup, quality, sharding, token_output
 
 
 def tokenizer_path(name):
@@ -16,6 +16,13 @@ def read(spark, folder, table):
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
+def op2_token_output(spark, folder):
+    path = token_output.token_store(
+        read(spark, folder, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=2
+    )
+    return token_output.token_digests(spark, path)
+
+
 def op4_sharding(spark, folder):
     rows = sharding.interleave(read(spark, folder, "documents"), shards=24, seed=17)
     return rows.select(
@@ -81,13 +88,64 @@ def op7_bpe(spark, folder):
     )
 
 
+def op8_decontamination(spark, folder):
+    rows = decontamination.contamination(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+    return rows.select(
+        "doc_id", "n_words", "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
+OP8_SQL = r"""
+WITH doc_words AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), item_words AS (
+  SELECT item_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), windows AS (
+  SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS win
+  FROM (SELECT item_id, w, least(10, len(w)) AS n, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i
+        FROM item_words WHERE len(w) > 0)
+), lengths AS (
+  SELECT DISTINCT n FROM windows
+), doc_windows AS (
+  SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS win
+  FROM (SELECT doc_id, n, w, unnest(range(1, len(w) - n + 2)) AS i FROM doc_words, lengths WHERE len(w) >= n)
+), hits AS (
+  SELECT doc_id, item_id, i, n FROM doc_windows JOIN windows USING (n, win)
+), covered AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY doc_id
+), items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc_words LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+
+def op9_quality(spark, folder):
+    docs = read(spark, folder, "documents")
+    return quality.score(docs, quality.train(docs, read(spark, folder, "labels")))
+
+
 QUERIES = {
+    "op2_token_output": op2_token_output,
     "op4_sharding": op4_sharding,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_bpe": op7_bpe,
+    "op8_decontamination": op8_decontamination,
+    "op9_quality": op9_quality,
 }
 
 ORACLES = {
     "op4_sharding": OP4_SQL,
     "op6_exact_dedup": OP6_SQL,
+    "op8_decontamination": OP8_SQL,
 }

@@ -17,6 +17,9 @@ _powers = {"n": 0}
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
+#: Byte -> the same byte.
+AS_IS = np.arange(256, dtype=np.uint8)
+
 #: Words are runs of bytes that are not ASCII white space.
 SPACED = np.ones(256, dtype=bool)
 SPACED[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
@@ -48,13 +51,13 @@ def _tables(n):
             powers = np.full(size, base, dtype=np.uint64)
             powers[0] = 1
             tables.append(np.multiply.accumulate(powers))
-        if size > 8 * CHUNK_BYTES:  # do not keep the tables of one very long text
+        if size > 4 * CHUNK_BYTES + 1:  # do not keep the tables of one very long text
             return tables
         _powers.update(n=size, tables=tables)
     return _powers["tables"]
 
 
-def chunks(array):
+def chunks(array, limit=CHUNK_BYTES):
     """Split an Arrow string array into (first row, last row, bytes, offsets) chunks.
 
     ``offsets`` has one entry more than rows and starts at 0. Null texts are empty.
@@ -75,7 +78,7 @@ def chunks(array):
     data = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, dtype=np.uint8)
     first = 0
     while first < n:
-        last = int(np.searchsorted(offsets, offsets[first] + CHUNK_BYTES, side="right")) - 1
+        last = int(np.searchsorted(offsets, offsets[first] + limit, side="right")) - 1
         last = min(max(last, first + 1), n)
         yield first, last, data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
         first = last
