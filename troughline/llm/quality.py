@@ -15,14 +15,13 @@ share as its score, with no labels 0.5; rows that repeat are scored again; extra
 their names, are left out of ``score``'s result unless named in ``keep``.
 """
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
+from troughline.llm import trees as trees_of
 from troughline.llm import wordscan
 from troughline.llm.base import python_ready, stage
 
@@ -132,21 +131,6 @@ def with_stats(df, text_col="text"):
     return df.mapInArrow(compute, ", ".join([*fields, struct]))
 
 
-def tree_rules(description):
-    """Every path to a node, as text conditions, from a printed tree ensemble."""
-    rules, path = [], []
-    for line in description.splitlines():
-        found = re.match(r"( *)(If|Else) \(feature (\d+) (<=|>) ([-+.\dE]+)\)", line)
-        if found:
-            depth = len(found[1])
-            path = [step for step in path if step[0] < depth]
-            path.append((depth, f"stats.{STATS[int(found[3])]} {found[4]} {float(found[5])!r}D"))
-            rule = " AND ".join(sorted({condition for _, condition in path}))
-            if rule not in rules:
-                rules.append(rule)
-    return rules
-
-
 class RuleModel:
     """Weighted rules and statistics; ``column`` is the score as SQL text over ``stats``."""
 
@@ -169,7 +153,7 @@ def fit(labelled, trees=8, depth=3, penalty=0.001):
     plain = labelled.select(F.col("label").cast("double").alias("label"), "stats.*")
     vectors = VectorAssembler(inputCols=list(STATS), outputCol="features").transform(plain)
     boosted = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.3, subsamplingRate=0.8, seed=1).fit(vectors)
-    rules = tree_rules(boosted.toDebugString)
+    rules = trees_of.paths(boosted.toDebugString, [f"stats.{name}" for name in STATS])
     inputs = labelled.select(
         F.col("label").cast("double").alias("label"),
         *[F.expr(f"CAST({rule} AS DOUBLE)").alias(f"r{k}") for k, rule in enumerate(rules)],

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from troughline.llm import bpe, decontamination, exact_dedup, quality, sharding, token_output
+from troughline.llm import bpe, decontamination, exact_dedup, pii, quality, sharding, token_output
 
 
 def tokenizer_path(name):
@@ -135,6 +135,18 @@ def op9_quality(spark, folder):
     return quality.score(docs, quality.train(docs, read(spark, folder, "labels")))
 
 
+def op10_pii(spark, folder):
+    docs = read(spark, folder, "documents")
+    rows = pii.span_strings(pii.find(docs, pii.fit(docs)))
+    return rows.select(
+        "doc_id",
+        *[F.size(F.col("base")[kind]).cast("long").alias(f"n_{kind}") for kind in pii.KINDS],
+        F.sha2(F.array_join("base_list", ","), 256).alias("base_sha256"),
+        F.array_join(F.concat("base_list", "added_list"), ",").alias("spans"),
+        F.size("added_list").cast("long").alias("n_added"),
+    )
+
+
 QUERIES = {
     "op2_token_output": op2_token_output,
     "op4_sharding": op4_sharding,
@@ -142,6 +154,7 @@ QUERIES = {
     "op7_bpe": op7_bpe,
     "op8_decontamination": op8_decontamination,
     "op9_quality": op9_quality,
+    "op10_pii": op10_pii,
 }
 
 ORACLES = {
