@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from troughline.llm import bpe, decontamination, exact_dedup, pii, quality, sharding, token_output
+from troughline.llm import bpe, decontamination, exact_dedup, jaccard_join, pii, quality, sharding, token_output
 
 
 def tokenizer_path(name):
@@ -23,6 +23,11 @@ def op2_token_output(spark, folder):
     return token_output.token_digests(spark, path)
 
 
+def op3_jaccard_join(spark, folder):
+    rows = jaccard_join.near_duplicates(read(spark, folder, "documents"))
+    return rows.select("doc_id", "n_shingles", "component_id")
+
+
 def op4_sharding(spark, folder):
     rows = sharding.interleave(read(spark, folder, "documents"), shards=24, seed=17)
     return rows.select(
@@ -149,6 +154,7 @@ def op10_pii(spark, folder):
 
 QUERIES = {
     "op2_token_output": op2_token_output,
+    "op3_jaccard_join": op3_jaccard_join,
     "op4_sharding": op4_sharding,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_bpe": op7_bpe,
