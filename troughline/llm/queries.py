@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from troughline.llm import bpe, decontamination, exact_dedup, jaccard_join, pii, quality, sharding, token_output
+from troughline.llm import bpe, decontamination, exact_dedup, jaccard_join, pii, quality, sharding, suffix_dedup, token_output
 
 
 def tokenizer_path(name):
@@ -16,6 +16,10 @@ def read(spark, folder, table):
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
+def op1_suffix_dedup(spark, folder):
+    return suffix_dedup.repeated_passages(read(spark, folder, "documents")).drop("th")
+
+
 def op2_token_output(spark, folder):
     path = token_output.token_store(
         read(spark, folder, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=2
@@ -153,6 +157,7 @@ def op10_pii(spark, folder):
 
 
 QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_token_output": op2_token_output,
     "op3_jaccard_join": op3_jaccard_join,
     "op4_sharding": op4_sharding,
