@@ -22,7 +22,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from troughline.llm import trees
-from troughline.llm.base import stage
+from troughline.llm.base import bind, stage
 
 #: Documents that the trees learn from, at most, and the share of them kept for the thresholds.
 SAMPLE_DOCUMENTS = 10_000
@@ -52,11 +52,6 @@ _SPAN = "array<struct<s:int,e:int,v:string,before:string,after:string>>"
 _BLOCK = 256
 
 
-def bind(value, use):
-    """``use`` of a value that is computed once, however often ``use`` mentions it."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def _total(array):
     return F.aggregate(array, F.lit(0), lambda a, x: a + x)
 

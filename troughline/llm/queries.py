@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from troughline.llm import bpe, decontamination, exact_dedup, jaccard_join, pii, quality, sharding, suffix_dedup, token_output
+from troughline.llm import bpe, decontamination, exact_dedup, jaccard_join, line_dedup, pii, quality, sharding, suffix_dedup, token_output
 
 
 def tokenizer_path(name):
@@ -69,6 +69,37 @@ FROM cut
 """
 
 
+def op5_line_dedup(spark, folder):
+    return line_dedup.similar_lines(read(spark, folder, "documents")).drop("th")
+
+
+OP5_SQL = r"""
+WITH lines AS (
+  SELECT doc_id, unnest(range(len(l))) AS line_no, unnest(l) AS line
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)
+), words AS (
+  SELECT doc_id, line_no, regexp_extract_all(
+    translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS w FROM lines
+), sets AS (
+  SELECT doc_id, line_no, CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) END AS t
+  FROM words WHERE len(w) > 0
+), classes AS (
+  SELECT row_number() OVER () AS c, t, place FROM (SELECT t, min((doc_id, line_no)) AS place FROM sets GROUP BY t)
+), tokens AS (
+  SELECT c, unnest(t) AS token FROM classes
+), shared AS (
+  SELECT a.c AS c, b.c AS d, count(*) AS n FROM tokens a JOIN tokens b ON a.token = b.token AND a.c <> b.c GROUP BY ALL
+), gone AS (
+  SELECT DISTINCT x.c FROM shared JOIN classes x ON shared.c = x.c JOIN classes y ON shared.d = y.c
+  WHERE y.place < x.place AND 100 * n >= 80 * (len(x.t) + len(y.t) - n)
+)
+SELECT sets.doc_id, CAST(sets.line_no AS INTEGER) AS line_no, CAST(len(sets.t) AS INTEGER) AS n_tokens,
+  (sets.doc_id, sets.line_no) = classes.place AND NOT EXISTS (SELECT 1 FROM gone WHERE gone.c = classes.c) AS kept
+FROM sets JOIN classes USING (t)
+"""
+
+
 def op6_exact_dedup(spark, folder):
     rows = exact_dedup.exact_groups(read(spark, folder, "documents"))
     return rows.select(
@@ -161,6 +192,7 @@ QUERIES = {
     "op2_token_output": op2_token_output,
     "op3_jaccard_join": op3_jaccard_join,
     "op4_sharding": op4_sharding,
+    "op5_line_dedup": op5_line_dedup,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_bpe": op7_bpe,
     "op8_decontamination": op8_decontamination,
@@ -170,6 +202,7 @@ QUERIES = {
 
 ORACLES = {
     "op4_sharding": OP4_SQL,
+    "op5_line_dedup": OP5_SQL,
     "op6_exact_dedup": OP6_SQL,
     "op8_decontamination": OP8_SQL,
 }
