@@ -9,6 +9,7 @@ hashes lets more rows through and never loses one: every user decides exactly af
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from troughline.llm.base import python_ready
 from troughline.llm.wordscan import mix
@@ -124,3 +125,20 @@ def build(df, column, rows, twice=False, bits_per_row=16):
     for row in merged.toLocalIterator():
         bitmap[row.segment * size : (row.segment + 1) * size] = np.frombuffer(row.bitmap, dtype=np.uint8)
     return spark.sparkContext.broadcast(BitFilter(bits, bitmap))
+
+
+def without_keys(df, key, losers):
+    """The rows of ``df`` whose ``key`` (a struct column) is not in ``losers`` (a table of a ``key`` column).
+
+    A row that the filter of the losers does not know passes straight through; only the others are shuffled.
+    """
+    losers = losers.select(F.col("key").alias("loser")).distinct()
+    known = build(losers.select(F.xxhash64("loser").alias("h")), "h", losers.count())
+
+    @F.pandas_udf(BooleanType())
+    def listed(hashes: pd.Series) -> pd.Series:
+        return pd.Series(known.value.has(hashes.to_numpy().astype(np.int64)))
+
+    may = listed(F.xxhash64(key))
+    doubtful = df.where(may).join(losers, key.eqNullSafe(F.col("loser")), "left_anti")
+    return df.where(~may).unionByName(doubtful)

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from troughline.llm import trees as trees_of
 from troughline.llm import wordscan
@@ -111,10 +112,10 @@ def _line_hashes(data, offsets):
     return [hashes[lo:hi] for lo, hi in zip(bounds[:-1], bounds[1:])]
 
 
-def with_stats(df, text_col="text"):
-    """``df`` without its text, with a ``stats`` struct of doubles."""
+def with_stats(df, text_col="text", name="stats", keep_text=False):
+    """``df`` with a struct ``name`` of doubles, without its text unless ``keep_text``."""
     python_ready(df.sparkSession)
-    others = [f for f in df.schema.fields if f.name != text_col]
+    others = [f for f in df.schema.fields if keep_text or f.name != text_col]
 
     def compute(batches):
         for batch in batches:
@@ -123,12 +124,11 @@ def with_stats(df, text_col="text"):
                 block = np.zeros((batch.num_rows, len(STATS)))
             stats = pa.StructArray.from_arrays([pa.array(block[:, k]) for k in range(len(STATS))], names=list(STATS))
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(f.name) for f in others), stats], names=[*(f.name for f in others), "stats"]
+                [*(batch.column(f.name) for f in others), stats], names=[*(f.name for f in others), name]
             )
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in others]
-    struct = "stats struct<" + ",".join(f"{name}:double" for name in STATS) + ">"
-    return df.mapInArrow(compute, ", ".join([*fields, struct]))
+    struct = T.StructType([T.StructField(stat, T.DoubleType()) for stat in STATS])
+    return df.mapInArrow(compute, T.StructType([*others, T.StructField(name, struct)]))
 
 
 class RuleModel:
@@ -137,10 +137,10 @@ class RuleModel:
     def __init__(self, intercept, rules, linear):
         self.intercept, self.rules, self.linear = intercept, rules, linear
 
-    def column(self):
+    def column(self, stats="stats"):
         terms = [f"{float(self.intercept)!r}D"]
-        terms += [f"IF({rule}, {float(weight)!r}D, 0D)" for rule, weight in self.rules]
-        terms += [f"{float(w)!r}D * stats.{name}" for name, w in self.linear]
+        terms += [f"IF({rule.replace('stats.', stats + '.')}, {float(weight)!r}D, 0D)" for rule, weight in self.rules]
+        terms += [f"{float(w)!r}D * {stats}.{name}" for name, w in self.linear]
         return f"1D / (1D + exp(-({' + '.join(terms)})))"
 
 
@@ -194,3 +194,12 @@ def score(docs, model, id_col="doc_id", text_col="text", keep=()):
         "doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"), *keep,
     )
+
+
+def accepted(docs, model, text_col="text"):
+    """The rows of ``docs``, all columns, whose text the model does not reject."""
+    name = "quality_stats"
+    while name in docs.columns:
+        name += "_"
+    scored = with_stats(docs, text_col, name, keep_text=True)
+    return scored.where(F.expr(model.column(name)) >= 0.5).select(*docs.columns)
