@@ -132,13 +132,16 @@ def without_keys(df, key, losers):
 
     A row that the filter of the losers does not know passes straight through; only the others are shuffled.
     """
-    losers = losers.select(F.col("key").alias("loser")).distinct()
-    known = build(losers.select(F.xxhash64("loser").alias("h")), "h", losers.count())
+    loser = "loser"
+    while loser in df.columns:
+        loser += "_"
+    losers = losers.select(F.col("key").alias(loser)).distinct()
+    known = build(losers.select(F.xxhash64(loser).alias("h")), "h", losers.count())
 
     @F.pandas_udf(BooleanType())
     def listed(hashes: pd.Series) -> pd.Series:
         return pd.Series(known.value.has(hashes.to_numpy().astype(np.int64)))
 
     may = listed(F.xxhash64(key))
-    doubtful = df.where(may).join(losers, key.eqNullSafe(F.col("loser")), "left_anti")
+    doubtful = df.where(may).join(losers, key.eqNullSafe(F.col(loser)), "left_anti")
     return df.where(~may).unionByName(doubtful)

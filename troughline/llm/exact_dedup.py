@@ -7,7 +7,7 @@ whole normalised text, so a false positive of the filter costs a shuffled row an
 
 Defined cases: null text counts as empty, and all empty texts are equal; a null id sorts before
 every other id; of rows that repeat id and text too one stays; extra columns pass through under
-their own names; no rows give no rows.
+their own names, beside new ones that begin with ``prefix``; no rows give no rows.
 """
 
 import numpy as np
@@ -79,4 +79,7 @@ def exact_groups(df, id_col="doc_id", text_col="text", prefix="dedup_"):
 
 def exact_dedup(df, id_col="doc_id", text_col="text"):
     """The rows of ``df`` that stay: of equal texts the row with the smallest id."""
-    return exact_groups(df, id_col, text_col).where(F.col("dedup_kept")).select(*df.columns)
+    prefix = "dedup_"
+    while any(c.lower().startswith(prefix) for c in df.columns):
+        prefix = "_" + prefix
+    return exact_groups(df, id_col, text_col, prefix).where(F.col(prefix + "kept")).select(*df.columns)

@@ -217,10 +217,11 @@ class CandidateModel:
 
 def fit(docs, id_col="doc_id", text_col="text", sample=SAMPLE_DOCUMENTS, rounds=8, depth=3):
     """Trees and thresholds from the candidates of at most ``sample`` documents."""
-    chosen = docs.select(F.col(id_col).alias("chosen")).where(F.col("chosen").isNotNull())
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    chosen = rows.select(F.col("doc_id").alias("chosen")).where(F.col("chosen").isNotNull())
     chosen = chosen.orderBy(F.xxhash64("chosen"), "chosen").limit(sample)
-    rows = docs.join(F.broadcast(chosen.distinct()), docs[id_col] == F.col("chosen"))
-    rows = rows.select(F.col("chosen").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    # at most ``sample`` ids: small enough to be sent to every task
+    rows = rows.join(F.broadcast(chosen.distinct()), F.col("doc_id") == F.col("chosen")).drop("chosen")
     rows = rows.withColumn("base", base_spans(F.col("text"))).withColumn("candidate", F.explode(candidates(F.col("text"))))
     rows = rows.select(
         (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1000)) < 1000 * CALIBRATION_SHARE).alias("held"),

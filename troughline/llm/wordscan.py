@@ -4,6 +4,8 @@ Works on the UTF-8 bytes of whole Arrow batches. All hashes are 64-bit and depen
 alone, never on the batch, so that tables of hashes from different tasks can be joined.
 """
 
+import hashlib
+
 import numpy as np
 
 #: Bytes of text that are hashed at once; one longer text is a chunk of its own.
@@ -11,7 +13,7 @@ CHUNK_BYTES = 1 << 20
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
-_powers = {"n": 0}
+_powers = []
 
 #: Byte -> byte with A-Z in lower case.
 LOWER = np.arange(256, dtype=np.uint8)
@@ -41,20 +43,35 @@ def mix(h):
     return h ^ (h >> np.uint64(31))
 
 
-def _tables(n):
-    """Powers of the base and of its inverse modulo 2**64, for n + 1 positions."""
-    if _powers["n"] < n + 1:
-        size = max(n + 1, CHUNK_BYTES + 1)
+def _tables():
+    """Powers of the base and of its inverse modulo 2**64, for every position in a chunk."""
+    if not _powers:
         inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
-        tables = []
         for base in (_BASE, inverse):
-            powers = np.full(size, base, dtype=np.uint64)
+            powers = np.full(CHUNK_BYTES + 1, base, dtype=np.uint64)
             powers[0] = 1
-            tables.append(np.multiply.accumulate(powers))
-        if size > 4 * CHUNK_BYTES + 1:  # do not keep the tables of one very long text
-            return tables
-        _powers.update(n=size, tables=tables)
-    return _powers["tables"]
+            _powers.append(np.multiply.accumulate(powers))
+    return _powers
+
+
+def _hashes(data, starts, ends, fold):
+    """Hash of every word; a word that is longer than a chunk is digested on its own."""
+    powers, inverse = _tables()
+    out = np.empty(len(starts), dtype=np.uint64)
+    i = 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + CHUNK_BYTES, side="right")))
+        lo, hi = int(starts[i]), int(ends[j - 1])
+        folded = fold[data[lo:hi]]
+        if hi - lo > CHUNK_BYTES:
+            out[i] = int.from_bytes(hashlib.blake2b(folded.tobytes(), digest_size=8).digest(), "little")
+        else:
+            running = np.zeros(hi - lo + 1, dtype=np.uint64)
+            np.cumsum((folded.astype(np.uint64) + np.uint64(1)) * powers[: hi - lo], out=running[1:])
+            first, last = starts[i:j] - lo, ends[i:j] - lo
+            out[i:j] = mix((running[last] - running[first]) * inverse[first] + (last - first).astype(np.uint64))
+        i = j
+    return out
 
 
 def chunks(array, limit=CHUNK_BYTES):
@@ -102,13 +119,7 @@ def words(data, offsets, inside, fold=LOWER):
     starts = np.flatnonzero(begins)
     ends = np.flatnonzero(ends) + 1
     rows = np.searchsorted(offsets, starts, side="right") - 1
-    powers, inverse = _tables(n)
-    running = np.zeros(n + 1, dtype=np.uint64)
-    folded = fold[data].astype(np.uint64)
-    folded += np.uint64(1)
-    np.cumsum(folded * powers[:n], out=running[1:])
-    hashes = mix((running[ends] - running[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
-    return starts, ends, rows, hashes
+    return starts, ends, rows, _hashes(data, starts, ends, fold)
 
 
 def grams(hashes, size):
