@@ -4,6 +4,8 @@ Exposure here is the plain sum over all earlier doses, and replays are unrolled
 so the statements share no method with the library.
 """
 
+# Fixed values of the study, plainly stated: they must stay as they are for results to agree. So must RULES
+# and the labels below.
 OMEGA = (0.158404, 0.665856, 0.326041)
 ETA_KEYS = ((7919, 13), (104729, 17), (1299709, 29))
 EPS_KEYS = ((15485863, 31), (32452843, 37))
@@ -340,21 +342,21 @@ ORDER = "CASE method WHEN 'sagov' THEN 1 WHEN 'auc24' THEN 2 WHEN 'bayes' THEN 3
 GROUP = "'GFR - ' || CAST(CAST(CRCL AS INTEGER) AS VARCHAR) || ' mL/min'"
 METHODS = "(VALUES ('sagov'), ('auc24'), ('bayes'), ('baynl')) m(method)"
 
-POLICIES = (*BASE, *replay("guideline", "g_"), *replay("proportional", "p_"),
-            """finals AS MATERIALIZED (
-  SELECT 'sagov' AS method, * FROM g_d7 UNION ALL SELECT 'auc24' AS method, * FROM p_d7)""",
-            "par_m AS MATERIALIZED (SELECT m.method, p.* FROM par p, (VALUES ('sagov'), ('auc24')) m(method))")
+LOADINGS = "(VALUES ('standard'), ('by_group')) m(method)"
+POLICIES = (*BASE, dose_table("doses2", "by_group"), """finals AS MATERIALIZED (
+  SELECT 'standard' AS method, * FROM doses UNION ALL SELECT 'by_group' AS method, * FROM doses2)""",
+            f"par_m AS MATERIALIZED (SELECT m.method, p.* FROM par p, {LOADINGS})")
 
 
 def policy_profile(points, step):
     return f"""stacked AS MATERIALIZED (
   SELECT * FROM {exposure(f'''(SELECT ID, CRCL, method, {d(f'k * {step}')} AS time
-    FROM cohort, (VALUES ('sagov'), ('auc24')) m(method), range(0, {points}) r(k))''',
+    FROM cohort, {LOADINGS}, range(0, {points}) r(k))''',
     'finals', 'par_m', ('ID', 'method'), ', CRCL')})"""
 
 
 POLICY_DAILY = f"""daily AS MATERIALIZED (
-  SELECT ID, CRCL, method, time / 24 AS day, {LABEL} AS methodf, {GROUP} AS crclf, dAUC FROM (
+  SELECT ID, CRCL, method, time / 24 AS day, method AS methodf, {GROUP} AS crclf, dAUC FROM (
     SELECT *, AUC - lag(AUC) OVER (PARTITION BY ID, method ORDER BY time) AS dAUC
     FROM stacked WHERE time IN (0, 24, 48, 72, 96, 120, 144, 168)) WHERE time <> 0)"""
 
@@ -447,11 +449,11 @@ BODIES = f"""bodies AS (
 
 ORACLES = {}
 ORACLES["scan_cohort"] = "SELECT c_custkey + 1 AS ID, c_nationkey AS nation, c_acctbal AS balance FROM customer"
-ORACLES["profile_roundtrip"] = with_(COHORT, PAR, DOSES, dose_table("doses2", "by_group"), DAYS) + f"""
-SELECT ID, 'standard' AS method, time, round(IPRE, 6) AS IPRE, round(AUC, 3) AS AUC
-FROM {exposure('days', 'doses', 'par')}
-UNION ALL SELECT ID, 'by_group', time, round(IPRE, 6), round(AUC, 3)
-FROM {exposure('days', 'doses2', 'par')}"""
+ORACLES["profile_roundtrip"] = with_(COHORT, PAR, DOSES, dose_table("doses2", "by_group"), grid()) + f"""
+SELECT ID, 'standard' AS method, time, round(IPRE, 6) AS IPRE, round(AUC, 3) AS AUC, round(PERI, 4) AS PERI
+FROM {exposure('grid', 'doses', 'par')}
+UNION ALL SELECT ID, 'by_group', time, round(IPRE, 6), round(AUC, 3), round(PERI, 4)
+FROM {exposure('grid', 'doses2', 'par')}"""
 ORACLES["cohort_build"] = with_(COHORT) + """
 SELECT ID, WT, CRCL, DIAL, round(ETA1, 9) AS ETA1, round(ETA2, 9) AS ETA2, round(ETA3, 9) AS ETA3 FROM cohort"""
 ORACLES["time_grid"] = with_(USER_SAMPLES) + f"""
@@ -459,10 +461,15 @@ SELECT ID, {d('k * 24')} AS time FROM (SELECT ID, max(time) AS span FROM samples
 WHERE k * 24 <= span"""
 ORACLES["event_grid"] = with_(COHORT, grid()) + f"""
 SELECT ID, time, {d(0)} AS amt, 1 AS cmt, 0 AS evid, 0 AS rate FROM grid"""
-ORACLES["dose_schedule"] = with_(COHORT, DOSES) + "SELECT ID, time, amt, 1 AS cmt, 1 AS evid, -2 AS rate FROM doses"
+ORACLES["dose_schedule"] = with_(COHORT, DOSES, grid()) + """
+SELECT g.ID, g.time, coalesce(d.amt, 0) AS amt, 1 AS cmt, CASE WHEN d.ID IS NULL THEN 0 ELSE 1 END AS evid,
+  CASE WHEN d.ID IS NULL THEN 0 ELSE -2 END AS rate
+FROM grid g LEFT JOIN doses d ON d.ID = g.ID AND d.time = g.time"""
 ORACLES["loading_dose"] = with_(COHORT, DOSES) + "SELECT ID, time, amt FROM doses"
 ORACLES["loading_dose_by_group"] = with_(COHORT, dose_table(loading="by_group")) + "SELECT ID, time, amt FROM doses"
-ORACLES["bind_by_key"] = with_(COHORT, DOSES) + f"SELECT ID, time, amt, {eps(0)} AS EPS1, {eps(1)} AS EPS2 FROM doses"
+ORACLES["bind_by_key"] = with_(COHORT, DOSES, grid()) + f"""
+SELECT ID, time, amt, {eps(0)} AS EPS1, {eps(1)} AS EPS2 FROM (
+  SELECT g.ID, g.time, coalesce(d.amt, 0) AS amt FROM grid g LEFT JOIN doses d ON d.ID = g.ID AND d.time = g.time)"""
 ORACLES["filter_dose_events"] = with_(COHORT, DOSES) + """
 SELECT ID, time, amt FROM doses WHERE time >= 24 AND (amt < 1000 OR CRCL = 100)"""
 ORACLES["filter_day_boundaries"] = with_(COHORT, DOSES, DAYS) + """
@@ -519,7 +526,7 @@ ORACLES["trapezoid_auc24"] = with_(
 ORACLES["trapezoid_series"] = with_(USER_SAMPLES) + """
 SELECT ID, round(sum(coalesce((DV + v0) * (time - t0) / 2, 0)), 4) AS auc24 FROM (
   SELECT ID, DV, time, lag(DV) OVER w AS v0, lag(time) OVER w AS t0 FROM samples
-  WHERE time BETWEEN 24 AND 600 WINDOW w AS (PARTITION BY ID ORDER BY time)) GROUP BY ID"""
+  WHERE time BETWEEN 24 AND 600 WINDOW w AS (PARTITION BY ID ORDER BY time, event_id)) GROUP BY ID"""
 ORACLES["dose_count"] = with_(COHORT, DOSES) + """
 SELECT ID, count(*) AS n_doses, CAST(673 AS BIGINT) AS n_rows FROM doses GROUP BY ID"""
 ORACLES["map_objective"] = with_(*AT_FIRST, f"""candidates AS (
@@ -544,9 +551,10 @@ SELECT ID, time, dose_id FROM (
 ORACLES["final_time"] = with_(ORDER_DOSES) + """
 SELECT ID, time, dose_id, amt FROM (
   SELECT *, row_number() OVER (PARTITION BY ID ORDER BY time DESC, dose_id DESC) AS n FROM order_doses) WHERE n = 1"""
-ORACLES["first_events"] = with_(*BASE, MEASURED) + """
-SELECT d.ID, d.time, d.amt, round(m.DV, 6) AS DV FROM doses d JOIN measured m ON m.ID = d.ID AND m.time = d.time
-ORDER BY d.ID, d.time LIMIT 6"""
+ORACLES["first_events"] = with_(*BASE, grid()) + f"""
+SELECT x.ID, x.time, coalesce(d.amt, 0) AS amt, round({dv('x.IPRE', 'x.ID', 'x.time')}, 6) AS DV
+FROM {exposure('grid', 'doses', 'par')} x LEFT JOIN doses d ON d.ID = x.ID AND d.time = x.time
+ORDER BY x.ID, x.time LIMIT 6"""
 ORACLES["label_methods"] = with_(COHORT) + f"""
 SELECT ID, CRCL, method, {LABEL} AS methodf, {ORDER} AS sort_order, {GROUP} AS crclf FROM cohort, {METHODS}"""
 ORACLES["ordered_labels"] = with_(COHORT) + f"""
@@ -574,8 +582,16 @@ ORACLES["infusion_duration"] = f"""
 SELECT ID, round({hours('amt')}, 9) AS effective,
   round(CASE WHEN amt > 1000 AND amt <= 1500 THEN {d(1.5)} ELSE {hours('amt')} END, 9) AS intended
 FROM (SELECT o_orderkey AS ID, o_totalprice / 100 AS amt FROM orders)"""
-ORACLES["observed_concentration"] = with_(*BASE, MEASURED) + """
-SELECT ID, time, round(IPRE, 6) AS IPRE, round(DV, 6) AS DV FROM measured"""
+ORACLES["observed_concentration"] = with_(*BASE, grid()) + f"""
+SELECT ID, time, round(IPRE, 6) AS IPRE, round({dv()}, 6) AS DV FROM {exposure('grid', 'doses', 'par')}"""
+ORACLES["full_profile"] = with_(*BASE, grid()) + f"""
+SELECT x.ID, x.time, c.CRCL, c.WT, c.DIAL, round(p.COVCL, 9) AS COVCL, round(p.COVVC, 9) AS COVVC,
+  round(p.CL, 9) AS CL, round(p.VC, 9) AS VC, round(p.VP, 9) AS VP, p.Q, round(c.ETA1, 9) AS ETA1,
+  round(c.ETA2, 9) AS ETA2, round(c.ETA3, 9) AS ETA3, round(IPRE, 6) AS IPRE, round(AUC, 3) AS AUC,
+  round(PERI, 4) AS PERI, round(PERI / p.VP, 6) AS C2, round(IPRE * p.VC, 4) AS CENT,
+  {eps(0, 'x.ID', 'x.time')} AS EPS1, {eps(1, 'x.ID', 'x.time')} AS EPS2,
+  round({dv('x.IPRE', 'x.ID', 'x.time')}, 6) AS DV
+FROM {exposure('grid', 'doses', 'par')} x JOIN par p ON p.ID = x.ID JOIN cohort c ON c.ID = x.ID"""
 ORACLES["ckd_epi"] = with_(BODIES) + f"""
 SELECT ID, round(141 * pow(least(scr / k, 1), CASE WHEN sex = 1 THEN {d(-0.411)} ELSE {d(-0.329)} END)
   * pow(greatest(scr / k, 1), {d(-1.209)}) * pow({d(0.993)}, age) * pow({d(1.018)}, 1 - sex)
@@ -587,7 +603,7 @@ ORACLES["bsa"] = with_(BODIES) + f"""
 SELECT ID, round({d(0.007184)} * pow(ht, {d(0.725)}) * pow(wt, {d(0.425)}), 6) AS bsa FROM bodies"""
 ORACLES["map_grid_estimate"] = with_(*BEST) + """
 SELECT ID, round(eta1, 9) AS eta1, round(eta2, 9) AS eta2, round(eta3, 9) AS eta3, round(ofv, 6) AS ofv FROM best"""
-ORACLES["ebe_profile"] = with_(*BEST, "upto AS (SELECT ID, time FROM doses WHERE time <= 36)") + f"""
+ORACLES["ebe_profile"] = with_(*BEST, grid(), "upto AS (SELECT ID, time FROM grid WHERE time <= 36)") + f"""
 SELECT ID, time, round(IPRE, 6) AS IPRE, round(AUC, 3) AS AUC FROM {exposure('upto', 'doses', 'est')}"""
 ORACLES["proportional_dose"] = with_(
     *BASE, NUMBERED, SITUATION, day_before("near", "situation"), trapezoid("t", "near", "doses"),
@@ -607,11 +623,13 @@ FROM (
   FROM need n LEFT JOIN hit h ON h.ID = n.ID
   LEFT JOIN added a ON a.ID = n.ID AND a.amt = h.amt
   LEFT JOIN added l ON l.ID = n.ID AND l.amt = h.amt - 250)"""
-ORACLES["regimen_rewrite"] = with_(*AT_FIRST, guideline("decided", "first_conc")) + """
-SELECT ID, time, amt, 1 AS evid, CASE WHEN amt <> 0 THEN -2 ELSE 0 END AS rate FROM (
+ORACLES["regimen_rewrite"] = with_(*AT_FIRST, guideline("decided", "first_conc"), grid()) + """
+SELECT g.ID, g.time, coalesce(n.amt, 0) AS amt, CASE WHEN n.ID IS NULL THEN 0 ELSE 1 END AS evid,
+  CASE WHEN n.amt <> 0 THEN -2 ELSE 0 END AS rate
+FROM grid g LEFT JOIN (
   SELECT d.ID, d.time, d.amt FROM doses d JOIN decided x ON x.ID = d.ID WHERE NOT x.changed OR d.time < x.sample_time
   UNION ALL SELECT ID, sample_time + j * dose_frq, dose_amt FROM decided, range(0, 29) r(j)
-  WHERE changed AND sample_time + j * dose_frq <= 168)"""
+  WHERE changed AND sample_time + j * dose_frq <= 168) n ON n.ID = g.ID AND n.time = g.time"""
 ORACLES["dose_update"] = with_(COHORT, DOSES) + """
 SELECT ID, time, CASE WHEN time >= 72 THEN 1250 ELSE amt END AS amt, 1 AS evid FROM doses"""
 ORACLES["first_sample"] = f"""
@@ -652,17 +670,21 @@ ORACLES["peak_trough_samples"] = with_(
     """both_times AS (SELECT ID, sample_time AS time FROM situation
   UNION SELECT ID, sample_time - ceil(3 * last_frq / 4) FROM situation)"""
 ) + f"SELECT ID, time, round({dv()}, 6) AS DV FROM {exposure('both_times', 'doses', 'par')} WHERE time >= 0"
-ORACLES["patient_slice"] = with_(*BASE, MEASURED) + """
-SELECT d.ID, d.time, d.amt, round(m.DV, 6) AS DV FROM doses d JOIN measured m ON m.ID = d.ID AND m.time = d.time
-WHERE d.ID = 1 AND d.time <= 72"""
+ORACLES["patient_slice"] = with_(*BASE, grid()) + f"""
+SELECT x.ID, x.time, coalesce(d.amt, 0) AS amt, round({dv('x.IPRE', 'x.ID', 'x.time')}, 6) AS DV
+FROM {exposure('grid', 'doses', 'par')} x LEFT JOIN doses d ON d.ID = x.ID AND d.time = x.time
+WHERE x.ID = 1 AND x.time <= 72"""
 MEASURES = "(VALUES ('gt400'), ('gt700'), ('gt400lt700')) v(measure)"
 PICK = "CASE measure WHEN 'gt400' THEN gt400 WHEN 'gt700' THEN gt700 ELSE gt400lt700 END"
 ORACLES["policy_report"] = with_(*POLICIES, policy_profile(673, 0.25), POLICY_DAILY) + f"""
-SELECT 'pta_method' AS part, method, methodf, 'all' AS crclf, day AS at, measure, {PICK} AS value
-FROM (SELECT day, method, methodf, {share()} FROM daily GROUP BY day, method, methodf), {MEASURES}
-UNION ALL
-SELECT 'pta_method_group', method, methodf, crclf, day, measure, {PICK}
-FROM (SELECT day, method, methodf, crclf, {share()} FROM daily GROUP BY day, method, methodf, crclf), {MEASURES}
+SELECT *, round(value * 100, 4) AS percent FROM (
+  SELECT 'pta_method' AS part, method, methodf, 'all' AS crclf, day AS at, measure, {PICK} AS value
+  FROM (SELECT day, method, methodf, {share()} FROM daily GROUP BY day, method, methodf), {MEASURES}
+  UNION ALL
+  SELECT 'pta_method_group', method, methodf, crclf, day, measure, {PICK}
+  FROM (SELECT day, method, methodf, crclf, {share()} FROM daily GROUP BY day, method, methodf, crclf), {MEASURES})
 UNION ALL
-SELECT 'median_profile', method, {LABEL}, {GROUP}, time, 'median', round(quantile_cont(IPRE, 0.5), 6)
-FROM stacked GROUP BY method, CRCL, time"""
+SELECT 'percentile_profile', method, method, {GROUP}, time, measure, round(CASE measure
+  WHEN 'q05' THEN q[1] WHEN 'q50' THEN q[2] ELSE q[3] END, 6), NULL
+FROM (SELECT method, CRCL, time, quantile_cont(IPRE, [0.05, 0.5, 0.95]) AS q FROM stacked GROUP BY method, CRCL, time),
+  (VALUES ('q05'), ('q50'), ('q95')) v(measure)"""

@@ -43,9 +43,8 @@ def test_proportional_steps(spark):
     assert add(zero, d=policies.proportional_decision("auc", "amt", "frq")).first().d.dose_amt is None
 
 
-@pytest.mark.parametrize("limit", [10 ** 6, 400, 60])
-def test_exact_quantiles(spark, limit):
-    """A hot group, a constant group, few distinct values and a single row, at several task limits."""
+def test_exact_quantiles(spark):
+    """A hot group, a constant group, few distinct values, a single row, nulls among values and nulls alone."""
     rng = np.random.default_rng(5)
     frame = pd.concat([
         pd.DataFrame({"g": "hot", "v": np.exp(rng.normal(0, 3, 6000))}),
@@ -54,11 +53,15 @@ def test_exact_quantiles(spark, limit):
         pd.DataFrame({"g": "one", "v": [3.0]}),
         pd.DataFrame({"g": [None] * 300, "v": rng.normal(0, 1, 300)}),
     ])
+    nulls = pd.DataFrame({"g": ["hot"] * 50 + ["none"] * 7, "v": [None] * 57}, dtype=object)
     probs = quantiles.interval_bounds([0.1, 0.5, 0.9, 0.95]) + [("q0", 0.0), ("med", 0.5), ("q1", 1.0)]
-    df = spark.createDataFrame(frame).repartition(6)
-    out = quantiles.exact_quantiles(df, ["g"], "v", probs, task_rows=limit).toPandas()
-    assert len(out) == 5
+    df = spark.createDataFrame(frame).unionByName(spark.createDataFrame(nulls, "g string, v double")).repartition(6)
+    out = quantiles.exact_quantiles(df, ["g"], "v", probs).toPandas()
+    assert len(out) == 6
     for row in out.to_dict("records"):
+        if row["g"] == "none":
+            assert all(pd.isna(row[name]) for name, _ in probs)
+            continue
         mask = frame.g.isna() if row["g"] is None or row["g"] != row["g"] else frame.g == row["g"]
         for name, p in probs:
             assert row[name] == pytest.approx(np.quantile(frame.v[mask], p), rel=1e-12, abs=1e-12), (row["g"], name)
@@ -88,7 +91,10 @@ def test_next_time_and_intervals(spark):
 
 def test_trapezoid_nth_and_last(spark):
     frame, df = skewed_events(spark)
-    got = evaluation.trapezoid_auc(df, 10.0, 700.0).toPandas().set_index("ID").auc24
+    ties = spark.createDataFrame([(1, 1.0, 3.0, 1), (1, 1.0, 5.0, 2), (1, 2.0, 1.0, 3)], "ID long, time double, DV double, eid long")
+    for turn in (ties, ties.orderBy(F.desc("eid"))):
+        assert evaluation.trapezoid_auc(turn, 0.0, 9.0, "eid").first().auc24 == 3.0
+    got = evaluation.trapezoid_auc(df, 10.0, 700.0, "eid").toPandas().set_index("ID").auc24
     for i, part in frame[frame.time.between(10, 700)].sort_values("time").groupby("ID"):
         assert got[i] == pytest.approx(np.trapezoid(part.DV, part.time), rel=1e-10, abs=1e-12)
     third = sampling.nth_event(df, 3).toPandas().set_index("ID").time

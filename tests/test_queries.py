@@ -9,7 +9,7 @@ TABLES = ("customer", "orders", "events")
 ORACLES = contract.oracle_sql()
 
 
-@pytest.fixture(scope="module")
+@pytest.fixture
 def duck():
     con = duckdb.connect()
     for table in TABLES:

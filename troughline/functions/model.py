@@ -41,10 +41,10 @@ def shuffled_join(rows, few, *keys, how="inner"):
     """Join many ``rows`` with the side that has few rows per key, without a broadcast.
 
     Spark's size estimate does not see how far an ``explode`` multiplies rows, so an expanded
-    table can look small enough to broadcast. The hint builds the hash table per partition from
-    ``few``, and a following window by the same keys needs no second shuffle.
+    table can look small enough to broadcast. A merge join spills, adaptive execution can split a
+    key that many rows have, and a following window by the same keys needs no second shuffle.
     """
-    return rows.join(few.hint("shuffle_hash"), list(keys), how)
+    return rows.join(few.hint("merge"), list(keys), how)
 
 
 def infusion_hours(amt, intended=False):

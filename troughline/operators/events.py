@@ -96,13 +96,16 @@ def stack_methods(**tables):
 
 
 def label_methods(df):
-    """Add the display label and order of each method and the renal group label."""
+    """Add the display label and order of each method and the renal group label.
+
+    A method without a label of its own is shown by its code.
+    """
     label, order = F, F
     for code, text, rank in C.METHOD_LABELS:
         label = label.when(F.col("method") == code, F.lit(text))
         order = order.when(F.col("method") == code, F.lit(rank))
     return df.withColumns({
-        "methodf": label,
+        "methodf": label.otherwise(F.col("method")),
         "sort_order": order,
         "crclf": F.concat(F.lit("GFR - "), F.col("CRCL").cast("int").cast("string"), F.lit(" mL/min")),
     })

@@ -40,7 +40,7 @@ def proportional_decision(auc24, last_amt, last_frq, target=C.PROPORTIONAL_TARGE
               f"named_struct('dose_amt', {scaled}, 'dose_frq', frq)") + ", st)"))
     step = f"if(st.dose_amt between {low} and {high} or {position} = 0, st, {moved})"
     start = (f"named_struct('dose_amt', "
-             f"{round_up(f'{last_amt} * try_divide({num(target)}, {auc24})')}, 'dose_frq', {last_frq})")
+             f"{round_up(f'try_divide({last_amt} * {num(target)}, {auc24})')}, 'dose_frq', {last_frq})")
     adjusted = f"aggregate(sequence(1, {len(C.INTERVALS) - 1}), {start}, (st, i) -> {step})"
     return (f"if({auc24} between {num(C.AUC_LOWER)} and {num(C.AUC_UPPER)}, "
             f"named_struct('dose_amt', {last_amt}, 'dose_frq', {last_frq}), {adjusted})")

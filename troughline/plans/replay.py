@@ -13,7 +13,7 @@ from .. import constants as C
 from ..functions.model import KINETICS, add, let, num, settled, with_parameters, with_rate_constants
 from ..operators import dosing, estimation, exposure, policies, regimen, sampling
 from ..sources.storage import stage
-from ..sources.study import measured
+from ..sources.study import measured, spread
 
 COVARIATES = ("ID", "WT", "CRCL", "DIAL")
 STATE = COVARIATES + ("CL",) + KINETICS + ("doses", "dose_num", "active", "samples", "rounds")
@@ -24,7 +24,7 @@ def start(courses, early=False):
     """Initial state; patients below the supported renal function stay inactive."""
     number = sampling.first_dose_number("CRCL", early)
     return add(
-        courses.select(*COVARIATES, "CL", *KINETICS, "doses"),
+        spread(courses).select(*COVARIATES, "CL", *KINETICS, "doses"),
         dose_num=f"coalesce({number}, 1)", active=f"({number}) is not null",
         samples="cast(array() as array<struct<time:double,DV:double>>)", rounds="0",
     )

@@ -25,7 +25,6 @@ from ..operators import (
     sampling,
 )
 from ..sources import storage, study
-from ..operators.quantiles import largest_group
 from . import replay, report
 
 QUERIES = {}
@@ -50,17 +49,32 @@ def doses(spark, folder, loading="standard"):
 def induction_grid(spark, folder):
     """Full event table of the induction: 673 grid rows per patient with the doses upserted."""
     courses = study.courses(spark, folder)
-    grid = events.event_grid(courses.select("ID", "CRCL"))
+    grid = events.event_grid(study.spread(courses.select("ID", "CRCL")))
     return events.upsert_doses(grid, events.dose_rows(courses, "ID"))
 
 
 def induction_profile(spark, folder, *keep, step=C.GRID_STEP):
-    return exposure.regimen_profile(study.courses(spark, folder), ["ID", "CRCL", *keep], step=step)
+    courses = study.spread(study.courses(spark, folder))
+    return exposure.regimen_profile(courses, ["ID", "CRCL", *keep], step=step)
+
+
+def measured_profile(spark, folder):
+    """Every grid time of the induction with dose, prediction and measured concentration."""
+    rows = induction_profile(spark, folder, "doses")
+    given = "coalesce(try_element_at(filter(doses, d -> d.time = time), 1).amt, 0.0D)"
+    return add(rows, amt=given, DV=study.measured("IPRE", "time")).drop("doses")
+
+
+def loading_courses(spark, folder):
+    """Induction regimens of both loading rules, as two methods."""
+    return study.spread(events.stack_methods(
+        standard=study.courses(spark, folder), by_group=study.courses(spark, folder, "by_group")))
 
 
 def measured_doses(spark, folder):
     """Dose rows with predicted and measured trough."""
-    courses = settled(study.courses(spark, folder), segs=exposure.dose_segments("doses"))
+    courses = study.spread(study.courses(spark, folder))
+    courses = settled(courses, segs=exposure.dose_segments("doses"))
     rows = courses.selectExpr("ID", "CRCL", "segs", *exposure.PARAMETERS, "inline(doses)")
     rows = settled(rows, IPRE=exposure.predict_at("segs", "time") + ".IPRE")
     return add(rows, DV=study.measured("IPRE", "time")).select("ID", "CRCL", "time", "amt", "IPRE", "DV")
@@ -114,13 +128,10 @@ def scan_cohort(spark, folder):
 
 @query
 def profile_roundtrip(spark, folder):
-    finals = events.stack_methods(
-        standard=study.courses(spark, folder), by_group=study.courses(spark, folder, "by_group"))
     path = storage.staged_path(spark, "profiles")
-    storage.write_profiles(
-        exposure.regimen_profile(finals, ["ID", "CRCL", "method"], step=24.0).drop("PERI"), path)
+    storage.write_profiles(report.profiles(loading_courses(spark, folder)), path)
     back = storage.read_table(spark, path, schema.PROFILE)
-    return rounded(back.select("ID", "method", "time", "IPRE", "AUC"), IPRE=6, AUC=3)
+    return rounded(back.select("ID", "method", "time", "IPRE", "AUC", "PERI"), IPRE=6, AUC=3, PERI=4)
 
 
 # ---- table construction ----
@@ -144,7 +155,7 @@ def event_grid(spark, folder):
 
 @query
 def dose_schedule(spark, folder):
-    return induction_grid(spark, folder).where("evid = 1").drop("CRCL")
+    return induction_grid(spark, folder).drop("CRCL")
 
 
 @query
@@ -162,7 +173,7 @@ def bind_by_key(spark, folder):
     grid = events.event_grid(study.spread(study.cohort(spark, folder).select("ID")))
     eps1, eps2 = study.noise("ID", "time")
     noise = add(grid, EPS1=eps1, EPS2=eps2).select("ID", "time", "EPS1", "EPS2")
-    return events.bind_by_key(doses(spark, folder).select("ID", "time", "amt"), noise)
+    return events.bind_by_key(induction_grid(spark, folder).select("ID", "time", "amt"), noise)
 
 
 @query
@@ -173,7 +184,7 @@ def draw_etas(spark, folder):
 
 @query
 def draw_eps(spark, folder):
-    rows = doses(spark, folder).select("ID", "time", "amt")
+    rows = induction_grid(spark, folder).select("ID", "time", "amt")
     return rounded(draws.with_eps(rows, 123456), EPS1=9, EPS2=9)
 
 
@@ -236,7 +247,7 @@ def attach_covariates(spark, folder):
 @query
 def exposure_profile(spark, folder):
     courses = study.courses(spark, folder)
-    obs = events.event_grid(courses.select("ID")).select("ID", "time")
+    obs = events.event_grid(study.spread(courses.select("ID"))).select("ID", "time")
     swept = exposure.exposure_sweep(obs, events.dose_rows(courses, "ID"), courses)
     return rounded(swept, IPRE=6, AUC=3, PERI=4)
 
@@ -273,15 +284,14 @@ def guideline_dose(spark, folder):
 @query
 def median_profile(spark, folder):
     return rounded(quantiles.exact_quantiles(
-        induction_profile(spark, folder), ["time", "CRCL"], "IPRE", [("median", 0.5)],
-        largest=largest_group(study.cohort(spark, folder), "CRCL")), median=6)
+        induction_profile(spark, folder), ["time", "CRCL"], "IPRE", [("median", 0.5)]), median=6)
 
 
 @query
 def ci90_band(spark, folder):
     return rounded(quantiles.exact_quantiles(
-        induction_profile(spark, folder), ["time", "CRCL"], "IPRE", quantiles.interval_bounds([0.9]),
-        largest=largest_group(study.cohort(spark, folder), "CRCL")), ci90lo=6, ci90hi=6)
+        induction_profile(spark, folder), ["time", "CRCL"], "IPRE", quantiles.interval_bounds([0.9])),
+        ci90lo=6, ci90hi=6)
 
 
 @query
@@ -293,8 +303,7 @@ def ci_family(spark, folder):
 
 
 def _daily(spark, folder):
-    finals = policy_finals(spark, folder, "sagov", "auc24")
-    return report.daily_exposure(report.profiles(finals, step=24.0))
+    return report.daily_exposure(report.profiles(loading_courses(spark, folder), step=24.0))
 
 
 @query
@@ -325,7 +334,7 @@ def trapezoid_auc24(spark, folder):
 @query
 def trapezoid_series(spark, folder):
     series = study.user_samples(spark, folder)
-    return rounded(evaluation.trapezoid_auc(series, 24.0, 600.0), auc24=4)
+    return rounded(evaluation.trapezoid_auc(series, 24.0, 600.0, "event_id"), auc24=4)
 
 
 @query
@@ -383,7 +392,7 @@ def final_time(spark, folder):
 
 @query
 def first_events(spark, folder):
-    rows = measured_doses(spark, folder).select("ID", "time", "amt", "DV")
+    rows = measured_profile(spark, folder).select("ID", "time", "amt", "DV")
     return rounded(rows.orderBy("ID", "time").limit(6), DV=6)
 
 
@@ -470,7 +479,20 @@ def infusion_duration(spark, folder):
 
 @query
 def observed_concentration(spark, folder):
-    return rounded(measured_doses(spark, folder).select("ID", "time", "IPRE", "DV"), IPRE=6, DV=6)
+    return rounded(measured_profile(spark, folder).select("ID", "time", "IPRE", "DV"), IPRE=6, DV=6)
+
+
+@query
+def full_profile(spark, folder):
+    """Every output of the model at every grid time, with the patient's columns carried along."""
+    kept = ("WT", "DIAL", "COVCL", "COVVC", "CL", "VC", "VP", "Q", "ETA1", "ETA2", "ETA3")
+    courses = study.spread(study.courses(spark, folder))
+    rows = exposure.regimen_profile(courses, ["ID", "CRCL", *kept])
+    eps1, eps2 = study.noise("ID", "time")
+    rows = add(rows, EPS1=eps1, EPS2=eps2, C2="PERI / VP", CENT="IPRE * VC")
+    rows = add(rows, DV=model.observed("IPRE", "EPS1", "EPS2"))
+    return rounded(rows, IPRE=6, AUC=3, PERI=4, C2=6, CENT=4, DV=6,
+                   **{c: 9 for c in kept[2:] if c != "Q"})
 
 
 def _bodies(spark, folder):
@@ -517,11 +539,11 @@ def map_estimate(spark, folder):
 
 @query
 def ebe_profile(spark, folder):
-    """Prediction under the estimate at every dose time up to the sample."""
+    """Prediction under the estimate at every grid time up to the sample."""
     now = settled(grid_estimated(spark, folder), e_segs=exposure.dose_segments("doses", "e_"))
     parameters = [f"e_{name}" for name in exposure.PARAMETERS]
-    rows = now.selectExpr("ID", "e_segs", *parameters,
-                          "inline(filter(doses, d -> d.time <= sample_time))")
+    times = events.time_grid("0.0D", "sample_time", num(C.GRID_STEP))
+    rows = now.selectExpr("ID", "e_segs", *parameters, f"explode({times}) as time")
     rows = add(rows, p=exposure.predict_at("e_segs", "time", "e_"))
     return rounded(rows.select("ID", "time", "p.IPRE", "p.AUC"), IPRE=6, AUC=3)
 
@@ -560,7 +582,7 @@ def regimen_rewrite(spark, folder):
         "ID", "sample_time", "d.dose_amt as dose_amt", "d.dose_frq as dose_frq",
         "d.dose_amt != last_amt or d.dose_frq != last_frq as changed")
     table = regimen.rewrite_events(induction_grid(spark, folder), decisions)
-    return table.where("evid = 1").select("ID", "time", "amt", "evid", "rate")
+    return table.select("ID", "time", "amt", "evid", "rate")
 
 
 @query
@@ -677,20 +699,20 @@ def peak_trough_samples(spark, folder):
 
 @query
 def patient_slice(spark, folder):
-    rows = measured_doses(spark, folder)
+    rows = measured_profile(spark, folder)
     return rounded(rows.where("ID = 1 and time <= 72").select("ID", "time", "amt", "DV"), DV=6)
 
 
 @query
 def policy_report(spark, folder):
-    finals = policy_finals(spark, folder, "sagov", "auc24")
-    stacked = storage.stage(report.profiles(finals), "stacked")
-    return rounded(report.policy_report(stacked, largest_group(finals, "CRCL", "method")), value=6)
+    regimens = loading_courses(spark, folder)
+    daily = report.daily_exposure(report.profiles(regimens, step=24.0))
+    return rounded(report.policy_report(daily, report.profiles(regimens)), value=6, percent=4)
 
 
 @query
 def policy_report_bayes(spark, folder):
-    """All four policies, the model-based ones included."""
+    """The report on the final regimens of all four replayed policies."""
     finals = policy_finals(spark, folder, "sagov", "auc24", "bayes", "baynl")
-    stacked = storage.stage(report.profiles(finals), "stacked")
-    return rounded(report.policy_report(stacked, largest_group(finals, "CRCL", "method")), value=6)
+    daily = report.daily_exposure(report.profiles(finals, step=24.0))
+    return rounded(report.policy_report(daily, report.profiles(finals)), value=6, percent=4)

@@ -14,24 +14,12 @@ def _table(**columns):
     return StructType([StructField(name, kind()) for name, kind in columns.items()])
 
 
-COHORT = _table(
-    ID=LongType, WT=DoubleType, CRCL=DoubleType, DIAL=IntegerType,
-    ETA1=DoubleType, ETA2=DoubleType, ETA3=DoubleType,
-)
-
-EVENTS = _table(
-    ID=LongType, time=DoubleType, amt=DoubleType, cmt=IntegerType, evid=IntegerType,
-    rate=IntegerType, EPS1=DoubleType, EPS2=DoubleType,
-)
-
 PROFILE = _table(
     ID=LongType, time=DoubleType, CRCL=DoubleType, IPRE=DoubleType, AUC=DoubleType,
-    method=StringType,
+    PERI=DoubleType, method=StringType,
 )
 
 CUSTOMER = _table(
     c_custkey=LongType, c_name=StringType, c_nationkey=IntegerType, c_acctbal=DoubleType,
     c_mktsegment=StringType,
 )
-
-METHOD_LABEL = _table(method=StringType, methodf=StringType, sort_order=IntegerType)

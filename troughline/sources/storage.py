@@ -1,31 +1,30 @@
 """Tables on disk and the shared folder that holds intermediate results."""
 
-import tempfile
 import uuid
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
-_local_folders = {}
 
 
 def shared_dir(spark):
     """Folder for intermediate tables, as the cluster names it.
 
-    A local session without the setting gets a new temporary folder; a cluster session
-    without it is an error, because its executors share no local disk.
+    A session without the setting (a test) keeps them beside its warehouse, which the executors
+    share as well. No machine's own temporary folder is used.
     """
     folder = spark.conf.get(CHECKPOINT_CONF, None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError(f"{CHECKPOINT_CONF} must name a shared folder")
-    application = spark.sparkContext.applicationId
-    if application not in _local_folders:
-        _local_folders[application] = tempfile.mkdtemp(prefix="troughline-")
-    return _local_folders[application]
+    if not folder:
+        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/stages"
+    return folder.rstrip("/")
 
 
 def staged_path(spark, name):
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_stages(spark):
+    """Delete the staged tables of this application; call it when its results are written."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{spark.sparkContext.applicationId}")
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def stage(df, name):

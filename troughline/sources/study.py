@@ -14,6 +14,7 @@ from .storage import read_table
 ETA_KEYS = ((7919, 13), (104729, 17), (1299709, 29))
 EPS_KEYS = ((15485863, 31), (32452843, 37))
 
+SALTS = 16  # parts of one user's rows in a join by user
 ORDERS_START = "timestamp_ntz '1995-01-01'"
 
 
@@ -54,7 +55,7 @@ def measured(ipre, time, patient="ID"):
 def courses(spark, folder, loading="standard"):
     """One row per patient with parameters and the induction regimen."""
     patients = with_rate_constants(with_parameters(cohort(spark, folder)))
-    return spread(add(patients, doses=schedule(loading)))
+    return add(patients, doses=schedule(loading))
 
 
 def _hours(later, earlier):
@@ -63,11 +64,16 @@ def _hours(later, earlier):
 
 
 def user_samples(spark, folder):
-    """Observation series per user: hours since the user's first event and the value."""
+    """Observation series per user: hours since the user's first event and the value.
+
+    The first event is found by partial minima and handed back to a user's rows in ``SALTS`` parts,
+    so that a user with many events is not one task's work.
+    """
     table = read_table(spark, f"{folder}/events.parquet").selectExpr(
-        "user_id as ID", "event_id", "ts", "event_type", "value")
+        "user_id as ID", "event_id", "ts", "event_type", "value", f"pmod(event_id, {SALTS}) as _part")
     start = table.groupBy("ID").agg(F.min("ts").alias("_first"))
-    return table.join(start, "ID").selectExpr(
+    start = add(start, _part=f"explode(sequence(0L, {SALTS - 1}L))")
+    return table.join(start, ["ID", "_part"]).selectExpr(
         "ID", "event_id", "event_type", f"{_hours('ts', '_first')} as time", "value as DV")
 
 
