@@ -603,6 +603,66 @@ ORACLES["bsa"] = with_(BODIES) + f"""
 SELECT ID, round({d(0.007184)} * pow(ht, {d(0.725)}) * pow(wt, {d(0.425)}), 6) AS bsa FROM bodies"""
 ORACLES["map_grid_estimate"] = with_(*BEST) + """
 SELECT ID, round(eta1, 9) AS eta1, round(eta2, 9) AS eta2, round(eta3, 9) AS eta3, round(ofv, 6) AS ofv FROM best"""
+ORACLES["map_refinement"] = with_(COHORT, DOSES, NUMBERED, SITUATION) + """
+SELECT ID, TRUE AS better, TRUE AS agrees FROM situation"""
+ORACLES["map_grid_history"] = with_(
+    COHORT, USER_SAMPLES, ORDER_DOSES, ALL_CANDIDATES,
+    params("all_par", "all_candidates", ("eta1", "eta2", "eta3"), "ID, cand"),
+    "given AS (SELECT ID + 1 AS ID, time, amt FROM order_doses)",
+    "seen AS MATERIALIZED (SELECT ID + 1 AS ID, time * 80 AS time, event_id, DV FROM samples)",
+    """obs AS (SELECT c.ID, c.cand, s.time, s.event_id FROM seen s JOIN all_candidates c ON c.ID = s.ID)""",
+    f"""fits AS MATERIALIZED (
+  SELECT ID, cand, sum(0.5 * ln(2 * pi()) + ln(w) + pow(DV - yhat, 2) / (2 * w * w)) AS misfit, count(*) AS n_samples
+  FROM (SELECT *, sqrt(pow(yhat * {d(0.227)}, 2) + {d(3.4)} * {d(3.4)}) AS w FROM (
+    SELECT x.ID, x.cand, s.DV, greatest(x.IPRE, {d('2.220446049250313e-16')}) AS yhat
+    FROM {exposure('obs', 'given', 'all_par', ('ID', 'cand'), ', event_id')} x
+    JOIN seen s ON s.ID = x.ID AND s.event_id = x.event_id))
+  GROUP BY ID, cand)""",
+    f"""rated AS (SELECT c.ID, c.cand, c.eta1, c.eta2, c.eta3, f.n_samples, f.misfit + {" + ".join(
+        f"(0.5 * ln(2 * pi() * {d(OMEGA[i])}) + eta{i + 1} * eta{i + 1} / (2 * {d(OMEGA[i])}))" for i in range(3))} AS ofv
+  FROM all_candidates c JOIN fits f ON f.ID = c.ID AND f.cand = c.cand)""") + """
+SELECT ID, n_samples, round(eta1, 9) AS eta1, round(eta2, 9) AS eta2, round(eta3, 9) AS eta3, round(ofv, 4) AS ofv
+FROM (SELECT *, row_number() OVER (PARTITION BY ID ORDER BY ofv, cand) AS place FROM rated) WHERE place = 1"""
+
+
+def uniform_draw(key):
+    return f"((CAST('0x' || substr(md5({key}), 1, 13) AS BIGINT) + {d(0.5)}) / {d(2 ** 52)})"
+
+
+def normal_draw(*parts):
+    key = " || ':' || ".join(f"CAST({p} AS VARCHAR)" for p in parts)
+    radius, angle = (uniform_draw(f"{key} || ':{part}'") for part in ("radius", "angle"))
+    return f"(sqrt(-2 * ln({radius})) * cos(2 * pi() * {angle}))"
+
+
+def first_inside(value, inside, names, source):
+    """Of numbered attempts the first inside the bounds, per patient."""
+    picked = ", ".join(f"round(arg_min({n}, attempt), 9) AS {n}" for n in names)
+    return f"""(SELECT ID, {picked} FROM (
+    SELECT ID, attempt, {value} FROM {source}, range(1, 101) r(attempt)) WHERE {inside} GROUP BY ID)"""
+
+
+def log_sd(mean, deviation):
+    return f"sqrt(ln({d(deviation)} * {d(deviation)} / ({d(mean)} * {d(mean)}) + 1))"
+
+
+ORACLES["draw_etas"] = with_(COHORT) + "SELECT ID, CRCL, " + ", ".join(
+    f"round({normal_draw('ID', 123456, k + 1)} * {sd(k)}, 9) AS ETA{k + 1}" for k in range(3)) + " FROM cohort"
+ORACLES["draw_eps"] = with_(COHORT, DOSES, grid()) + f"""
+SELECT ID, time, amt, {", ".join(
+    f"round({normal_draw('ID', 'CAST(round(time * 1000000) AS BIGINT)', 123456, k)}, 9) AS EPS{k}" for k in (1, 2))}
+FROM (SELECT g.ID, g.time, coalesce(d.amt, 0) AS amt FROM grid g LEFT JOIN doses d ON d.ID = g.ID AND d.time = g.time)"""
+ORACLES["trunc_normal_draw"] = with_(COHORT) + f"""
+SELECT a.ID, a.wt, b.crcl
+FROM {first_inside(f"{normal_draw('ID', 1, 'attempt')} * 20 + {d(79)} AS wt", "wt BETWEEN 33 AND 255", ["wt"], "cohort")} a
+JOIN {first_inside(f"exp({normal_draw('ID', 2, 'attempt')} * {log_sd(62, 40)} + ln({d(62 * 62)} / sqrt({d(40 * 40 + 62 * 62)}))) AS crcl",
+                   "crcl BETWEEN 4 AND 150", ["crcl"], "cohort")} b ON b.ID = a.ID"""
+ORACLES["trunc_mvn_draw"] = with_(COHORT) + f"""
+SELECT ID, x1, x2 FROM {first_inside(
+    f"exp({normal_draw('ID', 3, 'attempt', 0)} * {log_sd(79, 20)}) * 79 AS x1, "
+    f"exp(({normal_draw('ID', 3, 'attempt', 0)} * {d(0.5)} + {normal_draw('ID', 3, 'attempt', 1)} * sqrt({d(0.75)})) "
+    f"* {log_sd(170, 10)}) * 170 AS x2",
+    "x1 BETWEEN 33 AND 255 AND x2 BETWEEN 140 AND 210", ["x1", "x2"], "cohort")}"""
 ORACLES["ebe_profile"] = with_(*BEST, grid(), "upto AS (SELECT ID, time FROM grid WHERE time <= 36)") + f"""
 SELECT ID, time, round(IPRE, 6) AS IPRE, round(AUC, 3) AS AUC FROM {exposure('upto', 'doses', 'est')}"""
 ORACLES["proportional_dose"] = with_(

@@ -255,6 +255,10 @@ def test_draws(spark):
     pair = draws.truncated_mvn(base, (0.0, 10.0), (1.0, 2.0), ((1, 0.8), (0.8, 1)), (-9, -9), (9, 30), 3).toPandas()
     assert np.corrcoef(pair.x1, pair.x2)[0, 1] == pytest.approx(0.8, abs=0.02)
     assert pair.x2.mean() == pytest.approx(10, abs=0.1) and pair.x2.std() == pytest.approx(2, rel=0.05)
+    with pytest.raises(ValueError):
+        draws.truncated_normal(base, 0.0, 1.0, (3.0, 3.0), 1)
+    with pytest.raises(ValueError):
+        draws.truncated_normal(base, 62.0, 40.0, (-5.0, 0.0), 1, log=True)
     with pytest.raises(ValueError):
         draws.truncated_mvn(base, (0.0,), (1.0, 2.0), ((1,),), (0,), (1,), 1)
 

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from troughline.plans import replay, report
-from troughline.sources import storage, study
+from troughline.sources import study
 from troughline.functions.model import add
 
 import plain
@@ -74,7 +74,8 @@ def test_simple_replay_needs_no_extra_shuffle(spark):
 
 def test_report_is_complete(spark):
     finals = replay.replay_simple(study.courses(spark, SMALL), replay.guideline_step)
-    stacked = storage.stage(report.profiles(finals.withColumn("method", F.lit("sagov"))), "t")
-    table = report.policy_report(stacked)
+    finals = finals.withColumn("method", F.lit("sagov"))
+    table = report.policy_report(
+        report.daily_exposure(report.profiles(finals, step=24.0)), report.profiles(finals))
     counts = {r.part: r.n for r in table.groupBy("part").agg(F.count("*").alias("n")).collect()}
-    assert counts == {"pta_method": 7 * 3, "pta_method_group": 7 * 4 * 3, "median_profile": 673 * 4}
+    assert counts == {"pta_method": 7 * 3, "pta_method_group": 7 * 4 * 3, "percentile_profile": 673 * 4 * 3}

@@ -12,14 +12,15 @@ from pyspark.sql import functions as F
 from .. import constants as C
 from ..sources.storage import stage
 
-ATTEMPTS = 16  # attempts tried per pass
-MAX_PASSES = 500  # passes without progress end in an error, never in a dropped row
+ATTEMPTS = 16  # attempts tried in the first pass; every further pass doubles them
+MOST_ATTEMPTS = 4096  # attempts of one pass at most
 
 
 def uniform(*key):
-    """Uniform draw in (0, 1) from 53 hash bits of the key expressions."""
-    bits = F.shiftrightunsigned(F.xxhash64(*key), 11)
-    return (bits.cast("double") + 0.5) / float(2 ** 53)
+    """Uniform draw in (0, 1): the first 52 bits of the MD5 of the key expressions, joined by colons."""
+    text = F.concat_ws(":", *[k.cast("string") for k in key])
+    bits = F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long")
+    return (bits.cast("double") + 0.5) / float(2 ** 52)
 
 
 def normal(*key):
@@ -37,8 +38,9 @@ def with_etas(patients, seed):
 
 def with_eps(events, seed):
     """Residual draws per event row."""
+    microhours = F.round(F.col("time") * 1e6).cast("long")
     return events.withColumns({
-        f"EPS{i}": normal(F.col("ID"), F.col("time"), F.lit(seed), F.lit(i)) * math.sqrt(sigma)
+        f"EPS{i}": normal(F.col("ID"), microhours, F.lit(seed), F.lit(i)) * math.sqrt(sigma)
         for i, sigma in enumerate(C.SIGMA, start=1)})
 
 
@@ -52,6 +54,7 @@ def truncated_normal(patients, mean, sd, bounds, seed, log=False, name="draw"):
     """Draw per row, repeated until it lies inside the closed bounds."""
     low, high = min(bounds), max(bounds)
     mu, sigma = log_moments(mean, sd) if log else (mean, sd)
+    _check_bounds(mu, sigma, low, high, log)
 
     def draw(attempt):
         value = normal(F.col("ID"), F.lit(seed), attempt) * sigma + mu
@@ -73,6 +76,8 @@ def truncated_mvn(patients, mean, sd, corr, lower, upper, seed, log=False, prefi
         raise ValueError("the correlation matrix must be square, one row per component")
     scale = np.array([log_moments(m, s)[1] for m, s in zip(mean, sd)] if log else sd, dtype=float)
     factor = np.linalg.cholesky(corr * np.outer(scale, scale))
+    for i in range(size):
+        _check_bounds(math.log(mean[i]) if log else mean[i], scale[i], lower[i], upper[i], log)
 
     def draw(attempt):
         z = [normal(F.col("ID"), F.lit(seed), attempt, F.lit(j)) for j in range(size)]
@@ -92,12 +97,23 @@ def truncated_mvn(patients, mean, sd, corr, lower, upper, seed, log=False, prefi
     return _until_inside(patients, draw, inside)
 
 
+def _check_bounds(mu, sigma, low, high, log):
+    """An interval that no draw can fall into is an error; an unlikely one is only slow."""
+    if log:
+        low, high = (math.log(x) if x > 0 else -math.inf for x in (low, high))
+    below = 0.5 * math.erfc((mu - low) / (sigma * math.sqrt(2)))
+    upto = 0.5 * math.erfc((mu - high) / (sigma * math.sqrt(2)))
+    above = 0.5 * math.erfc((low - mu) / (sigma * math.sqrt(2)))
+    beyond = 0.5 * math.erfc((high - mu) / (sigma * math.sqrt(2)))
+    if not low < high or not max(upto - below, above - beyond) > 0:
+        raise ValueError("no draw can fall between the bounds")
+
+
 def _until_inside(patients, draw, inside):
-    """First draw per row that passes; rows without one go to the next pass."""
-    done, open_rows = None, patients
-    for round_ in range(MAX_PASSES):
-        first = round_ * ATTEMPTS
-        attempts = F.sequence(F.lit(first + 1), F.lit(first + ATTEMPTS))
+    """First draw per row that passes; rows without one go to the next pass, until none is left."""
+    done, open_rows, first, count = None, patients, 0, ATTEMPTS
+    while True:
+        attempts = F.sequence(F.lit(first + 1), F.lit(first + count))
         hit = F.try_element_at(F.filter(F.transform(attempts, draw), inside), F.lit(1))
         tried = stage(open_rows.withColumn("_hit", hit), "draws")
         passed = tried.where("_hit is not null").select(*patients.columns, "_hit.*")
@@ -105,4 +121,4 @@ def _until_inside(patients, draw, inside):
         open_rows = tried.where("_hit is null").drop("_hit")
         if open_rows.isEmpty():
             return done
-    raise ValueError("the bounds are too unlikely for repeated drawing")
+        first, count = first + count, min(2 * count, MOST_ATTEMPTS)

@@ -21,6 +21,7 @@ from ..functions.model import (
     with_rate_constants,
 )
 from ..sources.shipping import ship_package
+from .exposure import exposure_sweep
 
 ESTIMATE = StructType([StructField(n, DoubleType()) for n in ("eta1", "eta2", "eta3", "ofv")])
 
@@ -98,3 +99,50 @@ def with_grid_estimate(df):
     scoring takes several times as long.
     """
     return _with_estimate(df, refine=False)
+
+
+GRID_SIDE = 7  # grid points per random effect, one standard deviation apart
+
+
+def grid_candidates(patients):
+    """A row per patient and grid point: ``cand`` and eta1..eta3."""
+    half = GRID_SIDE // 2
+    digits = (f"c div {GRID_SIDE ** 2}", f"(c div {GRID_SIDE}) % {GRID_SIDE}", f"c % {GRID_SIDE}")
+    etas = ", ".join(
+        f"'eta{k}', (cast({digit} as double) - {half}) * {num(math.sqrt(omega))}"
+        for k, (digit, omega) in enumerate(zip(digits, C.OMEGA), start=1))
+    points = f"transform(sequence(0, {GRID_SIDE ** 3 - 1}), c -> named_struct('cand', c, {etas}))"
+    return patients.selectExpr("*", f"inline({points})")
+
+
+def history_estimate(cohort, doses, samples):
+    """Grid estimate from tables ``doses (ID, time, amt)`` and ``samples (ID, time, DV)`` of any size.
+
+    Returns ID, n_samples, eta1..eta3 and ofv of the candidate with the lowest objective (the first of
+    equal ones). Predictions come from ``exposure_sweep`` with (patient, candidate) as its key; the
+    objective is a sum with partial aggregation.
+    """
+    covariates = cohort.select("ID", "WT", "CRCL", "DIAL")
+    candidates = grid_candidates(covariates.join(samples.select("ID").distinct(), "ID", "left_semi"))
+    number = GRID_SIDE ** 3
+    keyed = add(candidates, ID=f"ID * {number} + cand")
+    models = with_rate_constants(with_parameters(keyed, ("eta1", "eta2", "eta3")))
+
+    def spread(df):
+        per_candidate = add(df, cand=f"explode(sequence(0, {number - 1}))")
+        return add(per_candidate, ID=f"ID * {number} + cand").drop("cand")
+
+    present = doses.join(samples.select("ID").distinct(), "ID", "left_semi")
+    swept = exposure_sweep(spread(samples), spread(present), models, block_hours=2016.0)
+    density = let("yhat", clamp_prediction("IPRE"), let(
+        "w", error_sd("yhat"), normal_logpdf("DV", "yhat", "w")))
+    misfit = add(swept, m=f"-({density})").groupBy("ID").agg(
+        F.sum("m").alias("misfit"), F.count("*").alias("n_samples"))
+    prior = " + ".join(
+        f"{num(0.5 * math.log(2 * math.pi * omega))} + eta{k} * eta{k} / {num(2 * omega)}"
+        for k, omega in enumerate(C.OMEGA, start=1))
+    scored = keyed.select("ID", "cand", "eta1", "eta2", "eta3").join(misfit, "ID").selectExpr(
+        f"ID div {number} as ID", "n_samples",
+        f"named_struct('ofv', misfit + {prior}, 'cand', cand, 'eta1', eta1, 'eta2', eta2, 'eta3', eta3) as c")
+    best = scored.groupBy("ID", "n_samples").agg(F.min("c").alias("c"))
+    return best.select("ID", "n_samples", "c.eta1", "c.eta2", "c.eta3", "c.ofv")

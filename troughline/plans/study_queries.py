@@ -537,6 +537,32 @@ def map_estimate(spark, folder):
     return rounded(now.select("ID", "est.*"), eta1=6, eta2=6, eta3=6, ofv=6)
 
 
+@query
+def map_refinement(spark, folder):
+    """Whether the refined estimate is at least as good as the best grid point, by the native objective."""
+    now = estimation.with_map_estimate(estimation.with_grid_estimate(
+        with_one_sample(spark, folder)).withColumnRenamed("est", "grid"))
+    scored = add(
+        estimation.with_fit_terms(now),
+        refined=estimation.objective("est.eta1", "est.eta2", "est.eta3"),
+        coarse=estimation.objective("grid.eta1", "grid.eta2", "grid.eta3"))
+    return scored.selectExpr(
+        "ID", "refined <= coarse + 1e-9D as better", "abs(refined - est.ofv) < 1e-6D as agrees")
+
+
+@query
+def map_grid_history(spark, folder):
+    """Best grid point per patient from all samples (events) and all doses (orders) of the tables.
+
+    Every (patient, candidate) is swept like a patient of its own, so neither a long history nor
+    the number of samples is ever gathered in one row.
+    """
+    given = add(study.order_doses(spark, folder), ID="ID + 1").select("ID", "time", "amt")
+    seen = study.user_samples(spark, folder).selectExpr("ID + 1 as ID", "time * 80 as time", "DV")
+    found = estimation.history_estimate(study.cohort(spark, folder), given, seen)
+    return rounded(found, eta1=9, eta2=9, eta3=9, ofv=4)
+
+
 @query
 def ebe_profile(spark, folder):
     """Prediction under the estimate at every grid time up to the sample."""
