@@ -139,11 +139,13 @@ def exposure_sweep(obs, doses, patients, block_hours=168.0, intended=False):
 
     weighted = {"_n0": "_dr", "_n1": "_dr * _rel", "_xa": "_dr * exp(ka * _rel)",
                 "_xb": "_dr * exp(kb * _rel)"}
-    block = f"floor(time / {width})"
-    totals = placed(add(shuffled_join(changes, sections, "ID"), _blk=block)).groupBy("ID", "_blk", "_sec").agg(
+    changes = add(changes, _blk=f"floor(time / {width})")
+    # Parameters meet the doses block by block: no task holds all doses of a patient.
+    blocks = shuffled_join(changes.select("ID", "_blk").distinct(), sections, "ID")
+    totals = placed(shuffled_join(changes, blocks, "ID", "_blk")).groupBy("ID", "_blk", "_sec", "_k").agg(
         *[F.expr(f"sum({text}) as {name}") for name, text in weighted.items()])
-    both = add(add(obs, _seen="true", _dr="cast(null as double)").unionByName(
-        add(changes, _seen="false"), allowMissingColumns=True), _blk=block)
+    both = add(obs, _blk=f"floor(time / {width})", _seen="true", _dr="cast(null as double)").unionByName(
+        add(changes, _seen="false"), allowMissingColumns=True)
     # From the first row of any kind to the last observation; patients without one need no state.
     span = both.groupBy("ID").agg(
         F.min("_blk").alias("_first"), F.expr("max(if(_seen, _blk, null)) as _last")
@@ -166,29 +168,60 @@ def exposure_sweep(obs, doses, patients, block_hours=168.0, intended=False):
         "ID", "time", *payload, *[f"{text} as {name}" for name, text in PROFILE.items()])
 
 
+STRIDE = 64  # blocks that are carried together
+
+
 def _block_starts(totals, patients):
     """One row per patient and block: parameters and the states at the starts of its sections.
 
-    The arrays hold one entry per section, so they grow with a patient's time span and not with
-    its number of rows.
+    The model is linear, so the state after a stretch of blocks is what the stretch adds from rest
+    plus what the state before it decays to. Each stretch of ``STRIDE`` blocks is run from rest in
+    a row of its own, only its end state is carried along the patient, and the two are added up.
     """
-    per_patient = totals.groupBy("ID").agg(F.expr(
-        "map_from_entries(collect_list(struct(struct(_blk, _sec), struct(_n0, _n1, _xa, _xb)))) as _totals"))
-    rows = add(patients.join(per_patient.hint("merge"), "ID", "left"), _ea="exp(-ka * _w)", _eb="exp(-kb * _w)")
+    stretch = f"floor(_blk / {STRIDE})"
+    sums = add(totals, _far=stretch, _at=f"cast((_blk - {stretch} * {STRIDE}) * _k + _sec as int)")
+    sums = sums.groupBy("ID", "_far").agg(F.expr(
+        "map_from_entries(collect_list(struct(_at, struct(_n0, _n1, _xa, _xb)))) as _totals"))
+    spans = patients.selectExpr(
+        "*", f"explode(sequence(floor(_first / {STRIDE}), floor(_last / {STRIDE}))) as _far")
+    rows = add(shuffled_join(spans, sums, "ID", "_far", how="left"), _ea="exp(-ka * _w)", _eb="exp(-kb * _w)")
     advanced = """named_struct(
         'rate', last.rate + t._n0,
         'given', last.given + (last.rate + t._n0) * _w - t._n1,
         'pa', last.pa * _ea + wa * (last.rate * (1 - _ea) + t._n0 - _ea * t._xa),
         'pb', last.pb * _eb + wb * (last.rate * (1 - _eb) + t._n0 - _eb * t._xb))"""
     nothing = "named_struct('_n0', 0.0D, '_n1', 0.0D, '_xa', 0.0D, '_xb', 0.0D)"
-    at = "named_struct('_blk', _first + cast(floor(b / _k) as bigint), '_sec', cast(b % _k as int))"
     following = let("last", "element_at(states, -1)", let(
-        "t", f"coalesce(try_element_at(_totals, {at}), {nothing})", advanced))
-    empty = "named_struct('rate', 0.0D, 'given', 0.0D, 'pa', 0.0D, 'pb', 0.0D)"
-    states = (f"aggregate(sequence(0L, (_last - _first + 1) * _k - 1), array({empty}), "
-              f"(states, b) -> concat(states, array({following})))")
-    carried = add(rows, _states=states).selectExpr(
-        "ID", *PARAMETERS, "_k", "_w", "inline(transform("
-        "sequence(0L, _last - _first), g -> named_struct('_blk', _first + g, "
-        "'_starts', slice(_states, cast(g * _k + 1 as int), _k))))")
-    return carried
+        "t", f"coalesce(try_element_at(_totals, b), {nothing})", advanced))
+    rest = "named_struct('rate', 0.0D, 'given', 0.0D, 'pa', 0.0D, 'pb', 0.0D)"
+    # no further than the patient's last block; the end of a shorter, last stretch is not carried on
+    last = f"cast(least({STRIDE}, _last - _far * {STRIDE} + 1) as int)"
+    local = add(rows, _local=f"aggregate(sequence(0, {last} * _k - 1), array({rest}), "
+                             f"(states, b) -> concat(states, array({following})))")
+
+    # One end state per stretch, in order along the patient.
+    ends = local.groupBy("ID").agg(F.expr(
+        "array_sort(collect_list(named_struct('far', _far, 'end', element_at(_local, -1)))) as _ends"),
+        *[F.first(c).alias(c) for c in (*PARAMETERS, "_w", "_k")])
+    carried = let("last", "element_at(states, -1)", _joined("last", "x.end", f"({STRIDE} * _k * _w)"))
+    ends = add(ends, _begins=f"aggregate(_ends, array({rest}), (states, x) -> concat(states, array({carried})))")
+    begins = ends.selectExpr("ID", "inline(transform(_ends, (x, i) -> named_struct('_far', x.far, '_begin', _begins[i])))")
+
+    here = f"(_far * {STRIDE})"
+    first = f"cast((b - {here}) * _k as int)"
+    section = _joined("_begin", "x", f"(({first} + i) * _w)")
+    starts = f"transform(slice(_local, {first} + 1, _k), (x, i) -> {section})"
+    inside = f"sequence(greatest(_first, {here}), least(_last, {here} + {STRIDE - 1}))"
+    return shuffled_join(local, begins, "ID", "_far").selectExpr(
+        "ID", *PARAMETERS, "_k", "_w", f"inline(transform({inside}, b -> named_struct('_blk', b, '_starts', {starts})))")
+
+
+def _joined(before, added, hours):
+    """State ``hours`` after ``before``, when the stretch from there on adds ``added`` from rest."""
+    def part(weight, exponent, name):
+        decay = f"exp(-{exponent} * {hours})"
+        return f"{before}.{name} * {decay} + {weight} * {before}.rate * (1 - {decay}) + {added}.{name}"
+
+    return (f"named_struct('rate', {before}.rate + {added}.rate, "
+            f"'given', {before}.given + {before}.rate * {hours} + {added}.given, "
+            f"'pa', {part('wa', 'ka', 'pa')}, 'pb', {part('wb', 'kb', 'pb')})")
