@@ -172,19 +172,19 @@ def test_library_and_word_encoders_on_odd_texts():
 def test_token_files_read_selectively(spark, tmp_path):
     docs = spark.createDataFrame([(5, "five words"), (1, "one"), (None, "none"), (3, None)], COLUMNS)
     path = token_output.token_store(docs, queries.tokenizer_path(BYTES), 2, str(tmp_path / "tokens"))
-    rows = token_output.read_tokens(spark, path).orderBy("start").collect()
-    assert [r.doc_id for r in rows] == [None, 1, 3, 5] and rows[2].tokens == [2]
-    selected = token_output.read_tokens(spark, path).where("doc_id > 2").select("doc_id", "start")
-    plan = selected._jdf.queryExecution().executedPlan().toString()
-    assert "GreaterThan(doc_id,2)" in plan and "tokens:array" not in plan
-    assert [r.doc_id for r in selected.orderBy("doc_id").collect()] == [3, 5]
+    rows = token_output.read_positions(spark, path).orderBy("start")
+    assert [r.doc_id for r in rows.collect()] == [None, 1, 3, 5]
+    assert "tokens:array" not in rows._jdf.queryExecution().executedPlan().toString()
+    selected = token_output.read_tokens(spark, path, "doc_id > 2").orderBy("doc_id")
+    assert "GreaterThan(doc_id,2)" in selected._jdf.queryExecution().executedPlan().toString()
+    assert [(r.doc_id, r.tokens[-1]) for r in selected.collect()] == [(3, 2), (5, 2)]
 
 
 def test_filter_never_loses_a_hash(spark):
     hashes = [(k * k * 7919,) for k in range(3000)] + [(k * k * 7919,) for k in range(0, 3000, 3)]
     df = spark.createDataFrame(hashes, "h long").repartition(5)
-    every = bitfilter.build(df, "h", 4000).value
-    twice = bitfilter.build(df, "h", 4000, twice=True).value
+    every = bitfilter.build(df, 4000).value
+    twice = bitfilter.build(df, 4000, twice=True).value
     assert every.has(np.array([h for (h,) in hashes])).all()
     assert twice.has(np.array([k * k * 7919 for k in range(0, 3000, 3)])).all()
     assert twice.has(np.array([k * k * 7919 for k in range(3000) if k % 3])).mean() < 0.1

@@ -12,28 +12,16 @@ from troughline.llm.base import stage
 
 def connected(links, a="a", b="b"):
     """(node, root) for every node of ``links``; the root is the smallest node of its component."""
-    links = stage(
-        links.where(F.col(a) != F.col(b))
-        .select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
-        .distinct(),
-        "links",
-    )
-    labels = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
-    labels = stage(labels.withColumn("root", F.col("node")), "labels")
+    links = stage(_pairs(links.select(F.col(a).alias("a"), F.col(b).alias("b"))), "links")
+    labels = links.select(F.col("a").alias("node")).union(links.select("b")).distinct().withColumn("root", F.col("node"))
     while not links.isEmpty():
         # every component with a smaller neighbour hooks to the smallest; smaller ones stay roots
-        hooks = stage(links.groupBy(F.col("b").alias("child")).agg(F.min("a").alias("parent")), "hooks")
-        while True:
-            up = hooks.select(F.col("child").alias("middle"), F.col("parent").alias("top"))
-            jumped = stage(
-                hooks.join(up, F.col("parent") == F.col("middle"), "left").select(
-                    "child", F.coalesce("top", "parent").alias("parent"), F.col("top").isNotNull().alias("moved")
-                ),
-                "hooks",
-            )
-            hooks = jumped.select("child", "parent")
-            if jumped.where("moved").isEmpty():
-                break
+        hooks = links.groupBy(F.col("b").alias("child")).agg(F.min("a").alias("parent"))
+        moving = True
+        while moving:
+            hooks = stage(_jumped(hooks), "hooks")
+            moving = not hooks.where("moved").isEmpty()
+            hooks = hooks.select("child", "parent")
         labels = stage(
             labels.join(hooks, F.col("root") == F.col("child"), "left").select(
                 "node", F.coalesce("parent", "root").alias("root")
@@ -41,11 +29,19 @@ def connected(links, a="a", b="b"):
             "labels",
         )
         ends = hooks.select(F.col("child").alias("child2"), F.col("parent").alias("parent2"))
-        moved = (
-            links.join(hooks, F.col("a") == F.col("child"), "left")
-            .join(ends, F.col("b") == F.col("child2"), "left")
-            .select(F.coalesce("parent", "a").alias("a"), F.coalesce("parent2", "b").alias("b"))
-            .where(F.col("a") != F.col("b"))
-        )
-        links = stage(moved.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+        moved = links.join(hooks, F.col("a") == F.col("child"), "left").join(ends, F.col("b") == F.col("child2"), "left")
+        links = stage(_pairs(moved.select(F.coalesce("parent", "a").alias("a"), F.coalesce("parent2", "b").alias("b"))), "links")
     return labels
+
+
+def _pairs(links):
+    """Each link between two different nodes once, the smaller node first."""
+    return links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _jumped(hooks):
+    """Every chain of hooks shortened to a half, and whether a link of it is left."""
+    up = hooks.select(F.col("child").alias("middle"), F.col("parent").alias("top"))
+    return hooks.join(up, F.col("parent") == F.col("middle"), "left").select(
+        "child", F.coalesce("top", "parent").alias("parent"), F.col("top").isNotNull().alias("moved")
+    )

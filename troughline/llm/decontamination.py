@@ -111,7 +111,7 @@ def occurrences(docs, benchmark, window=WINDOW, shingle=SHINGLE):
         "benchmark-shingles",
     )
     sizes = sorted(r.size for r in shingles.select("size").distinct().collect())  # at most SHINGLE values
-    known = bitfilter.build(shingles.select("h").distinct(), "h", shingles.count(), bits_per_row=64)
+    known = bitfilter.build(shingles.select("h").distinct(), shingles.count(), bits_per_row=64)
     kind = docs.schema["doc_id"].dataType.simpleString()
     scanned = stage(
         docs.select("doc_id", "th", "text").mapInArrow(

@@ -36,7 +36,7 @@ def exact_groups(df, id_col="doc_id", text_col="text", prefix="dedup_"):
     # the leading 64 bits of the digest serve as the hash of the filter
     hash64 = F.xxhash64(F.col(sha))
     total = df.select(F.count(F.lit(1))).first()[0]
-    repeats = bitfilter.build(rows.select(hash64.alias("h")), "h", total, twice=True)
+    repeats = bitfilter.build(rows.select(hash64), total, twice=True)
 
     @F.pandas_udf(BooleanType())
     def may_repeat(hashes: pd.Series) -> pd.Series:

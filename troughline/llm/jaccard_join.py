@@ -43,7 +43,7 @@ SKETCH_SEGMENT = 1 << 16
 #: Sets of more shingles are never enumerated.
 MAX_SMALL = 12
 #: Rounds of one-partner verification at most, before all open pairs are verified.
-STAR_ROUNDS = 6
+STAR_ROUNDS = 2
 #: Open pairs, as a multiple of the list entries, that are verified without another such round.
 OPEN_PAIRS = 2
 
@@ -126,11 +126,28 @@ def _rarity(scanned):
     return scale
 
 
-def _prefixes(shared, inside, size):
-    """Arrow mapper: class, set size and shingles in order of rarity, a small set whole, others the prefix."""
+def _all_shingles(inside, size):
+    """The shingles of a batch of texts, each once a document."""
+
+    def hashes(batch):
+        found = [s for _, _, data, offsets in wordscan.chunks(batch.column(0)) for s in wordscan.shingle_sets(data, offsets, inside, size)]
+        return np.concatenate(found) if found else np.zeros(0, dtype=np.uint64)
+
+    return hashes
+
+
+def _list_values(batch):
+    return batch.column(0).flatten().to_numpy(zero_copy_only=False)
+
+
+def _prefixes(shared, common, inside, size):
+    """Arrow mapper: class, set size and shingles in order of rarity, a small set whole, others the prefix.
+
+    A set whose whole prefix are shingles of no other document is left out: it has no partner.
+    """
 
     def scan(batches):
-        scale = shared.value
+        scale, repeated = shared.value, common.value
         for batch in batches:
             classes, sizes, heads = [], [], []
             for _, _, data, offsets in wordscan.chunks(batch.column("text")):
@@ -138,7 +155,11 @@ def _prefixes(shared, inside, size):
                     n = len(shingles)
                     if not n:
                         continue
-                    order = np.lexsort((shingles, scale[(shingles & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64)]))
+                    maybe = repeated.has(shingles)
+                    if n - np.count_nonzero(maybe) >= prefix_length(n):
+                        continue
+                    bucket = (shingles & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64)
+                    order = np.lexsort((shingles, scale[bucket], maybe))
                     classes.append(_class_of(shingles))
                     sizes.append(n)
                     heads.append(shingles[order[: n if n <= MAX_SMALL else prefix_length(n)]].astype(np.int64))
@@ -257,10 +278,15 @@ def class_links(docs, scanned, inside=wordscan.SPACED, size=SHINGLE):
     """(node, root) of all classes that are linked with another one."""
     spark = docs.sparkSession
     rarity = spark.sparkContext.broadcast(_rarity(scanned))
-    heads = docs.select("text").mapInArrow(_prefixes(rarity, inside, size), "c binary, s int, head array<long>")
+    # shingles that are certainly in one document alone come first; a set with enough of them has no partner
+    every = scanned.select(F.sum("n")).first()[0] or 0
+    common = bitfilter.build(
+        docs.select("text"), every, twice=True, bits_per_row=8, probes=1, hashes=_all_shingles(inside, size)
+    )
+    heads = docs.select("text").mapInArrow(_prefixes(rarity, common, inside, size), "c binary, s int, head array<long>")
     sets = stage(heads.groupBy("c").agg(F.first("s").alias("s"), F.first("head").alias("head")), "sets")
     total = sets.select(F.sum(F.size("head")).alias("n")).first().n or 0
-    repeated = bitfilter.build(sets.select(F.explode("head").alias("t")), "t", total, twice=True)
+    repeated = bitfilter.build(sets.select("head"), total, twice=True, hashes=_list_values)
     entries = sets.mapInArrow(_entries(repeated), "token long, c binary, s int, at int")
     entries = stage(entries, "entries")
     shared = entries.groupBy("token").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
@@ -278,7 +304,7 @@ def class_links(docs, scanned, inside=wordscan.SPACED, size=SHINGLE):
 
     wanted = entries.select("c").distinct().select(_head64("c").alias("h"))
     wanted = stage(wanted, "wanted")
-    known = bitfilter.build(wanted, "h", wanted.count())
+    known = bitfilter.build(wanted, wanted.count())
     whole = docs.select("text").mapInArrow(_whole_sets(known, inside, size), "c binary, shingles binary")
     whole = stage(whole.groupBy("c").agg(F.first("shingles").alias("shingles")), "whole-sets")
 
@@ -299,11 +325,11 @@ def class_links(docs, scanned, inside=wordscan.SPACED, size=SHINGLE):
             break
         last = turn == STAR_ROUNDS or open_pairs <= OPEN_PAIRS * members
         current = current.join(open_lists.select("token"), "token")
-        found = _all_open(current, boundary) if last else _one_each(current, boundary, turn)
+        found = _all_open(current, sets, boundary) if last else _one_each(current, boundary, turn)
         found = found.join(tried, ["a", "b"], "left_anti")
         found = stage(found, "candidates")
         good = stage(_checked(found, whole), "verified")
-        links, tried = stage(links.union(good), "links"), stage(tried.union(found), "tried")
+        links, tried = links.union(good), tried.union(found)
         if last:
             break
     return connected(links)
@@ -333,13 +359,23 @@ def _one_each(current, boundary, turn):
     return _ordered_pairs(best.select(F.col("c").alias("a"), F.col("m.d").alias("b"))).distinct()
 
 
-def _all_open(current, boundary):
-    """All pairs of a list that are still in different components."""
-    other = current.select("token", *[F.col(x).alias(f"{x}2") for x in ("c", "s", "at", "root")])
-    pairs = current.join(other, "token").where((F.col("c") < F.col("c2")) & (F.col("root") != F.col("root2")))
-    pairs = pairs.where((F.col("s") > boundary) | (F.col("s2") > boundary))
-    pairs = pairs.where(_possible(F.col("s"), F.col("at"), F.col("s2"), F.col("at2")))
-    return _ordered_pairs(pairs.select(F.col("c").alias("a"), F.col("c2").alias("b"))).distinct()
+def _all_open(current, sets, boundary):
+    """All pairs that share a list and are still in different components, from the first list they share.
+
+    Heads of one order bound the intersection: a shared shingle is in both heads, or it lies beyond the end
+    of the head that ends first.
+    """
+    heads = sets.select("c", "head")
+    current = current.join(heads, "c").withColumn("before", F.slice("head", F.lit(1), F.col("at")))
+    other = current.select("token", *[F.col(x).alias(f"{x}2") for x in ("c", "s", "at", "root", "head", "before")])
+    pair = (F.col("token") == F.col("token_")) & (F.col("c") < F.col("c2")) & (F.col("root") != F.col("root2"))
+    pair = pair & ((F.col("s") > boundary) | (F.col("s2") > boundary))
+    pair = pair & _possible(F.col("s"), F.col("at"), F.col("s2"), F.col("at2")) & ~F.arrays_overlap("before", "before2")
+    beyond = F.greatest(F.col("s") - F.size("head"), F.col("s2") - F.size("head2"))
+    need = F.ceil(F.lit(NUM) * (F.col("s") + F.col("s2")) / F.lit(NUM + DEN))
+    pair = pair & (F.size(F.array_intersect("head", "head2")) + beyond >= need)
+    pairs = current.join(other.withColumnRenamed("token", "token_"), pair)
+    return _ordered_pairs(pairs.select(F.col("c").alias("a"), F.col("c2").alias("b")))
 
 
 def _checked(pairs, whole):

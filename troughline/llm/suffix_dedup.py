@@ -114,7 +114,7 @@ def repeated_passages(df, id_col="doc_id", text_col="text", min_words=MIN_WORDS,
     kind = docs.schema["doc_id"].dataType.simpleString()
     suffixes = docs.select("doc_id", "th", "text").mapInArrow(_suffixes(min_words, shingle), "h long")
     suffixes = stage(suffixes, "suffixes")
-    known = bitfilter.build(suffixes, "h", suffixes.count(), twice=True)
+    known = bitfilter.build(suffixes, suffixes.count(), twice=True)
     passages = docs.mapInArrow(
         _passages(known, min_words, shingle), f"doc_id {kind}, th long, begin int, passage long"
     )
