@@ -126,11 +126,14 @@ def repeated_passages(df, id_col="doc_id", text_col="text", min_words=MIN_WORDS,
     marked = passages.join(owners, F.col("passage") == F.col("key")).select(
         "doc_id", "th", "begin", (~F.col("doc_id").eqNullSafe(F.col("first_doc"))).alias("later"), "first_doc"
     )
-    return _joined(marked.distinct(), min_words)
+    return _joined(marked, min_words)
 
 
 def _joined(marked, min_words):
-    """Spans of each document from the places of its passages, those of first and later ones apart."""
+    """Spans of each document from the places of its passages, those of first and later ones apart.
+
+    Rows that repeat id and text give the same places again, which changes no span.
+    """
     own = Window.partitionBy("doc_id", "th", "later").orderBy("begin")
     before = F.lag("begin").over(own)
     fresh = (before.isNull() | (F.col("begin") > before + min_words)).cast("int")
