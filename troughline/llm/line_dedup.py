@@ -63,8 +63,11 @@ def _rarity(lines):
     return F.lit(bytes(scale))
 
 
-def _heads(lines, scale):
-    """Per class its key, size, earliest line and prefix."""
+PLACE = ("doc_id", "th", "line_no")
+
+
+def _classed(lines, scale):
+    """Per line with words its place, the key and size of its token set, and its prefix."""
 
     def classed(tokens):
         size = F.size(tokens)
@@ -75,11 +78,8 @@ def _heads(lines, scale):
         head = F.transform(F.slice(ranked, F.lit(1), length), lambda x: x["t"])
         return F.struct(F.xxhash64(F.array_sort(tokens)).alias("key"), size.alias("s"), head.alias("head"))
 
-    rows = lines.select("doc_id", "th", "line_no", tokens_of(F.col("line")).alias("tokens")).where(F.size("tokens") > 0)
-    rows = rows.select(F.struct("doc_id", "th", "line_no").alias("place"), bind(F.col("tokens"), classed).alias("x"))
-    return rows.groupBy(F.col("x.key").alias("key")).agg(
-        F.min("place").alias("place"), F.first("x.s").alias("s"), F.first("x.head").alias("head")
-    )
+    rows = lines.select(*PLACE, tokens_of(F.col("line")).alias("tokens")).where(F.size("tokens") > 0)
+    return rows.select(*PLACE, bind(F.col("tokens"), classed).alias("x")).select(*PLACE, "x.*")
 
 
 def _possible():
@@ -90,14 +90,14 @@ def _possible():
     return length & (room >= need)
 
 
-def _bit(place):
-    return F.pmod(F.xxhash64(place), F.lit(BITMAP_BITS))
+def _bit(value):
+    return F.pmod(F.xxhash64(value), F.lit(BITMAP_BITS))
 
 
-def _bitmap(places):
-    """Bitmap of places as a binary literal: BITMAP_BITS / 8 bytes at most, whatever the input."""
+def _bitmap(values):
+    """Bitmap of the values of a column ``value``, a binary literal of BITMAP_BITS / 8 bytes whatever the input."""
     # positions count from 1 in Spark's bitmap functions
-    blocks = places.select((_bit(F.col("place")) + 1).alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("block"))
+    blocks = values.select((_bit(F.col("value")) + 1).alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("block"))
     out = bytearray(BITMAP_BITS // 8)
     size = _BLOCK_BITS // 8
     for row in blocks.agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")).toLocalIterator():
@@ -106,12 +106,12 @@ def _bitmap(places):
     return F.lit(bytes(out))
 
 
-def _in_bitmap(bitmap, place):
+def _in_bitmap(bitmap, value):
     def test(bit):
         byte = F.conv(F.hex(F.substring(bitmap, F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
         return byte.bitwiseAND(F.pow(F.lit(2), bit % 8).cast("int")) > 0
 
-    return bind(_bit(place), test)
+    return bind(_bit(value), test)
 
 
 def _verified(pairs, sets):
@@ -126,21 +126,27 @@ def _verified(pairs, sets):
 
 def similar_lines(df, id_col="doc_id", text_col="text"):
     """Per line with words doc_id, th, line_no, n_tokens and kept."""
-    docs = documents(df, id_col, text_col).distinct()
-    lines = lines_of(docs)
-    heads = stage(_heads(lines, _rarity(lines)), "line-heads")
-    entries = heads.select("key", "place", "s", F.posexplode("head").alias("at", "token"))
-    repeated = entries.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("place", "key", "s", "at")).alias("p"))
-    repeated = stage(repeated.where("n > 1").drop("n"), "line-tokens")
+    lines = lines_of(documents(df, id_col, text_col))
+    classed = stage(_classed(lines, _rarity(lines)), "lines")
+    place = F.struct(*PLACE)
+    firsts = stage(classed.groupBy("key").agg(F.min(place).alias("place")), "line-firsts")
+
+    # only entries of tokens that more than one line has go on; then those that more than one class has
+    tokens = classed.select(F.explode("head").alias("value")).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+    repeated = _bitmap(tokens.where("n > 1"))
+    entries = classed.select("key", "s", F.posexplode("head").alias("at", "token")).where(_in_bitmap(repeated, F.col("token")))
+    entries = entries.groupBy("token", "key").agg(F.first("s").alias("s"), F.first("at").alias("at"))
+    entries = stage(entries.join(firsts, "key"), "line-entries")
+    earliest = entries.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("place", "key", "s", "at")).alias("p"))
+    earliest = stage(earliest.where("n > 1").drop("n"), "line-tokens")
     # the entries of shared tokens, with the earliest class of the token's list
-    shared = stage(entries.join(repeated, "token"), "line-lists")
+    shared = stage(entries.join(earliest, "token"), "line-lists")
 
-    sets_of = shared.select("place").distinct()
-    bitmap = _bitmap(sets_of)
-    chosen = lines.where(_in_bitmap(bitmap, F.struct("doc_id", "th", "line_no")))
-    sets = chosen.select(F.struct("doc_id", "th", "line_no").alias("place"), tokens_of(F.col("line")).alias("tokens"))
-    wanted = shared.select("key", "place").distinct()
-    sets = stage(sets.join(wanted, "place").select("key", "tokens"), "line-sets")
+    wanted = stage(shared.select("key", "place").distinct(), "line-wanted")
+    bitmap = _bitmap(wanted.select(F.col("place").alias("value")))
+    chosen = lines.where(_in_bitmap(bitmap, place)).select(place.alias("place"), tokens_of(F.col("line")).alias("tokens"))
+    sets = chosen.join(wanted, "place").groupBy("key").agg(F.first("tokens").alias("tokens"))
+    sets = stage(sets, "line-sets")
 
     first = shared.where(F.col("key") != F.col("p.key"))
     first = first.withColumn("s2", F.col("p.s")).withColumn("at2", F.col("p.at")).where(_possible())
@@ -156,15 +162,12 @@ def similar_lines(df, id_col="doc_id", text_col="text"):
     )
     rest = still.join(other, "token").where(F.col("place2") < F.col("place")).where(_possible())
     rest = rest.select("key", "key2").distinct().join(star, ["key", "key2"], "left_anti")
-    gone = stage(gone.union(_verified(rest, sets)).distinct(), "line-gone")
-
-    # the earliest line of a class that stays is the only line of it that does
-    firsts = heads.select("key", "place", "s").join(gone.withColumn("similar", F.lit(True)), "key", "left")
-    firsts = stage(firsts.select("place", F.col("similar").isNull().alias("stays")), "line-firsts")
-    counted = lines.select(
-        F.struct("doc_id", "th", "line_no").alias("place"), F.size(tokens_of(F.col("line"))).alias("n_tokens")
-    ).where("n_tokens > 0")
-    joined = counted.join(firsts, "place", "left")
+    gone = gone.union(_verified(rest, sets)).distinct()
+
+    # the earliest line of a class that stays is the only line of it that does; rows that repeat fall together
+    stays = firsts.join(gone, "key", "left_anti").select("place", F.lit(True).alias("stays"))
+    rows = classed.groupBy(place.alias("place")).agg(F.first("s").alias("n_tokens"))
+    joined = rows.join(stays, "place", "left")
     return joined.select(
         "place.doc_id", "place.th", "place.line_no", "n_tokens", F.coalesce("stays", F.lit(False)).alias("kept")
     )
