@@ -34,7 +34,7 @@ ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
 DICTIONARY_BYTES = 2 << 20
 #: Parts of texts that a worker remembers.
-REMEMBERED = 2_000_000
+REMEMBERED = 1_500_000
 
 #: The sign that stands for a blank in byte-level vocabularies.
 BLANK = "\u0120"
@@ -204,21 +204,33 @@ def write_tokens(df, path, vocabulary, end_id, id_col="doc_id", text_col="text")
     encoded.write.options(**WRITER_OPTIONS).parquet(path)
 
 
-def read_tokens(spark, path):
-    """The written rows with ``start``, the ids of all documents before; read only the columns you need."""
-    rows = spark.read.parquet(path)
+def _with_start(rows, counts):
+    """``rows`` of the files with ``start``, the ids of all documents before; ``counts`` are those of all rows."""
     # one row a file: where its ids begin in the whole
-    files = rows.groupBy("part").agg(F.sum("n_tokens").alias("ids"))
+    files = counts.groupBy("part").agg(F.sum("n_tokens").alias("ids"))
     every = Window.partitionBy(F.lit(0)).orderBy("part")
     files = files.select(F.col("part").alias("file"), (F.sum("ids").over(every) - F.col("ids")).alias("begin"))
     joined = rows.join(files, F.col("part") == F.col("file"))
     return joined.withColumn("start", F.col("begin") + F.col("offset")).drop("file", "begin")
 
 
+def read_positions(spark, path):
+    """doc_id, start, n_tokens, part and offset of every document; the token pages are not read."""
+    rows = spark.read.parquet(path).drop("tokens")
+    return _with_start(rows, rows)
+
+
+def read_tokens(spark, path, where=None):
+    """doc_id and tokens of the documents that ``where`` selects; pages that cannot hold one are skipped."""
+    rows = spark.read.parquet(path)
+    return (rows if where is None else rows.where(where)).select("doc_id", "tokens")
+
+
 def token_digests(spark, path):
     """Per document doc_id, start, n_tokens and the CRC-32 of its ids, from the files."""
-    rows = read_tokens(spark, path).select("doc_id", "start", "n_tokens", "part", "offset", "tokens")
+    rows = spark.read.parquet(path)
     kind = rows.schema["doc_id"].dataType.simpleString()
+    columns = ["doc_id", "part", "offset", "n_tokens"]
 
     def digest(batches):
         for batch in batches:
@@ -227,12 +239,15 @@ def token_digests(spark, path):
             bounds = tokens.offsets.to_numpy()
             sums = [zlib.crc32(values[lo:hi].tobytes()) for lo, hi in zip(bounds[:-1], bounds[1:])]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in ("doc_id", "start", "n_tokens", "part", "offset")), pa.array(sums, pa.int64())],
-                names=["doc_id", "start", "n_tokens", "part", "offset", "ids_crc32"],
+                [*(batch.column(c) for c in columns), pa.array(sums, pa.int64())], names=[*columns, "ids_crc32"]
             )
 
-    return rows.mapInArrow(
-        digest, f"doc_id {kind}, start long, n_tokens long, part int, offset long, ids_crc32 long"
+    # the ids stay in the task that reads them: only their digest goes on
+    digests = rows.select(*columns, "tokens").mapInArrow(
+        digest, f"doc_id {kind}, part int, offset long, n_tokens long, ids_crc32 long"
+    )
+    return _with_start(digests, rows.select("part", "n_tokens")).select(
+        "doc_id", "start", "n_tokens", "ids_crc32", "part", "offset"
     )
 
 
