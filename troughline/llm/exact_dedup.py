@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
 from troughline.llm import bitfilter
-from troughline.llm.base import python_ready
+from troughline.llm.base import python_ready, stage
 
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 
@@ -59,22 +59,21 @@ def exact_groups(df, id_col="doc_id", text_col="text", prefix="dedup_"):
         .groupBy(group_key)
         .agg(F.sum(equal).alias(size), F.min(F.struct(least, equal)).alias(least))
     )
+    # stored, so that the join sees a small table and can split a group that a third of the rows are in
+    groups = stage(groups, "copies")
     joined = (
         shuffled.join(groups, F.col(sha) == F.col(group_key))
         .withColumn(keep, F.col(f"{least}.{least}.id"))
         .withColumn(kept, order == F.col(f"{least}.{least}"))
     )
-    # rows equal in every column cannot be told apart by order: they are numbered, and one of them stays
-    equal_rows = F.col(kept) & (F.col(f"{least}.{equal}") > 1)
-    numbered = joined.where(equal_rows).withColumn(
-        kept, F.row_number().over(Window.partitionBy(sha).orderBy(F.lit(0))) == 1
-    )
     columns = [*df.columns, sha, keep, size, kept]
-    return (
-        single.select(*columns)
-        .unionByName(joined.where(~equal_rows).select(*columns))
-        .unionByName(numbered.select(*columns))
-    )
+    out = single.select(*columns).unionByName(joined.select(*columns))
+    if groups.where(F.col(f"{least}.{equal}") > 1).isEmpty():
+        return out
+    # rows equal in every column cannot be told apart by order: they are numbered, and one of them stays
+    other = F.when(~F.col(kept), F.xxhash64(id_col))  # spreads the rows that go
+    first = F.row_number().over(Window.partitionBy(sha, kept, other).orderBy(F.lit(0))) == 1
+    return single.select(*columns).unionByName(joined.withColumn(kept, F.col(kept) & first).select(*columns))
 
 
 def exact_dedup(df, id_col="doc_id", text_col="text"):
