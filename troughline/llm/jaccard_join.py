@@ -43,7 +43,7 @@ SKETCH_SEGMENT = 1 << 16
 #: Sets of more shingles are never enumerated.
 MAX_SMALL = 12
 #: Rounds of one-partner verification at most, before all open pairs are verified.
-STAR_ROUNDS = 2
+STAR_ROUNDS = 6
 #: Open pairs, as a multiple of the list entries, that are verified without another such round.
 OPEN_PAIRS = 2
 
