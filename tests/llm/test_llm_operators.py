@@ -3,6 +3,7 @@
 import hashlib
 import os
 import random
+import re
 import zlib
 
 import numpy as np
@@ -143,6 +144,43 @@ def test_added_spans_touch_no_base_span(spark):
     assert row.redacted == "call [number] or [phone], mail [address]"
 
 
+def planted(count=240):
+    """Texts with base hits, personal data written in other ways, and clean numbers; what is to be added."""
+    rng, texts, want = random.Random(8), [], {}
+    digits = lambda n: "".join(rng.choice("23456789") for _ in range(n))
+    fill = lambda: " ".join(rng.choice(["there", "was", "a", "long", "road", "to", "it"]) for _ in range(6))
+    for k in range(count):
+        a, b, c, name = digits(3), digits(3), digits(4), f"ann.{digits(2)}"
+        base = rng.choice([f"{name}@mail{k % 5}.example.com", f"+1 ({a}) {b}-{c}", f"10.{k % 200}.7.1", "4652288524086166"])
+        added = [f"{name} (at) mail{k % 5} (dot) example (dot) com", f"{name} @ mail.example.com", f"{name}[at]mail.example.com",
+                 f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"1 ({a}) {b}-{c}"][k % 6]
+        clean = [f"order {digits(9)} of", f"2019-0{k % 9 + 1}-1{k % 10} then", f"look (at) this. Then {digits(5)}.{digits(4)} is",
+                 f"4652288524086{digits(2)}1 was"][k % 4]
+        parts = [f"{fill()} {base} {fill()}", f"{fill()} {clean} {fill()}"]
+        if k % 2:
+            parts.append(f"{fill()} {added} {fill()}")
+            rng.shuffle(parts)
+        text = "\n".join(parts)
+        want[k] = {added} if k % 2 else set()
+        texts.append(text)
+    return texts, want
+
+
+def added_texts(spark, texts, model):
+    df = spark.createDataFrame(list(enumerate(texts)), COLUMNS)
+    rows = pii.find(df, model).select("doc_id", "added").collect()
+    return {r.doc_id: [texts[r.doc_id][x.s : x.e] for x in r.added] for r in rows}
+
+
+def test_fitted_model_adds_personal_data_in_other_forms(spark):
+    texts, want = planted()
+    # the fourth clean number must not be a card
+    want = {k: v for k, v in want.items() if not any(plain_text.luhn(x) for x in re.findall("4652288524086[0-9]{3}", texts[k])
+            if x != "4652288524086166")}
+    got = added_texts(spark, texts, pii.fit(spark.createDataFrame(list(enumerate(texts)), COLUMNS)))
+    assert {k: set(got[k]) for k in want} == want
+
+
 def test_library_and_word_encoders_on_odd_texts():
     from tokenizers import Tokenizer
 

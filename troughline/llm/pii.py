@@ -1,13 +1,13 @@
 """Personal data: fixed formats, and candidates chosen by boosted trees, in column expressions only.
 
 Four fixed formats (e-mail, IP address, payment card, telephone) give the base spans. Beside them, high-recall
-generators propose spans that may overlap each other and the base: runs of digits with separators,
-and addresses with written-out signs. Gradient-boosted trees score every candidate by its shape and by
-the text around it. They learn from the candidates of a bounded sample of documents, where a candidate
-that covers a base span is a positive; checksums and other tests that define the base formats are kept
-out of the features, so that a high score means "looks and stands like the real ones". A threshold for
-each generator is calibrated on the part of the sample that the trees did not see; candidates above it that
-touch no base span are added. The trees are compiled into an SQL expression: scoring
+generators propose spans that may overlap each other: numbers with separators, and addresses with
+written-out signs, in the text outside the base spans. Gradient-boosted trees score every candidate by
+its shape and by the text around it. They learn from a bounded sample of documents: its candidates, labelled by their
+normalised content (signs rewritten, separators stripped, then the checks) and context, and base hits written in
+other ways where they stand, which are positives. Tests that define the base formats are kept out of the
+features. A threshold for each generator is calibrated on those labels of candidates outside base spans;
+candidates above it are added. The trees are compiled into an SQL expression: scoring
 is part of the scan's projection, without a join, a shuffle or Python.
 
 Offsets count code points, ends are exclusive. All patterns have a fixed cost a character: runs are
@@ -40,16 +40,42 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: Generators of candidates.
 DIGITS = r"[0-9+(][0-9\x20().+/-]{5,38}[0-9]"
-_SIGN = r"\x20?(?:@|\(at\)|\[at\])\x20?"
-_DOT = r"\x20?(?:\.|\(dot\)|\[dot\])\x20?"
-ADDRESS = rf"[A-Za-z0-9._%+-]{{1,64}}{_SIGN}[A-Za-z0-9-]{{1,63}}(?:{_DOT}[A-Za-z0-9-]{{1,63}}){{1,8}}"
-GENERATORS = {"number": DIGITS, "address": ADDRESS}
+_AT = r"[(\[{]\x20?(?:@|at|AT)\x20?[)\]}]"
+_POINT = r"[(\[{]\x20?(?:\.|dot|DOT)\x20?[)\]}]"
+_SIGN = rf"\x20?(?:@|{_AT})\x20?"
+_DOT = rf"\x20?(?:\.|{_POINT})\x20?"
+#: A plain dot with a blank on one side only ends a sentence.
+_LOOSE = r"(?<!\x20)\.\x20|\x20\.(?!\x20)"
+_TIGHT = rf"(?:\.(?!\x20)|\x20\.\x20|\x20?{_POINT}\x20?)"
+
+
+def _address(dot):
+    return rf"[A-Za-z0-9._%+-]{{1,64}}{_SIGN}[A-Za-z0-9-]{{1,63}}(?:{dot}[A-Za-z0-9-]{{1,63}}){{1,8}}"
+
+
+ADDRESS = _address(_DOT)
+#: The same up to the end of its sentence.
+TIGHT_ADDRESS = _address(_TIGHT)
+GENERATORS = ("number", "address")
 #: Characters of context on either side, and words there that speak of personal data.
 CONTEXT = 24
+PHONE_CUE = r"\b(call|phone|telephone|tel|fax|mobile|cell|contact)\b[^0-9A-Za-z]*(?:(?:me|us|at|on|is|no|number)\b[^0-9A-Za-z]*){0,2}$"
 CUES = r"\b(call|phone|tel|fax|mobile|card|visa|mail|contact|address|ip|host)\b"
 
+_YEAR = "(?:19|20)[0-9]{2}"
+_DATE = rf"{_YEAR}[./-][0-9]{{1,2}}[./-][0-9]{{1,2}}.*|[0-9]{{1,2}}[./-][0-9]{{1,2}}[./-]{_YEAR}.*|{_YEAR}[\x20/-]+{_YEAR}"
+#: Layouts of numbers whose content is checked: telephones that speak for themselves, and cards.
+PHONE_LAYOUT = (
+    r"(?:(?:\+|00)?[0-9]{1,3}[\x20./-]*)?"
+    r"(?:\([0-9]{2,5}\)[\x20./-]*[0-9]{2,}(?:[\x20./-]+[0-9]{2,})*|[0-9]{3}[\x20./-]+[0-9]{3}[\x20./-]+[0-9]{4})"
+    r"|\+[0-9]{1,3}[\x20()./-]*[0-9]{2,}(?:[\x20()./-]+[0-9]{2,})*"
+)
+CARD_LAYOUT = r"[0-9]{16,19}|[0-9]{4}(?:[\x20./-]{1,3}[0-9]{4}){3}(?:[\x20./-]{0,3}[0-9]{1,3})?"
+
 _SPAN = "array<struct<s:int,e:int,v:string,before:string,after:string>>"
 _BLOCK = 256
+#: Stands for the characters of base spans; no generator takes it.
+_OVER = "\ue000"
 
 
 def _total(array):
@@ -164,9 +190,12 @@ def features(x):
         "dots": _count(v, "."),
         "dashes": _count(v, "-/"),
         "brackets": _count(v, "()[]"),
-        "plus": flag(F.startswith(v, F.lit("+"))),
-        "at": _count(v, "@"),
+        "digits": _count(v, "0123456789"),
+        "loose_dots": (F.size(F.split(v, _LOOSE)) - 1).cast("double"),
         "groups": F.size(F.split(v, "[^0-9A-Za-z]+")).cast("double"),
+        "first_group": F.length(F.regexp_extract(v, "^[^0-9]*([0-9]*)", 1)).cast("double"),
+        "last_group": F.length(F.regexp_extract(v, "([0-9]*)$", 1)).cast("double"),
+        "year": flag(F.rlike(v, F.lit(rf"^{_YEAR}[^0-9]|[^0-9]{_YEAR}$"))),
         "longest_group": F.array_max(F.transform(F.split(v, "[^0-9]+"), F.length)).cast("double"),
         "leading_zero": flag(F.startswith(v, F.lit("0"))),
         "after_blank": flag(F.rlike(before, F.lit(r"(^|\s)$"))),
@@ -175,33 +204,166 @@ def features(x):
         "before_letter": flag(F.rlike(after, F.lit(r"^[A-Za-z]"))),
         "before_sign": flag(F.rlike(after, F.lit("^[=:#\"'%/]"))),
         "cue": flag(F.rlike(F.lower(before), F.lit(CUES))),
+        "phone_cue": flag(F.rlike(F.lower(before), F.lit(PHONE_CUE))),
     }
 
 
 FEATURES = (
-    "length", "digit_share", "blanks", "dots", "dashes", "brackets", "plus", "at", "groups", "longest_group",
+    "length", "digit_share", "blanks", "dots", "dashes", "brackets", "digits", "loose_dots", "groups",
+    "first_group", "last_group", "year", "longest_group",
     "leading_zero", "after_blank", "after_letter", "after_sign", "before_letter", "before_sign", "cue",
+    "phone_cue",
 )
 
 
-def candidates(text):
-    """All generators' candidates, each with its generator and its features."""
+def proposals(text):
+    """All generators' spans, by generator."""
     none = F.array().cast(_SPAN)
-    signed = F.contains(text, F.lit("@")) | F.contains(text, F.lit("(at)")) | F.contains(text, F.lit("[at]"))
-    found = {"number": spans(text, DIGITS), "address": F.when(signed, spans(text, ADDRESS)).otherwise(none)}
-    return F.concat(*[F.transform(found[kind], _candidate(kind)) for kind in GENERATORS])
+    signed = F.rlike(text, F.lit(f"@|{_AT}"))
+    addresses = F.array_distinct(F.concat(spans(text, ADDRESS), spans(text, TIGHT_ADDRESS)))
+    return {
+        "number": F.filter(spans(text, DIGITS), lambda x: _possible(x["v"])),
+        "address": F.when(signed, addresses).otherwise(none),
+    }
+
+
+def _possible(v):
+    """Whether a number's digits pass the checks of a telephone or a card."""
+    return _valid_phone(v) | _valid_card(v)
+
+
+def candidates(text, labelled=False):
+    """All generators' candidates, each with its generator, its features and, if asked for, its label."""
+    found = proposals(text)
+    return F.concat(*[bind(found[kind], _shaped(kind, labelled)) for kind in GENERATORS])
+
 
+def _shaped(kind, labelled):
+    return lambda found: _candidates(kind, found, labelled)
+
+
+def _candidates(kind, found, labelled):
+    whole = F.filter(found, lambda x: F.coalesce(LABELS[kind](x), F.lit(False)))
 
-def _candidate(kind):
     def shaped(x):
         shape = F.struct(*[value.alias(name) for name, value in features(x).items()])
-        return F.struct(F.lit(kind).alias("kind"), x["s"].alias("s"), x["e"].alias("e"), shape.alias("f"))
+        if not labelled:
+            return F.struct(F.lit(kind).alias("kind"), x["s"].alias("s"), x["e"].alias("e"), shape.alias("f"))
+        wider = lambda y: (y["s"] <= x["s"]) & (x["e"] <= y["e"]) & (y["e"] - y["s"] > x["e"] - x["s"])
+        label = F.exists(whole, lambda y: (y["s"] == x["s"]) & (y["e"] == x["e"])) & ~F.exists(whole, wider)
+        return F.struct(
+            F.lit(kind).alias("kind"), x["s"].alias("s"), x["e"].alias("e"), shape.alias("f"), label.alias("label")
+        )
+
+    return F.transform(found, shaped)
+
+
+def _is_number(x):
+    """Label of a number: a card's or a telephone's layout and checks, or a telephone's digits after a cue."""
+    v, before, after = x["v"], x["before"], x["after"]
+    alone = ~F.rlike(before, F.lit("[A-Za-z0-9_=#$%/.-]$")) & ~F.rlike(after, F.lit("^(?:[A-Za-z0-9_%=/-]|[.,][0-9])"))
+    card = F.rlike(v, F.lit(f"^(?:{CARD_LAYOUT})$")) & _valid_card(v)
+    called = F.rlike(F.lower(before), F.lit(PHONE_CUE))
+    phone = _valid_phone(v) & ~F.rlike(v, F.lit(f"^(?:{_DATE})$")) & (
+        F.rlike(v, F.lit(f"^(?:{PHONE_LAYOUT})$")) | called
+    )
+    return alone & (card | phone)
+
+
+def _is_address(x):
+    """Label of an address: an e-mail address once its signs are rewritten."""
+    plain = F.regexp_replace(F.regexp_replace(x["v"], rf"\x20?{_POINT}\x20?|\x20\.\x20", "."), _SIGN, "@")
+    alone = ~F.rlike(x["before"], F.lit(rf"{_LOCAL}$")) & ~F.rlike(x["after"], F.lit("^[A-Za-z0-9_@-]"))
+    return alone & F.rlike(plain, F.lit(r"^[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,24}$"))
+
 
-    return shaped
+LABELS = {"number": _is_number, "address": _is_address}
 
 
-def _touches(x, base):
-    return F.exists(base, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
+def _masked(base):
+    """Base hits written in other ways: text before, variant, text after, and whether the variant is a positive.
+
+    The others are decoys, numbers of the same digits, which get the label of any candidate.
+    """
+    def written(x, positive, decoys=()):
+        every = [(v, True) for v in positive] + [(v, False) for v in decoys]
+        return F.array(*[
+            F.struct(x["before"].alias("before"), v.alias("v"), x["after"].alias("after"), F.lit(p).alias("positive"))
+            for v, p in every
+        ])
+
+    def email(x):
+        at, dot = (lambda v, sign: F.replace(v, F.lit("@"), F.lit(sign))), (
+            lambda v, sign: F.concat(
+                F.substring_index(v, "@", 1), F.lit("@"), F.replace(F.substring_index(v, "@", -1), F.lit("."), F.lit(sign))
+            )
+        )
+        v = x["v"]
+        return written(x, [
+            v, at(v, " @ "), at(v, "(at)"), at(v, " (at) "), at(v, "[@]"),
+            at(dot(v, " (dot) "), " (at) "), at(dot(v, "[dot]"), "[at]"), at(dot(v, " . "), " @ "),
+        ])
+
+    def phone(x):
+        bare = F.substring(x["v"], 2, 10_000)
+        local = F.regexp_replace(bare, r"^[0-9]{1,3}[\x20.-]+(?=[(0-9])", "")
+        joined = lambda v, sign: F.regexp_replace(F.ltrim(F.regexp_replace(v, r"[\x20().-]+", " ")), " ", sign)
+        forms = [x["v"], bare, local, *[joined(v, sign) for v in (bare, local) for sign in ("-", ".", " ")]]
+        return F.filter(written(x, forms, [_digits(bare), *_decoys(_digits(bare))]), lambda y: F.length(y["v"]) > 0)
+
+    def card(x):
+        grouped = lambda sign: F.regexp_replace(_digits(x["v"]), "(?<=[0-9])(?=(?:[0-9]{4})+$)", sign)
+        digits = _digits(x["v"])
+        return written(
+            x, [digits, *[F.when(F.length(digits) == 16, grouped(sign)).otherwise(digits) for sign in (".", "/", "  ")]],
+            _decoys(digits),
+        )
+
+    kinds = {"email": email, "phone": phone, "card": card}
+    return F.concat(*[F.flatten(F.transform(base[kind], form)) for kind, form in kinds.items()])
+
+
+def _decoys(digits):
+    part = lambda at, n: F.substring(digits, at, n)
+    return [
+        part(1, 8), part(1, 12), F.concat(part(1, 6), F.lit("."), part(5, 4)),
+        F.concat(F.lit("20"), part(1, 2), F.lit("-0"), part(3, 1), F.lit("-1"), part(4, 1)),
+        F.concat(part(1, 4), F.lit("-"), part(5, 4)), F.concat(part(1, 3), F.lit("."), part(2, 3), F.lit("."), part(4, 3)),
+    ]
+
+
+def _learned(row):
+    """Candidates of the base hits' other forms in the text beside them, labelled."""
+    at = F.length(row["before"])
+
+    def labelled(x):
+        same = row["positive"] & (x["s"] == at) & (x["e"] == at + F.length(row["v"]))
+        return F.struct(x["kind"], x["f"], F.when(row["positive"], same).otherwise(x["label"]).alias("label"))
+
+    # what stands further off in the text beside it is not of this hit
+    near = F.filter(
+        candidates(F.concat(row["before"], row["v"], row["after"]), labelled=True),
+        lambda x: (x["s"] < at + F.length(row["v"])) & (at < x["e"]),
+    )
+    return F.transform(near, labelled)
+
+
+def without_base(text, base):
+    """The text with every base span overwritten, at the same offsets."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+
+    def step(a, x):
+        kept = F.substring(text, a["at"] + 1, F.greatest(x["s"] - a["at"], F.lit(0)))
+        over = F.repeat(F.lit(_OVER), F.greatest(x["e"] - F.greatest(x["s"], a["at"]), F.lit(0)))
+        return F.struct(
+            F.greatest(a["at"], x["e"]).alias("at"), F.concat(a["out"], F.array(kept, over)).alias("out")
+        )
+
+    def finish(a):
+        return F.concat(F.array_join(a["out"], ""), F.substring(text, a["at"] + 1, F.length(text)))
+
+    every = F.array_sort(_all_base(base))
+    return F.when(F.size(every) == 0, text).otherwise(F.aggregate(every, start, step, finish))
 
 
 def _all_base(base):
@@ -222,13 +384,13 @@ def fit(docs, id_col="doc_id", text_col="text", sample=SAMPLE_DOCUMENTS, rounds=
     chosen = chosen.orderBy(F.xxhash64("chosen"), "chosen").limit(sample)
     # at most ``sample`` ids: small enough to be sent to every task
     rows = rows.join(F.broadcast(chosen.distinct()), F.col("doc_id") == F.col("chosen")).drop("chosen")
-    rows = rows.withColumn("base", base_spans(F.col("text"))).withColumn("candidate", F.explode(candidates(F.col("text"))))
-    rows = rows.select(
-        (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1000)) < 1000 * CALIBRATION_SHARE).alias("held"),
-        "candidate.kind",
-        _touches(F.col("candidate"), _all_base(F.col("base"))).cast("double").alias("label"),
-        "candidate.f.*",
-    )
+    rows = rows.withColumn("base", base_spans(F.col("text"))).withColumn("open", without_base(F.col("text"), F.col("base")))
+    rows = rows.withColumn("held", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1000)) < 1000 * CALIBRATION_SHARE)
+    own = F.transform(candidates(F.col("open"), labelled=True), lambda x: F.struct(x["kind"], x["f"], x["label"]))
+    forms = F.when(~F.col("held"), F.flatten(F.transform(_masked(F.col("base")), _learned)))
+    rows = rows.select("held", own.alias("own"), forms.alias("forms"))
+    rows = rows.select("held", F.explode(F.concat("own", F.coalesce("forms", F.slice("own", 1, 0)))).alias("c"))
+    rows = rows.select("held", "c.kind", F.col("c.label").cast("double").alias("label"), "c.f.*")
     seen = stage(rows.coalesce(4), "pii-candidates")
     if {r.label for r in seen.where(~F.col("held")).select("label").distinct().collect()} != {0.0, 1.0}:
         return CandidateModel("0D", {})
@@ -247,9 +409,8 @@ def fit(docs, id_col="doc_id", text_col="text", sample=SAMPLE_DOCUMENTS, rounds=
         true = total = 0
         for row in sorted((r for r in steps if r.kind == kind), key=lambda r: -r.step):
             true, total = true + row.true, total + row["all"]
-            if true < PRECISION * total:
-                break
-            thresholds[kind] = row.step / 100
+            if true >= PRECISION * total:
+                thresholds[kind] = row.step / 100
     return CandidateModel(margin, thresholds)
 
 
@@ -266,7 +427,8 @@ def find(docs, model, id_col="doc_id", text_col="text", keep=()):
     if not model.thresholds:
         added = F.array().cast("array<struct<kind:string,s:int,e:int,score:double>>")
         return rows.withColumn("added", added)
-    scored = rows.withColumn("candidates", candidates(F.col("text")))
+    rows = rows.withColumn("open", without_base(F.col("text"), F.col("base")))
+    scored = rows.withColumn("candidates", candidates(F.col("open")))
     score = model.margin.replace("f.", "x.f.")
     scored = scored.withColumn("scored", F.expr(
         "transform(candidates, x -> struct(x.kind as kind, x.s as s, x.e as e, "
@@ -274,14 +436,13 @@ def find(docs, model, id_col="doc_id", text_col="text", keep=()):
     ))
     limits = " OR ".join(f"(x.kind = '{kind}' AND x.score >= {limit!r}D)" for kind, limit in model.thresholds.items())
     chosen = F.expr(f"filter(scored, x -> {limits})")
-    free = F.filter(chosen, lambda x: ~_touches(x, _all_base(F.col("base"))))
-    scored = scored.withColumn("free", free)
+    scored = scored.withColumn("free", chosen)
     # of candidates that overlap, the higher score stays, then the earlier one
     better = F.expr(
         "filter(free, x -> NOT exists(free, y -> y.s < x.e AND x.s < y.e AND "
         "(y.score > x.score OR (y.score = x.score AND (y.s < x.s OR (y.s = x.s AND y.kind < x.kind))))))"
     )
-    return scored.withColumn("added", better).drop("candidates", "scored", "free")
+    return scored.withColumn("added", better).drop("open", "candidates", "scored", "free")
 
 
 def _written(kind, array):
