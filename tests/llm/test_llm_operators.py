@@ -181,6 +181,17 @@ def test_fitted_model_adds_personal_data_in_other_forms(spark):
     assert {k: set(got[k]) for k in want} == want
 
 
+def test_numbers_side_by_side_are_added_one_by_one(spark):
+    texts = [f"{text} {k}x" for k, text in enumerate(planted(200)[0])]
+    pair, run = "so 4465758382889437 4465758382889437 it", "so +9 (999) 999-9999 999.999.999.999 it, +1 (737) 555-3887 10.1.2.3"
+    model = pii.fit(spark.createDataFrame(list(enumerate(texts + [pair] * 12)), COLUMNS))
+    got = added_texts(spark, [pair, run], model)
+    assert got[0] == ["4465758382889437", "4465758382889437"]
+    model = pii.CandidateModel("5D", {"number": 0.5})
+    got = added_texts(spark, [pair, "so +1 (737) 555-3887 217.94.102.185 it"], model)
+    assert got[0] == ["4465758382889437", "4465758382889437"] and got[1] == ["+1 (737) 555-3887"]
+
+
 def test_library_and_word_encoders_on_odd_texts():
     from tokenizers import Tokenizer
 

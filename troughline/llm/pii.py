@@ -39,7 +39,12 @@ IP = r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: Generators of candidates.
-DIGITS = r"[0-9+(][0-9\x20().+/-]{5,38}[0-9]"
+#: Parts of numbers, and what may stand between two of one number, whose whole has so many characters at most.
+PART = r"\+?\(?[0-9]++(?:[.-][0-9]++)*+"
+_BETWEEN = r"^[\x20().+/-]+$"
+NUMBER_LENGTH = 40
+#: Digits of the longest number that the checks accept: no number has more parts.
+_MOST_DIGITS = 19
 _AT = r"[(\[{]\x20?(?:@|at|AT)\x20?[)\]}]"
 _POINT = r"[(\[{]\x20?(?:\.|dot|DOT)\x20?[)\]}]"
 _SIGN = rf"\x20?(?:@|{_AT})\x20?"
@@ -201,6 +206,8 @@ def features(x):
         "after_blank": flag(F.rlike(before, F.lit(r"(^|\s)$"))),
         "after_letter": flag(F.rlike(before, F.lit(r"[A-Za-z]$"))),
         "after_sign": flag(F.rlike(before, F.lit("[=:#\"'$/]\\s?$"))),
+        "after_digit": flag(F.rlike(before, F.lit(r"[0-9][\x20().+/-]*$"))),
+        "before_digit": flag(F.rlike(after, F.lit(r"^[\x20().+/-]*[0-9]"))),
         "before_letter": flag(F.rlike(after, F.lit(r"^[A-Za-z]"))),
         "before_sign": flag(F.rlike(after, F.lit("^[=:#\"'%/]"))),
         "cue": flag(F.rlike(F.lower(before), F.lit(CUES))),
@@ -212,7 +219,7 @@ FEATURES = (
     "length", "digit_share", "blanks", "dots", "dashes", "brackets", "digits", "loose_dots", "groups",
     "first_group", "last_group", "year", "longest_group",
     "leading_zero", "after_blank", "after_letter", "after_sign", "before_letter", "before_sign", "cue",
-    "phone_cue",
+    "phone_cue", "after_digit", "before_digit",
 )
 
 
@@ -222,11 +229,55 @@ def proposals(text):
     signed = F.rlike(text, F.lit(f"@|{_AT}"))
     addresses = F.array_distinct(F.concat(spans(text, ADDRESS), spans(text, TIGHT_ADDRESS)))
     return {
-        "number": F.filter(spans(text, DIGITS), lambda x: _possible(x["v"])),
+        "number": F.filter(numbers(text), lambda x: _possible(x["v"])),
         "address": F.when(signed, addresses).otherwise(none),
     }
 
 
+def numbers(text):
+    """Every run of consecutive parts within the length bound, so that numbers side by side are proposed one by one."""
+    nothing = F.struct(F.lit(0).alias("e"), F.lit("").alias("v"), F.lit(True).alias("open"), F.array().cast(_SPAN).alias("out"))
+
+    def joined(parts):
+        def begun(p, i):
+            def step(a, q):
+                first = a["v"] == ""
+                beside = (a["e"] + F.length(q["gap"]) == q["s"]) & F.rlike(q["gap"], F.lit(_BETWEEN))
+                v = F.when(first, q["v"]).otherwise(F.concat(a["v"], q["gap"], q["v"]))
+                goes_on = a["open"] & (first | beside) & (F.length(v) <= NUMBER_LENGTH)
+                span = F.struct(
+                    p["s"].alias("s"), q["e"].alias("e"), v.alias("v"), p["before"].alias("before"), q["after"].alias("after")
+                )
+                return F.struct(
+                    q["e"].alias("e"), v.alias("v"), goes_on.alias("open"),
+                    F.when(goes_on, F.concat(a["out"], F.array(span))).otherwise(a["out"]).alias("out"),
+                )
+
+            def closed(a, q):
+                return F.when(a["open"], step(a, q)).otherwise(a)
+
+            return F.aggregate(F.slice(parts, i + 1, F.lit(_MOST_DIGITS)), nothing, closed, lambda a: a["out"])
+
+        return F.flatten(F.transform(parts, begun))
+
+    def placed(parts):
+        """Parts with their neighbours in the text next to them, and the gap before each by itself."""
+        def seen(p, i):
+            last, following = F.get(parts, i - 1), F.get(parts, i + 1)
+            near = last["e"] + F.length(p["before"]) == p["s"]
+            ahead = p["e"] + F.length(p["after"]) == following["s"]
+            before = F.when(near, F.right(F.concat(last["v"], p["before"]), F.lit(CONTEXT))).otherwise(p["before"])
+            after = F.when(ahead, F.left(F.concat(p["after"], following["v"]), F.lit(CONTEXT))).otherwise(p["after"])
+            return F.struct(
+                p["s"].alias("s"), p["e"].alias("e"), p["v"].alias("v"), p["before"].alias("gap"),
+                before.alias("before"), after.alias("after"),
+            )
+
+        return bind(F.transform(parts, seen), joined)
+
+    return bind(spans(text, PART), placed)
+
+
 def _possible(v):
     """Whether a number's digits pass the checks of a telephone or a card."""
     return _valid_phone(v) | _valid_card(v)
@@ -283,7 +334,7 @@ LABELS = {"number": _is_number, "address": _is_address}
 def _masked(base):
     """Base hits written in other ways: text before, variant, text after, and whether the variant is a positive.
 
-    The others are decoys, numbers of the same digits, which get the label of any candidate.
+    The others, numbers of the same digits and two numbers side by side, get the label of any candidate.
     """
     def written(x, positive, decoys=()):
         every = [(v, True) for v in positive] + [(v, False) for v in decoys]
@@ -309,20 +360,24 @@ def _masked(base):
         local = F.regexp_replace(bare, r"^[0-9]{1,3}[\x20.-]+(?=[(0-9])", "")
         joined = lambda v, sign: F.regexp_replace(F.ltrim(F.regexp_replace(v, r"[\x20().-]+", " ")), " ", sign)
         forms = [x["v"], bare, local, *[joined(v, sign) for v in (bare, local) for sign in ("-", ".", " ")]]
-        return F.filter(written(x, forms, [_digits(bare), *_decoys(_digits(bare))]), lambda y: F.length(y["v"]) > 0)
+        return F.filter(written(x, forms, [_digits(bare), _twice(local), *_decoys(_digits(bare))]), lambda y: F.length(y["v"]) > 0)
 
     def card(x):
         grouped = lambda sign: F.regexp_replace(_digits(x["v"]), "(?<=[0-9])(?=(?:[0-9]{4})+$)", sign)
         digits = _digits(x["v"])
         return written(
             x, [digits, *[F.when(F.length(digits) == 16, grouped(sign)).otherwise(digits) for sign in (".", "/", "  ")]],
-            _decoys(digits),
+            [_twice(digits), *_decoys(digits)],
         )
 
     kinds = {"email": email, "phone": phone, "card": card}
     return F.concat(*[F.flatten(F.transform(base[kind], form)) for kind, form in kinds.items()])
 
 
+def _twice(v):
+    return F.concat_ws(" ", v, v)
+
+
 def _decoys(digits):
     part = lambda at, n: F.substring(digits, at, n)
     return [
