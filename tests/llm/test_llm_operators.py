@@ -192,6 +192,13 @@ def test_numbers_side_by_side_are_added_one_by_one(spark):
     assert got[0] == ["4465758382889437", "4465758382889437"] and got[1] == ["+1 (737) 555-3887"]
 
 
+def test_overlap_chain_keeps_what_no_kept_span_covers(spark):
+    rows = [(1, [("number", 0, 10, 0.7), ("address", 8, 20, 0.8), ("number", 18, 30, 0.9), ("number", 40, 50, 0.6)])]
+    df = spark.createDataFrame(rows, "doc_id long, c array<struct<kind:string,s:int,e:int,score:double>>")
+    kept = df.select(pii.apart(F.col("c")).alias("kept")).first().kept
+    assert sorted((x.s, x.e) for x in kept) == [(0, 10), (18, 30), (40, 50)]
+
+
 def test_library_and_word_encoders_on_odd_texts():
     from tokenizers import Tokenizer
 

@@ -474,6 +474,20 @@ def _probability(margin, seen):
     return F.expr(f"1D / (1D + exp(-2D * ({nested})))")
 
 
+def apart(scored):
+    """Of candidates that overlap, the higher score stays, then the earlier and the longer one."""
+    ordered = F.array_sort(F.transform(scored, lambda x: F.struct(
+        (-x["score"]).alias("r"), x["s"].alias("s"), (-x["e"]).alias("r_e"), x["kind"].alias("kind"), x.alias("x"))))
+    kept = F.aggregate(
+        ordered,
+        F.slice(ordered, 1, 0),
+        lambda a, y: F.when(
+            F.exists(a, lambda z: (z["s"] < -y["r_e"]) & (y["s"] < -z["r_e"])), a
+        ).otherwise(F.concat(a, F.array(y))),
+    )
+    return F.transform(kept, lambda y: y["x"])
+
+
 def find(docs, model, id_col="doc_id", text_col="text", keep=()):
     """Per row doc_id, the spans of each base kind and ``added`` spans (kind, s, e, score), by column."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -492,12 +506,7 @@ def find(docs, model, id_col="doc_id", text_col="text", keep=()):
     limits = " OR ".join(f"(x.kind = '{kind}' AND x.score >= {limit!r}D)" for kind, limit in model.thresholds.items())
     chosen = F.expr(f"filter(scored, x -> {limits})")
     scored = scored.withColumn("free", chosen)
-    # of candidates that overlap, the higher score stays, then the earlier one
-    better = F.expr(
-        "filter(free, x -> NOT exists(free, y -> y.s < x.e AND x.s < y.e AND "
-        "(y.score > x.score OR (y.score = x.score AND (y.s < x.s OR (y.s = x.s AND y.kind < x.kind))))))"
-    )
-    return scored.withColumn("added", better).drop("open", "candidates", "scored", "free")
+    return scored.withColumn("added", apart(F.col("free"))).drop("open", "candidates", "scored", "free")
 
 
 def _written(kind, array):
