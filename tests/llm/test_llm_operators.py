@@ -199,6 +199,17 @@ def test_overlap_chain_keeps_what_no_kept_span_covers(spark):
     assert sorted((x.s, x.e) for x in kept) == [(0, 10), (18, 30), (40, 50)]
 
 
+def test_thresholds_count_documents_outside_the_sample(spark):
+    texts = planted()[0]
+    ids = spark.range(400).select(F.col("id").alias("doc_id"))
+    sampled = [r.doc_id for r in ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(100).collect()]
+    plain = [t for k, t in enumerate(texts) if k % 2 == 0]
+    rare = [t for k, t in enumerate(texts) if k % 6 == 1]
+    rows = [(k, plain[k % len(plain)] if k in sampled else rare[k % len(rare)]) for k in range(400)]
+    model = pii.fit(spark.createDataFrame(rows, COLUMNS), sample=100)
+    assert "address" in model.thresholds
+
+
 def test_library_and_word_encoders_on_odd_texts():
     from tokenizers import Tokenizer
 

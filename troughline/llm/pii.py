@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from troughline.llm import trees
 from troughline.llm.base import bind, stage
 
-#: Documents that the trees learn from, at most, and the share of them kept for the thresholds.
+#: Documents that the trees learn from, at most, and the share of them kept from the trees; thresholds count all documents.
 SAMPLE_DOCUMENTS = 10_000
 CALIBRATION_SHARE = 0.4
 #: Share of true candidates that those above a threshold must reach.
@@ -433,8 +433,9 @@ class CandidateModel:
 
 
 def fit(docs, id_col="doc_id", text_col="text", sample=SAMPLE_DOCUMENTS, rounds=8, depth=3):
-    """Trees and thresholds from the candidates of at most ``sample`` documents."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    """Trees from at most ``sample`` documents, thresholds from the candidates of all."""
+    every = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = every
     chosen = rows.select(F.col("doc_id").alias("chosen")).where(F.col("chosen").isNotNull())
     chosen = chosen.orderBy(F.xxhash64("chosen"), "chosen").limit(sample)
     # at most ``sample`` ids: small enough to be sent to every task
@@ -452,9 +453,13 @@ def fit(docs, id_col="doc_id", text_col="text", sample=SAMPLE_DOCUMENTS, rounds=
     vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(seen)
     model = GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=0.3, seed=1).fit(vectors.where(~F.col("held")))
     margin = trees.margin(model.toDebugString, [f"f.{name}" for name in FEATURES])
+    # what would stay of the candidates of every document
+    every = every.withColumn("base", base_spans(F.col("text")))
+    every = every.select(candidates(without_base(F.col("text"), F.col("base")), labelled=True).alias("candidates"))
+    every = every.select(F.expr(_scored(margin, "x.label as label")).alias("scored"))
+    every = every.select(F.explode(apart(F.col("scored"))).alias("x"))
     steps = (
-        seen.where(F.col("held"))
-        .select("kind", "label", F.floor(_probability(margin, seen) * 100).alias("step"))
+        every.select("x.kind", F.col("x.label").cast("int").alias("label"), F.floor(F.col("x.score") * 100).alias("step"))
         .groupBy("kind", "step")
         .agg(F.sum("label").alias("true"), F.count(F.lit(1)).alias("all"))
         .collect()  # at most 101 rows for each generator
@@ -469,9 +474,11 @@ def fit(docs, id_col="doc_id", text_col="text", sample=SAMPLE_DOCUMENTS, rounds=
     return CandidateModel(margin, thresholds)
 
 
-def _probability(margin, seen):
-    nested = margin.replace("f.", "")
-    return F.expr(f"1D / (1D + exp(-2D * ({nested})))")
+def _scored(margin, *others):
+    """SQL of the candidates with their scores."""
+    fields = ", ".join(["x.kind as kind", "x.s as s", "x.e as e", *others])
+    score = margin.replace("f.", "x.f.")
+    return f"transform(candidates, x -> struct({fields}, 1D / (1D + exp(-2D * ({score}))) as score))"
 
 
 def apart(scored):
@@ -498,11 +505,7 @@ def find(docs, model, id_col="doc_id", text_col="text", keep=()):
         return rows.withColumn("added", added)
     rows = rows.withColumn("open", without_base(F.col("text"), F.col("base")))
     scored = rows.withColumn("candidates", candidates(F.col("open")))
-    score = model.margin.replace("f.", "x.f.")
-    scored = scored.withColumn("scored", F.expr(
-        "transform(candidates, x -> struct(x.kind as kind, x.s as s, x.e as e, "
-        f"1D / (1D + exp(-2D * ({score}))) as score))"
-    ))
+    scored = scored.withColumn("scored", F.expr(_scored(model.margin)))
     limits = " OR ".join(f"(x.kind = '{kind}' AND x.score >= {limit!r}D)" for kind, limit in model.thresholds.items())
     chosen = F.expr(f"filter(scored, x -> {limits})")
     scored = scored.withColumn("free", chosen)
