@@ -24,6 +24,7 @@ from troughline.llm import (
     quality,
     queries,
     sharding,
+    stages,
     suffix_dedup,
     token_output,
     wordscan,
@@ -62,6 +63,14 @@ def test_jaccard_families(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == plain_text.components(docs)
 
 
+def test_one_near_copy_of_a_group_stays(spark):
+    words = " ".join(f"w{k}" for k in range(60))
+    other = " ".join(f"v{k}" for k in range(60))
+    rows = [(1, words), (1, words + " x"), (2, words + " y"), (None, other), (None, other + " x"), (3, "alone here"), (4, "")]
+    left = stages.drop_near_copies(spark, spark.createDataFrame(rows, COLUMNS), None).collect()
+    assert sorted(str(r.doc_id) for r in left) == ["1", "3", "4", "None"]
+
+
 def test_subset_sizes_decide():
     for s in range(1, 13):
         for t in range(1, 13):

@@ -385,7 +385,10 @@ def _checked(pairs, whole):
 
 
 def near_duplicates(df, id_col="doc_id", text_col="text", inside=wordscan.SPACED, size=SHINGLE):
-    """Per document doc_id, th, n_shingles and component_id (the smallest id that links reach)."""
+    """Per document doc_id, th, n_shingles, component_id (the smallest id that links reach) and keeper_th.
+
+    The one document of a component that stays is (component_id, keeper_th), also when ids repeat or are all null.
+    """
     spark = df.sparkSession
     python_ready(spark)
     docs = documents(df, id_col, text_col)
@@ -399,8 +402,11 @@ def near_duplicates(df, id_col="doc_id", text_col="text", inside=wordscan.SPACED
     # an empty set is linked with nothing
     classes = rows.join(labels.select(F.col("node").alias("c"), "root"), "c", "left")
     classes = stage(classes.select("doc_id", "th", "n", F.coalesce("root", "c").alias("root")), "classes")
-    smallest = classes.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    keeper = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "th"))
+    smallest = classes.where("n > 0").groupBy("root").agg(
+        F.min("doc_id").alias("component_id"), keeper["th"].alias("keeper_th")
+    )
     count = F.col("n").cast("long").alias("n_shingles")
-    joined = classes.where("n > 0").join(smallest, "root").select("doc_id", "th", count, "component_id")
-    empty = classes.where("n = 0").select("doc_id", "th", count, F.col("doc_id").alias("component_id"))
+    joined = classes.where("n > 0").join(smallest, "root").select("doc_id", "th", count, "component_id", "keeper_th")
+    empty = classes.where("n = 0").select("doc_id", "th", count, F.col("doc_id").alias("component_id"), F.col("th").alias("keeper_th"))
     return joined.unionByName(empty)

@@ -27,8 +27,9 @@ def drop_copies(spark, docs, sf_dir):
 def drop_near_copies(spark, docs, sf_dir):
     """Jaccard join: of each group of near duplicates the document with the smallest id stays."""
     rows = stage(jaccard_join.near_duplicates(docs), "near-duplicates")
-    # ids are unique after exact deduplication of one table; a component's null ids go with the rest of it
-    losers = rows.where(~F.col("doc_id").eqNullSafe(F.col("component_id")))
+    # ids can repeat and be null: of a group the pair of id and text hash that stays is one
+    stays = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("th") == F.col("keeper_th"))
+    losers = rows.where(~stays)
     return bitfilter.without_keys(docs, _key(docs), losers.select(F.struct("doc_id", "th").alias("key")))
 
 
