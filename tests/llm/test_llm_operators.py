@@ -219,6 +219,22 @@ def test_thresholds_count_documents_outside_the_sample(spark):
     assert "address" in model.thresholds
 
 
+@pytest.mark.parametrize("module", [pii, quality], ids=["pii", "quality"])
+def test_samples_are_looked_for_by_all_tasks(spark, monkeypatch, module):
+    class Seen(Exception):
+        pass
+
+    def staged(df, name):
+        raise Seen(df._jdf.queryExecution().optimizedPlan().toString())
+
+    monkeypatch.setattr(module, "stage", staged)
+    docs = spark.createDataFrame([(k, f"text {k}") for k in range(40)], COLUMNS).repartition(9)
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, quality int")
+    with pytest.raises(Seen) as plan:
+        pii.fit(docs) if module is pii else quality.train(docs, labels)
+    assert "Repartition 4, false" not in str(plan.value)
+
+
 def test_library_and_word_encoders_on_odd_texts():
     from tokenizers import Tokenizer
 

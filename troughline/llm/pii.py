@@ -447,7 +447,7 @@ def fit(docs, id_col="doc_id", text_col="text", sample=SAMPLE_DOCUMENTS, rounds=
     rows = rows.select("held", own.alias("own"), forms.alias("forms"))
     rows = rows.select("held", F.explode(F.concat("own", F.coalesce("forms", F.slice("own", 1, 0)))).alias("c"))
     rows = rows.select("held", "c.kind", F.col("c.label").cast("double").alias("label"), "c.f.*")
-    seen = stage(rows.coalesce(4), "pii-candidates")
+    seen = stage(rows, "pii-candidates").coalesce(4)
     if {r.label for r in seen.where(~F.col("held")).select("label").distinct().collect()} != {0.0, 1.0}:
         return CandidateModel("0D", {})
     vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(seen)

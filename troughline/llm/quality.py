@@ -183,7 +183,8 @@ def train(docs, labels, id_col="doc_id", text_col="text", max_rows=MAX_ROWS):
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     # at most ``max_rows`` ids and labels: small enough to be sent to every task
     rows = rows.join(F.broadcast(chosen), F.col("doc_id") == F.col("labelled")).select("label", "text")
-    return fit(stage(with_stats(rows).select("label", "stats").coalesce(4), "quality-sample"))
+    # all tasks look for the sample; only the small staged table is read by few
+    return fit(stage(with_stats(rows).select("label", "stats"), "quality-sample").coalesce(4))
 
 
 def score(docs, model, id_col="doc_id", text_col="text", keep=()):
