@@ -66,6 +66,14 @@ def test_rejected_patients_keep_their_regimen(spark):
                 assert r.doses == before[r.ID]
 
 
+def test_unfinished_regimens_are_an_error(spark):
+    courses = study.courses(spark, SMALL)
+    with pytest.raises(Exception, match="still sampled after 1 rounds"):
+        replay.replay_simple(courses, replay.guideline_step, rounds=1).select("doses").collect()
+    with pytest.raises(ValueError, match="still sampled after 1 rounds"):
+        replay.replay_bayes(courses, rounds=1)
+
+
 def test_simple_replay_needs_no_extra_shuffle(spark):
     plan = replay.replay_simple(study.courses(spark, SMALL), replay.guideline_step)
     text = plan._jdf.queryExecution().executedPlan().toString()

@@ -9,6 +9,8 @@ in every round; its state is written once per round and finished patients are le
 
 import math
 
+from pyspark.sql import functions as F
+
 from .. import constants as C
 from ..functions.model import KINETICS, add, let, num, settled, with_parameters, with_rate_constants
 from ..operators import dosing, estimation, exposure, policies, regimen, sampling
@@ -140,23 +142,36 @@ def conclude(now, early=False):
                active="coalesce(active and dose_num < size(doses), false)").select(*STATE)
 
 
+def finished(state, rounds):
+    """The state, or an error at reading a regimen that the rounds did not finish."""
+    left = f"raise_error('a patient is still sampled after {rounds} rounds')"
+    return state.withColumn("doses", F.expr(f"if(active, {left}, doses)"))
+
+
 def replay_simple(courses, step, rounds=ROUNDS):
-    """All rounds of a policy without estimation as one narrow plan."""
+    """All rounds of a policy without estimation as one narrow plan; unfinished regimens are an error."""
     state = start(courses)
     for _ in range(rounds):
         state = conclude(step(state))
-    return state
+    return finished(state, rounds)
 
 
 def replay_bayes(courses, rounds=ROUNDS, early=False, **options):
-    """Model-based replay; each round works on the patients that are still being sampled."""
+    """Model-based replay; each round works on the patients that are still being sampled.
+
+    Unfinished regimens are an error.
+    """
     early = early or options.get("peak_trough", False)
     state = start(courses, early)
     done = state.where("not active")  # never sampled: they keep their regimen
-    for _ in range(rounds + (1 if early else 0)):
+    rounds = rounds + (1 if early else 0)
+    for _ in range(rounds):
         after = stage(conclude(bayes_step(state.where("active"), early=early, **options), early), "replay")
         done = done.unionByName(after.where("not active"))
         state = after
         if after.where("active").isEmpty():
             break
-    return done.unionByName(state.where("active"))
+    else:
+        if not state.where("active").isEmpty():
+            raise ValueError(f"patients are still sampled after {rounds} rounds")
+    return done
