@@ -235,6 +235,14 @@ def test_samples_are_looked_for_by_all_tasks(spark, monkeypatch, module):
     assert "Repartition 4, false" not in str(plan.value)
 
 
+def test_lines_that_end_in_crlf(spark):
+    words = "one two three four five six"
+    docs = [(1, f"{words}\r\nother\x0bline\r\n"), (2, f"{words}\n{words.replace(' ', chr(12))}\r\n\r\n"), (3, "other line")]
+    lines = line_dedup.similar_lines(spark.createDataFrame(docs, COLUMNS)).collect()
+    want = {(1, 0): (2, True), (1, 1): (1, True), (2, 0): (2, False), (2, 1): (2, False), (3, 0): (1, False)}
+    assert {(r.doc_id, r.line_no): (r.n_tokens, r.kept) for r in lines} == want
+
+
 def test_library_and_word_encoders_on_odd_texts():
     from tokenizers import Tokenizer
 
