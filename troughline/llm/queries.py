@@ -2,7 +2,19 @@
 
 from pyspark.sql import functions as F
 
-from troughline.llm import bpe, decontamination, exact_dedup, jaccard_join, line_dedup, pii, quality, sharding, suffix_dedup, token_output
+from troughline.llm import (
+    bpe,
+    decontamination,
+    exact_dedup,
+    jaccard_join,
+    line_dedup,
+    pii,
+    quality,
+    sharding,
+    suffix_dedup,
+    token_counts,
+    token_output,
+)
 
 
 def tokenizer_path(name):
@@ -79,7 +91,8 @@ WITH lines AS (
   FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)
 ), words AS (
   SELECT doc_id, line_no, regexp_extract_all(
-    translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS w FROM lines
+    translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') AS w FROM lines
 ), sets AS (
   SELECT doc_id, line_no, CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
     ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) END AS t
@@ -187,6 +200,11 @@ def op10_pii(spark, folder):
     )
 
 
+def op11_token_counts(spark, folder):
+    path = tokenizer_path("piece_bpe_32k.model")
+    return token_counts.count_tokens(read(spark, folder, "documents"), path, limit=4096)
+
+
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_token_output": op2_token_output,
@@ -198,6 +216,7 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_quality": op9_quality,
     "op10_pii": op10_pii,
+    "op11_token_counts": op11_token_counts,
 }
 
 ORACLES = {
