@@ -9,7 +9,9 @@ from troughline.llm import (
     jaccard_join,
     line_dedup,
     pii,
+    prefix_trie,
     quality,
+    ranked_search,
     sharding,
     suffix_dedup,
     token_counts,
@@ -205,6 +207,89 @@ def op11_token_counts(spark, folder):
     return token_counts.count_tokens(read(spark, folder, "documents"), path, limit=4096)
 
 
+def op12_ranked_search(spark, folder):
+    return ranked_search.search(read(spark, folder, "documents"), read(spark, folder, "benchmark"), k=20)
+
+
+OP12_SQL = r"""
+WITH docs AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents
+), items AS (
+  SELECT item_id, term, count(*) AS repeats FROM (
+    SELECT item_id, unnest(regexp_extract_all(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark)
+  GROUP BY ALL
+), totals AS (
+  SELECT count(*) AS docs_n, CAST(sum(len(w)) AS BIGINT) AS terms_n FROM docs WHERE len(w) > 0
+), tfs AS (
+  SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM docs) GROUP BY ALL
+), weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * docs_n + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w
+  FROM tfs, totals GROUP BY term, docs_n
+), lengths AS (
+  SELECT doc_id, 75 + (25 * len(w) * docs_n) // terms_n AS m FROM docs, totals WHERE len(w) > 0
+), scores AS (
+  SELECT item_id, doc_id, CAST(sum(repeats * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+  FROM items JOIN tfs USING (term) JOIN weights USING (term) JOIN lengths USING (doc_id) GROUP BY ALL
+), ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank
+  FROM scores WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 20
+"""
+
+
+def op13_prefix_trie(spark, folder):
+    turns, convs = prefix_trie.rebuilt(
+        read(spark, folder, "conversations"), base="conv - conv % 100", shared="crc32(cast(conv as string)) % 6", most=5
+    )
+    return prefix_trie.prefix_trie(turns, convs)
+
+
+OP13_SQL = r"""
+WITH crc_table AS (
+  SELECT list(list_reduce(list_prepend(i, [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+         lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t
+  FROM range(256) r(i)
+), convs AS (
+  SELECT conv_id, list({'r': coalesce(role, ''), 't': coalesce(text, '')}
+    ORDER BY turn NULLS FIRST, coalesce(role, ''), sha256(coalesce(text, ''))) AS turns
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), heads AS (
+  SELECT conv_id, turns, xor(list_reduce(list_prepend(4294967295::BIGINT,
+      list_transform(regexp_extract_all(hex(encode(CAST(conv_id AS VARCHAR))), '..'), lambda h: CAST('0x' || h AS BIGINT))),
+    lambda c, b: xor(t[xor(c & 255, b) + 1], c >> 8)), 4294967295) % 6 AS h
+  FROM convs, crc_table
+), rebuilt AS (
+  SELECT a.conv_id, list_concat(coalesce(b.turns[1:CAST(a.h AS INTEGER)], []), a.turns[CAST(a.h AS INTEGER) + 1:]) AS turns
+  FROM heads a LEFT JOIN heads b ON b.conv_id = a.conv_id - a.conv_id % 100
+), prefixes AS (
+  SELECT conv_id, turns, unnest(range(0, len(turns) + 1)) AS depth FROM rebuilt
+), nodes AS (
+  SELECT depth, key, min(conv_id) AS conv_id, count(*) AS n_convs,
+    CASE WHEN depth > 0 THEN length(any_value(turns[depth]).t) ELSE 0 END AS chars,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (len(turns) = depth), '')) AS ends_sha256
+  FROM (SELECT conv_id, turns, depth, turns[1:depth] AS key FROM prefixes) GROUP BY depth, key
+), named AS (
+  SELECT nodes.*, up.conv_id AS parent_conv_id FROM nodes LEFT JOIN nodes up
+    ON up.depth = nodes.depth - 1 AND up.key = nodes.key[1:nodes.depth - 1]
+), children AS (
+  SELECT parent_conv_id AS conv_id, depth - 1 AS depth, count(*) AS n_children
+  FROM named WHERE depth > 0 GROUP BY ALL
+), below AS (
+  SELECT up.conv_id, up.depth, sum((down.n_convs - 1) * down.chars) AS saved_tokens,
+    count(*) FILTER (NOT EXISTS (SELECT 1 FROM children c WHERE c.conv_id = down.conv_id AND c.depth = down.depth)) AS n_leaves
+  FROM named up JOIN named down ON down.depth >= up.depth AND down.key[1:up.depth] = up.key GROUP BY ALL
+)
+SELECT conv_id, depth, parent_conv_id, n_convs, coalesce(n_children, 0) AS n_children, n_leaves,
+  CAST(saved_tokens AS BIGINT) AS saved_tokens, ends_sha256
+FROM named JOIN below USING (conv_id, depth) LEFT JOIN children USING (conv_id, depth)
+"""
+
+
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_token_output": op2_token_output,
@@ -217,6 +302,8 @@ QUERIES = {
     "op9_quality": op9_quality,
     "op10_pii": op10_pii,
     "op11_token_counts": op11_token_counts,
+    "op12_ranked_search": op12_ranked_search,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLES = {
@@ -224,4 +311,6 @@ ORACLES = {
     "op5_line_dedup": OP5_SQL,
     "op6_exact_dedup": OP6_SQL,
     "op8_decontamination": OP8_SQL,
+    "op12_ranked_search": OP12_SQL,
+    "op13_prefix_trie": OP13_SQL,
 }
