@@ -748,3 +748,28 @@ SELECT 'percentile_profile', method, method, {GROUP}, time, measure, round(CASE
   WHEN 'q05' THEN q[1] WHEN 'q50' THEN q[2] ELSE q[3] END, 6), NULL
 FROM (SELECT method, CRCL, time, quantile_cont(IPRE, [0.05, 0.5, 0.95]) AS q FROM stacked GROUP BY method, CRCL, time),
   (VALUES ('q05'), ('q50'), ('q95')) v(measure)"""
+ORACLES["window_auc24"] = with_(USER_SAMPLES) + """
+SELECT ID, window_id, round("end" - 24, 6) AS "begin", round("end", 6) AS "end", round(sum(area), 3) AS auc FROM (
+  SELECT w.ID, w.event_id AS window_id, w.time AS "end", coalesce((s.DV + lag(s.DV) OVER o) * (s.time - lag(s.time) OVER o) / 2, 0) AS area
+  FROM samples w JOIN samples s ON s.ID = w.ID AND s.time BETWEEN w.time - 24 AND w.time
+  WINDOW o AS (PARTITION BY w.event_id ORDER BY s.time, s.event_id))
+GROUP BY ID, window_id, "end\""""
+ORACLES["as_of_dose"] = with_(USER_SAMPLES, ORDER_DOSES) + """
+SELECT s.ID + 1 AS ID, s.event_id AS key, round(s.time * 80, 6) AS time, d.dose_id, d.amt AS last_amt,
+  round(d.time, 6) AS dose_time, round(d.after - d.time, 6) AS last_frq
+FROM samples s LEFT JOIN LATERAL (
+  SELECT * FROM (SELECT *, lead(time) OVER (PARTITION BY ID ORDER BY time, dose_id) AS after FROM order_doses) x
+  WHERE x.ID = s.ID AND x.time < s.time * 80 ORDER BY x.time DESC, x.dose_id DESC LIMIT 1) d ON TRUE"""
+ORACLES["regimen_versions"] = with_(
+    *BASE, NUMBERED, MEASURED, grid(),
+    """dated AS (SELECT n.ID, n.CRCL, n.time AS sample_time, n.amt AS last_amt, n.gap AS last_frq, m.DV AS conc
+  FROM numbered n JOIN measured m ON m.ID = n.ID AND m.time = n.time WHERE n.n IN (4, 6, 10) AND n.gap IS NOT NULL)""",
+    guideline("decided", "dated")) + """
+SELECT g.ID, g.time,
+  CASE WHEN x.ID IS NULL THEN coalesce(d.amt, 0) WHEN (g.time - x.sample_time) % x.dose_frq = 0 THEN x.dose_amt ELSE 0 END AS amt,
+  CASE WHEN x.ID IS NULL THEN CASE WHEN d.ID IS NULL THEN 0 ELSE 1 END
+    WHEN (g.time - x.sample_time) % x.dose_frq = 0 THEN 1 ELSE 0 END AS evid,
+  CASE WHEN x.ID IS NULL THEN CASE WHEN d.amt <> 0 THEN -2 ELSE 0 END
+    WHEN (g.time - x.sample_time) % x.dose_frq = 0 AND x.dose_amt <> 0 THEN -2 ELSE 0 END AS rate
+FROM grid g LEFT JOIN doses d ON d.ID = g.ID AND d.time = g.time
+ASOF LEFT JOIN (SELECT * FROM decided WHERE changed) x ON x.ID = g.ID AND g.time >= x.sample_time"""

@@ -18,10 +18,10 @@ from ..functions.model import (
     num,
     settled,
     with_parameters,
-    with_rate_constants,
 )
 from ..sources.shipping import ship_package
-from .exposure import exposure_sweep
+from ..sources.storage import stage
+from . import histories
 
 ESTIMATE = StructType([StructField(n, DoubleType()) for n in ("eta1", "eta2", "eta3", "ofv")])
 
@@ -104,45 +104,105 @@ def with_grid_estimate(df):
 GRID_SIDE = 7  # grid points per random effect, one standard deviation apart
 
 
-def grid_candidates(patients):
-    """A row per patient and grid point: ``cand`` and eta1..eta3."""
+def grid_vectors():
+    """SQL text for the array of all grid points (eta1, eta2, eta3), the last effect running fastest."""
     half = GRID_SIDE // 2
     digits = (f"c div {GRID_SIDE ** 2}", f"(c div {GRID_SIDE}) % {GRID_SIDE}", f"c % {GRID_SIDE}")
     etas = ", ".join(
         f"'eta{k}', (cast({digit} as double) - {half}) * {num(math.sqrt(omega))}"
         for k, (digit, omega) in enumerate(zip(digits, C.OMEGA), start=1))
-    points = f"transform(sequence(0, {GRID_SIDE ** 3 - 1}), c -> named_struct('cand', c, {etas}))"
-    return patients.selectExpr("*", f"inline({points})")
+    return f"transform(sequence(0, {GRID_SIDE ** 3 - 1}), c -> named_struct({etas}))"
+
+
+def prior(vector=""):
+    """SQL text for the negative log prior of the columns, or of a struct's fields, eta1 to eta3."""
+    at = f"{vector}." if vector else ""
+    return " + ".join(
+        f"{num(0.5 * math.log(2 * math.pi * omega))} + {at}eta{k} * {at}eta{k} / {num(2 * omega)}"
+        for k, omega in enumerate(C.OMEGA, start=1))
+
+
+def covariates(cohort):
+    """The part of the parameters that is known: (ID, COVCL, COVVC)."""
+    return with_parameters(cohort, ("0", "0", "0")).select("ID", "COVCL", "COVVC")
+
+
+def _best(misfits, vectors, rank="cand", keep=()):
+    """The vector of the lowest objective, the first by ``rank`` of equal ones: (ID, n_samples, *keep, c)."""
+    scored = misfits.selectExpr("*", f"element_at({vectors}, cand + 1) as v")
+    scored = scored.selectExpr("ID", "n_samples", *keep, f"named_struct('ofv', misfit + {prior('v')}, 'rank', {rank}, "
+                               "'cand', cand, 'eta1', v.eta1, 'eta2', v.eta2, 'eta3', v.eta3) as c")
+    return scored.groupBy("ID", "n_samples", *keep).agg(F.min("c").alias("c"))
 
 
 def history_estimate(cohort, doses, samples):
-    """Grid estimate from tables ``doses (ID, time, amt)`` and ``samples (ID, time, DV)`` of any size.
+    """Grid estimate from tables ``doses (ID, time, amt)`` and ``samples (ID, time, key, DV)`` of any size.
 
-    Returns ID, n_samples, eta1..eta3 and ofv of the candidate with the lowest objective (the first of
-    equal ones). Predictions come from ``exposure_sweep`` with (patient, candidate) as its key; the
-    objective is a sum with partial aggregation.
+    Returns ID, n_samples, eta1..eta3 and ofv of the grid point with the lowest objective (the first of
+    equal ones). Each unit of a history scores all points as one array.
     """
-    covariates = cohort.select("ID", "WT", "CRCL", "DIAL")
-    candidates = grid_candidates(covariates.join(samples.select("ID").distinct(), "ID", "left_semi"))
-    number = GRID_SIDE ** 3
-    keyed = add(candidates, ID=f"ID * {number} + cand")
-    models = with_rate_constants(with_parameters(keyed, ("eta1", "eta2", "eta3")))
-
-    def spread(df):
-        per_candidate = add(df, cand=f"explode(sequence(0, {number - 1}))")
-        return add(per_candidate, ID=f"ID * {number} + cand").drop("cand")
-
-    present = doses.join(samples.select("ID").distinct(), "ID", "left_semi")
-    swept = exposure_sweep(spread(samples), spread(present), models, block_hours=2016.0)
-    density = let("yhat", clamp_prediction("IPRE"), let(
-        "w", error_sd("yhat"), normal_logpdf("DV", "yhat", "w")))
-    misfit = add(swept, m=f"-({density})").groupBy("ID").agg(
-        F.sum("m").alias("misfit"), F.count("*").alias("n_samples"))
-    prior = " + ".join(
-        f"{num(0.5 * math.log(2 * math.pi * omega))} + eta{k} * eta{k} / {num(2 * omega)}"
-        for k, omega in enumerate(C.OMEGA, start=1))
-    scored = keyed.select("ID", "cand", "eta1", "eta2", "eta3").join(misfit, "ID").selectExpr(
-        f"ID div {number} as ID", "n_samples",
-        f"named_struct('ofv', misfit + {prior}, 'cand', cand, 'eta1', eta1, 'eta2', eta2, 'eta3', eta3) as c")
-    best = scored.groupBy("ID", "n_samples").agg(F.min("c").alias("c"))
+    table = histories.units(samples, doses).join(covariates(cohort), "ID")
+    best = _best(histories.misfits(table, grid_vectors()), grid_vectors())
     return best.select("ID", "n_samples", "c.eta1", "c.eta2", "c.eta3", "c.ofv")
+
+
+# ---- refinement on a lattice ----
+
+#: A standard deviation of a random effect is 2 ** FINEST lattice steps; the search ends at single steps.
+FINEST = 10
+
+
+def _point(offset=(0, 0, 0)):
+    """SQL text for the fields eta1..eta3 of a lattice point ``n1, n2, n3``, moved by ``offset`` steps."""
+    return ", ".join(f"'eta{k}', cast(n{k} + {d} as double) * {num(math.sqrt(omega) / 2 ** FINEST)}"
+                     for k, (d, omega) in enumerate(zip(offset, C.OMEGA), start=1))
+
+
+#: The 27 points around (n1, n2, n3) at distance ``step`` on each axis, the point itself as number 13.
+_DIGITS = ("c div 9 - 1", "c div 3 % 3 - 1", "c % 3 - 1")
+STENCIL = ("transform(sequence(0, 26), c -> named_struct("
+           + _point([f"({digit}) * step" for digit in _DIGITS]) + "))")
+
+
+def _moves(best):
+    """State after a round from ``best`` (ID, c, n1..n3, step): to the best point, or half the step if it stays."""
+    stays = "c.cand = 13"
+    moved = {f"n{k}": f"n{k} + ({digit.replace('c ', 'c.cand ')}) * step" for k, digit in enumerate(_DIGITS, start=1)}
+    return best.selectExpr(*[c for c in best.columns if c not in ("c", "step", *moved)],
+                           *[f"{text} as {name}" for name, text in moved.items()],
+                           f"if({stays}, step div 2, step) as step", "c.ofv as ofv")
+
+
+def _lattice_start(best):
+    """Lattice state of the grid's best point; steps of half a standard deviation are tried first."""
+    digits = (f"c.cand div {GRID_SIDE ** 2}", f"(c.cand div {GRID_SIDE}) % {GRID_SIDE}", f"c.cand % {GRID_SIDE}")
+    start = [f"cast(({d} - {GRID_SIDE // 2}) * {2 ** FINEST} as bigint) as n{k}" for k, d in enumerate(digits, start=1)]
+    return best.selectExpr("ID", "n_samples", *start, f"cast({2 ** (FINEST - 1)} as bigint) as step", "c.ofv as ofv")
+
+
+def history_map(cohort, doses, samples):
+    """Refined estimate from tables of any size: ID, n_samples, eta1..eta3, ofv.
+
+    The search goes on from the best grid point: of the 27 lattice points around it the best is taken; when the
+    point itself is best, the step is halved, down to the lattice's own. Every step lowers the objective or the
+    step, so each patient comes to an end. A round works on the patients that are not there yet, and its state
+    is stored.
+    """
+    table = histories.units(samples, doses).join(covariates(cohort), "ID")
+    grid = _best(histories.misfits(table, grid_vectors()), grid_vectors())
+    active = stage(_lattice_start(grid), "lattice")
+    done = []
+    while not active.isEmpty():
+        here = add(table.join(active.select("ID", "n1", "n2", "n3", "step"), "ID"), vectors=STENCIL)
+        around = histories.misfits(here.drop("n1", "n2", "n3", "step"))
+        named = around.join(active.drop("n_samples", "ofv"), "ID")
+        best = _best(named, STENCIL, "if(cand = 13, -1, cand)", ("n1", "n2", "n3", "step"))
+        moved = stage(_moves(best), "lattice")
+        done.append(moved.where("step = 0"))
+        active = moved.where("step > 0")
+    if not done:
+        return grid.select("ID", "n_samples", "c.eta1", "c.eta2", "c.eta3", "c.ofv")
+    found = done[0]
+    for more in done[1:]:
+        found = found.union(more)
+    return found.selectExpr("ID", "n_samples", f"inline(array(named_struct({_point()}))) as (eta1, eta2, eta3)", "ofv")

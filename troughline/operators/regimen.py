@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions.model import num
+from .asof import as_of
 
 
 def new_doses(start, amt, interval, horizon=C.HORIZON):
@@ -25,16 +26,31 @@ def rewrite_events(events, decisions):
     Dose times are recognised by their distance from the sample time, so the future needs no
     list of times: one pass over the events is enough.
     """
-    start, frq = F.col("sample_time"), F.col("dose_frq")
-    future = F.coalesce(F.col("changed") & (F.col("time") >= start), F.lit(False))
-    on_time = (F.col("time") - start) % frq == 0
-    return events.join(decisions, "ID", "left").withColumn("_new", future).withColumns({
+    future = F.coalesce(F.col("changed") & (F.col("time") >= F.col("sample_time")), F.lit(False))
+    return _decided(events.join(decisions, "ID", "left").withColumn("_new", future)).select(*events.columns)
+
+
+def rewrite_versions(events, decisions, block_hours=24.0):
+    """Apply any number of decisions a patient ``(ID, sample_time, dose_amt, dose_frq, changed)`` to an event table.
+
+    Every event follows the latest decision at or before its time that changed the regimen; of two at one time
+    the one with the greater dose, then interval.
+    """
+    changes = decisions.where("changed").withColumn("time", F.col("sample_time"))
+    dated = as_of(events, changes, ("sample_time", "dose_amt", "dose_frq"), strict=False, block_hours=block_hours)
+    return _decided(dated.withColumn("_new", F.col("sample_time").isNotNull())).select(*events.columns)
+
+
+def _decided(events):
+    """Events with a decision beside them; those marked ``_new`` follow it."""
+    on_time = (F.col("time") - F.col("sample_time")) % F.col("dose_frq") == 0
+    return events.withColumns({
         "evid": F.when(F.col("_new"), F.when(on_time, 1).otherwise(0)).otherwise(F.col("evid")),
         "amt": F.when(F.col("_new"), F.when(on_time, F.col("dose_amt")).otherwise(0.0))
         .otherwise(F.col("amt")),
         "rate": F.when(F.col("_new"), F.when(on_time & (F.col("dose_amt") != 0), -2).otherwise(0))
         .otherwise(F.col("rate")),
-    }).select(*events.columns)
+    })
 
 
 def update_amounts(events, sample_time, amt):

@@ -6,6 +6,7 @@ that they can be compared between engines.
 
 import math
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import constants as C
@@ -13,6 +14,7 @@ from .. import schema
 from ..functions import body, model
 from ..functions.model import add, num, settled
 from ..operators import (
+    asof,
     dosing,
     draws,
     estimation,
@@ -337,6 +339,14 @@ def trapezoid_series(spark, folder):
     return rounded(evaluation.trapezoid_auc(series, 24.0, 600.0, "event_id"), auc24=4)
 
 
+@query
+def window_auc24(spark, folder):
+    """Trapezoid AUC of the day up to every sample of every patient."""
+    series = study.user_samples(spark, folder)
+    windows = series.selectExpr("ID", "event_id as window_id", "time - 24 as begin", "time as end")
+    return rounded(evaluation.window_auc(series, windows, "event_id"), begin=6, end=6, auc=3)
+
+
 @query
 def dose_count(spark, folder):
     return induction_grid(spark, folder).groupBy("ID").agg(
@@ -554,12 +564,9 @@ def map_refinement(spark, folder):
 def map_grid_history(spark, folder):
     """Best grid point per patient from all samples (events) and all doses (orders) of the tables.
 
-    Every (patient, candidate) is swept like a patient of its own, so neither a long history nor
-    the number of samples is ever gathered in one row.
+    Histories are cut into units of bounded size, and each scores all grid points as one array.
     """
-    given = add(study.order_doses(spark, folder), ID="ID + 1").select("ID", "time", "amt")
-    seen = study.user_samples(spark, folder).selectExpr("ID + 1 as ID", "time * 80 as time", "DV")
-    found = estimation.history_estimate(study.cohort(spark, folder), given, seen)
+    found = estimation.history_estimate(study.cohort(spark, folder), *study.histories(spark, folder))
     return rounded(found, eta1=9, eta2=9, eta3=9, ofv=4)
 
 
@@ -611,6 +618,36 @@ def regimen_rewrite(spark, folder):
     return table.select("ID", "time", "amt", "evid", "rate")
 
 
+def dose_decisions(spark, folder, numbers):
+    """Guideline decisions of every patient at the doses of these numbers, from the measured troughs."""
+    order = Window.partitionBy("ID").orderBy("time")
+    rows = measured_doses(spark, folder).withColumns({
+        "n": F.row_number().over(order), "last_frq": F.lead("time").over(order) - F.col("time")})
+    rows = rows.where(F.col("n").isin(list(numbers)) & F.col("last_frq").isNotNull())
+    decision = policies.guideline_decision("CRCL", "DV", "amt", "last_frq")
+    return add(rows, d=decision).selectExpr(
+        "ID", "time as sample_time", "d.dose_amt as dose_amt", "d.dose_frq as dose_frq",
+        "d.dose_amt != amt or d.dose_frq != last_frq as changed")
+
+
+@query
+def regimen_versions(spark, folder):
+    """Every event of the induction under the latest of up to three decisions of its patient."""
+    decisions = dose_decisions(spark, folder, (4, 6, 10))
+    table = regimen.rewrite_versions(induction_grid(spark, folder), decisions)
+    return table.select("ID", "time", "amt", "evid", "rate")
+
+
+@query
+def as_of_dose(spark, folder):
+    """Last dose before every sample of the tables, and the interval that follows that dose."""
+    _, seen = study.histories(spark, folder)
+    given = sampling.with_next_time(add(study.order_doses(spark, folder), ID="ID + 1"), tie="dose_id", block_hours=2016.0)
+    facts = given.selectExpr("ID", "time", "dose_id", "amt as last_amt", "time as dose_time", "next_time - time as last_frq")
+    found = asof.as_of(seen, facts, ("dose_id", "last_amt", "dose_time", "last_frq"), block_hours=2016.0)
+    return rounded(found.drop("DV"), time=6, dose_time=6, last_frq=6)
+
+
 @query
 def dose_update(spark, folder):
     table = regimen.update_amounts(doses(spark, folder), 72.0, 1250.0)

@@ -83,3 +83,13 @@ def order_doses(spark, folder):
         "o_custkey as ID", "o_orderkey as dose_id",
         f"{_hours('o_orderdate', ORDERS_START)} as time",
         "(o_orderkey % 8 + 1) * 250.0D as amt")
+
+
+def histories(spark, folder):
+    """Long tables of one time axis: doses (ID, time, amt) of orders and samples (ID, time, key, DV) of events.
+
+    A user's month of samples is stretched over the years of the orders.
+    """
+    given = order_doses(spark, folder).selectExpr("ID + 1 as ID", "time", "amt")
+    seen = user_samples(spark, folder).selectExpr("ID + 1 as ID", "time * 80 as time", "event_id as key", "DV")
+    return given, seen
