@@ -605,26 +605,72 @@ ORACLES["map_grid_estimate"] = with_(*BEST) + """
 SELECT ID, round(eta1, 9) AS eta1, round(eta2, 9) AS eta2, round(eta3, 9) AS eta3, round(ofv, 6) AS ofv FROM best"""
 ORACLES["map_refinement"] = with_(COHORT, DOSES, NUMBERED, SITUATION) + """
 SELECT ID, TRUE AS better, TRUE AS agrees FROM situation"""
-ORACLES["map_grid_history"] = with_(
+PRIOR = " + ".join(
+    f"(0.5 * ln(2 * pi() * {d(OMEGA[i])}) + eta{i + 1} * eta{i + 1} / (2 * {d(OMEGA[i])}))" for i in range(3))
+HISTORY = (
     COHORT, USER_SAMPLES, ORDER_DOSES, ALL_CANDIDATES,
     params("all_par", "all_candidates", ("eta1", "eta2", "eta3"), "ID, cand"),
     "given AS (SELECT ID + 1 AS ID, time, amt FROM order_doses)",
-    "seen AS MATERIALIZED (SELECT ID + 1 AS ID, time * 80 AS time, event_id, DV FROM samples)",
+    "seen AS MATERIALIZED (SELECT ID + 1 AS ID, time * 80 AS time, event_id, DV FROM samples)")
+LIKELIHOOD = "0.5 * ln(2 * pi()) + ln(w) + pow(DV - yhat, 2) / (2 * w * w)"
+ERROR_SD = f"sqrt(pow(yhat * {d(0.227)}, 2) + {d(3.4)} * {d(3.4)}) AS w"
+FLOOR = d("2.220446049250313e-16")
+SEEN_UNDER_ALL = (
     """obs AS (SELECT c.ID, c.cand, s.time, s.event_id FROM seen s JOIN all_candidates c ON c.ID = s.ID)""",
-    f"""fits AS MATERIALIZED (
-  SELECT ID, cand, sum(0.5 * ln(2 * pi()) + ln(w) + pow(DV - yhat, 2) / (2 * w * w)) AS misfit, count(*) AS n_samples
-  FROM (SELECT *, sqrt(pow(yhat * {d(0.227)}, 2) + {d(3.4)} * {d(3.4)}) AS w FROM (
-    SELECT x.ID, x.cand, s.DV, greatest(x.IPRE, {d('2.220446049250313e-16')}) AS yhat
+    f"""each_misfit AS MATERIALIZED (
+  SELECT ID, cand, event_id, time, IPRE, {LIKELIHOOD} AS misfit FROM (SELECT *, {ERROR_SD} FROM (
+    SELECT x.ID, x.cand, x.event_id, x.time, s.DV, x.IPRE, greatest(x.IPRE, {FLOOR}) AS yhat
     FROM {exposure('obs', 'given', 'all_par', ('ID', 'cand'), ', event_id')} x
-    JOIN seen s ON s.ID = x.ID AND s.event_id = x.event_id))
-  GROUP BY ID, cand)""",
-    f"""rated AS (SELECT c.ID, c.cand, c.eta1, c.eta2, c.eta3, f.n_samples, f.misfit + {" + ".join(
-        f"(0.5 * ln(2 * pi() * {d(OMEGA[i])}) + eta{i + 1} * eta{i + 1} / (2 * {d(OMEGA[i])}))" for i in range(3))} AS ofv
-  FROM all_candidates c JOIN fits f ON f.ID = c.ID AND f.cand = c.cand)""") + """
+    JOIN seen s ON s.ID = x.ID AND s.event_id = x.event_id)))""",
+    """fits AS MATERIALIZED (
+  SELECT ID, cand, sum(misfit) AS misfit, count(*) AS n_samples FROM each_misfit GROUP BY ID, cand)""",
+    f"""rated AS MATERIALIZED (SELECT c.ID, c.cand, c.eta1, c.eta2, c.eta3, f.n_samples, f.misfit + {PRIOR} AS ofv
+  FROM all_candidates c JOIN fits f ON f.ID = c.ID AND f.cand = c.cand)""")
+ORACLES["map_grid_history"] = with_(*HISTORY, *SEEN_UNDER_ALL) + """
 SELECT ID, n_samples, round(eta1, 9) AS eta1, round(eta2, 9) AS eta2, round(eta3, 9) AS eta3, round(ofv, 4) AS ofv
 FROM (SELECT *, row_number() OVER (PARTITION BY ID ORDER BY ofv, cand) AS place FROM rated) WHERE place = 1"""
 
 
+def lattice_search(pairs):
+    """Recursive CTE ``lattice``: 27 points around the best grid point, again and again, to single steps.
+
+    ``pairs`` is (ID, sample, DV, tau, T, r): every sample with every earlier dose, once with nulls without one.
+    """
+    at = ", ".join(f"(n{k + 1} + {digit} * step) * {sd(k)} / 256 AS eta{k + 1}"
+                   for k, digit in enumerate(("(c // 9 - 1)", "(c // 3 % 3 - 1)", "(c % 3 - 1)")))
+    points = f"""SELECT l.ID, l.n1, l.n2, l.n3, l.step, c AS cand, {at}, h.CRCL, h.WT, h.DIAL
+      FROM lattice l JOIN cohort h ON h.ID = l.ID, range(0, 27) r(c) WHERE l.step > 0"""
+    source = params("x", f"({points})", ("eta1", "eta2", "eta3"), "ID, cand, n1, n2, n3, step, eta1, eta2, eta3")
+    source = source[len("x AS MATERIALIZED "):]
+    part = ("r / VC * ({share}) / (a - b) / {e} * (1 - exp(-{e} * least(tau, T))) * exp(-{e} * greatest(tau - T, 0))")
+    both = f"{part.format(e='a', share='a - k21')} + {part.format(e='b', share='k21 - b')}"
+    keys = "ID, cand, n1, n2, n3, step, eta1, eta2, eta3"
+    return f"""lattice AS (
+  SELECT ID, ((cand // 49) - 3) * 256 AS n1, ((cand // 7) % 7 - 3) * 256 AS n2, (cand % 7 - 3) * 256 AS n3,
+    CAST(128 AS BIGINT) AS step, ofv
+  FROM (SELECT *, row_number() OVER (PARTITION BY ID ORDER BY ofv, cand) AS place FROM rated) WHERE place = 1
+  UNION ALL
+  SELECT ID, n1 + (cand // 9 - 1) * step, n2 + (cand // 3 % 3 - 1) * step, n3 + (cand % 3 - 1) * step,
+    CASE WHEN cand = 13 THEN step // 2 ELSE step END, ofv
+  FROM (SELECT *, row_number() OVER (PARTITION BY ID ORDER BY ofv, cand <> 13, cand) AS place FROM (
+    SELECT {keys}, sum({LIKELIHOOD}) + {PRIOR} AS ofv FROM (SELECT *, {ERROR_SD} FROM (
+      SELECT {keys}, sample, DV, greatest(coalesce(sum({both}), 0), {FLOOR}) AS yhat
+      FROM {source} JOIN ({pairs}) USING (ID) GROUP BY {keys}, sample, DV))
+    GROUP BY {keys})) WHERE place = 1)"""
+
+
+ORACLES["map_history"] = with_(
+    *HISTORY, *SEEN_UNDER_ALL,
+    f"""pairs AS MATERIALIZED (
+  SELECT ID, sample, DV, tau, T, amt / T AS r FROM (
+    SELECT s.ID, s.event_id AS sample, s.DV, s.time - e.time AS tau, e.amt, {hours('e.amt')} AS T
+    FROM seen s LEFT JOIN given e ON e.ID = s.ID AND e.time < s.time))""",
+    lattice_search("SELECT * FROM pairs")).replace("WITH ", "WITH RECURSIVE ", 1) + f"""
+SELECT l.ID, n_samples, round(n1 * {sd(0)} / 256, 12) AS eta1, round(n2 * {sd(1)} / 256, 12) AS eta2,
+  round(n3 * {sd(2)} / 256, 12) AS eta3, round(ofv, 4) AS ofv
+FROM lattice l JOIN (SELECT ID, min(n_samples) AS n_samples FROM fits GROUP BY ID) f ON f.ID = l.ID WHERE l.step = 0"""
+
+
 def uniform_draw(key):
     return f"((CAST('0x' || substr(md5({key}), 1, 13) AS BIGINT) + {d(0.5)}) / {d(2 ** 52)})"
 

@@ -14,11 +14,13 @@ A state holds the decaying concentrations ``a`` and ``b``, and where the future
 those doses. From these follows what comes without new doses, once the last infusion has ended.
 """
 
+import math
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import constants as C
-from ..functions.model import add, clamp_prediction, error_sd, infusion_hours, let, normal_logpdf, num, shuffled_join
+from ..functions.model import add, infusion_hours, let, num, settled, shuffled_join
 from ..sources.storage import stage
 
 UNIT_ROWS = 128
@@ -139,7 +141,7 @@ def _unit_ends(table, vectors, future):
 
 
 def _carried(table):
-    return [c for c in ("COVCL", "COVVC", "vectors") if c in table.columns]
+    return [c for c in table.columns if c not in ("ID", "seq", "n_units", "begins", "span", "rows", "dr", "ends")]
 
 
 def _scan(pieces, vectors, future, longest):
@@ -155,10 +157,11 @@ def _scan(pieces, vectors, future, longest):
                      "states": f"transform(models, k -> {_rest(future)})"})
     chain = (f"aggregate(_in, array({first}), (chain, u) -> "
              f"concat(chain, array({let('last', 'element_at(chain, -1)', following)})))")
-    groups = stage(groups.selectExpr("ID", "_group", *kept, f"{let('models', _models(vectors), chain)} as _chain"), "scan")
+    groups = settled(groups, _chain=let("models", _models(vectors), chain)).drop("_in")
     inside = "inline(slice(_chain, 1, size(_chain) - 1))"
     if longest <= GROUP:
         return groups.selectExpr("ID", inside).drop("at")
+    groups = stage(groups, "scan")
     whole = groups.selectExpr("ID", "_group as seq", "element_at(_chain, -1).at as span",
                               "element_at(_chain, -1).rate as dr", "element_at(_chain, -1).states as ends", *kept)
     above = _scan(whole, vectors, future, -(-longest // GROUP)).selectExpr(
@@ -168,17 +171,19 @@ def _scan(pieces, vectors, future, longest):
     return local.selectExpr("ID", "seq", "_rate + rate as rate", f"{let('models', _models(vectors), handed)} as states")
 
 
-def begun(table, vectors="vectors", future=False):
+def begun(table, vectors="vectors", future=False, longest=None):
     """Add to units with COVCL and COVVC the first ``rate`` and the first ``states``, one for each vector.
 
     ``vectors`` is SQL text for an array of structs (eta1, eta2, eta3), the same for all units of a patient.
-    Both are null for a patient of one unit, which begins at rest.
+    Both are null for a patient of one unit, which begins at rest. ``longest`` is the largest number of units
+    of a patient, counted here unless it is given.
     """
-    longest = table.agg(F.max("n_units")).first()[0] or 0
+    if longest is None:
+        longest = table.agg(F.max("n_units")).first()[0] or 0
     if longest <= 1:
         state = ",".join(f"{name}:double" for name in (FUTURE if future else NOW))
         return add(table, rate="cast(null as double)", states=f"cast(null as array<struct<{state}>>)")
-    ends = stage(_unit_ends(table.where("n_units > 1"), vectors, future), "ends")
+    ends = _unit_ends(table.where("n_units > 1"), vectors, future)
     return shuffled_join(table, _scan(ends, vectors, future, longest), "ID", "seq", how="left")
 
 
@@ -188,15 +193,46 @@ def _each_vector(vectors, body, future=False):
         f"transform(models, (k, i) -> {let('first', f'coalesce(states[i], {_rest(future)})', body)})"))
 
 
-def misfits(table, vectors="vectors"):
-    """Negative log-likelihood of all samples of a patient under each vector: (ID, cand, misfit, n_samples).
+def _misfit():
+    """Negative log-likelihood of a unit's samples under ``k``, from the first state.
+
+    ``a`` and ``b`` are kept here as what they exceed the steady state of the current rate by: a step is then one
+    product each. A row's own term is added one step later, when its prediction is a field; array functions
+    have no other names for values, and every nested ``let`` costs as much as the arithmetic of a step.
+    """
+    floor = num(C.PREDICTION_FLOOR)
+    y = "(s.a + s.b + (k.wa + k.wb) * s.rate)"
+    y = f"if({y} > {floor}, {y}, {floor})"
+    variance = f"({y} * {y} * {num(C.ERR_PRO ** 2)} + {num(C.ERR_ADD ** 2)})"
+    term = (f"{num(0.5 * math.log(2 * math.pi))} + 0.5D * ln({variance}) "
+            f"+ (s.DV - {y}) * (s.DV - {y}) / (2.0D * {variance})")
+    scored = f"if(s.DV is null, s.m, s.m + {term})"
+    step = _struct({
+        "t": "e.time", "rate": "s.rate + e.dr", "a": "s.a * exp(k.ka * (s.t - e.time)) - k.wa * e.dr",
+        "b": "s.b * exp(k.kb * (s.t - e.time)) - k.wb * e.dr", "DV": "e.DV", "m": scored})
+    start = _struct({
+        "t": "begins", "rate": "coalesce(rate, 0.0D)", "a": "coalesce(states[i].a - k.wa * rate, 0.0D)",
+        "b": "coalesce(states[i].b - k.wb * rate, 0.0D)", "DV": "cast(null as double)", "m": "0.0D"})
+    return f"aggregate(rows, {start}, (s, e) -> {step}, s -> {scored})"
+
+
+def spread(table):
+    """Units over all tasks: their bytes do not tell their work, so adaptive execution may not merge these partitions."""
+    return table.repartition(int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")), "ID", "seq")
+
+
+def unit_misfits(vectors):
+    """SQL text for the array of misfits of a unit, one for each vector, on a row of ``begun``."""
+    return let("models", _models(vectors), f"transform(models, (k, i) -> {_misfit()})")
+
+
+def misfits(table, vectors="vectors", longest=None, keep=()):
+    """Negative log-likelihood of all samples of a patient under each vector: (ID, *keep, cand, misfit, n_samples).
 
-    ``table`` is the units with COVCL and COVVC. A unit's array of sums is taken apart last.
+    ``table`` is the units with COVCL and COVVC, and with columns ``keep`` that are the same for all units of a
+    patient. A unit's array of sums is taken apart last.
     """
-    density = let("w", error_sd("y"), normal_logpdf("e.DV", "y", "w"))
-    step = f"if(e.DV is null, s.m, s.m - {let('y', clamp_prediction('(n.a + n.b)'), density)})"
-    walked = _walk("rows", "first", "coalesce(rate, 0.0D)", False, step)
-    each = begun(table, vectors).selectExpr(
-        "ID", "size(filter(rows, r -> r.DV is not null)) as n",
-        f"posexplode({_each_vector(vectors, walked + '.m')}) as (cand, m)")
-    return each.groupBy("ID", "cand").agg(F.sum("m").alias("misfit"), F.sum("n").alias("n_samples"))
+    table = begun(table, vectors, longest=longest)
+    each = spread(table).selectExpr(
+        "ID", *keep, "size(filter(rows, r -> r.DV is not null)) as n", f"posexplode({unit_misfits(vectors)}) as (cand, m)")
+    return each.groupBy("ID", *keep, "cand").agg(F.sum("m").alias("misfit"), F.sum("n").alias("n_samples"))

@@ -537,7 +537,7 @@ def bsa(spark, folder):
 
 @query
 def map_grid_estimate(spark, folder):
-    found = estimation.with_grid_estimate(with_one_sample(spark, folder)).select("ID", "est.*")
+    found = estimation.regimen_estimate(with_one_sample(spark, folder))
     return rounded(found, eta1=9, eta2=9, eta3=9, ofv=6)
 
 
@@ -570,6 +570,13 @@ def map_grid_history(spark, folder):
     return rounded(found, eta1=9, eta2=9, eta3=9, ofv=4)
 
 
+@query
+def map_history(spark, folder):
+    """Refined estimate per patient from all samples and all doses of the tables."""
+    found = estimation.history_map(study.cohort(spark, folder), *study.histories(spark, folder))
+    return rounded(found, eta1=12, eta2=12, eta3=12, ofv=4)
+
+
 @query
 def ebe_profile(spark, folder):
     """Prediction under the estimate at every grid time up to the sample."""
