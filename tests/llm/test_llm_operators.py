@@ -134,6 +134,33 @@ def test_contamination_of_short_and_repeated_items(spark):
     assert {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in rows} == plain_text.contamination(docs, items)
 
 
+def test_an_item_without_an_id_hits_and_is_not_listed(spark):
+    docs = spark.createDataFrame([(1, "one two three"), (2, "one")], COLUMNS)
+    items = spark.createDataFrame([(None, "two three"), (7, "one")], "item_id long, text string")
+    rows = decontamination.contamination(docs, items).collect()
+    assert {r.doc_id: (r.n_hit, r["items"], r.contaminated) for r in rows} == {1: (3, ["7"], True), 2: (1, ["7"], True)}
+
+
+def test_query_of_documents_with_clashing_columns(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a  b", 5, "x"), (2, "a b", None, "y")], COLUMNS + ", dedup_keep_id long, DEDUP_kept string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = queries.QUERIES["op6_exact_dedup"](spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in rows) == [(1, 1, 2, True), (2, 1, 2, False)]
+
+
+def test_line_oracle_splits_at_the_same_white_space(spark, tmp_path):
+    import duckdb
+
+    text = "one two three four five six\r\none\ttwo\x0bthree\x0cfour five\r six\n\r\nseven eight"
+    docs = spark.createDataFrame([(1, text), (2, text.replace("\r", ""))], COLUMNS)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    truth = con.execute(f"select doc_id, line_no, n_tokens, kept from ({queries.OP5_SQL})").fetchall()
+    mine = queries.QUERIES["op5_line_dedup"](spark, str(tmp_path)).select("doc_id", "line_no", "n_tokens", "kept").collect()
+    assert sorted(map(tuple, mine)) == sorted(truth) and len(truth) == 6
+
+
 def test_personal_data_in_odd_texts(spark):
     rng = random.Random(5)
     parts = ["a", "b.", "@", "c-d", ".", "1", "22", "+1", "(", ")", " ", "-", "é", "😀", "\n", "10.0.0.1", "255", "256",
@@ -324,8 +351,9 @@ def test_defined_cases(spark, rows):
     stays = exact_dedup.exact_dedup(df).collect()
     # the two empty texts and the three spellings of one text stay with their null ids
     assert sorted(str(r.doc_id) for r in stays) == (["3", "5", "None", "None"] if rows else [])
-    groups = exact_dedup.exact_groups(df.drop("dedup_kept"))
-    assert groups.count() == len(rows) and groups.where("dedup_kept").count() == len(stays)
+    groups = exact_dedup.exact_groups(df)
+    assert groups.count() == len(rows) and groups.where("_dedup_kept").count() == len(stays)
+    assert groups.columns[: len(df.columns)] == df.columns
 
     placed = sharding.interleave(df, 3).collect()
     for shard in {r.shard for r in placed}:

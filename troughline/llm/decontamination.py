@@ -12,7 +12,8 @@ places where one may begin; only these places, with the words around them, are s
 joined. The benchmark may have any size: it is joined, not broadcast.
 
 Defined cases: null texts have no words and are never hit; an empty benchmark hits nothing; items
-that repeat an id count once; documents and ids as in ``base.documents``; extra columns are left out.
+that repeat an id count once; an item without an id hits like any other and is not listed in ``items``; texts
+of any length are whole; documents and ids as in ``base.documents``; extra columns are left out.
 """
 
 import numpy as np

@@ -6,8 +6,9 @@ through. Only the rows that may repeat are shuffled, and they are grouped by the
 whole normalised text, so a false positive of the filter costs a shuffled row and nothing else.
 
 Defined cases: null text counts as empty, and all empty texts are equal; a null id sorts before
-every other id; of rows that repeat id and text too one stays; extra columns pass through under
-their own names, beside new ones that begin with ``prefix``; no rows give no rows.
+every other id; of rows that repeat id and text too one stays; texts of any length are hashed whole;
+extra columns pass through under their own names, beside new ones that begin with ``prefix``, or with as
+many underscores before it as it takes to begin like none of them; no rows give no rows.
 """
 
 import numpy as np
@@ -27,10 +28,18 @@ def normalised(text):
     return F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), SPACE_RUN, " ")
 
 
+def free_prefix(df, prefix="dedup_"):
+    """``prefix``, with underscores in front while a column of ``df`` begins with it."""
+    while any(c.lower().startswith(prefix.lower()) for c in df.columns):
+        prefix = "_" + prefix
+    return prefix
+
+
 def exact_groups(df, id_col="doc_id", text_col="text", prefix="dedup_"):
     """Every row of ``df`` with ``<prefix>sha256``, ``<prefix>keep_id``, ``<prefix>size``, ``<prefix>kept``."""
     spark = df.sparkSession
     python_ready(spark)
+    prefix = free_prefix(df, prefix)
     sha, keep, size, kept, maybe = (prefix + name for name in ("sha256", "keep_id", "size", "kept", "maybe"))
     rows = df.withColumn(sha, F.sha2(normalised(df[text_col]), 256))
     # the leading 64 bits of the digest serve as the hash of the filter
@@ -78,7 +87,5 @@ def exact_groups(df, id_col="doc_id", text_col="text", prefix="dedup_"):
 
 def exact_dedup(df, id_col="doc_id", text_col="text"):
     """The rows of ``df`` that stay: of equal texts the row with the smallest id."""
-    prefix = "dedup_"
-    while any(c.lower().startswith(prefix) for c in df.columns):
-        prefix = "_" + prefix
+    prefix = free_prefix(df)
     return exact_groups(df, id_col, text_col, prefix).where(F.col(prefix + "kept")).select(*df.columns)

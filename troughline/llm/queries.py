@@ -93,8 +93,7 @@ WITH lines AS (
   FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)
 ), words AS (
   SELECT doc_id, line_no, regexp_extract_all(
-    translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
-]+') AS w FROM lines
+    translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM lines
 ), sets AS (
   SELECT doc_id, line_no, CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
     ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) END AS t
@@ -116,7 +115,7 @@ FROM sets JOIN classes USING (t)
 
 
 def op6_exact_dedup(spark, folder):
-    rows = exact_dedup.exact_groups(read(spark, folder, "documents"))
+    rows = exact_dedup.exact_groups(read(spark, folder, "documents").select("doc_id", "text"))
     return rows.select(
         "doc_id",
         F.col("dedup_keep_id").alias("keep_id"),
