@@ -671,6 +671,49 @@ SELECT l.ID, n_samples, round(n1 * {sd(0)} / 256, 12) AS eta1, round(n2 * {sd(1)
 FROM lattice l JOIN (SELECT ID, min(n_samples) AS n_samples FROM fits GROUP BY ID) f ON f.ID = l.ID WHERE l.step = 0"""
 
 
+RUNNING = f"""running AS MATERIALIZED (
+  SELECT m.ID, m.event_id, m.cand, m.time, m.IPRE, row_number() OVER w - 1 AS n_before,
+    coalesce(sum(m.misfit) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + {PRIOR} AS ofv_before,
+    sum(m.misfit) OVER (w ROWS UNBOUNDED PRECEDING) + {PRIOR} AS ofv
+  FROM each_misfit m JOIN all_candidates c ON c.ID = m.ID AND c.cand = m.cand
+  WINDOW w AS (PARTITION BY m.ID, m.cand ORDER BY m.time, m.event_id))"""
+ORACLES["ebe_history"] = with_(*HISTORY, *SEEN_UNDER_ALL[:2], RUNNING) + """
+SELECT ID, event_id AS key, n_before, CAST(cand AS INTEGER) AS cand_before, round(IPRE, 6) AS IPRE FROM (
+  SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY ofv_before, cand) AS place FROM running) WHERE place = 1"""
+HISTORY_AUC = single_auc("({at} - begun)")
+ORACLES["target_history"] = with_(
+    *HISTORY, *SEEN_UNDER_ALL[:2], RUNNING,
+    """est AS MATERIALIZED (
+  SELECT r.event_id, r.time, p.* FROM (
+    SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY ofv, cand) AS place FROM running) r
+  JOIN all_par p ON p.ID = r.ID AND p.cand = r.cand WHERE r.place = 1)""",
+    f"""past AS MATERIALIZED (
+  SELECT e.*, g.time AS begun, g.amt, {hours('g.amt')} AS T FROM est e LEFT JOIN given g ON g.ID = e.ID AND g.time < e.time)""",
+    f"""day AS MATERIALIZED (
+  SELECT event_id, arg_max(amt, (begun, amt)) AS last_amt, CASE WHEN min(time) < 24
+    THEN 2 * coalesce(sum({HISTORY_AUC.format(at='time')}), 0)
+    ELSE coalesce(sum({HISTORY_AUC.format(at='time')} - {HISTORY_AUC.format(at='(time - 24)')}), 0) END AS auc24
+  FROM past GROUP BY event_id)""",
+    f"""need AS MATERIALIZED (
+  SELECT event_id, auc24, last_amt, wait, 500 - coalesce(sum(
+    {HISTORY_AUC.format(at='(time + wait)')} - {HISTORY_AUC.format(at='(time + wait - 24)')}), 0) AS need
+  FROM (SELECT p.*, d.auc24, coalesce(d.last_amt, 0) AS last_amt, {d('CASE WHEN d.auc24 >= 800 THEN 24 ELSE 72 END')} AS wait
+    FROM past p JOIN day d ON d.event_id = p.event_id)
+  GROUP BY event_id, auc24, last_amt, wait)""",
+    f"""added AS MATERIALIZED (
+  SELECT event_id, amt, sum({single_auc('(wait - begun)')} - {single_auc('(wait - 24 - begun)')}) AS auc FROM (
+    SELECT e.event_id, n.wait, {d('c * 250')} AS amt, {hours(d('c * 250'))} AS T,
+      {d('j * CASE WHEN h.CRCL <= 39 THEN 24 ELSE 12 END')} AS begun, e.VC, e.a, e.b, e.k21
+    FROM need n JOIN est e ON e.event_id = n.event_id JOIN cohort h ON h.ID = e.ID, range(1, 21) r(c), range(0, 6) f(j))
+  WHERE begun < wait GROUP BY event_id, amt)""",
+    """hit AS (SELECT n.event_id, min(a.amt) AS amt FROM need n
+  JOIN added a ON a.event_id = n.event_id AND a.auc >= n.need GROUP BY n.event_id)""") + """
+SELECT e.ID, n.event_id AS key, round(n.auc24, 3) AS auc24, n.wait,
+  CASE WHEN n.auc24 >= 400 AND n.auc24 < 550 AND n.last_amt <> 0 THEN n.last_amt
+    WHEN n.need <= 0 THEN 0 ELSE coalesce(h.amt, 5000) END AS dose_amt
+FROM need n JOIN est e ON e.event_id = n.event_id LEFT JOIN hit h ON h.event_id = n.event_id"""
+
+
 def uniform_draw(key):
     return f"((CAST('0x' || substr(md5({key}), 1, 13) AS BIGINT) + {d(0.5)}) / {d(2 ** 52)})"
 
@@ -719,16 +762,28 @@ ORACLES["target_auc_dose"] = with_(*TARGET) + f"""
 SELECT n.ID, round(n.auc24, 4) AS auc24, n.wait, n.next_time,
   CASE WHEN NOT {GATE} THEN n.last_amt WHEN n.need <= 0 THEN 0 ELSE coalesce(h.amt, 5000) END AS dose_amt
 FROM need n LEFT JOIN hit h ON h.ID = n.ID"""
-ORACLES["target_auc_dose_exact"] = with_(*TARGET) + f"""
+_GAIN = f"({single_auc('(next_time - begun)')} - {single_auc('(next_time - 24 - begun)')})"
+ORACLES["target_auc_dose_exact"] = with_(
+    *TARGET,
+    """bracket AS MATERIALIZED (
+  SELECT n.ID, n.next_time, n.need, n.sample_time, n.last_frq, h.amt, a.auc FROM need n JOIN hit h ON h.ID = n.ID
+  JOIN added a ON a.ID = n.ID AND a.amt = h.amt)""",
+    """halved AS (
+  SELECT ID, amt - 250 AS low, amt AS high, 0 AS k FROM bracket WHERE amt > 2000
+  UNION ALL
+  SELECT ID, CASE WHEN auc >= need THEN low ELSE amt END, CASE WHEN auc >= need THEN amt ELSE high END, k + 1 FROM (
+    SELECT ID, low, high, k, need, amt, sum(""" + _GAIN + """) AS auc FROM (
+      SELECT x.ID, x.low, x.high, x.k, b.need, b.next_time, (x.low + x.high) / 2 AS amt, (x.low + x.high) / 2000 AS T,
+        b.sample_time + j * b.last_frq AS begun, e.VC, e.a, e.b, e.k21
+      FROM halved x JOIN bracket b ON b.ID = x.ID JOIN est e ON e.ID = x.ID, range(0, 29) f(j)
+      WHERE x.k < 60 AND b.sample_time + j * b.last_frq < b.next_time)
+    GROUP BY ID, low, high, k, need, amt))""").replace("WITH ", "WITH RECURSIVE ", 1) + f"""
 SELECT ID, auc24, wait, next_time, round(CASE WHEN kept THEN last_amt WHEN need <= 0 THEN 0
     WHEN amt IS NULL THEN 5000 WHEN exact < 1 THEN 0 ELSE exact END, 4) AS dose_amt
 FROM (
-  SELECT n.ID, round(n.auc24, 4) AS auc24, n.wait, n.next_time, NOT {GATE} AS kept, n.last_amt, n.need, h.amt,
-    greatest(h.amt - 250, CASE WHEN h.amt <= 2000 THEN h.amt * n.need / a.auc
-      ELSE l.amt + 250 * (n.need - l.auc) / (a.auc - l.auc) END) AS exact
-  FROM need n LEFT JOIN hit h ON h.ID = n.ID
-  LEFT JOIN added a ON a.ID = n.ID AND a.amt = h.amt
-  LEFT JOIN added l ON l.ID = n.ID AND l.amt = h.amt - 250)"""
+  SELECT n.ID, round(n.auc24, 4) AS auc24, n.wait, n.next_time, NOT {GATE} AS kept, n.last_amt, n.need, b.amt,
+    CASE WHEN b.amt <= 2000 THEN greatest(b.amt - 250, b.amt * n.need / b.auc) ELSE x.high END AS exact
+  FROM need n LEFT JOIN bracket b ON b.ID = n.ID LEFT JOIN halved x ON x.ID = n.ID AND x.k = 60)"""
 ORACLES["regimen_rewrite"] = with_(*AT_FIRST, guideline("decided", "first_conc"), grid()) + """
 SELECT g.ID, g.time, coalesce(n.amt, 0) AS amt, CASE WHEN n.ID IS NULL THEN 0 ELSE 1 END AS evid,
   CASE WHEN n.amt <> 0 THEN -2 ELSE 0 END AS rate

@@ -8,7 +8,8 @@ import pytest
 
 from troughline import constants as C
 from troughline.functions.map_kernel import _Batch
-from troughline.operators import estimation, histories
+from troughline.functions.model import add, with_parameters, with_rate_constants
+from troughline.operators import dosing, estimation, histories
 
 SAMPLES, DOSES = "ID long, time double, key long, DV double", "ID long, time double, amt double"
 
@@ -83,3 +84,92 @@ def test_no_rows(spark):
     assert estimation.history_estimate(cohort, given, seen.limit(0)).collect() == []
     assert estimation.history_map(cohort, given, seen.limit(0)).collect() == []
     assert len(estimation.history_estimate(cohort, given.limit(0), seen).collect()) == 4
+
+
+def grid():
+    return np.stack(np.meshgrid(*[np.linspace(-3, 3, 7) * math.sqrt(o) for o in C.OMEGA], indexing="ij"), -1).reshape(-1, 3)
+
+
+@pytest.mark.parametrize("unit_rows,group", [(128, 32), (8, 3)])
+def test_estimates_as_the_samples_come_in(spark, monkeypatch, unit_rows, group):
+    monkeypatch.setattr(histories, "UNIT_ROWS", unit_rows)
+    monkeypatch.setattr(histories, "GROUP", group)
+    cohort, given, seen, doses, samples, patients = tables(spark)
+    rows = {r.key: r for r in estimation.running_estimates(cohort, given, seen).collect()}
+    assert len(rows) == len(samples)
+    points = grid()
+    for patient in patients[:4]:
+        mine = sorted((s for s in samples if s[0] == patient[0]), key=lambda s: (s[1], s[2]))
+        prior = (0.5 * np.log(2 * np.pi * np.array(C.OMEGA)) + points ** 2 / (2 * np.array(C.OMEGA))).sum(-1)
+        for n, (_, _, key, _) in enumerate(mine):
+            before = batch(doses, mine[:n], patient).ofv(points[None])[0] if n else prior
+            upto = batch(doses, mine[: n + 1], patient)
+            row = rows[key]
+            assert row.n_before == n
+            assert before[row.cand_before] == pytest.approx(before.min(), rel=1e-9)
+            scores = upto.ofv(points[None])[0]
+            assert scores[row.cand] == pytest.approx(scores.min(), rel=1e-9)
+            last = batch(doses, [mine[n]], patient)
+            want = last.predict(points[row.cand_before][None, None])[0, 0, 0]
+            assert max(row.IPRE, C.PREDICTION_FLOOR) == pytest.approx(want, rel=1e-9, abs=1e-12)
+
+
+def auc_of(doses, eta, crcl, at):
+    """AUC up to ``at`` of doses (time, amt), each summed by itself."""
+    cl = C.TVCL * (crcl / C.REF_CRCL) ** C.CL_CRCL * math.exp(eta[0])
+    vc, vp = C.TVVC * 75.0 / C.REF_WT * math.exp(eta[1]), C.TVVP * math.exp(eta[2])
+    k10, k12, k21 = cl / vc, C.TVQ / vc, C.TVQ / vp
+    total = k10 + k12 + k21
+    fast = (total + math.sqrt(total * total - 4 * k10 * k21)) / 2
+    slow, out = k10 * k21 / fast, 0.0
+    for time, amt in doses:
+        if amt > 0 and time < at:
+            hours = 1.0 if amt <= 1500 else 2.0 if amt <= 2000 else amt / 1000
+            on, off = min(at - time, hours), max(at - time - hours, 0.0)
+            for e, share in ((fast, fast - k21), (slow, k21 - slow)):
+                weight = amt / hours / vc * share / ((fast - slow) * e)
+                out += weight * (on - (1 - math.exp(-e * on)) * math.exp(-e * off) / e)
+    return out
+
+
+@pytest.mark.parametrize("unit_rows,group", [(128, 32), (8, 2)])
+def test_states_and_what_they_bring(spark, monkeypatch, unit_rows, group):
+    monkeypatch.setattr(histories, "UNIT_ROWS", unit_rows)
+    monkeypatch.setattr(histories, "GROUP", group)
+    cohort, given, _, doses, _, patients = tables(spark)
+    rng = random.Random(6)
+    probes = [(i, rng.choice([-3.0, 0.0, 0.25, 12.5, 100 * rng.random(), 700 * rng.random()]), k, rng.choice([0, 171, 342, 50]), k % 2)
+              for k, i in enumerate([1] * 30 + [2] * 10 + [3] * 4 + [6] * 2)]
+    frame = spark.createDataFrame(probes, "ID long, time double, key long, cand int, what int")
+    rows = {r.key: r for r in estimation.states_under(cohort, given, frame).collect()}
+    assert len(rows) == len(probes)
+    for i, time, key, cand, what in probes:
+        mine, row, eta = [(t, a) for p, t, a in doses if p == i], rows[key], grid()[cand]
+        assert (row.ID, row.cand, row.what) == (i, cand, what)
+        auc = row.given / row.CL - row.a / row.ka - row.b / row.kb
+        assert auc == pytest.approx(auc_of(mine, eta, patients[i - 1][2], time), rel=1e-9, abs=1e-9)
+        past = [(t, a) for t, a in mine if t < time]
+        later = row.due / row.CL - row.va * math.exp(-row.ka * 24) / row.ka - row.vb * math.exp(-row.kb * 24) / row.kb
+        assert later == pytest.approx(auc_of(past, eta, patients[i - 1][2], time + 24), rel=1e-9, abs=1e-9)
+
+
+def test_exact_dose_reaches_its_target(spark):
+    """Above 2000 mg the infusion time rises with the dose; the AUC at the dose that is returned is the target."""
+    rows = [(k, need, 24.0 * (k % 3 + 1)) for k, need in enumerate([10.0, 150.0, 400.0, 700.0, 900.0, 1100.0, 1e6, -1.0])]
+    eta, crcl = (0.1, -0.2, 0.3), 75.0
+    frame = spark.createDataFrame(rows, "ID long, need double, until double")
+    cohort = spark.createDataFrame([(75.0, crcl, 0, *eta)], "WT double, CRCL double, DIAL int, e1 double, e2 double, e3 double")
+    model = with_rate_constants(with_parameters(cohort, ("e1", "e2", "e3")))
+    times = "transform(sequence(0, cast(until / 12 as int) - 1), j -> named_struct('time', j * 12.0D))"
+    made = add(frame.join(model), exact=dosing.dose_for("need", times, "until", rounded=False), up=dosing.dose_for("need", times, "until"))
+    above = 0
+    for r in made.collect():
+        given = [(12.0 * j, r.exact) for j in range(int(r.until / 12))]
+        if 0 < r.need < 1e6:
+            reached = auc_of(given, eta, crcl, r.until) - auc_of(given, eta, crcl, r.until - 24)
+            assert reached == pytest.approx(r.need, abs=1e-6)
+            assert 0 <= r.up - r.exact < C.DOSE_STEP
+            above += r.exact > 2000
+        else:
+            assert r.exact == (0.0 if r.need <= 0 else C.MAX_DOSE)
+    assert above >= 2

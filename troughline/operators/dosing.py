@@ -1,8 +1,11 @@
 """Dose that brings the exposure before the next sample to target, as Spark SQL text."""
 
+from pyspark.sql import functions as F
+
 from .. import constants as C
-from ..functions.model import infusion_hours, let, num
+from ..functions.model import add, infusion_hours, let, num, settled
 from .exposure import dose_segments, predict_at
+from .policies import outside_target
 from .regimen import new_doses
 
 
@@ -18,37 +21,76 @@ def _dose_auc(amt, hours, since, prefix):
                            f"- {part('wa', 'ka')} - {part('wb', 'kb')}")
 
 
-def target_dose(doses, start, end, interval, prefix="", rounded=True, target=C.AUC_TARGET):
-    """Dose from ``start`` on, every ``interval``, whose AUC over the 24 h to ``end`` is ``target``.
+def dose_for(need, times, end, prefix="", rounded=True):
+    """Dose at each of ``times`` (structs with ``time``) that adds ``need`` to the AUC of the 24 h to ``end``.
 
-    What earlier doses contribute is fixed. Candidates are the multiples of 250 mg to 5000 mg,
-    each with its own infusion time; exposure rises with dose, so the first candidate that
-    reaches the target is the rounded-up solution. ``rounded=False`` solves inside the bracket
-    below that candidate: proportionally where the infusion time is fixed (to 2000 mg), linearly
-    above. When the 24 h start before ``start`` there is no difference to aim at and the search
-    returns its start value.
+    Candidates are the multiples of 250 mg to 5000 mg, each with its own infusion time; exposure rises with dose, so
+    the first candidate that reaches the need is the rounded-up solution. ``rounded=False`` solves inside the
+    bracket below that candidate: proportionally where the infusion time is fixed (to 2000 mg), above by halving
+    the bracket ``HALVINGS`` times, which leaves less than a double can tell apart.
     """
     step, most, day = num(C.DOSE_STEP), num(C.MAX_DOSE), num(C.SHORT_WAIT)
     count = int(C.MAX_DOSE / C.DOSE_STEP)
     gain = (f"total + {_dose_auc('amt', 'hours', f'({end} - f.time)', prefix)} "
             f"- {_dose_auc('amt', 'hours', f'({end} - {day} - f.time)', prefix)}")
-    added = f"aggregate(times, 0.0D, (total, f) -> {gain})"
-    tried = f"transform(sequence(1, {count}), k -> " + let("amt", f"k * {step}", let(
-        "hours", infusion_hours("amt"), f"named_struct('amt', amt, 'auc', {added})")) + ")"
+    added = let("hours", infusion_hours("amt"), f"aggregate(times, 0.0D, (total, f) -> {gain})")
+    tried = f"transform(sequence(1, {count}), k -> " + let(
+        "amt", f"k * {step}", f"named_struct('amt', amt, 'auc', {added})") + ")"
     hit = "try_element_at(filter(options, o -> o.auc >= need), 1)"
     if rounded:
         pick = f"coalesce({hit}.amt, {most})"
     else:
-        below = f"try_element_at(filter(options, o -> o.amt = best.amt - {step}), 1)"
-        exact = (f"greatest(best.amt - {step}, if(best.amt <= 2000, best.amt * need / best.auc, "
-                 f"low.amt + {step} * (need - low.auc) / (best.auc - low.auc)))")
-        solved = let("low", below, let("exact", exact, "if(exact < 1, 0.0D, exact)"))
-        pick = let("best", hit, f"if(best is null, {most}, {solved})")
+        halved = let("amt", "(x.low + x.high) / 2", let("auc", added, (
+            "if(auc >= need, named_struct('low', x.low, 'high', amt), named_struct('low', amt, 'high', x.high))")))
+        above = (f"aggregate(sequence(1, {HALVINGS}), named_struct('low', best.amt - {step}, 'high', best.amt), "
+                 f"(x, i) -> {halved}, x -> x.high)")
+        exact = f"if(best.amt <= 2000, greatest(best.amt - {step}, best.amt * need / best.auc), {above})"
+        pick = let("best", hit, f"if(best is null, {most}, {let('exact', exact, 'if(exact < 1, 0.0D, exact)')})")
+    return let("need", need, let("times", times, f"if(need <= 0, 0.0D, {let('options', tried, pick)})"))
+
+
+HALVINGS = 60
+
+
+def target_dose(doses, start, end, interval, prefix="", rounded=True, target=C.AUC_TARGET):
+    """Dose from ``start`` on, every ``interval``, whose AUC over the 24 h to ``end`` is ``target``.
+
+    What earlier doses contribute is fixed; ``dose_for`` finds the rest. When the 24 h start before ``start`` there
+    is no difference to aim at and the search returns its start value.
+    """
+    day = num(C.SHORT_WAIT)
     past = dose_segments(f"filter({doses}, d -> d.time < {start})", prefix)
     history = let("states", past, (
         f"{predict_at('states', end, prefix)}.AUC "
         f"- {predict_at('states', f'({end} - {day})', prefix)}.AUC"))
     times = f"filter({new_doses(start, '0.0D', interval)}, d -> d.time < {end})"
-    found = let("need", f"{num(target)} - ({history})", let("times", times, (
-        f"if(need <= 0, 0.0D, {let('options', tried, pick)})")))
+    found = dose_for(f"{num(target)} - ({history})", times, end, prefix, rounded)
     return f"if({end} - {day} < {start}, {num(C.START_DOSE)}, {found})"
+
+
+def history_doses(states, interval, target=C.AUC_TARGET):
+    """Dose for every sample of any history: (ID, key, auc24, wait, dose_amt).
+
+    ``states`` has two rows a sample, as ``estimation.states_under`` gives them: at its time (``what`` 0) and a day before
+    (1), with the sample's ``time``, ``last_amt`` and the rate constants under its estimate. The AUC that earlier
+    doses still bring follows from the state in which each has run to its end: at least a day passes before the
+    window ends, longer than any infusion lasts. ``interval`` is SQL text for the hours between new doses.
+    """
+    day, far = num(C.SHORT_WAIT), num(C.LONG_WAIT)
+    auc = "given / CL - a / ka - b / kb"
+    now = F.expr("what = 0")
+    fields = ("CL", "ka", "kb", "wa", "wb", "va", "vb", "due", "time", "last_amt", "CRCL")
+    rows = add(states, auc=auc).groupBy("ID", "key").agg(
+        F.max(F.when(now, F.col("auc"))).alias("auc"), F.max(F.when(~now, F.col("auc"))).alias("auc_before"),
+        *[F.max(F.when(now, F.col(name))).alias(name) for name in fields])
+    rows = settled(rows, auc24=f"if(time < {day}, 2 * auc, auc - auc_before)")
+    rows = settled(rows, wait=f"if(auc24 >= {num(C.AUC_RESAMPLE)}, {day}, {far})")
+
+    def later(hours):
+        return f"(due / CL - va * exp(-ka * ({hours})) / ka - vb * exp(-kb * ({hours})) / kb)"
+
+    brought = f"{later('wait')} - if(wait = {day}, auc, {later(f'wait - {day}')})"
+    times = f"transform(sequence(0, cast(ceil(wait / {interval}) as int) - 1), j -> named_struct('time', j * {interval}))"
+    dose = dose_for(f"{num(target)} - ({brought})", times, "wait")
+    search = outside_target("auc24", "last_amt")
+    return add(rows, dose_amt=f"if({search}, {dose}, last_amt)").select("ID", "key", "time", "auc24", "wait", "dose_amt")

@@ -177,7 +177,7 @@ def history_estimate(cohort, doses, samples):
     Returns ID, n_samples, eta1..eta3 and ofv of the grid point with the lowest objective (the first of
     equal ones). Each unit of a history scores all points as one array.
     """
-    table = histories.units(samples, doses).join(covariates(cohort), "ID")
+    table = histories.units(doses, samples).join(covariates(cohort), "ID")
     best = _best(histories.misfits(table, grid_vectors()), grid_point)
     return best.select("ID", "n_samples", "c.eta1", "c.eta2", "c.eta3", "c.ofv")
 
@@ -262,7 +262,7 @@ def history_map(cohort, doses, samples):
     step, so each patient comes to an end. A round works on the patients that are not there yet; states are
     stored every round, or every few rounds where a patient is one unit and a round is narrow.
     """
-    table = stage(histories.units(samples, doses).join(covariates(cohort), "ID"), "units")
+    table = stage(histories.units(doses, samples).join(covariates(cohort), "ID"), "units")
     longest = table.agg(F.max("n_units")).first()[0] or 0
     grid = _best(histories.misfits(table, grid_vectors(), longest), grid_point)
     start = stage(_lattice_start(grid), "lattice")
@@ -274,3 +274,34 @@ def history_map(cohort, doses, samples):
     for more in done:
         found = found.unionByName(more)
     return found.selectExpr("ID", "n_samples", f"inline(array(named_struct({_point()}))) as (eta1, eta2, eta3)", "ofv")
+
+
+# ---- estimates as the samples come in ----
+
+
+def running_estimates(cohort, doses, samples):
+    """Grid estimates before and after every sample: (ID, key, time, DV, n_before, IPRE, cand_before, cand).
+
+    ``cand_before`` is the grid point that the patient's earlier samples (by time, then key) single out, the prior's
+    without any; ``IPRE`` the prediction under it; ``cand`` the point once the sample itself is known.
+    """
+    table = stage(histories.units(doses, samples).join(covariates(cohort), "ID"), "units")
+    longest = table.agg(F.max("n_units")).first()[0] or 0
+    rows = histories.running_misfits(table, grid_vectors(), longest)
+    priors = f"transform({grid_vectors()}, v -> {prior('v')})"
+    upto = "if(j < n, seen[i][cast(j as int)].m, total)"
+    score = f"named_struct('ofv', coalesce(before[i], 0.0D) + {upto} + priors[i], 'cand', i)"
+    best = let("priors", priors, (
+        f"transform(sequence(0L, n), j -> array_min(transform(m, (total, i) -> {score})).cand)"))
+    rows = settled(rows, best=best, taken="filter(rows, r -> r.kind = 0)")
+    each = ("transform(taken, (r, j) -> named_struct('key', r.key, 'time', r.time, 'DV', r.value, "
+            "'n_before', coalesce(n_before, 0L) + j, 'IPRE', seen[best[j]][j].y, 'cand_before', best[j], 'cand', best[j + 1]))")
+    return rows.selectExpr("ID", f"inline({each})")
+
+
+def states_under(cohort, doses, probes):
+    """States of ``histories.states_at`` at ``probes (ID, time, key, cand, what)`` under grid points ``cand``."""
+    named = probes.groupBy("ID").agg(F.sort_array(F.collect_set(F.col("cand").cast("int"))).alias("probed"))
+    table = histories.units(doses, probes=probes).join(covariates(cohort), "ID").join(named, "ID")
+    table = stage(table, "units")
+    return histories.states_at(table, grid_point, table.agg(F.max("n_units")).first()[0] or 0)

@@ -25,32 +25,39 @@ from ..sources.storage import stage
 
 UNIT_ROWS = 128
 GROUP = 32
+RATES = ("CL", "ka", "kb", "wa", "wb")
 NOW = ("a", "b")
 FUTURE = ("a", "b", "va", "vb", "given", "due")
 
-_ROW = "named_struct('time', time, 'kind', kind, 'key', key, 'DV', DV, 'dr', dr, 'amt', amt, 'h', h)"
+# kind: 0 a sample, 1 a probe, 2 a change of the infusion rate by dr; the begin of a dose has amt and hours h
+_ROW = {"time": "double", "kind": "int", "key": "bigint", "value": "double", "what": "int", "dr": "double",
+        "amt": "double", "h": "double"}
 _PLACE = (1 << 33) - 1  # low bits of Spark's increasing id: the row in its partition
 
 
-def units(samples, doses, probes=None):
-    """Units of the patients of ``samples (ID, time, key, DV)`` with their ``doses (ID, time, amt)``.
+def _row(**given):
+    """Fields of a row, null where not given."""
+    return {name: given.get(name, f"cast(null as {kind})") for name, kind in _ROW.items()}
 
-    ``probes (ID, time, key)`` are further times whose states are wanted. A row (ID, seq, n_units, begins, span,
-    rows): ``rows`` in time order, samples and probes before doses of the same time, and ``span`` the hours to
-    the next unit. The table is stored.
+
+def units(doses, samples=None, probes=None):
+    """Units of the patients of ``samples (ID, time, key, DV)`` or ``probes`` with their ``doses (ID, time, amt)``.
+
+    ``probes (ID, time, key, cand, what)`` are times whose states are wanted under vector ``cand`` of the patient. A
+    row (ID, seq, n_units, begins, span, rows): ``rows`` in time order, samples and probes before doses of the same
+    time, and ``span`` the hours to the next unit. The table is stored.
     """
-    nothing = "cast(null as double)"
-    seen = samples.selectExpr("ID", "time", "0 as kind", "cast(key as bigint) as key", "DV", "0.0D as dr",
-                              f"{nothing} as amt", f"{nothing} as h")
-    if probes is not None:
-        seen = seen.union(probes.selectExpr("ID", "time", "1 as kind", "cast(key as bigint) as key", f"{nothing} as DV",
-                                            "0.0D as dr", f"{nothing} as amt", f"{nothing} as h"))
-    given = doses.where("amt > 0").join(samples.select("ID").distinct(), "ID", "left_semi")
-    given = given.selectExpr("ID", "time", "amt", f"{infusion_hours('amt')} as h")
-    change = "named_struct('time', {at}, 'kind', 2, 'key', cast(null as bigint), 'DV', " + nothing + (
-        ", 'dr', {rate}, 'amt', {amt}, 'h', h)")
-    on = change.format(at="time", rate="amt / h", amt="amt")
-    off = change.format(at="time + h", rate="-amt / h", amt=nothing)
+    def rows_of(df, **given):
+        return df.selectExpr("ID", *[f"{text} as {name}" for name, text in _row(dr="0.0D", **given).items()])
+
+    if samples is not None:
+        seen = rows_of(samples, time="time", kind="0", key="cast(key as bigint)", value="DV")
+    else:
+        seen = rows_of(probes, time="time", kind="1", key="cast(key as bigint)", value="cast(cand as double)", what="what")
+    given = doses.where("amt > 0").join(seen.select("ID").distinct(), "ID", "left_semi")
+    given = add(given, h=infusion_hours("amt"))
+    on = _struct(_row(time="time", kind="2", dr="amt / h", amt="amt", h="h"))
+    off = _struct(_row(time="time + h", kind="2", dr="-amt / h"))
     rows = seen.union(given.selectExpr("ID", f"inline(array({on}, {off}))"))
 
     order = ["ID", "time", "kind"]
@@ -66,7 +73,7 @@ def units(samples, doses, probes=None):
     cut = add(shuffled_join(placed, pieces, "ID", "_part"), _unit=f"(_at - _first) div {UNIT_ROWS}")
     made = cut.groupBy("ID", "_part", "_unit").agg(
         F.first("n_units").alias("n_units"), F.first(F.expr("_before + _unit")).alias("seq"),
-        F.min("time").alias("begins"), F.sort_array(F.collect_list(F.expr(_ROW))).alias("rows"))
+        F.min("time").alias("begins"), F.sort_array(F.collect_list(F.struct(*_ROW))).alias("rows"))
     following = F.lead("begins").over(patient.orderBy("seq"))
     made = made.withColumn("span", F.coalesce(following - F.col("begins"), F.lit(0.0)))
     return stage(made.select("ID", "seq", "n_units", "begins", "span", "rows"), "units")
@@ -193,27 +200,44 @@ def _each_vector(vectors, body, future=False):
         f"transform(models, (k, i) -> {let('first', f'coalesce(states[i], {_rest(future)})', body)})"))
 
 
-def _misfit():
-    """Negative log-likelihood of a unit's samples under ``k``, from the first state.
+def _scoring(more=None, begin=None):
+    """Walk a unit's rows under ``k`` from the first state: (start, step, score) as SQL text.
 
     ``a`` and ``b`` are kept here as what they exceed the steady state of the current rate by: a step is then one
     product each. A row's own term is added one step later, when its prediction is a field; array functions
     have no other names for values, and every nested ``let`` costs as much as the arithmetic of a step.
+    ``score`` gives ``m`` with the pending row; ``more`` are further fields of a step, ``begin`` what they begin with.
     """
     floor = num(C.PREDICTION_FLOOR)
-    y = "(s.a + s.b + (k.wa + k.wb) * s.rate)"
-    y = f"if({y} > {floor}, {y}, {floor})"
+    y = f"if({PREDICTED} > {floor}, {PREDICTED}, {floor})"
     variance = f"({y} * {y} * {num(C.ERR_PRO ** 2)} + {num(C.ERR_ADD ** 2)})"
     term = (f"{num(0.5 * math.log(2 * math.pi))} + 0.5D * ln({variance}) "
             f"+ (s.DV - {y}) * (s.DV - {y}) / (2.0D * {variance})")
-    scored = f"if(s.DV is null, s.m, s.m + {term})"
-    step = _struct({
+    score = f"if(s.DV is null, s.m, s.m + {term})"
+    step = {
         "t": "e.time", "rate": "s.rate + e.dr", "a": "s.a * exp(k.ka * (s.t - e.time)) - k.wa * e.dr",
-        "b": "s.b * exp(k.kb * (s.t - e.time)) - k.wb * e.dr", "DV": "e.DV", "m": scored})
-    start = _struct({
+        "b": "s.b * exp(k.kb * (s.t - e.time)) - k.wb * e.dr", "DV": "e.value", "m": score}
+    start = {
         "t": "begins", "rate": "coalesce(rate, 0.0D)", "a": "coalesce(states[i].a - k.wa * rate, 0.0D)",
-        "b": "coalesce(states[i].b - k.wb * rate, 0.0D)", "DV": "cast(null as double)", "m": "0.0D"})
-    return f"aggregate(rows, {start}, (s, e) -> {step}, s -> {scored})"
+        "b": "coalesce(states[i].b - k.wb * rate, 0.0D)", "DV": "cast(null as double)", "m": "0.0D"}
+    return start | (begin or {}), step | (more or {}), score
+
+
+PREDICTED = "(s.a + s.b + (k.wa + k.wb) * s.rate)"
+
+
+def _misfit():
+    """Negative log-likelihood of a unit's samples under ``k``."""
+    start, step, score = _scoring()
+    return f"aggregate(rows, {_struct(start)}, (s, e) -> {_struct(step)}, s -> {score})"
+
+
+def _running():
+    """For each sample of a unit its prediction ``y`` under ``k`` and the misfit ``m`` of the samples before it, and their sum."""
+    pending = f"if(s.DV is null, s.seen, concat(s.seen, array(named_struct('y', {PREDICTED}, 'm', s.m))))"
+    start, step, score = _scoring({"seen": pending}, {"seen": "cast(array() as array<struct<y:double,m:double>>)"})
+    ended = _struct({"seen": pending, "m": score})
+    return f"aggregate(rows, {_struct(start)}, (s, e) -> {_struct(step)}, s -> {ended})"
 
 
 def spread(table):
@@ -234,5 +258,47 @@ def misfits(table, vectors="vectors", longest=None, keep=()):
     """
     table = begun(table, vectors, longest=longest)
     each = spread(table).selectExpr(
-        "ID", *keep, "size(filter(rows, r -> r.DV is not null)) as n", f"posexplode({unit_misfits(vectors)}) as (cand, m)")
+        "ID", *keep, "size(filter(rows, r -> r.kind = 0)) as n", f"posexplode({unit_misfits(vectors)}) as (cand, m)")
     return each.groupBy("ID", *keep, "cand").agg(F.sum("m").alias("misfit"), F.sum("n").alias("n_samples"))
+
+
+def running_misfits(table, vectors, longest=None):
+    """Units with samples, with misfits sample by sample.
+
+    Adds ``seen``, an array by vector of arrays by sample of (y: prediction under the vector, m: misfit of the samples
+    of the unit before it); ``m``, the unit's misfit by vector; and what the units before it sum to: ``before`` by
+    vector and ``n_before``, both null for a patient of one unit.
+    """
+    every = let("models", _models(vectors), f"transform(models, (k, i) -> {_running()})")
+    rows = spread(begun(table, vectors, longest=longest))
+    rows = settled(rows, _each=every).drop("rate", "states")
+    rows = add(rows, n="cast(size(filter(rows, r -> r.kind = 0)) as bigint)", seen="transform(_each, x -> x.seen)",
+               m="transform(_each, x -> x.m)").drop("_each")
+    if longest is not None and longest <= 1:
+        return add(rows, before="cast(null as array<double>)", n_before="cast(null as bigint)").where("n > 0")
+    rows = stage(rows, "running")
+    each = rows.where("n_units > 1").selectExpr("ID", "seq", "n", "posexplode(m) as (cand, sum)")
+    earlier = Window.partitionBy("ID", "cand").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    each = each.withColumns({"sum": F.coalesce(F.sum("sum").over(earlier), F.lit(0.0)),
+                             "n_before": F.coalesce(F.sum("n").over(earlier), F.lit(0))})
+    sums = each.groupBy("ID", "seq").agg(
+        F.sort_array(F.collect_list(F.struct("cand", "sum"))).alias("sums"), F.first("n_before").alias("n_before"))
+    sums = sums.selectExpr("ID", "seq", "transform(sums, x -> x.sum) as before", "n_before")
+    return shuffled_join(rows, sums, "ID", "seq", how="left").where("n > 0")
+
+
+def states_at(table, point, longest=None):
+    """State at every probe under the vector that it names: (ID, key, cand, what, ``RATES`` and ``FUTURE``).
+
+    ``table`` is the units with COVCL, COVVC and ``probed``, the sorted numbers of the vectors that the patient's probes
+    name; ``point`` gives a vector's fields by its number.
+    """
+    vectors = f"transform(probed, c -> named_struct({point('c')}))"
+    table = spread(begun(table, vectors, future=True, longest=longest))
+    found = {"key": "e.key", "cand": "probed[i]", "what": "e.what", **{name: f"k.{name}" for name in RATES},
+             **{name: f"n.{name}" for name in FUTURE}}
+    kinds = ["bigint", "int", "int"] + ["double"] * (len(found) - 3)
+    nothing = f"cast(array() as array<struct<{','.join(f'{name}:{kind}' for name, kind in zip(found, kinds))}>>)"
+    step = f"if(e.kind = 1 and e.value = probed[i], concat(s.m, array({_struct(found)})), s.m)"
+    walked = _walk("rows", f"coalesce(states[i], {_rest(True)})", "coalesce(rate, 0.0D)", True, step, nothing)
+    return table.selectExpr("ID", f"inline(flatten({let('models', _models(vectors), f'transform(models, (k, i) -> {walked}.m)')}))")

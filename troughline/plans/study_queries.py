@@ -588,6 +588,31 @@ def ebe_profile(spark, folder):
     return rounded(rows.select("ID", "time", "p.IPRE", "p.AUC"), IPRE=6, AUC=3)
 
 
+@query
+def ebe_history(spark, folder):
+    """Every sample of the tables, predicted under the estimate from the samples before it."""
+    given, seen = study.histories(spark, folder)
+    rows = estimation.running_estimates(study.cohort(spark, folder), given, seen)
+    return rounded(rows.select("ID", "key", "n_before", "cand_before", "IPRE"), IPRE=6)
+
+
+@query
+def target_history(spark, folder):
+    """Dose after every sample of the tables, from the estimate that all samples up to it give."""
+    given, seen = study.histories(spark, folder)
+    cohort = study.cohort(spark, folder)
+    found = storage.stage(estimation.running_estimates(cohort, given, seen), "estimates")
+    probes = found.selectExpr("ID", "key", "cand", "inline(array(named_struct('time', time, 'what', 0), "
+                              "named_struct('time', time - 24, 'what', 1)))")
+    states = estimation.states_under(cohort, given, probes)
+    samples = asof.as_of(found.select("ID", "time", "key"), given.selectExpr("ID", "time", "amt as last_amt"),
+                         ("last_amt",), block_hours=2016.0)
+    rows = states.join(samples.withColumn("last_amt", F.coalesce("last_amt", F.lit(0.0))), ["ID", "key"])
+    rows = rows.join(cohort.select("ID", "CRCL"), "ID")
+    doses = dosing.history_doses(rows, f"if(CRCL <= {num(C.EARLY_CRCL)}, 24.0D, 12.0D)")
+    return rounded(doses.drop("time"), auc24=3)
+
+
 @query
 def proportional_dose(spark, folder):
     now = replay.proportional_step(replay.start(study.courses(spark, folder)))
