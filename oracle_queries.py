@@ -874,3 +874,15 @@ SELECT g.ID, g.time,
     WHEN (g.time - x.sample_time) % x.dose_frq = 0 AND x.dose_amt <> 0 THEN -2 ELSE 0 END AS rate
 FROM grid g LEFT JOIN doses d ON d.ID = g.ID AND d.time = g.time
 ASOF LEFT JOIN (SELECT * FROM decided WHERE changed) x ON x.ID = g.ID AND g.time >= x.sample_time"""
+ORACLES["guideline_all_doses"] = with_(
+    *BASE, NUMBERED, MEASURED,
+    """dated AS (SELECT n.ID, n.CRCL, n.time, n.amt AS last_amt, n.gap AS last_frq, m.DV AS conc
+  FROM numbered n JOIN measured m ON m.ID = n.ID AND m.time = n.time)""",
+    guideline("decided", "dated")) + "SELECT ID, time, round(conc, 6) AS DV, dose_amt, dose_frq FROM decided"
+ORACLES["sampling_rejects"] = f"""
+SELECT *, CAST((SELECT count(*) FROM customer) AS BIGINT) AS "of", count(*) OVER () AS rejected FROM (
+  SELECT ID, CRCL, DIAL, CASE WHEN CRCL IS NULL THEN 'no creatinine clearance' WHEN DIAL = 1 THEN 'dialysis'
+    WHEN CRCL < 20 THEN 'clearance below 20 mL/min' END AS reason
+  FROM (SELECT c_custkey + 1 AS ID, CASE WHEN c_custkey % 50 <> 7 THEN 10 + (c_custkey * 37 % 1200) / {d(10)} END AS CRCL,
+    CASE WHEN c_custkey % 33 = 5 THEN 1 ELSE 0 END AS DIAL FROM customer))
+WHERE reason IS NOT NULL"""

@@ -4,11 +4,12 @@ Functions on one patient row return Spark SQL text; ``doses`` is the time-ordere
 ``[(time, amt)]`` and dose numbers start at one.
 """
 
-from pyspark.sql import Window
+from pyspark.sql import Observation, Window
 from pyspark.sql import functions as F
 
 from .. import constants as C
-from ..functions.model import num, shuffled_join
+from ..functions.model import add, num, shuffled_join
+from ..sources.storage import staged_path
 
 
 def first_dose_number(crcl="CRCL", early=False):
@@ -95,3 +96,28 @@ def dose_intervals(events, key="ID", tie=None, block_hours=24.0):
     return gaps.groupBy(key, "gap").agg(F.count("*").alias("_n")).groupBy(key).agg(
         F.count("*").alias("n_gaps"), F.min("gap").alias("min_gap"),
         F.max("gap").alias("max_gap"), F.sum("_n").alias("n_pairs"))
+
+
+def split_rejects(patients, tests):
+    """Patients that pass all ``tests``, those that do not with their ``reason``, and how many of each.
+
+    ``tests`` maps a reason to SQL text that is true for a patient to be rejected; the first that holds is the reason,
+    and a test that is null does not hold. One pass over ``patients`` writes both tables and counts them on the way
+    (``n_rows``, ``n_rejected`` and a count for each reason in the order of ``tests``); both tables are read back from
+    what was written, so the counts and the rows are of one run.
+    """
+    spark = patients.sparkSession
+    cases = " ".join(f"when {text} then '{reason}'" for reason, text in tests.items())
+    marked = add(patients, reason=f"case {cases} end")
+    marked = add(marked, _rejected="reason is not null")
+    seen = Observation()
+    counts = [F.count("*").alias("n_rows"), F.count_if("_rejected").alias("n_rejected"),
+              *[F.count_if(F.col("reason") == reason).alias(f"reason_{k}") for k, reason in enumerate(tests)]]
+    path = staged_path(spark, "rejects")
+    marked.observe(seen, *counts).write.partitionBy("_rejected").parquet(path)
+    found = seen.get
+    counted = {"n_rows": found["n_rows"], "n_rejected": found["n_rejected"],
+               **{reason: found[f"reason_{k}"] for k, reason in enumerate(tests)}}
+    both = spark.read.schema(marked.schema).parquet(path)
+    passed = both.where("not _rejected").drop("reason", "_rejected")
+    return passed, both.where("_rejected").drop("_rejected"), counted

@@ -276,8 +276,20 @@ def last_dose_lookup(spark, folder):
 
 @query
 def guideline_dose(spark, folder):
-    now = replay.guideline_step(replay.start(study.courses(spark, folder)))
-    return rounded(now.select("ID", "sample_time", "conc", "d.dose_amt", "d.dose_frq", "wait"), conc=6)
+    """Decision at the first sample of every patient, looked up in the guideline as a table."""
+    rules = policies.RuleTable(policies.guideline_rules(spark))
+    now = add(rules.decide(first_round(spark, folder)), wait=sampling.next_wait("dose_amt = 0"))
+    return rounded(now.select("ID", "sample_time", "conc", "dose_amt", "dose_frq", "wait"), conc=6)
+
+
+@query
+def guideline_all_doses(spark, folder):
+    """Decision at every dose of the induction, from its measured trough and the guideline as a table."""
+    gap = F.lead("time").over(Window.partitionBy("ID").orderBy("time")) - F.col("time")
+    rows = measured_doses(spark, folder).withColumn("last_frq", gap)
+    rules = policies.RuleTable(policies.guideline_rules(spark))
+    found = rules.decide(rows, conc="DV", last_amt="amt")
+    return rounded(found.select("ID", "time", "DV", "dose_amt", "dose_frq"), DV=6)
 
 
 # ---- aggregates and windows ----
@@ -695,6 +707,18 @@ def first_sample(spark, folder):
     return add(numbered, rejected="cast(dose_num is null as int)")
 
 
+@query
+def sampling_rejects(spark, folder):
+    """Patients who cannot be sampled and why, with the counts of the pass that set them apart."""
+    patients = storage.read_table(spark, f"{folder}/customer.parquet").selectExpr(
+        "c_custkey + 1 as ID", "if(c_custkey % 50 = 7, null, 10 + (c_custkey * 37 % 1200) / 10.0D) as CRCL",
+        "cast(c_custkey % 33 = 5 as int) as DIAL")
+    passed, rejected, counts = sampling.split_rejects(patients, {
+        "no creatinine clearance": "CRCL is null", "dialysis": "DIAL = 1",
+        f"clearance below {C.MIN_CRCL:g} mL/min": f"CRCL < {num(C.MIN_CRCL)}"})
+    return add(rejected, of=f"{counts['n_rows']}L", rejected=f"{counts['n_rejected']}L")
+
+
 @query
 def next_sample(spark, folder):
     now = replay.guideline_step(replay.start(study.courses(spark, folder)))
