@@ -304,4 +304,5 @@ def states_under(cohort, doses, probes):
     named = probes.groupBy("ID").agg(F.sort_array(F.collect_set(F.col("cand").cast("int"))).alias("probed"))
     table = histories.units(doses, probes=probes).join(covariates(cohort), "ID").join(named, "ID")
     table = stage(table, "units")
-    return histories.states_at(table, grid_point, table.agg(F.max("n_units")).first()[0] or 0)
+    vectors = f"transform(probed, c -> named_struct({grid_point('c')}))"
+    return histories.states_at(table, histories.models(vectors), table.agg(F.max("n_units")).first()[0] or 0).drop("time")

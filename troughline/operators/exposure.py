@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions.model import KINETICS, add, infusion_hours, let, num, shuffled_join
+from ..sources.storage import stage
 
 PARAMETERS = KINETICS + ("CL",)
 NO_DOSE_YET = "named_struct('s', -1.0D, 'rate', 0.0D, 'given', 0.0D, 'pa', 0.0D, 'pb', 0.0D)"
@@ -139,13 +140,14 @@ def exposure_sweep(obs, doses, patients, block_hours=168.0, intended=False):
 
     weighted = {"_n0": "_dr", "_n1": "_dr * _rel", "_xa": "_dr * exp(ka * _rel)",
                 "_xb": "_dr * exp(kb * _rel)"}
-    changes = add(changes, _blk=f"floor(time / {width})")
+    # Both inputs are read once: spans, block totals and rows all come from one stored table.
+    both = stage(add(obs, _blk=f"floor(time / {width})", _seen="true", _dr="cast(null as double)").unionByName(
+        add(changes, _blk=f"floor(time / {width})", _seen="false"), allowMissingColumns=True), "history")
+    changes = both.where("not _seen").select("ID", "time", "_blk", "_dr")
     # Parameters meet the doses block by block: no task holds all doses of a patient.
     blocks = shuffled_join(changes.select("ID", "_blk").distinct(), sections, "ID")
     totals = placed(shuffled_join(changes, blocks, "ID", "_blk")).groupBy("ID", "_blk", "_sec", "_k").agg(
         *[F.expr(f"sum({text}) as {name}") for name, text in weighted.items()])
-    both = add(obs, _blk=f"floor(time / {width})", _seen="true", _dr="cast(null as double)").unionByName(
-        add(changes, _seen="false"), allowMissingColumns=True)
     # From the first row of any kind to the last observation; patients without one need no state.
     span = both.groupBy("ID").agg(
         F.min("_blk").alias("_first"), F.expr("max(if(_seen, _blk, null)) as _last")

@@ -93,10 +93,14 @@ def kinetics(vector):
     return let("p", own, let("x", fast, let("y", "p.CL / p.VC * p.k21 / x", made)))
 
 
-def _models(vectors):
+def models(vectors):
+    """SQL text for the constants of an array of vectors, on a row with COVCL and COVVC."""
     return f"transform({vectors}, v -> {kinetics('v')})"
 
 
+OWN = "array(named_struct('CL', CL, 'ka', ka, 'kb', kb, 'wa', wa, 'wb', wb))"  # of a patient's own columns
+
+
 def _struct(fields):
     return "named_struct(" + ", ".join(f"'{name}', {text}" for name, text in fields.items()) + ")"
 
@@ -138,20 +142,20 @@ def _walk(rows, first, rate, future, step="0.0D", out="0.0D"):
 # ---- states at the begins of units ----
 
 
-def _unit_ends(table, vectors, future):
+def _unit_ends(table, constants, future):
     """What each unit adds from rest until the next one begins: ``ends`` for each vector, and its change of rate."""
     walked = _walk("filter(rows, r -> r.kind = 2)", _rest(future), "0.0D", future)
     end = let("s", walked, _moved("s.x", "s.rate", "(begins + span - s.t)", future))
     return table.selectExpr(
         "ID", "seq", "span", "aggregate(rows, 0.0D, (total, r) -> total + r.dr) as dr",
-        f"{let('models', _models(vectors), f'transform(models, k -> {end})')} as ends", *_carried(table))
+        f"{let('models', constants, f'transform(models, k -> {end})')} as ends", *_carried(table))
 
 
 def _carried(table):
     return [c for c in table.columns if c not in ("ID", "seq", "n_units", "begins", "span", "rows", "dr", "ends")]
 
 
-def _scan(pieces, vectors, future, longest):
+def _scan(pieces, constants, future, longest):
     """State at the begin of each piece ``(ID, seq, span, dr, ends)``: (ID, seq, rate, states)."""
     kept = _carried(pieces)
     groups = add(pieces, _group=f"seq div {GROUP}").groupBy("ID", "_group").agg(
@@ -164,40 +168,34 @@ def _scan(pieces, vectors, future, longest):
                      "states": f"transform(models, k -> {_rest(future)})"})
     chain = (f"aggregate(_in, array({first}), (chain, u) -> "
              f"concat(chain, array({let('last', 'element_at(chain, -1)', following)})))")
-    groups = settled(groups, _chain=let("models", _models(vectors), chain)).drop("_in")
+    groups = settled(groups, _chain=let("models", constants, chain)).drop("_in")
     inside = "inline(slice(_chain, 1, size(_chain) - 1))"
     if longest <= GROUP:
         return groups.selectExpr("ID", inside).drop("at")
     groups = stage(groups, "scan")
     whole = groups.selectExpr("ID", "_group as seq", "element_at(_chain, -1).at as span",
                               "element_at(_chain, -1).rate as dr", "element_at(_chain, -1).states as ends", *kept)
-    above = _scan(whole, vectors, future, -(-longest // GROUP)).selectExpr(
+    above = _scan(whole, constants, future, -(-longest // GROUP)).selectExpr(
         "ID", "seq as _group", "rate as _rate", "states as _states")
     local = shuffled_join(groups, above, "ID", "_group").selectExpr("ID", *kept, "_rate", "_states", inside)
     handed = f"transform(models, (k, i) -> {_moved('_states[i]', '_rate', 'at', future, 'states[i]')})"
-    return local.selectExpr("ID", "seq", "_rate + rate as rate", f"{let('models', _models(vectors), handed)} as states")
+    return local.selectExpr("ID", "seq", "_rate + rate as rate", f"{let('models', constants, handed)} as states")
 
 
-def begun(table, vectors="vectors", future=False, longest=None):
-    """Add to units with COVCL and COVVC the first ``rate`` and the first ``states``, one for each vector.
+def begun(table, constants, future=False, longest=None):
+    """Add to units the first ``rate`` and the first ``states``, one for each parameter vector.
 
-    ``vectors`` is SQL text for an array of structs (eta1, eta2, eta3), the same for all units of a patient.
-    Both are null for a patient of one unit, which begins at rest. ``longest`` is the largest number of units
-    of a patient, counted here unless it is given.
+    ``constants`` is SQL text for the array of the vectors' constants, the same for all units of a patient. Both are null
+    for a patient of one unit, which begins at rest. ``longest`` is the largest number of units of a patient,
+    counted here unless it is given.
     """
     if longest is None:
         longest = table.agg(F.max("n_units")).first()[0] or 0
     if longest <= 1:
         state = ",".join(f"{name}:double" for name in (FUTURE if future else NOW))
         return add(table, rate="cast(null as double)", states=f"cast(null as array<struct<{state}>>)")
-    ends = _unit_ends(table.where("n_units > 1"), vectors, future)
-    return shuffled_join(table, _scan(ends, vectors, future, longest), "ID", "seq", how="left")
-
-
-def _each_vector(vectors, body, future=False):
-    """Array of ``body`` for the vectors: ``k`` constants, ``i`` number, ``first`` state at the begin."""
-    return let("models", _models(vectors), (
-        f"transform(models, (k, i) -> {let('first', f'coalesce(states[i], {_rest(future)})', body)})"))
+    ends = _unit_ends(table.where("n_units > 1"), constants, future)
+    return shuffled_join(table, _scan(ends, constants, future, longest), "ID", "seq", how="left")
 
 
 def _scoring(more=None, begin=None):
@@ -247,17 +245,16 @@ def spread(table):
 
 def unit_misfits(vectors):
     """SQL text for the array of misfits of a unit, one for each vector, on a row of ``begun``."""
-    return let("models", _models(vectors), f"transform(models, (k, i) -> {_misfit()})")
+    return let("models", models(vectors), f"transform(models, (k, i) -> {_misfit()})")
 
 
-def misfits(table, vectors="vectors", longest=None, keep=()):
+def misfits(table, vectors, longest=None, keep=()):
     """Negative log-likelihood of all samples of a patient under each vector: (ID, *keep, cand, misfit, n_samples).
 
     ``table`` is the units with COVCL and COVVC, and with columns ``keep`` that are the same for all units of a
-    patient. A unit's array of sums is taken apart last.
+    patient; ``vectors`` is SQL text for an array of structs (eta1, eta2, eta3). A unit's array of sums is taken apart last.
     """
-    table = begun(table, vectors, longest=longest)
-    each = spread(table).selectExpr(
+    each = spread(begun(table, models(vectors), longest=longest)).selectExpr(
         "ID", *keep, "size(filter(rows, r -> r.kind = 0)) as n", f"posexplode({unit_misfits(vectors)}) as (cand, m)")
     return each.groupBy("ID", *keep, "cand").agg(F.sum("m").alias("misfit"), F.sum("n").alias("n_samples"))
 
@@ -269,8 +266,8 @@ def running_misfits(table, vectors, longest=None):
     of the unit before it); ``m``, the unit's misfit by vector; and what the units before it sum to: ``before`` by
     vector and ``n_before``, both null for a patient of one unit.
     """
-    every = let("models", _models(vectors), f"transform(models, (k, i) -> {_running()})")
-    rows = spread(begun(table, vectors, longest=longest))
+    every = let("models", models(vectors), f"transform(models, (k, i) -> {_running()})")
+    rows = spread(begun(table, models(vectors), longest=longest))
     rows = settled(rows, _each=every).drop("rate", "states")
     rows = add(rows, n="cast(size(filter(rows, r -> r.kind = 0)) as bigint)", seen="transform(_each, x -> x.seen)",
                m="transform(_each, x -> x.m)").drop("_each")
@@ -287,18 +284,27 @@ def running_misfits(table, vectors, longest=None):
     return shuffled_join(rows, sums, "ID", "seq", how="left").where("n > 0")
 
 
-def states_at(table, point, longest=None):
-    """State at every probe under the vector that it names: (ID, key, cand, what, ``RATES`` and ``FUTURE``).
+def states_at(table, constants, longest=None):
+    """State at every probe under the vector that it names: (ID, key, cand, what, time, ``RATES`` and ``FUTURE``).
 
-    ``table`` is the units with COVCL, COVVC and ``probed``, the sorted numbers of the vectors that the patient's probes
-    name; ``point`` gives a vector's fields by its number.
+    ``table`` is the units with ``probed``, the sorted numbers of the vectors that the patient's probes name, and
+    what ``constants``, SQL text for the array of those vectors' constants, refers to.
     """
-    vectors = f"transform(probed, c -> named_struct({point('c')}))"
-    table = spread(begun(table, vectors, future=True, longest=longest))
-    found = {"key": "e.key", "cand": "probed[i]", "what": "e.what", **{name: f"k.{name}" for name in RATES},
-             **{name: f"n.{name}" for name in FUTURE}}
+    table = spread(begun(table, constants, future=True, longest=longest))
+    found = {"key": "e.key", "cand": "probed[i]", "what": "e.what", "time": "e.time",
+             **{name: f"k.{name}" for name in RATES}, **{name: f"n.{name}" for name in FUTURE}}
     kinds = ["bigint", "int", "int"] + ["double"] * (len(found) - 3)
     nothing = f"cast(array() as array<struct<{','.join(f'{name}:{kind}' for name, kind in zip(found, kinds))}>>)"
     step = f"if(e.kind = 1 and e.value = probed[i], concat(s.m, array({_struct(found)})), s.m)"
     walked = _walk("rows", f"coalesce(states[i], {_rest(True)})", "coalesce(rate, 0.0D)", True, step, nothing)
-    return table.selectExpr("ID", f"inline(flatten({let('models', _models(vectors), f'transform(models, (k, i) -> {walked}.m)')}))")
+    return table.selectExpr("ID", f"inline(flatten({let('models', constants, f'transform(models, (k, i) -> {walked}.m)')}))")
+
+
+def exposure(obs, doses, patients):
+    """IPRE and AUC at every row of ``obs (ID, time, key)`` under a patient's own rate constants: (ID, key, time, IPRE, AUC).
+
+    ``patients`` has one row per ID with ``RATES``. Observations and doses are read once and sorted once.
+    """
+    probes = obs.selectExpr("ID", "time", "key", "0 as cand", "0 as what")
+    table = units(doses, probes=probes).join(patients.selectExpr("ID", *RATES, "array(0) as probed"), "ID")
+    return states_at(table, OWN).selectExpr("ID", "key", "time", "a + b as IPRE", "given / CL - a / ka - b / kb as AUC")

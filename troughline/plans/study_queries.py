@@ -21,6 +21,7 @@ from ..operators import (
     evaluation,
     events,
     exposure,
+    histories,
     policies,
     quantiles,
     regimen,
@@ -257,10 +258,9 @@ def exposure_profile(spark, folder):
 @query
 def exposure_long_history(spark, folder):
     """Years of irregular doses (orders) and irregular observations (events)."""
-    given = add(study.order_doses(spark, folder), ID="ID + 1")
-    obs = study.user_samples(spark, folder).selectExpr("ID + 1 as ID", "time * 80 as time", "event_id")
-    swept = exposure.exposure_sweep(obs, given, study.courses(spark, folder))
-    return rounded(swept.select("ID", "event_id", "IPRE", "AUC"), IPRE=6, AUC=3)
+    given, obs = study.histories(spark, folder)
+    rows = histories.exposure(obs, given, study.courses(spark, folder))
+    return rounded(rows.selectExpr("ID", "key as event_id", "IPRE", "AUC"), IPRE=6, AUC=3)
 
 
 @query
