@@ -29,13 +29,18 @@ HEADLINE = (
     "full_profile",
     "pta_by_method",
     "policy_report",
+    "as_of_dose",
+    "window_auc24",
+    "regimen_versions",
+    "map_grid_history",
 )
 
 
 def main():
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    shared = os.environ.get("BENCH_SHARED_DIR", "/tmp/checkpoints/bench")
+    # staged tables: the folder that the cluster names, or beside the repository, where one machine runs it all
+    shared = os.environ.get("BENCH_SHARED_DIR", os.path.join(os.path.dirname(os.path.abspath(__file__)), "spark-warehouse", "bench"))
     spark = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("bench")
@@ -48,7 +53,6 @@ def main():
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    # staged tables go to a shared folder of this run's own; on one machine any folder is shared
     small = os.path.join(os.path.dirname(folder.rstrip("/")), "sf0.001")
     seconds = {}
     for name in HEADLINE:

@@ -12,12 +12,17 @@ TABLES = ("customer", "orders", "events")
 ORACLES, QUERIES = study_oracles, study_queries
 
 
-@pytest.fixture
-def duck():
-    con = duckdb.connect()
-    for table in TABLES:
-        con.execute(f"create view {table} as select * from '{SMALL}/{table}.parquet'")
-    return con
+def truth_of(sql):
+    """The oracle's rows; an internal error of its engine (not a wrong answer) is tried once more."""
+    for last in (False, True):
+        con = duckdb.connect()
+        for table in TABLES:
+            con.execute(f"create view {table} as select * from '{SMALL}/{table}.parquet'")
+        try:
+            return con.execute(sql).df()
+        except duckdb.InternalException:
+            if last:
+                raise
 
 
 def test_entry(spark):
@@ -31,9 +36,9 @@ def test_every_oracle_has_a_query():
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
-def test_oracle(spark, duck, name):
+def test_oracle(spark, name):
     mine = QUERIES[name](spark, SMALL).toPandas()
-    truth = duck.execute(ORACLES[name]).df()
+    truth = truth_of(ORACLES[name])
     columns = sorted(mine.columns)
     assert columns == sorted(truth.columns)
     assert len(mine) == len(truth)

@@ -23,8 +23,11 @@ def staged_path(spark, name):
 
 def clear_stages(spark):
     """Delete the staged tables of this application; call it when its results are written."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{spark.sparkContext.applicationId}")
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    application = spark.sparkContext.applicationId
+    # an optional subpackage stages its tables in a folder of its own
+    for place in (application, f"llm/{application}"):
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{place}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def stage(df, name):
