@@ -209,6 +209,21 @@ ALL_CANDIDATES = f"""all_candidates AS MATERIALIZED (
   FROM cohort, range(0, 343) r(c))"""
 
 
+def halving(name, bracket, est):
+    """Recursive CTE (ID, low, high, k): the bracket of each dose over 2000 mg, halved 60 times around the need."""
+    gain = f"({single_auc('(next_time - begun)')} - {single_auc('(next_time - 24 - begun)')})"
+    return f"""{name} AS (
+  SELECT ID, amt - 250 AS low, amt AS high, 0 AS k FROM {bracket} WHERE amt > 2000
+  UNION ALL
+  SELECT ID, CASE WHEN auc >= need THEN low ELSE amt END, CASE WHEN auc >= need THEN amt ELSE high END, k + 1 FROM (
+    SELECT ID, low, high, k, need, amt, sum({gain}) AS auc FROM (
+      SELECT x.ID, x.low, x.high, x.k, b.need, b.next_time, (x.low + x.high) / 2 AS amt, (x.low + x.high) / 2000 AS T,
+        b.sample_time + j * b.last_frq AS begun, e.VC, e.a, e.b, e.k21
+      FROM {name} x JOIN {bracket} b ON b.ID = x.ID JOIN {est} e ON e.ID = x.ID, range(0, 29) f(j)
+      WHERE x.k < 60 AND b.sample_time + j * b.last_frq < b.next_time)
+    GROUP BY ID, low, high, k, need, amt))"""
+
+
 def bayes_round(prefix, k, D, Q, X, first_early=False, gate=True, exact=False, pairs=False):
     """One round of the model-based policy with the grid estimate: decisions for active patients."""
     take, samp, obs, score, best, est, auc, need, added = (
@@ -223,8 +238,7 @@ def bayes_round(prefix, k, D, Q, X, first_early=False, gate=True, exact=False, p
     frq = "CASE WHEN q.CRCL <= 39 THEN 24 ELSE 12 END" if first_early else (
         "CASE WHEN q.last_amt = 0 THEN 12 ELSE q.last_frq END")
     keep = "n.auc24 >= 400 AND n.auc24 < 550 AND n.last_amt <> 0" if gate else "FALSE"
-    solved = "greatest(h.amt - 250, CASE WHEN h.amt <= 2000 THEN h.amt * n.need / a.auc " \
-        "ELSE l.amt + 250 * (n.need - l.auc) / (a.auc - l.auc) END)"
+    solved = "CASE WHEN h.amt <= 2000 THEN greatest(h.amt - 250, h.amt * n.need / a.auc) ELSE v.high END"
     found = f"CASE WHEN h.amt IS NULL THEN 5000 WHEN {solved} < 1 THEN 0 ELSE {solved} END" if exact else (
         "coalesce(h.amt, 5000)")
     dose = (f"CASE WHEN {keep} THEN n.last_amt WHEN n.next_time - 24 < n.sample_time THEN 1000 "
@@ -273,13 +287,18 @@ def bayes_round(prefix, k, D, Q, X, first_early=False, gate=True, exact=False, p
     FROM {need} n JOIN {est} e ON e.ID = n.ID, range(1, 21) r(c), range(0, 29) f(j)
     WHERE n.sample_time + j * n.frq < n.next_time)
   GROUP BY ID, amt)""",
+        f"""{X}h AS MATERIALIZED (
+  SELECT n.ID, n.next_time, n.need, n.sample_time, n.frq AS last_frq, h.amt, a.auc FROM {need} n
+  JOIN (SELECT n2.ID, min(a.amt) AS amt FROM {need} n2
+    JOIN {added} a ON a.ID = n2.ID AND a.auc >= n2.need GROUP BY n2.ID) h ON h.ID = n.ID
+  JOIN {added} a ON a.ID = n.ID AND a.amt = h.amt)""",
+        *([halving(X + "v", X + "h", est)] if exact else []),
         f"""{X} AS MATERIALIZED (
   SELECT *, dose_amt <> last_amt OR dose_frq <> last_frq AS changed FROM (
     SELECT n.*, CASE WHEN {keep} THEN n.last_frq ELSE n.frq END AS dose_frq, {d(dose)} AS dose_amt
-    FROM {need} n LEFT JOIN (SELECT n2.ID, min(a.amt) AS amt FROM {need} n2
-      JOIN {added} a ON a.ID = n2.ID AND a.auc >= n2.need GROUP BY n2.ID) h ON h.ID = n.ID
+    FROM {need} n LEFT JOIN {X}h h ON h.ID = n.ID
     LEFT JOIN {added} a ON a.ID = n.ID AND a.amt = h.amt
-    LEFT JOIN {added} l ON l.ID = n.ID AND l.amt = h.amt - 250))"""]
+    {f"LEFT JOIN {X}v v ON v.ID = n.ID AND v.k = 60" if exact else ""}))"""]
 
 
 USUAL = "CASE WHEN CRCL <= 39 THEN 3 ELSE 4 END"
@@ -762,22 +781,12 @@ ORACLES["target_auc_dose"] = with_(*TARGET) + f"""
 SELECT n.ID, round(n.auc24, 4) AS auc24, n.wait, n.next_time,
   CASE WHEN NOT {GATE} THEN n.last_amt WHEN n.need <= 0 THEN 0 ELSE coalesce(h.amt, 5000) END AS dose_amt
 FROM need n LEFT JOIN hit h ON h.ID = n.ID"""
-_GAIN = f"({single_auc('(next_time - begun)')} - {single_auc('(next_time - 24 - begun)')})"
 ORACLES["target_auc_dose_exact"] = with_(
     *TARGET,
     """bracket AS MATERIALIZED (
   SELECT n.ID, n.next_time, n.need, n.sample_time, n.last_frq, h.amt, a.auc FROM need n JOIN hit h ON h.ID = n.ID
   JOIN added a ON a.ID = n.ID AND a.amt = h.amt)""",
-    """halved AS (
-  SELECT ID, amt - 250 AS low, amt AS high, 0 AS k FROM bracket WHERE amt > 2000
-  UNION ALL
-  SELECT ID, CASE WHEN auc >= need THEN low ELSE amt END, CASE WHEN auc >= need THEN amt ELSE high END, k + 1 FROM (
-    SELECT ID, low, high, k, need, amt, sum(""" + _GAIN + """) AS auc FROM (
-      SELECT x.ID, x.low, x.high, x.k, b.need, b.next_time, (x.low + x.high) / 2 AS amt, (x.low + x.high) / 2000 AS T,
-        b.sample_time + j * b.last_frq AS begun, e.VC, e.a, e.b, e.k21
-      FROM halved x JOIN bracket b ON b.ID = x.ID JOIN est e ON e.ID = x.ID, range(0, 29) f(j)
-      WHERE x.k < 60 AND b.sample_time + j * b.last_frq < b.next_time)
-    GROUP BY ID, low, high, k, need, amt))""").replace("WITH ", "WITH RECURSIVE ", 1) + f"""
+    halving("halved", "bracket", "est")).replace("WITH ", "WITH RECURSIVE ", 1) + f"""
 SELECT ID, auc24, wait, next_time, round(CASE WHEN kept THEN last_amt WHEN need <= 0 THEN 0
     WHEN amt IS NULL THEN 5000 WHEN exact < 1 THEN 0 ELSE exact END, 4) AS dose_amt
 FROM (
@@ -819,7 +828,7 @@ for _name, _variant in (
         ("peak_trough", {"exact": True, "gate": False, "pairs": True})):
     ORACLES[f"replay_bayes_grid_{_name}"] = with_(
         *BASE, ALL_CANDIDATES, params("all_par", "all_candidates", ("eta1", "eta2", "eta3"), "ID, cand"),
-        *replay("bayes", "b_", rounds=8, early=True, **_variant)) + """
+        *replay("bayes", "b_", rounds=8, early=True, **_variant)).replace("WITH ", "WITH RECURSIVE ", 1) + """
 SELECT d.ID, s.rounds, d.time, round(d.amt, 3) AS amt FROM b_d8 d JOIN b_s8 s ON s.ID = d.ID"""
 ORACLES["replay_bayes_grid_newload"] = with_(
     *BASE, dose_table("doses2", "by_group"), ALL_CANDIDATES,

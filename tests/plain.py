@@ -130,10 +130,12 @@ def aimed(doses, params, start, end, frq, exact):
         return best
     low, high = best - 250, best
     if best <= 2000:  # proportional in the dose at a fixed infusion time
-        found = best * (500 - window(0)) / (window(best) - window(0))
-    else:
-        found = low + 250 * (500 - window(low)) / (window(high) - window(low))
-    found = max(found, low)
+        found = max(best * (500 - window(0)) / (window(best) - window(0)), low)
+    else:  # the infusion time rises with the dose
+        for _ in range(60):
+            middle = (low + high) / 2
+            low, high = (low, middle) if window(middle) >= 500 else (middle, high)
+        found = high
     return 0.0 if found < 1 else found
 
 
