@@ -225,16 +225,18 @@ ROUNDS_A_JOB = 6
 
 
 def _search_in_rows(active):
-    """Lattice states at their end, of patients of one unit: rounds are column expressions on the unit's row."""
+    """Lattice states at their end, of patients of one unit: rounds work on the unit's row alone."""
     kept = [c for c in active.columns if c not in (*_LATTICE, "ofv")]
     ofv = let("v", f"named_struct({stencil_point('cand')})", f"m + {prior('v')}")
-    best = (f"array_min(transform({histories.unit_misfits(STENCIL)}, (m, cand) -> "
+    best = (f"array_min(transform(scores, (m, cand) -> "
             f"named_struct('ofv', {ofv}, 'rank', {_STAYS_FIRST}, 'cand', cand)))")
     ended = "named_struct('ofv', ofv, 'rank', -1, 'cand', 13)"
     done = []
+    ship_package(active.sparkSession)
     while not active.isEmpty():
         for _ in range(ROUNDS_A_JOB):
-            chosen = settled(active, c=f"if(step = 0, {ended}, {best})")
+            scored = active.withColumn("scores", histories.unit_misfits(STENCIL))
+            chosen = settled(scored, c=f"if(step = 0, {ended}, {best})")
             active = chosen.selectExpr(*[f"{text} as {name}" for name, text in _moved(kept).items()])
         moved = stage(active, "lattice")
         done.append(moved.where("step = 0").select("ID", "n_samples", *_LATTICE, "ofv"))
