@@ -14,7 +14,11 @@ lengths of the lists that would be read on the other, both counted on the data.
 Links only matter for which class they connect. A list of many similar sets is therefore not expanded to
 all pairs: in each round every member is verified against one member of its lists, linked classes merge,
 and in the end only pairs that are still in different components are verified, each exactly once. No link
-between different components is missed.
+between different components is missed. A list whose members are in one component stays closed, so a round
+goes on with the open lists of the one before, and merges components by that round's links alone.
+
+Pairs carry classes and sizes only. Whole sets are kept without the shingles that certainly are in one document
+alone (their number is kept), and of them only the sets of a round's pairs are shuffled.
 
 Rarity is the count of a shingle's bucket in a sketch of fixed size; it decides the order alone, never a
 result. Defined cases: null and empty texts have no shingles and are linked with nothing; documents and
@@ -221,21 +225,39 @@ def _subsets(limit):
     return scan
 
 
-def _whole_sets(shared, inside, size):
-    """Arrow mapper: (class, whole set as sorted 64-bit hashes) of classes that the filter lets through."""
+def _whole_sets(wanted, common, inside, size):
+    """Arrow mapper: class, set size and sorted 64-bit hashes of the shingles that another document may have.
+
+    Only of classes that the filter ``wanted`` lets through.
+    """
 
     def scan(batches):
-        wanted = shared.value
+        classes_wanted, repeated = wanted.value, common.value
         for batch in batches:
-            classes, sets = [], []
+            classes, sizes, sets = [], [], []
             for _, _, data, offsets in wordscan.chunks(batch.column("text")):
                 for shingles in wordscan.shingle_sets(data, offsets, inside, size):
                     if len(shingles):
                         c = _class_of(shingles)
-                        if wanted.has(np.frombuffer(c[:8], dtype="<i8"))[0]:
+                        if classes_wanted.has(np.frombuffer(c[:8], dtype="<i8"))[0]:
                             classes.append(c)
-                            sets.append(shingles.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(classes, pa.binary()), pa.array(sets, pa.binary())], names=["c", "shingles"])
+                            sizes.append(len(shingles))
+                            sets.append(shingles[repeated.has(shingles)].tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(classes, pa.binary()), pa.array(sizes, pa.int32()), pa.array(sets, pa.binary())],
+                names=["c", "n", "shingles"],
+            )
+
+    return scan
+
+
+def _named(known):
+    """Arrow mapper: the rows whose class the filter lets through."""
+
+    def scan(batches):
+        for batch in batches:
+            heads = np.array([int.from_bytes(c[:8], "little", signed=True) for c in batch.column("c").to_pylist()], dtype=np.int64)
+            yield batch.take(pa.array(np.flatnonzero(known.value.has(heads))))
 
     return scan
 
@@ -244,12 +266,12 @@ def _verify(batches):
     """Arrow mapper: pairs with both sets to the pairs that reach the similarity."""
     for batch in batches:
         kept = []
-        for k, (x, y) in enumerate(zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())):
+        for k, (x, y, n, m) in enumerate(zip(*(batch.column(name).to_pylist() for name in ("x", "y", "n", "m")))):
             x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
             shared = len(np.intersect1d(x, y, assume_unique=True))
-            if DEN * shared >= NUM * (len(x) + len(y) - shared):
+            if DEN * shared >= NUM * (n + m - shared):
                 kept.append(k)
-        yield batch.select(["a", "b"]).take(pa.array(kept, pa.int64()))
+        yield batch.select(["a", "b", "root_a", "root_b"]).take(pa.array(kept, pa.int64()))
 
 
 def _small_boundary(sets, entries):
@@ -289,6 +311,8 @@ def class_links(docs, scanned, inside=wordscan.SPACED, size=SHINGLE):
     repeated = bitfilter.build(sets.select("head"), total, twice=True, hashes=_list_values)
     entries = sets.mapInArrow(_entries(repeated), "token long, c binary, s int, at int")
     entries = stage(entries, "entries")
+    repeated.destroy()
+    rarity.destroy()
     shared = entries.groupBy("token").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     entries = stage(entries.join(shared.select("token"), "token"), "lists")
 
@@ -305,15 +329,15 @@ def class_links(docs, scanned, inside=wordscan.SPACED, size=SHINGLE):
     wanted = entries.select("c").distinct().select(_head64("c").alias("h"))
     wanted = stage(wanted, "wanted")
     known = bitfilter.build(wanted, wanted.count())
-    whole = docs.select("text").mapInArrow(_whole_sets(known, inside, size), "c binary, shingles binary")
-    whole = stage(whole.groupBy("c").agg(F.first("shingles").alias("shingles")), "whole-sets")
+    whole = docs.select("text").mapInArrow(_whole_sets(known, common, inside, size), "c binary, n int, shingles binary")
+    whole = stage(whole.groupBy("c").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles")), "whole-sets")
+    known.destroy()
+    common.destroy()
 
+    labels = connected(links).withColumnRenamed("node", "c")
+    current = entries.join(labels, "c", "left").withColumn("root", F.coalesce("root", "c"))
     tried = links
     for turn in range(STAR_ROUNDS + 1):
-        labels = connected(links)
-        current = entries.join(labels.withColumnRenamed("node", "c"), "c", "left").withColumn(
-            "root", F.coalesce("root", "c")
-        )
         current = stage(current, "current")
         by_root = current.groupBy("token", "root").agg(F.count(F.lit(1)).alias("n"))
         open_lists = by_root.groupBy("token").agg(
@@ -325,13 +349,14 @@ def class_links(docs, scanned, inside=wordscan.SPACED, size=SHINGLE):
             break
         last = turn == STAR_ROUNDS or open_pairs <= OPEN_PAIRS * members
         current = current.join(open_lists.select("token"), "token")
-        found = _all_open(current, sets, boundary) if last else _one_each(current, boundary, turn)
-        found = found.join(tried, ["a", "b"], "left_anti")
-        found = stage(found, "candidates")
-        good = stage(_checked(found, whole), "verified")
-        links, tried = links.union(good), tried.union(found)
+        found = _all_open(current, boundary) if last else _one_each(current, boundary, turn)
+        found = stage(found.join(tried, ["a", "b"], "left_anti"), "candidates")
+        good = _checked(found, whole)
+        links, tried = links.union(good.select("a", "b")), tried.union(found.select("a", "b"))
         if last:
             break
+        merged = connected(good, "root_a", "root_b").select(F.col("node").alias("root"), F.col("root").alias("into"))
+        current = current.join(merged, "root", "left").withColumn("root", F.coalesce("into", "root")).drop("into")
     return connected(links)
 
 
@@ -342,7 +367,13 @@ def _head64(c):
 
 
 def _ordered_pairs(rows):
-    return rows.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    """Pairs (c, d) with the smaller class first, each with its root."""
+    swapped = F.col("c") > F.col("d")
+    return rows.select(
+        F.least("c", "d").alias("a"), F.greatest("c", "d").alias("b"),
+        F.when(swapped, F.col("root_d")).otherwise(F.col("root")).alias("root_a"),
+        F.when(swapped, F.col("root")).otherwise(F.col("root_d")).alias("root_b"),
+    )
 
 
 def _one_each(current, boundary, turn):
@@ -354,34 +385,39 @@ def _one_each(current, boundary, turn):
     pairs = current.join(first, "token").where(F.col("root") != F.col("p.root"))
     pairs = pairs.where((F.col("s") > boundary) | (F.col("p.s") > boundary))
     pairs = pairs.where(_possible(F.col("s"), F.col("at"), F.col("p.s"), F.col("p.at")))
-    counts = pairs.groupBy("c", F.col("p.c").alias("d")).agg(F.count(F.lit(1)).alias("n"))
-    best = counts.groupBy("c").agg(F.max(F.struct("n", "d")).alias("m"))
-    return _ordered_pairs(best.select(F.col("c").alias("a"), F.col("m.d").alias("b"))).distinct()
+    counts = pairs.groupBy("c", "root", F.col("p.c").alias("d"), F.col("p.root").alias("root_d")).agg(F.count(F.lit(1)).alias("n"))
+    best = counts.groupBy("c", "root").agg(F.max(F.struct("n", "d", "root_d")).alias("m"))
+    return _ordered_pairs(best.select("c", "root", F.col("m.d").alias("d"), F.col("m.root_d").alias("root_d"))).distinct()
 
 
-def _all_open(current, sets, boundary):
-    """All pairs that share a list and are still in different components, from the first list they share.
+def _all_open(current, boundary):
+    """All pairs that share a list and are still in different components, once each, if they can be similar.
 
-    Heads of one order bound the intersection: a shared shingle is in both heads, or it lies beyond the end
-    of the head that ends first.
+    A shared shingle is in both prefixes, and then in an open list, or it lies beyond the end of the prefix that
+    ends first in the common order; and the first shared shingle leaves the most room behind it.
     """
-    heads = sets.select("c", "head")
-    current = current.join(heads, "c").withColumn("before", F.slice("head", F.lit(1), F.col("at")))
-    other = current.select("token", *[F.col(x).alias(f"{x}2") for x in ("c", "s", "at", "root", "head", "before")])
-    pair = (F.col("token") == F.col("token_")) & (F.col("c") < F.col("c2")) & (F.col("root") != F.col("root2"))
-    pair = pair & ((F.col("s") > boundary) | (F.col("s2") > boundary))
-    pair = pair & _possible(F.col("s"), F.col("at"), F.col("s2"), F.col("at2")) & ~F.arrays_overlap("before", "before2")
-    beyond = F.greatest(F.col("s") - F.size("head"), F.col("s2") - F.size("head2"))
-    need = F.ceil(F.lit(NUM) * (F.col("s") + F.col("s2")) / F.lit(NUM + DEN))
-    pair = pair & (F.size(F.array_intersect("head", "head2")) + beyond >= need)
-    pairs = current.join(other.withColumnRenamed("token", "token_"), pair)
-    return _ordered_pairs(pairs.select(F.col("c").alias("a"), F.col("c2").alias("b")))
+    other = current.select("token", F.col("c").alias("d"), F.col("s").alias("t"), F.col("at").alias("place"), F.col("root").alias("root_d"))
+    pairs = current.join(other, "token").where((F.col("c") < F.col("d")) & (F.col("root") != F.col("root_d")))
+    pairs = pairs.where((F.col("s") > boundary) | (F.col("t") > boundary))
+    pairs = pairs.where(DEN * F.least("s", "t") >= NUM * F.greatest("s", "t"))
+    room = F.least(F.col("s") - F.col("at"), F.col("t") - F.col("place"))
+    shared = pairs.groupBy("c", "d", "s", "t", "root", "root_d").agg(F.count(F.lit(1)).alias("n"), F.max(room).alias("room"))
+    need = F.ceil(F.lit(NUM) * (F.col("s") + F.col("t")) / F.lit(NUM + DEN))
+    beyond = F.ceil(F.lit(NUM) * F.greatest("s", "t") / F.lit(DEN)) - 1
+    return _ordered_pairs(shared.where((F.col("room") >= need) & (F.col("n") + beyond >= need)))
 
 
 def _checked(pairs, whole):
-    left = whole.select(F.col("c").alias("a"), F.col("shingles").alias("x"))
-    right = whole.select(F.col("c").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_verify, "a binary, b binary")
+    """The similar ones of ``pairs``; sets of other classes are left out before the shuffle."""
+    named = stage(pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct().select(_head64("c")), "wanted")
+    known = bitfilter.build(named, named.count())
+    sets = whole.mapInArrow(_named(known), whole.schema)
+    left = sets.select(F.col("c").alias("a"), F.col("n"), F.col("shingles").alias("x"))
+    right = sets.select(F.col("c").alias("b"), F.col("n").alias("m"), F.col("shingles").alias("y"))
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "root_a", "root_b", "n", "m", "x", "y")
+    good = stage(both.mapInArrow(_verify, "a binary, b binary, root_a binary, root_b binary"), "verified")
+    known.destroy()
+    return good
 
 
 def near_duplicates(df, id_col="doc_id", text_col="text", inside=wordscan.SPACED, size=SHINGLE):
