@@ -217,6 +217,27 @@ def test_fitted_model_adds_personal_data_in_other_forms(spark):
     assert {k: set(got[k]) for k in want} == want
 
 
+def test_secrets_are_added_and_other_runs_left(spark):
+    rng, texts, want = random.Random(3), planted()[0], {}
+    run = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    both = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    for k in range(120):
+        secret = [run("0123456789abcdef", 40), run("0123456789ABCDEF", 32), run(both, 24) + "a1", run(both, 43) + "7="][k % 4]
+        uuid = "-".join(run("0123456789abcdef", n) for n in (8, 4, 4, 4, 12))
+        name = ["token", "API_KEY", "password", "client_secret"][k % 4]
+        texts.append([
+            f'so {name} = "{secret}" it', f"so {name}: {secret} it", f"request {uuid} was seen",
+            f"see https://example.com/articles/2024/a-long-road-to-it-{k} or conference2019proceedings",
+        ][k // 4 % 4])
+        want[len(texts) - 1] = [secret] if secret in texts[-1] else []
+    model = pii.fit(spark.createDataFrame(list(enumerate(texts)), COLUMNS))
+    rows = pii.find(spark.createDataFrame(list(enumerate(texts)), COLUMNS), model).select("doc_id", "added").collect()
+    got = {r.doc_id: [texts[r.doc_id][x.s : x.e] for x in r.added if x.kind == "secret"] for r in rows}
+    assert "secret" in model.thresholds and {k: got[k] for k in want} == want
+    odd = ["", "a1" * 30_000, "- " * 20_000, "x" * 16, "1" * 16, "token = ", 'token = "é"']
+    assert set(added_texts(spark, odd, model)) == set(range(len(odd)))
+
+
 def test_numbers_side_by_side_are_added_one_by_one(spark):
     texts = [f"{text} {k}x" for k, text in enumerate(planted(200)[0])]
     pair, run = "so 4465758382889437 4465758382889437 it", "so +9 (999) 999-9999 999.999.999.999 it, +1 (737) 555-3887 10.1.2.3"

@@ -1,11 +1,11 @@
 """Personal data: fixed formats, and candidates chosen by boosted trees, in column expressions only.
 
 Four fixed formats (e-mail, IP address, payment card, telephone) give the base spans. Beside them, high-recall
-generators propose spans that may overlap each other: numbers with separators, and addresses with
-written-out signs, in the text outside the base spans. Gradient-boosted trees score every candidate by
+generators propose spans that may overlap each other: numbers with separators, addresses with
+written-out signs, and long runs of letters and digits (secrets), in the text outside the base spans. Gradient-boosted trees score every candidate by
 its shape and by the text around it. They learn from a bounded sample of documents: its candidates, labelled by their
-normalised content (signs rewritten, separators stripped, then the checks) and context, and base hits written in
-other ways where they stand, which are positives. Tests that define the base formats are kept out of the
+normalised content (signs rewritten, separators stripped, then the checks; the entropy of a run) and context, and base
+hits written in other ways where they stand, which are positives. Tests that define the base formats are kept out of the
 features. A threshold for each generator is calibrated on those labels of candidates outside base spans;
 candidates above it are added. The trees are compiled into an SQL expression: scoring
 is part of the scan's projection, without a join, a shuffle or Python.
@@ -61,11 +61,20 @@ def _address(dot):
 ADDRESS = _address(_DOT)
 #: The same up to the end of its sentence.
 TIGHT_ADDRESS = _address(_TIGHT)
-GENERATORS = ("number", "address")
+#: Runs that keys and tokens are written in.
+SECRET = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+={0,2}"
+GENERATORS = ("number", "address", "secret")
 #: Characters of context on either side, and words there that speak of personal data.
 CONTEXT = 24
 PHONE_CUE = r"\b(call|phone|telephone|tel|fax|mobile|cell|contact)\b[^0-9A-Za-z]*(?:(?:me|us|at|on|is|no|number)\b[^0-9A-Za-z]*){0,2}$"
 CUES = r"\b(call|phone|tel|fax|mobile|card|visa|mail|contact|address|ip|host)\b"
+SECRET_CUE = r"(?:token|secret|passw(?:or)?d|passphrase|pwd|key|credentials?|auth)[a-z0-9_]*[\"']?\s*(?:=>|[:=])\s*[\"']?$|\bbearer\s+$"
+#: Switches between letters and digits, and runs that name a thing without being secret.
+_SWITCH = "(?<=[0-9])(?=[A-Za-z])|(?<=[A-Za-z])(?=[0-9])"
+_UUID = "[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}"
+#: Least length and bits a character of a secret after a cue, and of one that stands by itself.
+CUED_LENGTH, CUED_BITS = 16, 2.5
+BARE_LENGTH, BARE_BITS = 32, 3.0
 
 _YEAR = "(?:19|20)[0-9]{2}"
 _DATE = rf"{_YEAR}[./-][0-9]{{1,2}}[./-][0-9]{{1,2}}.*|[0-9]{{1,2}}[./-][0-9]{{1,2}}[./-]{_YEAR}.*|{_YEAR}[\x20/-]+{_YEAR}"
@@ -212,14 +221,32 @@ def features(x):
         "before_sign": flag(F.rlike(after, F.lit("^[=:#\"'%/]"))),
         "cue": flag(F.rlike(F.lower(before), F.lit(CUES))),
         "phone_cue": flag(F.rlike(F.lower(before), F.lit(PHONE_CUE))),
+        "secret_cue": flag(F.rlike(F.lower(before), F.lit(SECRET_CUE))),
+        "switches": _switches(v).cast("double"),
+        "distinct": F.size(_characters(v)).cast("double"),
     }
 
 
+def _switches(v):
+    return F.size(F.split(v, _SWITCH)) - 1
+
+
+def _characters(v):
+    return F.array_distinct(F.filter(F.split(v, ""), lambda c: c != ""))
+
+
+def _bits(v):
+    """Entropy of the characters of ``v``, in bits a character."""
+    length = F.length(v)
+    share = lambda c: (length - F.length(F.replace(v, c, F.lit("")))) / length
+    return F.aggregate(_characters(v), F.lit(0.0), lambda a, c: a - bind(share(c), lambda p: p * F.log2(p)))
+
+
 FEATURES = (
     "length", "digit_share", "blanks", "dots", "dashes", "brackets", "digits", "loose_dots", "groups",
     "first_group", "last_group", "year", "longest_group",
     "leading_zero", "after_blank", "after_letter", "after_sign", "before_letter", "before_sign", "cue",
-    "phone_cue", "after_digit", "before_digit",
+    "phone_cue", "after_digit", "before_digit", "secret_cue", "switches", "distinct",
 )
 
 
@@ -231,6 +258,7 @@ def proposals(text):
     return {
         "number": F.filter(numbers(text), lambda x: _possible(x["v"])),
         "address": F.when(signed, addresses).otherwise(none),
+        "secret": F.when(F.rlike(text, F.lit(SECRET)), F.filter(spans(text, SECRET), lambda x: _switches(x["v"]) > 0)).otherwise(none),
     }
 
 
@@ -328,7 +356,17 @@ def _is_address(x):
     return alone & F.rlike(plain, F.lit(r"^[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,24}$"))
 
 
-LABELS = {"number": _is_number, "address": _is_address}
+def _is_secret(x):
+    """Label of a secret: a run of high entropy after a cue, or a long one whose letters and digits are mixed throughout."""
+    v = x["v"]
+    length = F.length(v)
+    cued = F.rlike(F.lower(x["before"]), F.lit(SECRET_CUE)) & (length >= CUED_LENGTH) & (_bits(v) >= CUED_BITS)
+    bare = (length >= BARE_LENGTH) & (_switches(v) * 8 >= length) & (_bits(v) >= BARE_BITS)
+    alone = ~F.rlike(x["before"], F.lit("[A-Za-z0-9/@.%]$")) & ~F.rlike(x["after"], F.lit("^[A-Za-z0-9@%]"))
+    return cued | (bare & alone & ~F.rlike(v, F.lit(f"^{_UUID}$")))
+
+
+LABELS = {"number": _is_number, "address": _is_address, "secret": _is_secret}
 
 
 def _masked(base):
