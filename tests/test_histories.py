@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from troughline import constants as C
+from troughline.functions import history_kernel
 from troughline.functions.map_kernel import _Batch
 from troughline.functions.model import add, with_parameters, with_rate_constants
 from troughline.operators import dosing, estimation, histories
@@ -173,3 +174,36 @@ def test_exact_dose_reaches_its_target(spark):
         else:
             assert r.exact == (0.0 if r.need <= 0 else C.MAX_DOSE)
     assert above >= 2
+
+
+@pytest.mark.parametrize("gathered", [16, 2])
+def test_searches_in_rows_and_over_units_agree(spark, monkeypatch, gathered):
+    """A patient of few units is searched in one row, a longer one round by round over its units."""
+    monkeypatch.setattr(histories, "UNIT_ROWS", 16)
+    cohort, given, seen, doses, samples, patients = tables(spark, seed=9)
+    whole = {r.ID: r for r in estimation.history_map(cohort, given, seen).collect()}
+    monkeypatch.setattr(estimation, "GATHERED", gathered)
+    cut = {r.ID: r for r in estimation.history_map(cohort, given, seen).collect()}
+    assert sorted(cut) == sorted(whole) == [1, 2, 3, 4]
+    for i, row in whole.items():
+        np.testing.assert_allclose(tuple(cut[i])[:5], tuple(row)[:5], atol=1e-12)
+        assert cut[i].ofv == pytest.approx(row.ofv, rel=1e-9)
+
+
+def test_walks_of_units_of_unequal_length():
+    """Units padded to one block score as they do alone, and as many as there are."""
+    rng = np.random.default_rng(3)
+    sizes, eta = [0, 1, 7, 40, 3], grid()[::50]
+    time = [np.sort(rng.random(n) * 200).round(1) for n in sizes]
+    dr = [np.where(rng.random(n) < 0.4, rng.choice([500.0, -500.0], n), 0.0) for n in sizes]
+    seen = [np.where(rng.random(n) < 0.5, 10 * rng.random(n), np.nan) for n in sizes]
+    covcl, covvc, begins, none = np.full(5, 4.0), np.full(5, 50.0), np.zeros(5), [None] * 5
+    rate = np.full(5, np.nan)
+    every = history_kernel.misfits(covcl, covvc, begins, rate, time, dr, seen, none, none, eta)
+    lists = tuple([eta[: i + 1, k] for i in range(5)] for k in range(3))
+    some = history_kernel.misfits(covcl, covvc, begins, rate, time, dr, seen, none, none, lists)
+    for i in range(5):
+        at = slice(i, i + 1)
+        alone = history_kernel.misfits(covcl[at], covvc[at], begins[at], rate[at], time[at], dr[at], seen[at], none[at], none[at], eta)
+        np.testing.assert_allclose(every[i], alone[0], rtol=1e-12)
+        np.testing.assert_allclose(some[i], every[i][: i + 1], rtol=1e-12)

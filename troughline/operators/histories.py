@@ -14,15 +14,15 @@ A state holds the decaying concentrations ``a`` and ``b``, and where the future
 those doses. From these follows what comes without new doses, once the last infusion has ended.
 """
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
 
 from .. import constants as C
+from ..functions import history_kernel
+from ..functions.map_kernel import grid_points
 from ..functions.model import add, infusion_hours, let, num, settled, shuffled_join
 from ..sources.shipping import ship_package
 from ..sources.storage import stage
@@ -202,127 +202,140 @@ def begun(table, constants, future=False, longest=None):
     return shuffled_join(table, _scan(ends, constants, future, longest), "ID", "seq", how="left")
 
 
-def _scoring(more=None, begin=None):
-    """Walk a unit's rows under ``k`` from the first state: (start, step, score) as SQL text.
-
-    ``a`` and ``b`` are kept here as what they exceed the steady state of the current rate by: a step is then one
-    product each. A row's own term is added one step later, when its prediction is a field; array functions
-    have no other names for values, and every nested ``let`` costs as much as the arithmetic of a step.
-    ``score`` gives ``m`` with the pending row; ``more`` are further fields of a step, ``begin`` what they begin with.
-    """
-    floor = num(C.PREDICTION_FLOOR)
-    y = f"if({PREDICTED} > {floor}, {PREDICTED}, {floor})"
-    variance = f"({y} * {y} * {num(C.ERR_PRO ** 2)} + {num(C.ERR_ADD ** 2)})"
-    term = (f"{num(0.5 * math.log(2 * math.pi))} + 0.5D * ln({variance}) "
-            f"+ (s.DV - {y}) * (s.DV - {y}) / (2.0D * {variance})")
-    score = f"if(s.DV is null, s.m, s.m + {term})"
-    step = {
-        "t": "e.time", "rate": "s.rate + e.dr", "a": "s.a * exp(k.ka * (s.t - e.time)) - k.wa * e.dr",
-        "b": "s.b * exp(k.kb * (s.t - e.time)) - k.wb * e.dr", "DV": "e.value", "m": score}
-    start = {
-        "t": "begins", "rate": "coalesce(rate, 0.0D)", "a": "coalesce(states[i].a - k.wa * rate, 0.0D)",
-        "b": "coalesce(states[i].b - k.wb * rate, 0.0D)", "DV": "cast(null as double)", "m": "0.0D"}
-    return start | (begin or {}), step | (more or {}), score
+def spread(table):
+    """Units over all tasks: their bytes do not tell their work, so adaptive execution may not merge these partitions."""
+    return table.repartition(int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")), "ID", "seq")
 
 
-PREDICTED = "(s.a + s.b + (k.wa + k.wb) * s.rate)"
+def _listed(*columns):
+    return [list(c) for c in columns]
 
 
-def _running():
-    """For each sample of a unit its prediction ``y`` under ``k`` and the misfit ``m`` of the samples before it, and their sum."""
-    pending = f"if(s.DV is null, s.seen, concat(s.seen, array(named_struct('y', {PREDICTED}, 'm', s.m))))"
-    start, step, score = _scoring({"seen": pending}, {"seen": "cast(array() as array<struct<y:double,m:double>>)"})
-    ended = _struct({"seen": pending, "m": score})
-    return f"aggregate(rows, {_struct(start)}, (s, e) -> {_struct(step)}, s -> {ended})"
+def _numbers(*columns):
+    return [c.to_numpy(dtype=float) for c in columns]
 
 
-def spread(table):
-    """Units over all tasks: their bytes do not tell their work, so adaptive execution may not merge these partitions."""
-    return table.repartition(int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")), "ID", "seq")
+def _fields(**kinds):
+    return StructType([StructField(name, kind) for name, kind in kinds.items()])
 
 
 @F.pandas_udf(ArrayType(DoubleType()))
 def _scores(covcl: pd.Series, covvc: pd.Series, begins: pd.Series, rate: pd.Series, time: pd.Series, dr: pd.Series,
             value: pd.Series, a: pd.Series, b: pd.Series, eta1: pd.Series, eta2: pd.Series, eta3: pd.Series) -> pd.Series:
-    """The walk of ``_scoring`` with all vectors of a unit in one step: its misfit under each."""
-    found = []
-    for cl, vc, t, r, times, changes, seen, a, b, e1, e2, e3 in zip(
-            covcl, covvc, begins, rate, time, dr, value, a, b, eta1, eta2, eta3):
-        cl, vc, k21 = cl * np.exp(e1), vc * np.exp(e2), C.TVQ / C.TVVP * np.exp(-e3)
-        k10 = cl / vc
-        total = k10 + C.TVQ / vc + k21
-        ka = (total + np.sqrt(total * total - 4 * k10 * k21)) / 2
-        kb = k10 * k21 / ka
-        wa, wb = (ka - k21) / ((ka - kb) * ka * vc), (k21 - kb) / ((ka - kb) * kb * vc)
-        if a is None:  # at rest
-            a, b, r = np.zeros(len(ka)), np.zeros(len(ka)), 0.0
-        else:
-            a, b = a - wa * r, b - wb * r
-        steady, misfit = wa + wb, np.full(len(ka), 0.5 * math.log(2 * math.pi) * np.count_nonzero(seen == seen))
-        for at, change, y in zip(times, changes, seen):
-            if at != t:
-                a, b, t = a * np.exp(ka * (t - at)), b * np.exp(kb * (t - at)), at
-            if y == y:
-                mean = np.maximum(a + b + steady * r, C.PREDICTION_FLOOR)
-                variance = mean * mean * C.ERR_PRO ** 2 + C.ERR_ADD ** 2
-                misfit += 0.5 * np.log(variance) + (y - mean) ** 2 / (2 * variance)
-            if change:
-                a, b, r = a - wa * change, b - wb * change, r + change
-        found.append(misfit)
-    return pd.Series(found)
-
-
-def unit_misfits(vectors):
-    """Column of the misfits of a unit, one for each vector, on a row of ``begun``.
-
-    The one step of this module in Python: as an array function it takes 7 microseconds of CPU a row and vector, and
-    here, where a step is one operation on all vectors of a unit, a twentieth to a hundredth of it.
+    """The misfit of each unit under each of its vectors."""
+    return pd.Series(history_kernel.misfits(*_numbers(covcl, covvc, begins, rate), *_listed(time, dr, value, a, b),
+                                            tuple(_listed(eta1, eta2, eta3))), dtype=object)
+
+
+@F.pandas_udf(ArrayType(DoubleType()))
+def _grid_scores(covcl: pd.Series, covvc: pd.Series, begins: pd.Series, rate: pd.Series, time: pd.Series, dr: pd.Series,
+                 value: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
+    """The same under all points of the coarse grid."""
+    return pd.Series(history_kernel.misfits(*_numbers(covcl, covvc, begins, rate), *_listed(time, dr, value, a, b),
+                                            grid_points()), dtype=object)
+
+
+@F.pandas_udf(_fields(best=ArrayType(IntegerType()), y=ArrayType(DoubleType())))
+def _running(covcl: pd.Series, covvc: pd.Series, begins: pd.Series, rate: pd.Series, time: pd.Series, dr: pd.Series,
+             value: pd.Series, a: pd.Series, b: pd.Series, before: pd.Series) -> pd.DataFrame:
+    best, y = history_kernel.running(*_numbers(covcl, covvc, begins, rate),
+                                     *_listed(time, dr, value, a, b, before), grid_points())
+    return pd.DataFrame({"best": best, "y": y})
+
+
+@F.pandas_udf(_fields(n1=LongType(), n2=LongType(), n3=LongType(), ofv=DoubleType()))
+def _searched(covcl: pd.Series, covvc: pd.Series, begins: pd.Series, time: pd.Series, dr: pd.Series, value: pd.Series,
+              n1: pd.Series, n2: pd.Series, n3: pd.Series, step: pd.Series, scale: pd.Series) -> pd.DataFrame:
+    if not len(n1):
+        return pd.DataFrame({"n1": [], "n2": [], "n3": [], "ofv": []})
+    start = np.stack([n.to_numpy(dtype=np.int64) for n in (n1, n2, n3)], -1)
+    found, ofv = history_kernel.search(*_numbers(covcl, covvc, begins), *_listed(time, dr, value), start,
+                                       int(step.iloc[0]), np.array(scale.iloc[0]))
+    return pd.DataFrame({"n1": found[:, 0], "n2": found[:, 1], "n3": found[:, 2], "ofv": ofv})
+
+
+@F.pandas_udf(_fields(**{name: ArrayType(DoubleType()) for name in FUTURE}))
+def _probed(ka: pd.Series, kb: pd.Series, wa: pd.Series, wb: pd.Series, begins: pd.Series, rate: pd.Series, time: pd.Series,
+            dr: pd.Series, amt: pd.Series, h: pd.Series, cand: pd.Series, probed: pd.Series, a: pd.Series, b: pd.Series,
+            va: pd.Series, vb: pd.Series, given: pd.Series, due: pd.Series) -> pd.DataFrame:
+    states = dict(zip(FUTURE, _listed(a, b, va, vb, given, due)))
+    start = [None if x is None else r for r, x in zip(rate, states["a"])]
+    return pd.DataFrame(history_kernel.probed_states(
+        _listed(ka, kb, wa, wb), *_numbers(begins), start, *_listed(time, dr, amt, h, cand, probed), states))
+
+
+def _each(array, field):
+    return F.expr(f"transform({array}, x -> x.{field})")
+
+
+def _rows(kind, value="value"):
+    """A field of a unit's rows of one kind, NaN in the others."""
+    return F.expr(f"transform(rows, x -> if(x.kind = {kind} and x.{value} is not null, x.{value}, double('nan')))")
+
+
+def _unit():
+    """What a walk from the unit's first state needs."""
+    return ("COVCL", "COVVC", "begins", "rate", _each("rows", "time"), _each("rows", "dr"), _rows(0), _each("states", "a"),
+            _each("states", "b"))
+
+
+def unit_misfits(vectors=None):
+    """Column of the misfits of a unit, one for each vector, on a row of ``begun``; without ``vectors`` of the coarse grid.
+
+    The walks of this module that meet many vectors are steps in Python (``functions/history_kernel.py``): as an array function
+    a row and vector takes 7 microseconds of CPU, and there, where a step is one operation on many units, a hundredth of it.
     """
-    def each(array, field):
-        return F.expr(f"transform({array}, x -> x.{field})")
+    if vectors is None:
+        return _grid_scores(*_unit())
+    return _scores(*_unit(), *[_each(vectors, f"eta{k}") for k in (1, 2, 3)])
+
 
-    # a row that is no sample has NaN for its concentration
-    seen = F.expr("transform(rows, x -> if(x.kind = 0, x.value, double('nan')))")
-    return _scores("COVCL", "COVVC", "begins", "rate", each("rows", "time"), each("rows", "dr"), seen, each("states", "a"),
-                   each("states", "b"), *[each(vectors, f"eta{k}") for k in (1, 2, 3)])
+def unit_search(step, scale):
+    """Column (n1, n2, n3, ofv): where the lattice search from ``n1, n2, n3`` of a patient of one unit ends."""
+    steps = F.array(*[F.lit(float(x)) for x in scale])
+    return _searched("COVCL", "COVVC", "begins", _each("rows", "time"), _each("rows", "dr"), _rows(0), "n1", "n2", "n3",
+                     F.lit(step), steps)
 
 
-def misfits(table, vectors, longest=None, keep=()):
+def misfits(table, vectors, longest=None, keep=(), points=True):
     """Negative log-likelihood of all samples of a patient under each vector: (ID, *keep, cand, misfit, n_samples).
 
     ``table`` is the units with COVCL and COVVC, and with columns ``keep`` that are the same for all units of a
-    patient; ``vectors`` is SQL text for an array of structs (eta1, eta2, eta3). A unit's array of sums is taken apart last.
+    patient; ``vectors`` is SQL text for an array of structs (eta1, eta2, eta3). With ``points=False`` they are the coarse
+    grid's, which the walk makes itself instead of a unit carrying them. A unit's array of sums is taken apart last.
     """
     ship_package(table.sparkSession)
+    scored = unit_misfits(None if points is False else vectors)
     each = spread(begun(table, models(vectors), longest=longest)).select(
-        "ID", *keep, F.expr("size(filter(rows, r -> r.kind = 0))").alias("n"), unit_misfits(vectors).alias("m"))
+        "ID", *keep, F.expr("size(filter(rows, r -> r.kind = 0))").alias("n"), scored.alias("m"))
     each = each.selectExpr("ID", *keep, "n", "posexplode(m) as (cand, m)")
     return each.groupBy("ID", *keep, "cand").agg(F.sum("m").alias("misfit"), F.sum("n").alias("n_samples"))
 
 
-def running_misfits(table, vectors, longest=None):
-    """Units with samples, with misfits sample by sample.
+def running_grid(table, vectors, longest):
+    """Units with samples, with the best points of the coarse grid as their samples come in.
 
-    Adds ``seen``, an array by vector of arrays by sample of (y: prediction under the vector, m: misfit of the samples
-    of the unit before it); ``m``, the unit's misfit by vector; and what the units before it sum to: ``before`` by
-    vector and ``n_before``, both null for a patient of one unit.
+    Adds ``n_before``, the samples of the units before it (null for a patient of one unit); ``best``, the point that all samples
+    before each of the unit's and, last, its own single out; and ``y``, each sample's prediction under the point before it.
+    ``vectors`` is SQL text for the points. Units of patients with several are walked twice: their sums come first.
     """
-    every = let("models", models(vectors), f"transform(models, (k, i) -> {_running()})")
-    rows = spread(begun(table, models(vectors), longest=longest))
-    rows = settled(rows, _each=every).drop("rate", "states")
-    rows = add(rows, n="cast(size(filter(rows, r -> r.kind = 0)) as bigint)", seen="transform(_each, x -> x.seen)",
-               m="transform(_each, x -> x.m)").drop("_each")
-    if longest is not None and longest <= 1:
-        return add(rows, before="cast(null as array<double>)", n_before="cast(null as bigint)").where("n > 0")
-    rows = stage(rows, "running")
-    each = rows.where("n_units > 1").selectExpr("ID", "seq", "n", "posexplode(m) as (cand, sum)")
-    earlier = Window.partitionBy("ID", "cand").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    each = each.withColumns({"sum": F.coalesce(F.sum("sum").over(earlier), F.lit(0.0)),
-                             "n_before": F.coalesce(F.sum("n").over(earlier), F.lit(0))})
-    sums = each.groupBy("ID", "seq").agg(
-        F.sort_array(F.collect_list(F.struct("cand", "sum"))).alias("sums"), F.first("n_before").alias("n_before"))
-    sums = sums.selectExpr("ID", "seq", "transform(sums, x -> x.sum) as before", "n_before")
-    return shuffled_join(rows, sums, "ID", "seq", how="left").where("n > 0")
+    ship_package(table.sparkSession)
+    rows = add(begun(table, models(vectors), longest=longest), n="cast(size(filter(rows, r -> r.kind = 0)) as bigint)")
+    if longest <= 1:
+        rows = add(rows, before="cast(null as array<double>)", n_before="cast(null as bigint)")
+    else:
+        rows = stage(rows, "begun")
+        each = spread(rows.where("n_units > 1")).select("ID", "seq", "n", unit_misfits().alias("m"))
+        earlier = Window.partitionBy("ID", "cand").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+        each = each.selectExpr("ID", "seq", "n", "posexplode(m) as (cand, sum)").withColumns({
+            "sum": F.coalesce(F.sum("sum").over(earlier), F.lit(0.0)),
+            "n_before": F.coalesce(F.sum("n").over(earlier), F.lit(0))})
+        sums = each.groupBy("ID", "seq").agg(
+            F.sort_array(F.collect_list(F.struct("cand", "sum"))).alias("sums"), F.first("n_before").alias("n_before"))
+        sums = sums.selectExpr("ID", "seq", "transform(sums, x -> x.sum) as before", "n_before")
+        rows = shuffled_join(rows, sums, "ID", "seq", how="left")
+    return spread(rows.where("n > 0")).withColumn("_found", _running(*_unit(), "before")).selectExpr(
+        "ID", "rows", "n_before", "_found.best as best", "_found.y as y")
 
 
 def states_at(table, constants, longest=None):
@@ -331,14 +344,16 @@ def states_at(table, constants, longest=None):
     ``table`` is the units with ``probed``, the sorted numbers of the vectors that the patient's probes name, and
     what ``constants``, SQL text for the array of those vectors' constants, refers to.
     """
-    table = spread(begun(table, constants, future=True, longest=longest))
-    found = {"key": "e.key", "cand": "probed[i]", "what": "e.what", "time": "e.time",
-             **{name: f"k.{name}" for name in RATES}, **{name: f"n.{name}" for name in FUTURE}}
-    kinds = ["bigint", "int", "int"] + ["double"] * (len(found) - 3)
-    nothing = f"cast(array() as array<struct<{','.join(f'{name}:{kind}' for name, kind in zip(found, kinds))}>>)"
-    step = f"if(e.kind = 1 and e.value = probed[i], concat(s.m, array({_struct(found)})), s.m)"
-    walked = _walk("rows", f"coalesce(states[i], {_rest(True)})", "coalesce(rate, 0.0D)", True, step, nothing)
-    return table.selectExpr("ID", f"inline(flatten({let('models', constants, f'transform(models, (k, i) -> {walked}.m)')}))")
+    ship_package(table.sparkSession)
+    table = add(spread(begun(table, constants, future=True, longest=longest)), _k=constants)
+    found = _probed(*[_each("_k", name) for name in RATES[1:]], "begins", "rate", _each("rows", "time"), _each("rows", "dr"),
+                    _rows(2, "amt"), _rows(2, "h"), _rows(1), F.expr("transform(probed, c -> cast(c as double))"),
+                    *[_each("states", name) for name in FUTURE])
+    fields = {"key": "r.key", "cand": "cast(r.value as int)", "what": "r.what", "time": "r.time",
+              **{name: f"_k[array_position(probed, cast(r.value as int)) - 1].{name}" for name in RATES},
+              **{name: f"_found.{name}[i]" for name in FUTURE}}
+    rows = table.withColumn("_found", found).selectExpr("ID", "_k", "_found", "probed", "filter(rows, r -> r.kind = 1) as _probes")
+    return rows.selectExpr("ID", f"inline(transform(_probes, (r, i) -> {_struct(fields)}))")
 
 
 def exposure(obs, doses, patients):
