@@ -4,11 +4,12 @@ import math
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from troughline import constants as C
 from troughline.functions.map_kernel import _Batch, grid_points
 from troughline.functions.model import rounded
-from troughline.operators import events, regimen
+from troughline.operators import draws, events, regimen
 from troughline.plans import study_queries
 from conftest import SMALL
 
@@ -79,3 +80,12 @@ def test_walked_predictions_are_sums_over_doses():
                     for k, share in ((fast, fast - k21), (slow, k21 - slow)):
                         want += amt / h * share / ((fast - slow) * k * vc) * (1 - math.exp(-k * min(s - t, h))) * math.exp(-k * max(s - t - h, 0))
             assert abs(y - max(want, C.PREDICTION_FLOOR)) <= 1e-9 * max(abs(want), 1)
+
+
+def test_no_draw_after_the_one_that_passes(spark):
+    def draw(attempt):
+        late = F.raise_error(F.lit("drawn again")).cast("double")
+        return F.struct(F.when(attempt > 2, late).otherwise(F.col("ID") + attempt).alias("x"))
+
+    got = draws._until_inside(spark.range(3).toDF("ID"), draw, lambda d: d["x"] >= 2).collect()
+    assert sorted(tuple(r) for r in got) == [(0, 2.0), (1, 2.0), (2, 3.0)]

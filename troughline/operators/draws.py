@@ -10,6 +10,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from .. import constants as C
+from ..functions.model import rounded
 from ..sources.storage import stage
 
 ATTEMPTS = 16  # attempts tried in the first pass; every further pass doubles them
@@ -38,10 +39,11 @@ def with_etas(patients, seed):
 
 def with_eps(events, seed):
     """Residual draws per event row."""
-    microhours = F.round(F.col("time") * 1e6).cast("long")
-    return events.withColumns({
-        f"EPS{i}": normal(F.col("ID"), microhours, F.lit(seed), F.lit(i)) * math.sqrt(sigma)
-        for i, sigma in enumerate(C.SIGMA, start=1)})
+    keyed = events.withColumn("_us", F.col("time") * 1e6).withColumn("_us", F.expr(rounded("_us", 0)).cast("long"))
+    keyed = keyed.withColumn("_key", F.concat_ws(":", "ID", "_us", F.lit(seed)))  # the text that all draws of a row begin with
+    return keyed.withColumns({
+        f"EPS{i}": normal(F.col("_key"), F.lit(i)) * math.sqrt(sigma)
+        for i, sigma in enumerate(C.SIGMA, start=1)}).drop("_us", "_key")
 
 
 def log_moments(mean, sd):
@@ -110,11 +112,20 @@ def _check_bounds(mu, sigma, low, high, log):
 
 
 def _until_inside(patients, draw, inside):
-    """First draw per row that passes; rows without one go to the next pass, until none is left."""
+    """First draw per row that passes; rows without one go to the next pass, until none is left.
+
+    No attempt is drawn after the one that passes.
+    """
+    kind = patients.select(draw(F.lit(1))).schema[0].dataType
+
+    def first_hit(hit, attempt):
+        tried = F.transform(F.array(draw(attempt)), lambda d: F.when(inside(d), d))
+        return F.when(hit.isNotNull(), hit).otherwise(F.element_at(tried, 1))
+
     done, open_rows, first, count = None, patients, 0, ATTEMPTS
     while True:
         attempts = F.sequence(F.lit(first + 1), F.lit(first + count))
-        hit = F.try_element_at(F.filter(F.transform(attempts, draw), inside), F.lit(1))
+        hit = F.aggregate(attempts, F.lit(None).cast(kind), first_hit)
         tried = stage(open_rows.withColumn("_hit", hit), "draws")
         passed = tried.where("_hit is not null").select(*patients.columns, "_hit.*")
         done = passed if done is None else done.unionByName(passed)
