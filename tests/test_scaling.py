@@ -89,3 +89,20 @@ def test_no_draw_after_the_one_that_passes(spark):
 
     got = draws._until_inside(spark.range(3).toDF("ID"), draw, lambda d: d["x"] >= 2).collect()
     assert sorted(tuple(r) for r in got) == [(0, 2.0), (1, 2.0), (2, 3.0)]
+
+
+def test_bound_grids_are_not_shuffled_by_time(spark):
+    bound = study_queries.bind_by_key(spark, SMALL)
+    assert not shuffles_of(bound) and "SortMergeJoin" not in bound._jdf.queryExecution().executedPlan().toString()
+
+
+def test_binding_by_key_is_the_join(spark):
+    """Repeated keys on both sides, keys of one side alone, null keys, -0.0 and values that are null."""
+    left = spark.createDataFrame([(1, 0.0, 5.0), (1, 0.0, 6.0), (1, 1.0, None), (2, 0.0, 7.0), (None, 0.0, 8.0), (3, None, 9.0)],
+                                 "ID int, time double, amt double")
+    right = spark.createDataFrame([("a", 1, -0.0), ("b", 1, 0.0), (None, 1, 1.0), ("c", 4, 0.0), ("d", None, 0.0), ("e", 3, None)],
+                                  "x string, ID long, time double")
+    got = events.bind_by_key(left, right)
+    assert got.columns == ["ID", "time", "amt", "x"] and dict(got.dtypes)["ID"] == "int"
+    want = left.join(right, ["ID", "time"])
+    assert want.count() == 5 and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
