@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from troughline import constants as C
 from troughline.functions.map_kernel import _Batch, grid_points
 from troughline.functions.model import rounded
-from troughline.operators import draws, events, regimen
+from troughline.operators import draws, events, exposure, regimen
 from troughline.plans import study_queries
 from conftest import SMALL
+from test_model import patients
 
 
 def test_rounding_is_sparks(spark):
@@ -106,3 +107,25 @@ def test_binding_by_key_is_the_join(spark):
     assert got.columns == ["ID", "time", "amt", "x"] and dict(got.dtypes)["ID"] == "int"
     want = left.join(right, ["ID", "time"])
     assert want.count() == 5 and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_swept_grids_are_not_stored(spark, monkeypatch):
+    monkeypatch.setattr(exposure, "stage", lambda df, name: 1 / 0)
+    plan = study_queries.exposure_profile(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "Union" in plan.split("Window", 1)[1]
+
+
+def test_sweep_by_patient_and_by_block_agree(spark):
+    """Times before the origin, a fast exponent, doses after the last observation, patients without doses or observations."""
+    rng = random.Random(4)
+    people = [(i, 75.0, 90.0, 0, 0.0, -6.0 if i == 2 else 0.1 * i, 0.0) for i in range(1, 8)]
+    doses = [(rng.choice([1, 2, 3, 4, 9]), round(rng.uniform(-200, 900), 1), 250.0 * rng.randint(0, 16)) for _ in range(120)]
+    obs = [(rng.choice([1, 2, 3, 5, 8]), round(rng.uniform(-300, 700), 1), k) for k in range(300)] + [(4, 10.0, -1), (4, 10.0, -2)]
+    obs, doses = spark.createDataFrame(obs, "ID long, time double, key long"), spark.createDataFrame(doses, "ID long, time double, amt double")
+    frame = patients(spark, people)
+    for block in (168.0, 24.0):
+        one, two = (sorted(map(tuple, exposure.exposure_sweep(obs, doses, frame, block_hours=block, by_patient=b).collect()))
+                    for b in (True, False))
+        assert len(one) == len(two) == obs.where("ID <= 7").count()
+        for a, b in zip(one, two):
+            assert a[:3] == b[:3] and np.allclose(a[3:], b[3:], rtol=1e-12, atol=1e-12)
