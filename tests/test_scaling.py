@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from troughline import constants as C
 from troughline.functions.map_kernel import _Batch, grid_points
 from troughline.functions.model import rounded
-from troughline.operators import draws, events, exposure, regimen
+from troughline.operators import draws, events, exposure, quantiles, regimen
 from troughline.plans import study_queries
 from conftest import SMALL
 from test_model import patients
@@ -129,3 +129,32 @@ def test_sweep_by_patient_and_by_block_agree(spark):
         assert len(one) == len(two) == obs.where("ID <= 7").count()
         for a, b in zip(one, two):
             assert a[:3] == b[:3] and np.allclose(a[3:], b[3:], rtol=1e-12, atol=1e-12)
+
+
+def test_percentiles_sort_only_the_bins_of_wanted_ranks(spark, monkeypatch):
+    """Values of either sign, zeros, infinities, NaN, subnormals, one narrow bin, groups of a null and of -0.0."""
+    kept, real = {}, quantiles.stage
+
+    def counting(df, name):
+        kept[name] = real(df, name)
+        return kept[name]
+
+    monkeypatch.setattr(quantiles, "stage", counting)
+    rng = np.random.default_rng(8)
+    odd = [0.0, -0.0, 5e-324, -5e-324, 1e308, -1e308, float("inf"), -float("inf"), 1.0, -1.0, 2.0 ** -17]
+    groups = {1.5: rng.normal(0, 9, 4000), 2.5: np.array(odd * 3), None: 1000 + rng.uniform(0, 1e-9, 50), 0.0: np.exp(rng.normal(0, 4, 500))}
+    rows = [(g, float(v)) for g, values in groups.items() for v in values]
+    rows += [(-0.0, float(v)) for v in groups[0.0]] + [(1.5, None)] * 9 + [(7.0, None), (8.0, float("nan")), (8.0, 1.0)]
+    probs = [("a", 0.0), ("b", 0.05), ("c", 0.5), ("d", 0.95), ("e", 1.0)]
+    frame = spark.createDataFrame(rows, "g double, v double").repartition(7)
+    got = {r.g: r[1:] for r in quantiles.exact_quantiles(frame, ["g"], "v", probs).collect()}
+    assert len(got) == 6 and got[7.0] == (None,) * 5 and math.isnan(got[8.0][4])
+    for g, values in groups.items():
+        values = np.sort(np.concatenate([values, values]) if g == 0.0 else values)
+        for (_, p), x in zip(probs, got[g]):
+            at = (len(values) - 1) * p
+            low, high = values[int(at)], values[min(int(at) + 1, len(values) - 1)]
+            with np.errstate(invalid="ignore"):
+                want = low * (1 - (at - int(at))) + high * (at - int(at))
+            assert x == want or abs(x - want) <= 1e-12 * abs(want) or math.isnan(x) and math.isnan(want), (g, p)
+    assert kept["values"].where("g = 1.5").count() < 1000
