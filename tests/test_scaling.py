@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from troughline import constants as C
 from troughline.functions.map_kernel import _Batch, grid_points
 from troughline.functions.model import rounded
-from troughline.operators import draws, events, exposure, quantiles, regimen
-from troughline.plans import study_queries
+from troughline.operators import dosing, draws, events, exposure, policies, quantiles, regimen
+from troughline.plans import replay, study_queries
 from conftest import SMALL
 from test_model import patients
 
@@ -158,3 +158,20 @@ def test_percentiles_sort_only_the_bins_of_wanted_ranks(spark, monkeypatch):
                 want = low * (1 - (at - int(at))) + high * (at - int(at))
             assert x == want or abs(x - want) <= 1e-12 * abs(want) or math.isnan(x) and math.isnan(want), (g, p)
     assert kept["values"].where("g = 1.5").count() < 1000
+
+
+def test_replays_work_out_no_states_after_the_sample(spark, monkeypatch):
+    """Neither true nor estimated states go on after the sample, and the dose search takes the estimated ones as they are."""
+    state = replay.start(study_queries.study.courses(spark, SMALL), early=True)
+    now = replay.situation(state.where("active"))
+    assert now.where("exists(segs, x -> x.s >= sample_time + 5)").isEmpty() and not now.where("size(segs) > 2").isEmpty()
+    calls, real = [], exposure.dose_segments
+    monkeypatch.setattr(dosing, "dose_segments", lambda *args: calls.append(args) or real(*args))
+    step = replay.bayes_step(state.where("active"), early=True, estimate="grid")
+    assert not calls
+    monkeypatch.undo()
+    fresh = dosing.target_dose("doses", "sample_time", "next_time", "frq", "e_")
+    same = step.selectExpr("d.dose_amt as a", f"if({policies.outside_target('auc24', 'last_amt')}, {fresh}, last_amt) as b")
+    assert same.where("not (a <=> b)").isEmpty() and same.count() > 100
+    whole = step.selectExpr("auc24 as a", f"{exposure.predict_at(exposure.dose_segments('doses', 'e_'), 'sample_time', 'e_')}.AUC as b")
+    assert whole.where("abs(a - 2 * b) > 0").isEmpty()  # first samples of early replays are taken before 24 h
