@@ -71,6 +71,62 @@ def test_one_near_copy_of_a_group_stays(spark):
     assert sorted(str(r.doc_id) for r in left) == ["1", "3", "4", "None"]
 
 
+def near_copy_group(seed, copies=70):
+    """A text, near copies of it of which some are too far from it and from each other, and short ones of its words."""
+    rng = random.Random(seed)
+    words = [f"w{k}" for k in range(120)]
+    texts = [" ".join(words)]
+    for _ in range(copies):
+        copy = list(words)
+        for _ in range(rng.choice([1, 1, 2, 3, 4])):
+            copy[rng.randrange(len(copy))] = "edit" + rng.choice("abcd")
+        texts.append(" ".join(copy))
+    texts += [" ".join(words[k : k + 70]) for k in range(0, 50, 10)]
+    rng.shuffle(texts)
+    return list(enumerate(texts))
+
+
+def test_group_of_near_copies_takes_few_rounds(spark, monkeypatch):
+    rounds, stage = [], jaccard_join.stage
+    monkeypatch.setattr(jaccard_join, "stage", lambda df, name: (rounds.append(name), stage(df, name))[1])
+    docs = near_copy_group(5)
+    rows = jaccard_join.near_duplicates(spark.createDataFrame(docs, COLUMNS)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == plain_text.components(docs)
+    assert rounds.count("candidates") <= 2
+
+
+def test_odd_bitmaps_refuse_no_similar_pair():
+    rng = np.random.default_rng(8)
+    rows, similar = [], []
+    for k in range(400):
+        both = rng.integers(0, 1 << 63, rng.integers(1, 3000), dtype=np.uint64)
+        x, y = (np.concatenate([both, rng.integers(0, 1 << 63, len(both) * rng.integers(0, 30) // 100, dtype=np.uint64)]) for _ in "xy")
+        shared = len(np.intersect1d(x, y))
+        similar.append(100 * shared >= 80 * (len(x) + len(y) - shared))
+        rows.append((str(k).encode(), b"", b"", b"", len(x), len(y), jaccard_join._odd(x), jaccard_join._odd(y)))
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(c) for c in zip(*rows)], names=["a", "b", "root_a", "root_b", "n", "m", "x", "y"]
+    )
+    (kept,) = jaccard_join._within([batch])
+    kept = {int(a) for a in kept.column("a").to_pylist()}
+    assert {k for k, s in enumerate(similar) if s} <= kept and len(kept) < 400
+
+
+def test_a_filter_is_read_in_few_jobs(spark):
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "40")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.sparkContext.setJobGroup("filter", "filter")
+        known = bitfilter.build(spark.range(1000), 1000)
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("filter")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert known.value.has(np.arange(1000)).all() and 0 < len(jobs) <= 3
+
+
 def test_subset_sizes_decide():
     for s in range(1, 13):
         for t in range(1, 13):

@@ -19,8 +19,8 @@ from troughline.llm.wordscan import mix
 MAX_BITS = 1 << 28
 SEGMENT_BITS = 1 << 21
 PROBES = 2
-#: Positions that a task holds before it sends them on.
-HELD = 4_000_000
+#: Positions that a task holds before it sends them on; joining and counting them takes some 60 bytes each.
+HELD = 1_000_000
 
 
 def positions(hashes, bits, probes):
@@ -128,7 +128,8 @@ def build(df, rows, twice=False, bits_per_row=16, probes=PROBES, hashes=column_h
     )
     bitmap = np.zeros(bits // 8, dtype=np.uint8)
     size = SEGMENT_BITS // 8
-    for row in merged.toLocalIterator():
+    # all segments in one job: an iterator would run one for each shuffle partition
+    for row in merged.collect():
         bitmap[row.segment * size : (row.segment + 1) * size] = np.frombuffer(row.bitmap, dtype=np.uint8)
     return spark.sparkContext.broadcast(BitFilter(bits, bitmap, probes))
 

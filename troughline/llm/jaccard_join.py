@@ -15,7 +15,12 @@ Links only matter for which class they connect. A list of many similar sets is t
 all pairs: in each round every member is verified against one member of its lists, linked classes merge,
 and in the end only pairs that are still in different components are verified, each exactly once. No link
 between different components is missed. A list whose members are in one component stays closed, so a round
-goes on with the open lists of the one before, and merges components by that round's links alone.
+goes on with the open lists of the one before, and merges components by that round's links alone. The first
+round's partner is the member with the smallest share of shingles of its own, the middle of a group of copies.
+
+The last join makes a pair at the lists in which none of the shingles just before is shared too: the first shared
+one is always such a list, and similar sets have few others. Bitmaps of odd counts (Sandes et al.) bound what two
+sets can share, and only pairs within the bound are verified.
 
 Pairs carry classes and sizes only. Whole sets are kept without the shingles that certainly are in one document
 alone (their number is kept), and of them only the sets of a round's pairs are shuffled.
@@ -32,6 +37,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from troughline.llm import bitfilter, wordscan
@@ -46,8 +52,13 @@ SKETCH_BITS = 20
 SKETCH_SEGMENT = 1 << 16
 #: Sets of more shingles are never enumerated.
 MAX_SMALL = 12
-#: Rounds of one-partner verification at most, before all open pairs are verified.
-STAR_ROUNDS = 6
+#: Rounds of one-partner verification at most, before all open pairs are verified. A second one linked next to nothing.
+STAR_ROUNDS = 1
+#: Open entries of a class before one that are compared to make a pair in fewer of its lists.
+BEFORE = 4
+#: Bits of a set's bitmap of odd counts.
+ODD_BITS = 1024
+PAIR = "a binary, b binary, root_a binary, root_b binary"
 #: Open pairs, as a multiple of the list entries, that are verified without another such round.
 OPEN_PAIRS = 2
 
@@ -125,7 +136,7 @@ def _rarity(scanned):
             )
 
     scale = np.zeros(1 << SKETCH_BITS, dtype=np.uint8)
-    for row in parts.repartition(SKETCH_SEGMENT >> 12, "segment").mapInArrow(add, "segment int, scale binary").toLocalIterator():
+    for row in parts.repartition(SKETCH_SEGMENT >> 12, "segment").mapInArrow(add, "segment int, scale binary").collect():
         scale[row.segment * SKETCH_SEGMENT : (row.segment + 1) * SKETCH_SEGMENT] = np.frombuffer(row.scale, dtype=np.uint8)
     return scale
 
@@ -176,7 +187,10 @@ def _prefixes(shared, common, inside, size):
 
 
 def _entries(shared):
-    """Arrow mapper: list entries (token, class, size, place in the order) of tokens that may repeat."""
+    """Arrow mapper: list entries of tokens that may repeat.
+
+    Token, class, size, place in the order, and the share (in thousandths) of the prefix's tokens that do not repeat.
+    """
 
     def scan(batches):
         repeated = shared.value
@@ -191,13 +205,16 @@ def _entries(shared):
             places = np.arange(len(tokens)) - np.repeat(bounds[:-1] - base, lengths)
             sizes = batch.column("s").to_numpy()
             prefix = sizes - -(-NUM * sizes.astype(np.int64) // DEN) + 1
-            kept = np.flatnonzero((places < prefix[rows]) & repeated.has(tokens))
+            inside, again = places < prefix[rows], repeated.has(tokens)
+            alone = np.bincount(rows[inside & ~again], minlength=batch.num_rows) * 1000 // np.maximum(sizes, 1)
+            kept = np.flatnonzero(inside & again)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(tokens[kept]), batch.column("c").take(pa.array(rows[kept])),
                     pa.array(sizes[rows[kept]], pa.int32()), pa.array(places[kept], pa.int32()),
+                    pa.array(alone[rows[kept]], pa.int32()),
                 ],
-                names=["token", "c", "s", "at"],
+                names=["token", "c", "s", "at", "alone"],
             )
 
     return scan
@@ -226,15 +243,15 @@ def _subsets(limit):
 
 
 def _whole_sets(wanted, common, inside, size):
-    """Arrow mapper: class, set size and sorted 64-bit hashes of the shingles that another document may have.
+    """Arrow mapper: class, set size, bitmap and sorted 64-bit hashes of the shingles that another document may have.
 
-    Only of classes that the filter ``wanted`` lets through.
+    Only of classes that the filter ``wanted`` lets through. The bitmap is of the whole set.
     """
 
     def scan(batches):
         classes_wanted, repeated = wanted.value, common.value
         for batch in batches:
-            classes, sizes, sets = [], [], []
+            classes, sizes, odd, sets = [], [], [], []
             for _, _, data, offsets in wordscan.chunks(batch.column("text")):
                 for shingles in wordscan.shingle_sets(data, offsets, inside, size):
                     if len(shingles):
@@ -242,15 +259,37 @@ def _whole_sets(wanted, common, inside, size):
                         if classes_wanted.has(np.frombuffer(c[:8], dtype="<i8"))[0]:
                             classes.append(c)
                             sizes.append(len(shingles))
+                            odd.append(_odd(shingles))
                             sets.append(shingles[repeated.has(shingles)].tobytes())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(classes, pa.binary()), pa.array(sizes, pa.int32()), pa.array(sets, pa.binary())],
-                names=["c", "n", "shingles"],
+                [pa.array(classes, pa.binary()), pa.array(sizes, pa.int32()), pa.array(odd, pa.binary()), pa.array(sets, pa.binary())],
+                names=["c", "n", "odd", "shingles"],
             )
 
     return scan
 
 
+def _odd(shingles):
+    """Bitmap of the buckets that hold an odd number of the shingles."""
+    bucket = (shingles >> np.uint64(20)) & np.uint64(ODD_BITS - 1)
+    return np.packbits((np.bincount(bucket.astype(np.int64), minlength=ODD_BITS) & 1).astype(bool)).tobytes()
+
+
+def _within(batches):
+    """Arrow mapper: the pairs whose bitmaps leave room for the similarity.
+
+    A bucket in which the bitmaps differ has a shingle that the sets do not share.
+    """
+    for batch in batches:
+        n, m = (batch.column(x).to_numpy().astype(np.int64) for x in ("n", "m"))
+        x, y = (
+            np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint64).reshape(len(n), ODD_BITS // 64) for c in ("x", "y")
+        )
+        most = (n + m - np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)) // 2
+        kept = np.flatnonzero(DEN * most >= NUM * (n + m - most))
+        yield batch.select(["a", "b", "root_a", "root_b"]).take(pa.array(kept))
+
+
 def _named(known):
     """Arrow mapper: the rows whose class the filter lets through."""
 
@@ -309,7 +348,7 @@ def class_links(docs, scanned, inside=wordscan.SPACED, size=SHINGLE):
     sets = stage(heads.groupBy("c").agg(F.first("s").alias("s"), F.first("head").alias("head")), "sets")
     total = sets.select(F.sum(F.size("head")).alias("n")).first().n or 0
     repeated = bitfilter.build(sets.select("head"), total, twice=True, hashes=_list_values)
-    entries = sets.mapInArrow(_entries(repeated), "token long, c binary, s int, at int")
+    entries = sets.mapInArrow(_entries(repeated), "token long, c binary, s int, at int, alone int")
     entries = stage(entries, "entries")
     repeated.destroy()
     rarity.destroy()
@@ -329,8 +368,9 @@ def class_links(docs, scanned, inside=wordscan.SPACED, size=SHINGLE):
     wanted = entries.select("c").distinct().select(_head64("c").alias("h"))
     wanted = stage(wanted, "wanted")
     known = bitfilter.build(wanted, wanted.count())
-    whole = docs.select("text").mapInArrow(_whole_sets(known, common, inside, size), "c binary, n int, shingles binary")
-    whole = stage(whole.groupBy("c").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles")), "whole-sets")
+    whole = docs.select("text").mapInArrow(_whole_sets(known, common, inside, size), "c binary, n int, odd binary, shingles binary")
+    whole = whole.groupBy("c").agg(*(F.first(x).alias(x) for x in ("n", "odd", "shingles")))
+    whole = stage(whole, "whole-sets")
     known.destroy()
     common.destroy()
 
@@ -350,14 +390,20 @@ def class_links(docs, scanned, inside=wordscan.SPACED, size=SHINGLE):
         last = turn == STAR_ROUNDS or open_pairs <= OPEN_PAIRS * members
         current = current.join(open_lists.select("token"), "token")
         found = _all_open(current, boundary) if last else _one_each(current, boundary, turn)
-        found = stage(found.join(tried, ["a", "b"], "left_anti"), "candidates")
-        good = _checked(found, whole)
-        links, tried = links.union(good.select("a", "b")), tried.union(found.select("a", "b"))
+        found = found.join(tried, ["a", "b"], "left_anti")
+        if last:
+            found = _with_sets(found, whole.select("c", "n", "odd"), "odd").mapInArrow(_within, PAIR)
+        found = stage(found, "candidates")
+        merged = connected(_checked(found, whole), "root_a", "root_b").select(F.col("node").alias("root"), F.col("root").alias("into"))
+        # the classes of a merged root go along; one that no label names is a class by itself
+        labels = labels.join(merged, "root", "full").select(
+            F.coalesce("c", "root").alias("c"), F.coalesce("into", "root").alias("root")
+        )
         if last:
             break
-        merged = connected(good, "root_a", "root_b").select(F.col("node").alias("root"), F.col("root").alias("into"))
+        tried = tried.union(found.select("a", "b"))
         current = current.join(merged, "root", "left").withColumn("root", F.coalesce("into", "root")).drop("into")
-    return connected(links)
+    return labels.withColumnRenamed("c", "node")
 
 
 def _head64(c):
@@ -378,7 +424,8 @@ def _ordered_pairs(rows):
 
 def _one_each(current, boundary, turn):
     """Every member with the one member of its lists that most of its lists name."""
-    draw = F.xxhash64("c", F.lit(turn))
+    # the member with the fewest tokens of its own is in the middle of a group of copies; later any other
+    draw = F.struct(F.col("alone") if turn == 0 else F.lit(0), F.xxhash64("c", F.lit(turn)))
     first = current.groupBy("token").agg(
         F.min(F.struct(draw.alias("draw"), "c", "s", "at", "root")).alias("p")
     )
@@ -393,29 +440,36 @@ def _one_each(current, boundary, turn):
 def _all_open(current, boundary):
     """All pairs that share a list and are still in different components, once each, if they can be similar.
 
-    A shared shingle is in both prefixes, and then in an open list, or it lies beyond the end of the prefix that
-    ends first in the common order; and the first shared shingle leaves the most room behind it.
+    The first shared shingle of a pair leaves the most room behind it, and no shingle before it is shared. A shared one
+    before it would be in an open list too, so a list with one among the entries just before it need not make the pair.
     """
-    other = current.select("token", F.col("c").alias("d"), F.col("s").alias("t"), F.col("at").alias("place"), F.col("root").alias("root_d"))
-    pairs = current.join(other, "token").where((F.col("c") < F.col("d")) & (F.col("root") != F.col("root_d")))
+    before = F.collect_list("token").over(Window.partitionBy("c").orderBy("at").rowsBetween(-BEFORE, -1))
+    mine = current.select("token", "c", "s", "at", "root", before.alias("before"))
+    other = mine.select(
+        "token", F.col("c").alias("d"), F.col("s").alias("t"), F.col("at").alias("place"),
+        F.col("root").alias("root_d"), F.col("before").alias("before_d"),
+    )
+    pairs = mine.join(other, "token").where((F.col("c") < F.col("d")) & (F.col("root") != F.col("root_d")))
     pairs = pairs.where((F.col("s") > boundary) | (F.col("t") > boundary))
-    pairs = pairs.where(DEN * F.least("s", "t") >= NUM * F.greatest("s", "t"))
-    room = F.least(F.col("s") - F.col("at"), F.col("t") - F.col("place"))
-    shared = pairs.groupBy("c", "d", "s", "t", "root", "root_d").agg(F.count(F.lit(1)).alias("n"), F.max(room).alias("room"))
-    need = F.ceil(F.lit(NUM) * (F.col("s") + F.col("t")) / F.lit(NUM + DEN))
-    beyond = F.ceil(F.lit(NUM) * F.greatest("s", "t") / F.lit(DEN)) - 1
-    return _ordered_pairs(shared.where((F.col("room") >= need) & (F.col("n") + beyond >= need)))
+    pairs = pairs.where(_possible(F.col("s"), F.col("at"), F.col("t"), F.col("place")))
+    pairs = pairs.where(~F.arrays_overlap("before", "before_d"))
+    return _ordered_pairs(pairs.select("c", "root", "d", "root_d")).distinct()
+
+
+def _with_sets(pairs, sets, value):
+    """Pairs with the sizes n and m and a column of both classes as x and y."""
+    left = sets.select(F.col("c").alias("a"), F.col("n"), F.col(value).alias("x"))
+    right = sets.select(F.col("c").alias("b"), F.col("n").alias("m"), F.col(value).alias("y"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "root_a", "root_b", "n", "m", "x", "y")
 
 
 def _checked(pairs, whole):
     """The similar ones of ``pairs``; sets of other classes are left out before the shuffle."""
     named = stage(pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct().select(_head64("c")), "wanted")
     known = bitfilter.build(named, named.count())
-    sets = whole.mapInArrow(_named(known), whole.schema)
-    left = sets.select(F.col("c").alias("a"), F.col("n"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("c").alias("b"), F.col("n").alias("m"), F.col("shingles").alias("y"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "root_a", "root_b", "n", "m", "x", "y")
-    good = stage(both.mapInArrow(_verify, "a binary, b binary, root_a binary, root_b binary"), "verified")
+    sets = whole.select("c", "n", "shingles")
+    both = _with_sets(pairs, sets.mapInArrow(_named(known), sets.schema), "shingles")
+    good = stage(both.mapInArrow(_verify, PAIR), "verified")
     known.destroy()
     return good
 
