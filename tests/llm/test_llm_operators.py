@@ -127,6 +127,12 @@ def test_a_filter_is_read_in_few_jobs(spark):
     assert known.value.has(np.arange(1000)).all() and 0 < len(jobs) <= 3
 
 
+def test_signatures_release_the_encoders_of_a_worker():
+    bpe._loaded["kept"] = token_output._loaded["kept"] = object()
+    assert not list(jaccard_join._signatures(wordscan.SPACED, 5)(iter([])))
+    assert not bpe._loaded and not token_output._loaded
+
+
 def test_subset_sizes_decide():
     for s in range(1, 13):
         for t in range(1, 13):

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from troughline.llm import wordscan
-from troughline.llm.base import python_ready, read_file
+from troughline.llm.base import python_ready, read_file, worker_cache
 from troughline.llm.piecetable import PieceTable, gather
 
 #: Symbols up to which a word's smallest rank is found by scanning.
@@ -221,7 +221,7 @@ class WordBpe:
         return " ".join([names[i] for i in ids if i < n and names[i] is not None])
 
 
-_loaded = {}
+_loaded = worker_cache()
 
 
 def _loader(shared, key):

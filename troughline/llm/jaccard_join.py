@@ -41,7 +41,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from troughline.llm import bitfilter, wordscan
-from troughline.llm.base import documents, python_ready, stage
+from troughline.llm.base import documents, python_ready, release, stage
 from troughline.llm.components import connected
 
 SHINGLE = 5
@@ -86,6 +86,7 @@ def _signatures(inside, size):
     """Arrow mapper: a row a document (class and set size), and at the end a task's rarity sketch."""
 
     def scan(batches):
+        release()
         counts = np.zeros(1 << SKETCH_BITS, dtype=np.uint32)
         kind = None
         for batch in batches:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from troughline.llm import wordscan
-from troughline.llm.base import python_ready, read_file
+from troughline.llm.base import python_ready, read_file, worker_cache
 from troughline.llm.piecetable import PieceTable
 
 #: Parts of texts that a worker remembers; a full table starts anew.
@@ -181,7 +181,7 @@ class PieceCounter:
         return starts[~lone], ends[~lone], rows[~lone], ones
 
 
-_loaded = {}
+_loaded = worker_cache()
 
 
 def _loader(shared, key):

@@ -26,7 +26,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from troughline.llm import wordscan
-from troughline.llm.base import python_ready, read_file, stage_path
+from troughline.llm.base import python_ready, read_file, stage_path, worker_cache
 from troughline.llm.piecetable import PieceTable, gather
 
 #: Bytes of a row group, of a page, and the size that one dictionary may have.
@@ -155,7 +155,7 @@ def _cut_matters(data, offsets):
     return counts[edges] > counts[offsets[:-1]]
 
 
-_loaded = {}
+_loaded = worker_cache()
 
 
 def _loader(shared):
