@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from troughline.llm import (
+    base,
     bitfilter,
     bpe,
     components,
@@ -160,6 +161,23 @@ def test_components_of_chains_and_stars(spark):
     assert {r.node: r.root for r in rows} == {x: root(x) for x in parent}
 
 
+def test_copies_are_not_expanded_to_passages(spark, monkeypatch):
+    words = [f"w{k}" for k in range(2000)]
+    docs = [(k, " ".join(words)) for k in range(20)] + [(99, " ".join([*words[:300], "new", *words[300:]]))]
+    staged = {}
+
+    def counted(df, name):
+        staged[name] = base.stage(df, name)
+        return staged[name]
+
+    monkeypatch.setattr(suffix_dedup, "stage", counted)
+    rows = suffix_dedup.repeated_passages(spark.createDataFrame(docs, COLUMNS)).collect()
+    assert sorted((r.doc_id, r.begin, r.end, r.first_doc, r.later) for r in rows if r.doc_id in (0, 1, 99)) == [
+        (0, 0, 2000, 0, False), (1, 0, 2000, 0, True), (99, 0, 300, 0, True), (99, 301, 2001, 0, True)]
+    # 41,000 passages; those around the new word alone are told apart one by one
+    assert len(rows) == 22 and sum(df.count() for df in staged.values()) < 10_000
+
+
 @pytest.mark.parametrize("length,shingle", [(20, 5), (7, 7)])
 def test_passages(spark, length, shingle):
     rng = random.Random(length)

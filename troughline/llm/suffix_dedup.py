@@ -4,9 +4,9 @@ Only suffixes at content-selected positions are kept: in every run of ``window``
 position whose shingle hash is smallest among those that start a whole shingle (a minimiser). Equal
 passages of that length select the same position, so each is represented by one suffix of its own.
 
-1. The suffixes are ordered by their first words (their shingle), and a suffix without an equal neighbour
-   from another document is dropped. The order is taken by hashed bits of bounded size that count to two;
-   what they let through by chance falls out in the next step.
+1. The suffixes are ordered by their first words (their shingle), with the hash of the group of passages that
+   each represents, and a suffix without an equal neighbour from another document is dropped. Where all suffixes
+   of one shingle have the same group, as in copies, the group is settled as one range of places.
 2. The remaining suffixes are extended: to the left by each number of words for which they represent a
    passage, to the right to the passage's full length. Equal extended passages are neighbours in the order
    of their content; they are compared by grouping, with partial counts before the shuffle, so that
@@ -23,9 +23,11 @@ repeat id and text give their spans once; extra columns are left out.
 """
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from troughline.llm import bitfilter, wordscan
 from troughline.llm.base import documents, python_ready, stage
@@ -63,27 +65,48 @@ def _selected(batch, min_words, shingle):
 
 
 def _suffixes(min_words, shingle):
-    """Arrow mapper: (shingle hash of each selected suffix, once a document)."""
+    """Arrow mapper: place and shingle hash ``h`` of each selected suffix, number and hash ``g`` of its passages."""
+    # a selected position lies inside each of its passages, so they are at most as many as the window has positions
+    weights = np.full(min_words - shingle + 1, 0x9E3779B97F4A7C15, dtype=np.uint64)
+    weights = np.multiply.accumulate(weights)
 
     def scan(batches):
         for batch in batches:
-            found = [np.unique(keys[np.unique(at)]) for _, keys, at, _ in _selected(batch, min_words, shingle)]
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).astype(np.int64))], names=["h"])
+            rows, begins, sizes, shingles, groups = [], [], [], [], []
+            for row, keys, at, passages in _selected(batch, min_words, shingle):
+                begin = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+                n = np.diff(begin, append=len(at))
+                steps = np.arange(len(at)) - np.repeat(begin, n)
+                rows.append(np.full(len(begin), row))
+                begins.append(begin)
+                sizes.append(n)
+                shingles.append(keys[at[begin]])
+                groups.append(wordscan.mix(np.add.reduceat(passages * weights[steps], begin) + n.astype(np.uint64)))
+            if not rows:
+                continue
+            at = pa.array(np.concatenate(rows))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_id").take(at), batch.column("th").take(at),
+                    pa.array(np.concatenate(begins), pa.int32()), pa.array(np.concatenate(sizes), pa.int32()),
+                    pa.array(np.concatenate(shingles).astype(np.int64)), pa.array(np.concatenate(groups).astype(np.int64)),
+                ],
+                names=["doc_id", "th", "begin", "n", "h", "g"],
+            )
 
     return scan
 
 
 def _passages(shared, min_words, shingle):
-    """Arrow mapper: hash and place of every passage whose suffix may have an equal neighbour."""
+    """Arrow mapper: hash and place of every passage whose suffix may be in the filter."""
 
     def scan(batches):
-        repeated = shared.value
+        wanted = shared.value
         for batch in batches:
             rows, begins, hashes = [], [], []
             for row, keys, at, passages in _selected(batch, min_words, shingle):
                 chosen, back = np.unique(at, return_inverse=True)
-                kept = np.flatnonzero(repeated.has(keys[chosen])[back])
+                kept = np.flatnonzero(wanted.has(keys[chosen])[back])
                 rows.append(np.full(len(kept), row))
                 begins.append(kept)
                 hashes.append(passages[kept])
@@ -112,34 +135,56 @@ def repeated_passages(df, id_col="doc_id", text_col="text", min_words=MIN_WORDS,
     python_ready(spark)
     docs = documents(df, id_col, text_col)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    suffixes = docs.select("doc_id", "th", "text").mapInArrow(_suffixes(min_words, shingle), "h long")
+    suffixes = docs.mapInArrow(
+        _suffixes(min_words, shingle), f"doc_id {kind}, th long, begin int, n int, h long, g long"
+    )
     suffixes = stage(suffixes, "suffixes")
-    known = bitfilter.build(suffixes, suffixes.count(), twice=True)
+    known = bitfilter.build(suffixes.select("h"), suffixes.count(), twice=True)
+
+    @F.pandas_udf(BooleanType())
+    def repeated(hashes: pd.Series) -> pd.Series:
+        return pd.Series(known.value.has(hashes.to_numpy()))
+
+    suffixes = stage(suffixes.where(repeated("h")), "repeated-suffixes")
+    least = F.min(F.struct(F.col("doc_id").isNotNull(), "doc_id")).alias("least")
+    most = F.max(F.struct(F.col("doc_id").isNotNull(), "doc_id")).alias("most")
+    shared = suffixes.groupBy(F.col("h").alias("key")).agg(least, most, (F.min("g") == F.max("g")).alias("whole"))
+    shared = shared.where(F.col("least") != F.col("most")).select("key", F.col("least.doc_id").alias("first_doc"), "whole")
+    shared = stage(shared, "shingles")
+    wholes = _marked(suffixes, "h", shared.where("whole").drop("whole"))
+
+    # shingles with different words around them: their passages are told apart one by one
+    others = shared.where(~F.col("whole")).select("key")
+    others = bitfilter.build(others, others.count())
     passages = docs.mapInArrow(
-        _passages(known, min_words, shingle), f"doc_id {kind}, th long, begin int, passage long"
+        _passages(others, min_words, shingle), f"doc_id {kind}, th long, begin int, passage long"
     )
     passages = stage(passages, "passages")
-    least = F.min(F.struct(F.col("doc_id").isNotNull(), "doc_id"))
-    most = F.max(F.struct(F.col("doc_id").isNotNull(), "doc_id"))
-    owners = passages.groupBy(F.col("passage").alias("key")).agg(least.alias("least"), most.alias("most"))
+    owners = passages.groupBy(F.col("passage").alias("key")).agg(least, most)
     owners = stage(owners.where(F.col("least") != F.col("most")).select("key", F.col("least.doc_id").alias("first_doc")), "owners")
-    marked = passages.join(owners, F.col("passage") == F.col("key")).select(
-        "doc_id", "th", "begin", (~F.col("doc_id").eqNullSafe(F.col("first_doc"))).alias("later"), "first_doc"
-    )
-    return _joined(marked, min_words)
+    singles = _marked(passages.withColumn("n", F.lit(1)), "passage", owners)
+    return _joined(wholes.unionByName(singles), min_words)
+
+
+def _marked(places, hashes, owners):
+    """The places (``n`` passages from ``begin`` on) whose hash has an owner, with the owner and whether it is another."""
+    marked = places.join(owners, F.col(hashes) == F.col("key"))
+    later = ~F.col("doc_id").eqNullSafe(F.col("first_doc"))
+    return marked.select("doc_id", "th", "begin", "n", later.alias("later"), "first_doc")
 
 
 def _joined(marked, min_words):
     """Spans of each document from the places of its passages, those of first and later ones apart.
 
-    Rows that repeat id and text give the same places again, which changes no span.
+    Rows that repeat id and text give the same places again, as does a false hit of a filter, which changes no span.
     """
     own = Window.partitionBy("doc_id", "th", "later").orderBy("begin")
-    before = F.lag("begin").over(own)
+    last = F.col("begin") + F.col("n") - 1
+    before = F.max(last).over(own.rowsBetween(Window.unboundedPreceding, -1))
     fresh = (before.isNull() | (F.col("begin") > before + min_words)).cast("int")
-    runs = marked.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(own))
+    runs = marked.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(own.rowsBetween(Window.unboundedPreceding, 0)))
     spans = runs.groupBy("doc_id", "th", "later", "run").agg(
-        F.min("begin").alias("begin"), (F.max("begin") + min_words).alias("end"), F.min("first_doc").alias("first_doc")
+        F.min("begin").alias("begin"), (F.max(last) + min_words).alias("end"), F.min("first_doc").alias("first_doc")
     )
     return spans.select("doc_id", "th", "begin", "end", (F.col("end") - F.col("begin")).alias("n_words"), "first_doc", "later")
 
