@@ -21,6 +21,7 @@ from troughline.llm import (
     exact_dedup,
     jaccard_join,
     line_dedup,
+    piecetable,
     pii,
     quality,
     queries,
@@ -134,6 +135,29 @@ def test_signatures_release_the_encoders_of_a_worker():
     assert not bpe._loaded and not token_output._loaded
 
 
+def test_tables_of_an_encoder_are_small():
+    assert bpe.REMEMBERED * (24 + piecetable.PIECE_BYTES) + bpe.REMEMBERED_WORDS * 400 < 60 << 20
+    table = piecetable.PieceTable([np.dtype(np.uint8)], 1000)
+    for k in range(40):
+        keys = np.arange(10, dtype=np.uint64) + np.uint64(10 * k)
+        starts, lengths = table.look(keys, lambda at: ((np.full(10_000, k, dtype=np.uint8), np.full(len(at), 1000)),))
+        assert (piecetable.gather(table.values[0], starts[0], lengths[0]) == k).all()
+        assert len(table.values[0]) <= 1000 * piecetable.PIECE_BYTES + 10_000
+
+
+def test_unused_memory_is_given_back():
+    def resident():
+        with open("/proc/self/statm") as handle:
+            return int(handle.read().split()[1]) * os.sysconf("SC_PAGE_SIZE")
+
+    before = resident()
+    blocks = [bytearray(50_000) for _ in range(4000)]
+    held, last = resident() - before, blocks.pop()  # the last one keeps the heap from shrinking by itself
+    del blocks
+    base.trim()
+    assert held > 150 << 20 and resident() - before < held // 4 and len(last) == 50_000
+
+
 def test_subset_sizes_decide():
     for s in range(1, 13):
         for t in range(1, 13):

@@ -27,14 +27,14 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from troughline.llm import wordscan
-from troughline.llm.base import python_ready, read_file, worker_cache
+from troughline.llm.base import python_ready, read_file, trim, worker_cache
 from troughline.llm.piecetable import PieceTable, gather
 
 #: Symbols up to which a word's smallest rank is found by scanning.
 SHORT_WORD = 64
-#: Parts of texts, and words, that a worker remembers; a full table starts anew.
-REMEMBERED = 2_000_000
-REMEMBERED_WORDS = 400_000
+#: Parts of texts (some 50 bytes each), and words (some 300), that a worker remembers; a full table starts anew.
+REMEMBERED = 800_000
+REMEMBERED_WORDS = 20_000
 REMEMBERED_CHARS = 48
 
 _ID_BITS = 24
@@ -195,7 +195,7 @@ class WordBpe:
         White space divides words under every rule, so the parts between it are encoded one by one,
         and a part that was met before is looked up. Decoded rows keep the blank after the last symbol.
         """
-        for _, _, data, offsets in wordscan.chunks(texts, 2 * wordscan.CHUNK_BYTES):
+        for _, _, data, offsets in wordscan.chunks(texts, wordscan.CHUNK_BYTES // 4):
             starts, ends, rows, keys = wordscan.words(data, offsets, wordscan.SPACED, fold=wordscan.AS_IS)
 
             def encode(at):
@@ -246,6 +246,7 @@ def encode_documents(df, path, id_col="doc_id", text_col="text", tokens=True):
 
     def encode(batches):
         bpe = _loader(shared, key)
+        trim()
         for batch in batches:
             counts, ids_sha, text_sha, all_ids, texts = [], [], [], [], []
             for ids, id_bounds, decoded, text_bounds in bpe.encode_column(batch.column("text")):
@@ -271,5 +272,7 @@ def encode_documents(df, path, id_col="doc_id", text_col="text", tokens=True):
                 arrays += [pa.array(all_ids, pa.list_(pa.int32())), pa.array(texts, pa.string())]
                 names += ["ids", "decoded"]
             yield pa.RecordBatch.from_arrays(arrays, names=names)
+            del all_ids, texts, arrays
+            trim()  # workers are many and wait with what they hold
 
     return rows.mapInArrow(encode, schema)

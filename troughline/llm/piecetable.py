@@ -2,11 +2,15 @@
 
 A piece is known by the 64-bit hash of its bytes. Values of all pieces lie end to end in one array, so
 that the values of a batch are gathered without a Python step a word. New pieces enter a small recent
-part first, which joins the main part when it has grown to an eighth of it; a full table starts anew.
+part first, which joins the main part when it has grown to an eighth of it; a table that is full, in
+pieces or in bytes of their values, starts anew.
 """
 
 import numpy as np
 
+#: Bytes of values, over all pieces, for each piece that a table may have.
+PIECE_BYTES = 32
+
 
 def gather(values, starts, lengths):
     """``values`` of all pieces end to end, in the order of ``starts``."""
@@ -20,7 +24,8 @@ def gather(values, starts, lengths):
 class _Part:
     def __init__(self, keys, starts, lengths):
         order = np.argsort(keys, kind="stable")
-        self.keys, self.starts, self.lengths = keys[order], [s[order] for s in starts], [n[order] for n in lengths]
+        self.keys = keys[order]
+        self.starts, self.lengths = ([x.astype(np.uint32, copy=False)[order] for x in xs] for xs in (starts, lengths))
 
     def find(self, keys):
         at = np.searchsorted(self.keys, keys)
@@ -52,7 +57,7 @@ class PieceTable:
         ``encode(positions)`` gets the first position of each unknown key and returns, for each value
         array, (values end to end, lengths).
         """
-        if len(self) >= self.limit:
+        if len(self) >= self.limit or sum(v.nbytes for v in self.values) >= self.limit * PIECE_BYTES:
             self.clear()
         starts = [np.zeros(len(keys), dtype=np.int64) for _ in self.dtypes]
         lengths = [np.zeros(len(keys), dtype=np.int64) for _ in self.dtypes]
