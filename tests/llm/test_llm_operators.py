@@ -395,6 +395,24 @@ def test_lines_that_end_in_crlf(spark):
     assert {(r.doc_id, r.line_no): (r.n_tokens, r.kept) for r in lines} == want
 
 
+def test_similar_lines_delete_their_tables_and_send_no_bits_in_plans(spark, monkeypatch):
+    words = "a b c d e f g h i j k l m n o p"
+    docs = spark.createDataFrame([(1, words), (2, words + " q\nx y"), (3, words.replace("a", "z")), (4, words)], COLUMNS)
+    folders, plans, real = [], [], line_dedup.stage
+
+    def staged(df, name):
+        plans.append(len(df._jdf.queryExecution().optimizedPlan().toString()))
+        table = real(df, name)
+        folders.append(table.inputFiles()[0].removeprefix("file:").rsplit("/", 1)[0])
+        return table
+
+    monkeypatch.setattr(line_dedup, "stage", staged)
+    rows = line_dedup.similar_lines(docs)
+    kept = {os.path.basename(f)[:-33] for f in folders if os.path.exists(f)}
+    assert {(r.doc_id, r.line_no) for r in rows.collect() if not r.kept} == {(2, 0), (3, 0), (4, 0)}
+    assert kept <= {"line-rows", "line-gone"} and max(plans) < 1_000_000
+
+
 def test_library_and_word_encoders_on_odd_texts():
     from tokenizers import Tokenizer
 
