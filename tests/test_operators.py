@@ -1,18 +1,22 @@
 import itertools
+import os
 
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from troughline import schema
 from troughline.functions.map_kernel import fit_all, _Batch
 from troughline.functions.model import add, settled
 from troughline.operators import (
     draws, dosing, estimation, evaluation, events, exposure, policies, quantiles, regimen, sampling,
 )
+from troughline.plans import study_queries
 from troughline.sources import storage
 
 import plain
+from conftest import SMALL
 from test_model import patients
 
 
@@ -292,3 +296,24 @@ def test_storage(spark, tmp_path):
     one = storage.read_table(spark, path, df.schema).where("method = 'a'")
     assert one.count() == 3
     assert "PartitionFilters: [isnotnull(method" in one._jdf.queryExecution().executedPlan().toString()
+
+
+def test_packed_profiles_come_back_in_little_room(spark, tmp_path):
+    """Rows in any order, nulls, a null method, steps beyond 64 bits, and the size of smooth curves."""
+    odd = [(2**62 * (-1) ** k if k % 3 else None, None if k % 5 == 0 else k / 7, 1e-300 * k, None if k % 4 == 0 else (k * k % 1000) / 1e6,
+            (-1) ** k * 9.007e12, 0.5, (None, "a", "b")[k % 3]) for k in range(12_007)]
+    df = spark.createDataFrame(odd, schema.PROFILE)
+    digits = {"IPRE": 6, "AUC": 3, "PERI": 4}
+    storage.write_profiles(df, f"{tmp_path}/odd", digits)
+    names = [f.name for f in schema.PROFILE]
+    back = storage.read_profiles(spark, f"{tmp_path}/odd", schema.PROFILE, digits, names)
+    assert [(f.name, f.dataType) for f in back.schema] == [(f.name, f.dataType) for f in schema.PROFILE]
+    assert sorted(map(str, back.collect())) == sorted(map(str, df.collect()))
+    one = storage.read_profiles(spark, f"{tmp_path}/odd", schema.PROFILE, digits, ["ID"], ["a"])
+    assert one.count() == 4002 and "PartitionFilters: [isnotnull(method" in one._jdf.queryExecution().executedPlan().toString()
+    with pytest.raises(Exception, match="cannot be held with 6 digits"):
+        storage.write_profiles(df.withColumn("IPRE", F.lit(1e12)), f"{tmp_path}/large", digits)
+
+    rows = study_queries.profile_roundtrip(spark, SMALL)
+    files = [f.removeprefix("file:") for f in rows.inputFiles()]
+    assert sum(os.path.getsize(f) for f in files) < 4 * rows.count()
