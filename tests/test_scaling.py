@@ -115,6 +115,13 @@ def test_swept_grids_are_not_stored(spark, monkeypatch):
     assert "Union" in plan.split("Window", 1)[1]
 
 
+def test_only_patients_numbers_are_shuffled_for_profiles(spark):
+    for name in ("exposure_profile", "full_profile"):
+        plan = study_queries.QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString().splitlines()
+        exchanges = [i for i, line in enumerate(plan) if "Exchange" in line]
+        assert exchanges and all("REPARTITION" in plan[i] and plan[i + 1].count(" AS ") == 1 for i in exchanges), name
+
+
 def test_sweep_by_patient_and_by_block_agree(spark):
     """Times before the origin, a fast exponent, doses after the last observation, patients without doses or observations."""
     rng = random.Random(4)
